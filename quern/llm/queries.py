@@ -7,20 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import simhash_ball
+from quern.llm import framed_records, pack_histogram, simhash_ball
+from quern.llm.common import stored
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_spf_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = pack_histogram.pieces(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"), "word", 1)
+    cut = stored(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
+    return pack_histogram.pack(cut, ["doc_id", "start", "ids_crc32"])
+
+
 def op9_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_ball.near_duplicates(_documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_framed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = framed_records.round_trip(spark, _documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), "byte", 0)
+    return read.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_simhash_neardup,)}
+    return {f.__name__: f for f in (op7_spf_packing, op9_simhash_neardup, op10_framed_records)}
 
 
 def oracle_sql() -> dict[str, str]:
