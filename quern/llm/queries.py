@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import framed_records, pack_histogram, simhash_ball
+from quern.llm import framed_records, multiset_hash, pack_histogram, simhash_ball
 from quern.llm.common import stored
 
 
@@ -21,6 +21,20 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = multiset_hash.compared(_documents(spark, sf_dir))
+    fp, edited, after = F.col("fp"), F.col("edited_fp"), F.col("next_fp")
+    return rows.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2("edited_text", 256).alias("edited_sha256"),
+        multiset_hash.to_hex(fp).alias("fingerprint"),
+        multiset_hash.to_hex(edited).alias("edited_fingerprint"),
+        multiset_hash.likeness(fp, edited).alias("near_edited"),
+        multiset_hash.likeness(fp, after).alias("near_next"),
+    )
+
+
 def op7_spf_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = pack_histogram.pieces(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"), "word", 1)
     cut = stored(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
@@ -38,7 +52,7 @@ def op10_framed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_spf_packing, op9_simhash_neardup, op10_framed_records)}
+    return {f.__name__: f for f in (op2_multiset_fingerprint, op7_spf_packing, op9_simhash_neardup, op10_framed_records)}
 
 
 def oracle_sql() -> dict[str, str]:
