@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import framed_records, multiset_hash, pack_histogram, simhash_ball
+from quern.llm import framed_records, multiset_hash, pack_histogram, pivotal_mix, simhash_ball
 from quern.llm.common import stored
 
 
@@ -35,6 +35,11 @@ def op2_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = pivotal_mix.mix(_documents(spark, sf_dir))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op7_spf_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = pack_histogram.pieces(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"), "word", 1)
     cut = stored(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
@@ -52,7 +57,7 @@ def op10_framed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_multiset_fingerprint, op7_spf_packing, op9_simhash_neardup, op10_framed_records)}
+    return {f.__name__: f for f in (op2_multiset_fingerprint, op6_pivotal_mixing, op7_spf_packing, op9_simhash_neardup, op10_framed_records)}
 
 
 def oracle_sql() -> dict[str, str]:
