@@ -8,6 +8,7 @@ hold (white space next to a space, for the byte-level tokenizer) are encoded who
 
 from __future__ import annotations
 
+import gc
 import re
 
 import numpy as np
@@ -16,7 +17,7 @@ import numpy as np
 #: such change is forgotten.  This bounds memory and never changes a result.
 MEMO_ENTRIES = 500_000
 
-_ADJACENT = re.compile(r" \s|\s |\0").search
+_ADJACENT = re.compile(r" \s|\s |\x01").search
 _ENCODERS: dict[tuple[str, str], "ChunkEncoder"] = {}
 
 
@@ -36,6 +37,7 @@ class ChunkEncoder:
         self.byte = kind == "byte"
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         self.mark = self._ids("\n" if self.byte else "0")
         if len(self.mark) != 1:
             raise ValueError("the separator is not a single token of this vocabulary")
@@ -46,64 +48,89 @@ class ChunkEncoder:
     def _whole(self, text: str) -> bytes:
         return np.asarray(self._ids(text), "<u4").tobytes()
 
+    def _text(self, chunk: str) -> str:
+        """What a key of the memo stands for: for the byte-level tokenizer a chunk without \1 follows a space."""
+        return chunk if not self.byte else chunk[1:] if chunk[:1] == "\1" else " " + chunk
+
     def _learn(self, chunks: list[str]) -> None:
         """Encode unseen chunks in joined runs, cut again at a separator token that none of them holds."""
         own = "\n" if self.byte else "0"
-        plain = [c for c in chunks if own not in c and c]
-        for c in chunks:
-            if own in c or not c:
-                self.memo[c] = self._whole(c)
+        plain = [c for c in chunks if own not in c and c.strip("\1")]
+        if len(plain) < len(chunks):
+            for c in set(chunks).difference(plain):
+                self.memo[c] = self._whole(self._text(c))
         glue = own if self.byte else f" {own} "
-        for i in range(0, len(plain), 2000):
-            part = plain[i : i + 2000]
-            batch = self.tokenizer.encode_batch_fast([glue.join(part)], add_special_tokens=False)
+        for i in range(0, len(plain), 4000):
+            part = plain[i : i + 4000]
+            batch = self.tokenizer.encode_batch_fast([glue.join(map(self._text, part))], add_special_tokens=False)
             ids = np.asarray(batch[0].ids, "<u4")
             cuts = np.flatnonzero(ids == self.mark[0])
             if len(cuts) != len(part) - 1:
-                self.memo.update((c, self._whole(c)) for c in part)
+                self.memo.update((c, self._whole(self._text(c))) for c in part)
                 continue
-            raw, at = ids.tobytes(), [-4, *(cuts * 4).tolist(), len(ids) * 4]
-            self.memo.update((c, raw[a + 4 : b]) for c, a, b in zip(part, at, at[1:]))
+            raw, ends = ids.tobytes(), (cuts * 4).tolist()
+            pieces = map(raw.__getitem__, map(slice, [0, *(x + 4 for x in ends)], [*ends, len(raw)]))
+            self.memo.update(zip(part, pieces))
 
     def _recall(self, chunks: set[str]) -> None:
         if self.older:
-            back = {c: self.older[c] for c in chunks if c in self.older}
-            self.memo.update(back)
-            chunks.difference_update(back)
+            known = {c for c in chunks if c in self.older}
+            self.memo.update(zip(known, map(self.older.__getitem__, known)))
+            chunks -= known
+
+    def _tail(self, end: str) -> bytes:
+        if end not in self.tails:
+            self.tails[end] = self._whole(end)
+        return self.tails[end]
 
     def _learn_split(self, chunks: set[str]) -> None:
         """A letter followed by final full stops or commas is a token boundary, so the word is learned without them."""
-        ends = {}
+        ends, fresh = [], set()
         for c in chunks:
-            stem = c.rstrip(".,")
-            if len(stem) < len(c) and stem and stem[-1].isalpha():
-                ends[c] = (stem, c[len(stem) :])
-        fresh = {x for pair in ends.values() for x in pair} | {c for c in chunks if c not in ends}
+            if c[-1:] in (".", ","):
+                stem = c.rstrip(".,")
+                if stem[-1:].isalpha():
+                    ends.append((c, stem))
+                    fresh.add(stem)
+                    continue
+            fresh.add(c)
         fresh = {c for c in fresh if c not in self.memo}
         self._recall(fresh)
         self._learn(list(fresh))
-        self.memo.update((c, self.memo[a] + self.memo[b]) for c, (a, b) in ends.items())
+        memo, tail = self.memo, self._tail
+        for c, stem in ends:
+            memo[c] = memo[stem] + tail(c[len(stem) :])
 
     def _chunks(self, text: str) -> list[str] | None:
         if not self.byte:
             return text.replace("\n", " ").split(" ")
         if _ADJACENT(text):
             return None
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        return ("\1" + text).replace("\n", " \1\n \1").split(" ")
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here forms cycles, and the memo makes each collection slow
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > MEMO_ENTRIES:
             self.older, self.memo = self.memo, {}
         parts = [self._chunks(t) for t in texts]
         found = [None if p is None else list(map(self.memo.get, p)) for p in parts]
-        gaps = [[] if f is None else [i for i, x in enumerate(f) if x is None] for f in found]
+        gaps = [[i for i, x in enumerate(f) if x is None] if f and None in f else () for f in found]
         unseen = {p[i] for p, at in zip(parts, gaps) for i in at}
         if unseen:
             self._recall(unseen)
             self._learn_split(unseen)
+        memo = self.memo
         for p, f, at in zip(parts, found, gaps):
             for i in at:
-                f[i] = self.memo[p[i]]
+                f[i] = memo[p[i]]
         return [self._whole(t) if f is None else b"".join(f) for t, f in zip(texts, found)]
 
 
