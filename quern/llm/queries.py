@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import framed_records, multiset_hash, pack_histogram, pivotal_mix, simhash_ball
+from quern.llm import framed_records, lang_centroid, multiset_hash, pack_histogram, pivotal_mix, simhash_ball
 from quern.llm.common import stored
 
 
@@ -35,6 +35,18 @@ def op2_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    found = lang_centroid.predicted(docs.select("doc_id", "text"), lang_centroid.fit(docs))
+    return found.select(
+        "doc_id",
+        lang_centroid.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("lang_id.lang").alias("lang_pred"),
+        F.col("lang_id.score").alias("score"),
+        F.col("lang_id.accepted").alias("accepted"),
+    )
+
+
 def op6_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = pivotal_mix.mix(_documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -57,7 +69,7 @@ def op10_framed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_multiset_fingerprint, op6_pivotal_mixing, op7_spf_packing, op9_simhash_neardup, op10_framed_records)}
+    return {f.__name__: f for f in (op2_multiset_fingerprint, op4_language_id, op6_pivotal_mixing, op7_spf_packing, op9_simhash_neardup, op10_framed_records)}
 
 
 def oracle_sql() -> dict[str, str]:
