@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import framed_records, lang_centroid, multiset_hash, pack_histogram, pivotal_mix, simhash_ball
+from quern.llm import framed_records, lang_centroid, multiset_hash, pack_histogram, pii_surrogates, pivotal_mix, simhash_ball
 from quern.llm.common import stored
 
 
+#: A test key.  Whoever holds a corpus passes a secret one.
+SURROGATE_KEY = "quern-test-key"
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -58,6 +62,12 @@ def op7_spf_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_histogram.pack(cut, ["doc_id", "start", "ids_crc32"])
 
 
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pii_surrogates.replaced(_documents(spark, sf_dir).select("doc_id", "text"), SURROGATE_KEY)
+    kinds = F.transform("pii_entities", lambda x: x.kind).alias("kinds")
+    return made.select("doc_id", "text", F.size("pii_entities").alias("n_entities"), kinds)
+
+
 def op9_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_ball.near_duplicates(_documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -69,7 +79,7 @@ def op10_framed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_multiset_fingerprint, op4_language_id, op6_pivotal_mixing, op7_spf_packing, op9_simhash_neardup, op10_framed_records)}
+    return {f.__name__: f for f in (op2_multiset_fingerprint, op4_language_id, op6_pivotal_mixing, op7_spf_packing, op8_pii_surrogates, op9_simhash_neardup, op10_framed_records)}
 
 
 def oracle_sql() -> dict[str, str]:
