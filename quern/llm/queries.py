@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import framed_records, lang_centroid, multiset_hash, pack_histogram, pii_surrogates, pivotal_mix, simhash_ball
+from quern.llm import framed_records, html_main_text, lang_centroid, multiset_hash, pack_histogram, pii_surrogates, pivotal_mix, simhash_ball
 from quern.llm.common import stored
 
 
@@ -39,6 +39,11 @@ def op2_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_main_text.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     found = lang_centroid.predicted(docs.select("doc_id", "text"), lang_centroid.fit(docs))
@@ -79,7 +84,7 @@ def op10_framed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_multiset_fingerprint, op4_language_id, op6_pivotal_mixing, op7_spf_packing, op8_pii_surrogates, op9_simhash_neardup, op10_framed_records)}
+    return {f.__name__: f for f in (op2_multiset_fingerprint, op3_html_main_text, op4_language_id, op6_pivotal_mixing, op7_spf_packing, op8_pii_surrogates, op9_simhash_neardup, op10_framed_records)}
 
 
 def oracle_sql() -> dict[str, str]:
