@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import framed_records, html_main_text, lang_centroid, multiset_hash, pack_histogram, pii_surrogates, pivotal_mix, simhash_ball
+from quern.llm import framed_records, html_main_text, jpeg_media, lang_centroid, multiset_hash, pack_histogram, pii_surrogates, pivotal_mix, simhash_ball
 from quern.llm.common import stored
 
 
@@ -56,6 +56,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg_media.described(jpeg_media.store(_documents(spark, sf_dir)))
+
+
 def op6_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = pivotal_mix.mix(_documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -84,7 +88,7 @@ def op10_framed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_multiset_fingerprint, op3_html_main_text, op4_language_id, op6_pivotal_mixing, op7_spf_packing, op8_pii_surrogates, op9_simhash_neardup, op10_framed_records)}
+    return {f.__name__: f for f in (op2_multiset_fingerprint, op3_html_main_text, op4_language_id, op5_jpeg_media, op6_pivotal_mixing, op7_spf_packing, op8_pii_surrogates, op9_simhash_neardup, op10_framed_records)}
 
 
 def oracle_sql() -> dict[str, str]:
