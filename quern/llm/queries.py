@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import framed_records, html_main_text, jpeg_media, lang_centroid, multiset_hash, pack_histogram, pii_surrogates, pivotal_mix, simhash_ball
+from quern.llm import framed_records, html_main_text, jpeg_media, lang_centroid, lm_backoff, multiset_hash, pack_histogram, pii_surrogates, pivotal_mix, simhash_ball
 from quern.llm.common import stored
 
 
@@ -25,6 +25,36 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm_backoff.scores(_documents(spark, sf_dir))
+    mean = F.when(F.col("n_words") > 0, F.round(F.col("score") / F.col("n_words"), 4))
+    return found.select("doc_id", "n_words", "seen", F.round("score", 4).alias("score"), mean.alias("mean_score"))
+
+
+OP1_SQL = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+uni AS (SELECT word, count(*) AS n FROM t GROUP BY word),
+tot AS (SELECT sum(n) AS total FROM uni),
+voc AS (SELECT word, n FROM uni, tot WHERE n >= greatest(1, total * 1e-6)),
+m AS (SELECT doc_id, i, CASE WHEN voc.word IS NULL THEN '<unk> ' ELSE t.word END AS w FROM t LEFT JOIN voc ON t.word = voc.word),
+c1 AS (SELECT w, count(*) AS n FROM m GROUP BY w
+       UNION ALL SELECT '<s> ', count(DISTINCT doc_id) FROM m),
+b AS (SELECT doc_id, w, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY i), '<s> ') AS v FROM m),
+c2 AS (SELECT v, w, count(*) AS n FROM b GROUP BY v, w),
+s AS (SELECT b.doc_id, CASE WHEN c2.n >= 2 THEN 1 ELSE 0 END AS hit,
+             CASE WHEN c2.n >= 2 THEN ln(c2.n::DOUBLE) - ln(cv.n::DOUBLE)
+                  ELSE ln(0.4::DOUBLE) + ln(cw.n::DOUBLE) - ln(total::DOUBLE) END AS x
+      FROM b JOIN c2 ON b.v = c2.v AND b.w = c2.w JOIN c1 cv ON b.v = cv.w JOIN c1 cw ON b.w = cw.w, tot)
+SELECT d.doc_id, count(s.x) AS n_words, coalesce(sum(s.hit), 0)::BIGINT AS seen, round(coalesce(sum(s.x), 0), 4) AS score,
+       CASE WHEN count(s.x) > 0 THEN round(sum(s.x) / count(s.x), 4) END AS mean_score
+FROM d LEFT JOIN s ON d.doc_id = s.doc_id GROUP BY d.doc_id
+"""
+
+
 def op2_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = multiset_hash.compared(_documents(spark, sf_dir))
     fp, edited, after = F.col("fp"), F.col("edited_fp"), F.col("next_fp")
@@ -88,8 +118,8 @@ def op10_framed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_multiset_fingerprint, op3_html_main_text, op4_language_id, op5_jpeg_media, op6_pivotal_mixing, op7_spf_packing, op8_pii_surrogates, op9_simhash_neardup, op10_framed_records)}
+    return {f.__name__: f for f in (op1_stupid_backoff, op2_multiset_fingerprint, op3_html_main_text, op4_language_id, op5_jpeg_media, op6_pivotal_mixing, op7_spf_packing, op8_pii_surrogates, op9_simhash_neardup, op10_framed_records)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_stupid_backoff": OP1_SQL}
