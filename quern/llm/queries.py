@@ -19,7 +19,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -96,7 +96,7 @@ def op6_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_spf_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = pack_histogram.pieces(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"), "word", 1)
+    cut = pack_histogram.pieces(_documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), "word", 1)
     cut = stored(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
     return pack_histogram.pack(cut, ["doc_id", "start", "ids_crc32"])
 
@@ -113,7 +113,7 @@ def op9_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_framed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = framed_records.round_trip(spark, _documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), "byte", 0)
+    read = framed_records.round_trip(spark, _documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), "byte", 0)
     return read.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 

@@ -18,15 +18,17 @@ never becomes a component's id unless all members lack one.  Empty input gives a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import require, stored
+from quern.llm.common import partitions, require, stored
 
 SEED = 42
 #: Pieces of a long text whose shingles are held as bits at one time.
@@ -53,11 +55,20 @@ def simhash(text: str | None, words: int) -> int:
     for start in range(0, n, BLOCK):
         size = min(BLOCK, n - start)
         raw = b"".join(map(xxh64_digest, (next(shingles) for _ in range(size)) if n > BLOCK else shingles, repeat(SEED)))
-        bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1)
-        ones += bits.sum(axis=0, dtype=np.int64)
+        ones += bit_sums(np.frombuffer(raw, np.uint8).reshape(-1, 8))
     return int(np.packbits(ones * 2 > n).view(">i8")[0])
 
 
+def bit_sums(rows: np.ndarray) -> np.ndarray:
+    """How many rows of bytes have each bit."""
+    whole = len(rows) // 255 * 255
+    bits = np.unpackbits(rows, axis=1)
+    out = bits[whole:].sum(axis=0, dtype=np.int64)
+    if whole:  # sums of 255 bits fit in a byte, which is much faster than wide sums
+        out += bits[:whole].reshape(-1, 255, bits.shape[1]).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+    return out
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp): the fingerprint of each whole text, from shingles of so many words."""
 
@@ -146,13 +157,184 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, crowd: int = CROWD) -> DataFrame:
-    """(doc_id, fp, component_id): the smallest doc_id that links of at most three bits reach, itself included."""
-    prints = stored(fingerprints(docs, words), "simhash")
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    roots = components(links(nodes.select("fp"), crowd))
+def _grouped(prints: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) from documents' fingerprints, the distinct ones with their least doc_id, and links."""
+    roots = components(edges)
     member = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     member = stored(member, "simhash-members")
     ids = member.groupBy("root").agg(F.min("least").alias("component_id"))
     of = stored(member.join(ids, "root").select("fp", "component_id"), "simhash-components")
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, crowd: int = CROWD) -> DataFrame:
+    """(doc_id, fp, component_id): the smallest doc_id that links of at most three bits reach, itself included."""
+    prints = stored(fingerprints(docs, words), "simhash")
+    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    return _grouped(prints, nodes, links(nodes.select("fp"), crowd))
+
+
+# Similarity instead of a radius.
+#
+# Two texts whose sets of shingles have a Jaccard similarity J differ in a share acos(2J / (1 + J)) / pi of their
+# SimHash bits: 15 % at J = 0.8, far over three of 64.  So the fingerprint is made wider (words of 64 bits) and cut
+# into bands; in each band the ball is hashed whole: everybody emits all variants within one bit, so pairs within
+# two bits in some band meet in the middle.  Bands are long enough that a chance meeting is rare for the number of
+# texts, and as many as a pair at the wanted similarity needs to meet with RECALL.
+
+RECALL = 0.985
+#: Bits of chance meetings: a band of log2(n) + SPARE bits.
+SPARE = 6
+#: Words at least; the similarity is estimated from all bits, with a standard error of 0.03 at 512 bits.
+LEAST_WORDS = 8
+#: In a crowd of one variant, each member is compared with so many neighbours in fingerprint order and so many firsts.
+NEIGHBOURS, FIRSTS = 11, 8
+_GATHER = 1 << 21
+
+
+def bit_share(similarity: float) -> float:
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def band_plan(n: int, similarity: float) -> tuple[int, int]:
+    """Bits of a band and number of bands for n texts."""
+    bits = max(16, math.ceil(math.log2(max(n, 2))) + SPARE)
+    p = bit_share(similarity)
+    meet = sum(math.comb(bits, i) * p**i * (1 - p) ** (bits - i) for i in range(3))
+    return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - meet))
+
+
+def signature(text: str | None, words: int, wide: int) -> bytes:
+    """`wide` SimHash words of 64 bits from shingles of so many words; zeros for a text without words."""
+    from xxhash import xxh64_digest
+
+    found = text.encode().lower().split() if text else []
+    if not found:
+        return bytes(8 * wide)
+    if len(found) < words:
+        shingles, n = iter([b" ".join(found)]), 1
+    else:
+        shingles, n = map(b" ".join, zip(*(found[i:] for i in range(words)))), len(found) - words + 1
+    ones = np.zeros(64 * wide, np.int64)
+    steps = np.arange(wide, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for start in range(0, n, BLOCK // 8):
+        size = min(BLOCK // 8, n - start)
+        raw = b"".join(map(xxh64_digest, (next(shingles) for _ in range(size)), repeat(SEED)))
+        h = np.frombuffer(raw, ">u8").astype(np.uint64)[:, None] + steps
+        h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        ones += bit_sums((h ^ h >> np.uint64(31)).view(np.uint8))
+    return np.packbits(ones * 2 > n).tobytes()
+
+
+def _band_keys(signatures: list[bytes], bits: int, bands: int) -> np.ndarray:
+    """(texts, bands * (bits + 1)) keys: a hash of band and value for each band's value and its variants of one bit."""
+    all_bits = np.unpackbits(np.frombuffer(b"".join(signatures), np.uint8).reshape(len(signatures), -1), axis=1)[:, 64:]
+    weights = np.uint64(1) << np.arange(bits, dtype=np.uint64)
+    flips = np.concatenate(([np.uint64(0)], weights))
+    out = np.empty((len(signatures), bands, bits + 1), np.uint64)
+    for b in range(bands):
+        value = all_bits[:, b * bits : (b + 1) * bits].astype(np.uint64) @ weights
+        out[:, b] = (value[:, None] ^ flips) * np.uint64(bands) + np.uint64(b)
+    return out.reshape(len(signatures), -1).view(np.int64)
+
+
+def _meetings(key: np.ndarray, fp: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows sorted by key, fp: pairs of fingerprints that meet and are near in them, and each row's place in its key."""
+    first = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
+    start = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0)) if len(key) else np.zeros(0, np.int64)
+    place = np.arange(len(key)) - start
+    found = []
+    for s in range(1, NEIGHBOURS + 1):
+        at = np.flatnonzero(place >= s)
+        found.append((at, at - s))
+    for s in range(FIRSTS):
+        at = np.flatnonzero(place > NEIGHBOURS + s)
+        found.append((at, start[at] + s))
+    a = fp[np.concatenate([x for x, _ in found])]
+    b = fp[np.concatenate([x for _, x in found])]
+    keep = (a != b) & (np.bitwise_count((a ^ b).view(np.uint64)) <= near)
+    pairs = np.unique(np.stack((np.minimum(a, b)[keep], np.maximum(a, b)[keep]), axis=1), axis=0) if keep.any() else np.zeros((0, 2), np.int64)
+    return pairs[:, 0], pairs[:, 1], place
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, fp, component_id): the smallest doc_id that links of at least the similarity reach, itself included.
+
+    Texts with one first word of the signature are one node.  Links are found with the stated recall a pair; a
+    group of copies has many.  The similarity of a pair is estimated from all bits of the signatures.
+    """
+    spark = docs.sparkSession
+    rows = require(docs, "doc_id", "text")
+    bits, bands = band_plan(rows.count(), similarity)
+    wide = max(LEAST_WORDS, 1 + -(-bits * bands // 64))
+    p = bit_share(similarity)
+    near = math.ceil(64 * p + 3.7 * math.sqrt(64 * p * (1 - p)))
+    most = round(64 * wide * p + 0.5 * math.sqrt(64 * wide * p * (1 - p)))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                own = [signature(t, words, wide) for t in part.column("text").to_pylist()]
+                fp = np.frombuffer(b"".join(x[:8] for x in own), ">i8").astype(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp), pa.array(own, pa.binary())], ["doc_id", "fp", "sig"])
+
+    prints = stored(rows.mapInArrow(sign, "doc_id long, fp long, sig binary"), "simhash-wide")
+    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("sig").alias("sig")), "simhash-nodes")
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Variants (key, fp, null) and, of those that one task has often, its own meetings (key, fp, other)."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def rows_of() -> pa.RecordBatch:
+            key, fp = np.concatenate([k for k, _ in held]), np.concatenate([f for _, f in held])
+            held.clear()
+            order = np.lexsort((fp, key))
+            key, fp = key[order], fp[order]
+            a, b, place = _meetings(key, fp, near)
+            kept = place < FIRSTS
+            keys = pa.array(np.concatenate((key[kept], a ^ b)))
+            other = pa.concat_arrays([pa.nulls(int(kept.sum()), pa.int64()), pa.array(b)])
+            return pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate((fp[kept], a))), other], ["key", "fp", "other"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                keys = _band_keys(part.column("sig").to_pylist(), bits, bands)
+                held.append((keys.ravel(), np.repeat(part.column("fp").to_numpy(), keys.shape[1])))
+                if sum(len(k) for k, _ in held) > _GATHER:
+                    yield rows_of()
+        if held:
+            yield rows_of()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        for batch in batches:
+            done = batch.filter(batch.column("other").is_valid())
+            if done.num_rows:
+                yield pa.RecordBatch.from_arrays([done.column("fp"), done.column("other")], ["a", "b"])
+            some = batch.filter(batch.column("other").is_null())
+            key = np.concatenate((tail[0], some.column("key").to_numpy()))
+            fp = np.concatenate((tail[1], some.column("fp").to_numpy()))
+            a, b, place = _meetings(key, fp, near)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            # the last key may go on: its rows are kept, of many the first and the last
+            start = len(key) - 1 - int(place[-1]) if len(key) else 0
+            keep = np.arange(start, len(key))
+            keep = keep[(keep - start < FIRSTS) | (keep >= len(key) - NEIGHBOURS)]
+            tail = (key[keep], fp[keep])
+
+    dealt = nodes.select("fp", "sig").repartition(partitions(spark)).mapInArrow(emit, "key long, fp long, other long")
+    dealt = dealt.repartition(partitions(spark), "key").sortWithinPartitions("key", "fp")
+    pairs = stored(dealt.mapInArrow(meet, "a long, b long").distinct(), "simhash-meetings")
+    sigs = nodes.select("fp", "sig")
+    both = pairs.join(sigs.select(F.col("fp").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("fp").alias("b"), F.col("sig").alias("sig_b")), "b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, wide) for c in ("sig_a", "sig_b"))
+            close = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= most
+            yield batch.select(["a", "b"]).filter(pa.array(close))
+
+    return _grouped(prints.select("doc_id", "fp"), nodes.select("fp", "least"), both.select("a", "b", "sig_a", "sig_b").mapInArrow(verify, "a long, b long"))
