@@ -1,26 +1,57 @@
-"""Exact whole-text tokenization with a bounded memo of space-separated chunks.
+"""Exact whole-text tokenization with a bounded memo of chunks between spaces.
 
-Both supported tokenizers pre-split text so that no token ever spans the boundary between a non-space
-character and a following space.  A chunk (a space and the characters up to the next space) can thus be
-encoded once by the `tokenizers` library and looked up afterwards; texts where that reasoning does not
-hold (white space next to a space, for the byte-level tokenizer) are encoded whole.
+Both supported tokenizers split text beforehand so that no token spans the boundary between a character that is no
+white space and a following space or line feed.  A chunk with what stands before it (a space, a line feed or
+nothing) can thus be encoded once by the `tokenizers` library and looked up afterwards.  Texts where that reasoning
+does not hold (two white-space characters in a row, for the byte-level tokenizer) are encoded whole.
+
+The memo is an open-addressing table in numpy arrays: chunks of a batch of texts are found, hashed and looked up by
+array operations.  A chunk is known by two independent 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import gc
 import re
 
 import numpy as np
 
-#: Entries after which a worker's memo becomes its older half; what is not used again before the next
-#: such change is forgotten.  This bounds memory and never changes a result.
-MEMO_ENTRIES = 500_000
+#: Slots of the memo; it is emptied when three fifths are taken, which costs time and never changes a result.
+SLOTS = 1 << 21
+#: Words without final full stops and commas that are kept by name; likewise.
+STEMS = 250_000
+#: Bytes of text handled at one time, but for longer single texts.
+SPAN = 1 << 18
 
-_ADJACENT = re.compile(r" \s|\s |\x01").search
+_RUN = re.compile(r"\s\s").search
+_SPACE = re.compile(r"\s").search
+_SHIFT = np.uint64(65 - SLOTS.bit_length())
 _ENCODERS: dict[tuple[str, str], "ChunkEncoder"] = {}
 
 
+class Powers:
+    """Prefix hashes: sum of table[byte] * odd**place, so that any slice's hash is a difference, times a power."""
+
+    def __init__(self, seed: int) -> None:
+        rng = np.random.default_rng(seed)
+        self.table = rng.integers(0, 1 << 64, 256, np.uint64)
+        self.odd = int(rng.integers(0, 1 << 63)) * 2 + 1
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def reserve(self, n: int) -> None:
+        if len(self.up) < n:
+            with np.errstate(over="ignore"):
+                self.up = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, self.odd, np.uint64))))
+                inverse = np.uint64(pow(self.odd, -1, 1 << 64))
+                self.down = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, inverse, np.uint64))))
+
+    def slices(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        self.reserve(len(data) + 1)
+        sums = np.empty(len(data) + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(self.table[data] * self.up[: len(data)], out=sums[1:])
+        return (sums[end] - sums[start]) * self.down[start]
+
+
 class ChunkEncoder:
     """encode_all(texts) -> little-endian uint32 id bytes per text, equal to tokenizing each text whole."""
 
@@ -35,103 +66,159 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.byte = kind == "byte"
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
         self.mark = self._ids("\n" if self.byte else "0")
         if len(self.mark) != 1:
             raise ValueError("the separator is not a single token of this vocabulary")
+        self.first, self.second = Powers(1), Powers(2)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.zeros(SLOTS, np.uint64)  # 0: free
+        self.checks = np.zeros(SLOTS, np.uint64)
+        self.at = np.zeros(SLOTS, np.int32)
+        self.size = np.zeros(SLOTS, np.int32)
+        self.flat = np.zeros(1 << 16, "<u4")
+        self.used = self.taken = 0
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _whole(self, text: str) -> bytes:
+    def whole(self, text: str) -> bytes:
         return np.asarray(self._ids(text), "<u4").tobytes()
 
-    def _text(self, chunk: str) -> str:
-        """What a key of the memo stands for: for the byte-level tokenizer a chunk without \1 follows a space."""
-        return chunk if not self.byte else chunk[1:] if chunk[:1] == "\1" else " " + chunk
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode unseen chunks in joined runs, cut again at a separator token that none of them holds."""
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of strings, most of them in joined runs that are cut again at a separator token that none holds."""
         own = "\n" if self.byte else "0"
-        plain = [c for c in chunks if own not in c and c.strip("\1")]
-        if len(plain) < len(chunks):
-            for c in set(chunks).difference(plain):
-                self.memo[c] = self._whole(self._text(c))
-        glue = own if self.byte else f" {own} "
+        bare = [w[1:] if w[:1] == " " else w for w in words]
+        odd = [not b or own in b or _SPACE(b) is not None for b in bare]
+        plain = [w for w, o in zip(words, odd) if not o]
+        glue, out = own if self.byte else f" {own} ", []
         for i in range(0, len(plain), 4000):
             part = plain[i : i + 4000]
-            batch = self.tokenizer.encode_batch_fast([glue.join(map(self._text, part))], add_special_tokens=False)
-            ids = np.asarray(batch[0].ids, "<u4")
+            ids = np.asarray(self.tokenizer.encode_batch_fast([glue.join(part)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(ids == self.mark[0])
             if len(cuts) != len(part) - 1:
-                self.memo.update((c, self._whole(self._text(c))) for c in part)
+                out += map(self.whole, part)
                 continue
             raw, ends = ids.tobytes(), (cuts * 4).tolist()
-            pieces = map(raw.__getitem__, map(slice, [0, *(x + 4 for x in ends)], [*ends, len(raw)]))
-            self.memo.update(zip(part, pieces))
-
-    def _recall(self, chunks: set[str]) -> None:
-        if self.older:
-            known = {c for c in chunks if c in self.older}
-            self.memo.update(zip(known, map(self.older.__getitem__, known)))
-            chunks -= known
-
-    def _tail(self, end: str) -> bytes:
-        if end not in self.tails:
-            self.tails[end] = self._whole(end)
-        return self.tails[end]
-
-    def _learn_split(self, chunks: set[str]) -> None:
-        """A letter followed by final full stops or commas is a token boundary, so the word is learned without them."""
-        ends, fresh = [], set()
-        for c in chunks:
-            if c[-1:] in (".", ","):
-                stem = c.rstrip(".,")
-                if stem[-1:].isalpha():
-                    ends.append((c, stem))
-                    fresh.add(stem)
-                    continue
-            fresh.add(c)
-        fresh = {c for c in fresh if c not in self.memo}
-        self._recall(fresh)
-        self._learn(list(fresh))
-        memo, tail = self.memo, self._tail
-        for c, stem in ends:
-            memo[c] = memo[stem] + tail(c[len(stem) :])
-
-    def _chunks(self, text: str) -> list[str] | None:
-        if not self.byte:
-            return text.replace("\n", " ").split(" ")
-        if _ADJACENT(text):
-            return None
-        return ("\1" + text).replace("\n", " \1\n \1").split(" ")
+            out += map(raw.__getitem__, map(slice, [0, *(x + 4 for x in ends)], [*ends, len(raw)]))
+        done = iter(out)
+        return [self.whole(w) if o else next(done) for w, o in zip(words, odd)]
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """A letter followed by final full stops or commas is a token boundary, so the word is encoded without them."""
+        if len(self.stems) > STEMS:
+            self.stems.clear()
+        split = []
+        for w in words:
+            stem = w.rstrip(".,")
+            split.append((stem, w[len(stem) :]) if len(stem) < len(w) and stem[-1:].isalpha() else (w, ""))
+        new = list({x for pair in split for x in pair if x and x not in self.stems})
+        self.stems.update(zip(new, self._encode_words(new)))
+        known = self.stems
+        return [known[a] + known[b] if b else known[a] if a else b"" for a, b in split]
+
+    def _find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Each key's slot, or -1."""
+        slot = (key >> _SHIFT).astype(np.int64)
+        found = np.full(len(key), -1, np.int64)
+        todo = np.arange(len(key))
+        while len(todo):
+            own = slot[todo]
+            held = self.keys[own]
+            same = held == key[todo]
+            same &= self.checks[own] == check[todo]
+            found[todo[same]] = own[same]
+            todo = todo[~same & (held != 0)]
+            slot[todo] = (slot[todo] + 1) & (SLOTS - 1)
+        return found
+
+    def _insert(self, key: np.ndarray, check: np.ndarray, ids: list[bytes]) -> None:
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        self.flat[self.used : self.used + len(flat)] = flat
+        size = np.array([len(x) // 4 for x in ids], np.int32)
+        at = (self.used + np.cumsum(size) - size).astype(np.int32)
+        self.used += len(flat)
+        self.taken += len(key)
+        slot = (key >> _SHIFT).astype(np.int64)
+        todo = np.arange(len(key))
+        while len(todo):
+            free = self.keys[slot[todo]] == 0
+            own, place = np.unique(slot[todo[free]], return_index=True)
+            put = todo[free][place]
+            self.keys[own], self.checks[own], self.at[own], self.size[own] = key[put], check[put], at[put], size[put]
+            todo = np.setdiff1d(todo, put, assume_unique=True)
+            slot[todo] = np.where(self.keys[slot[todo]] != 0, (slot[todo] + 1) & (SLOTS - 1), slot[todo])
+
+    def _batch(self, raw: list[bytes]) -> list[bytes]:
+        if self.taken > SLOTS * 3 // 5:
+            self._clear()
+        joined = b"\n".join(raw) + b"\n"
+        data = np.frombuffer(joined, np.uint8)
+        end = np.flatnonzero((data == 32) | (data == 10))
+        start = np.empty_like(end)
+        start[0] = 0
+        start[1:] = end[:-1] + 1
+        sizes = np.array([len(r) for r in raw])
+        doc_end = np.cumsum(sizes + 1) - 1
+        last = np.searchsorted(end, doc_end)  # each text's last chunk
+        if self.byte:
+            lead = np.empty(len(end), np.uint64)  # 1: a space stands before, 2: a line feed, 3: nothing
+            lead[0], lead[1:] = 3, np.where(data[end[:-1]] == 32, 1, 2)
+            lead[last[:-1] + 1] = 3
+        else:
+            lead = np.full(len(end), 3, np.uint64)
+        mix = lead * np.uint64(0x9E3779B97F4A7C15)
+        key = self.first.slices(data, start, end) + mix
+        key = (key ^ key >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        key[key == 0] = 1
+        check = self.second.slices(data, start, end) + mix + (end - start).astype(np.uint64)
+        slot = self._find(key, check)
+        gaps = np.flatnonzero(slot < 0)
+        if len(gaps):
+            _, place = np.unique(key[gaps], return_index=True)
+            new = gaps[place]
+            before = {1: " ", 2: "", 3: ""}
+            words = [before[l] + joined[a:b].decode() for l, a, b in zip(lead[new].tolist(), start[new].tolist(), end[new].tolist())]
+            ids = self._learn(words)
+            line = np.array(self.mark, "<u4").tobytes()
+            ids = [line + x if l == 2 else x for x, l in zip(ids, lead[new].tolist())]
+            self._insert(key[new], check[new], ids)
+            slot[gaps] = self._find(key[gaps], check[gaps])
+            if (slot < 0).any():  # two chunks with one key
+                return [self.whole(r.decode()) for r in raw]
+        size = self.size[slot].astype(np.int64)
+        total = np.cumsum(size)
+        shift = self.at[slot] - (total - size)
+        ids = self.flat[np.repeat(shift, size) + np.arange(int(total[-1]))].tobytes()
+        cuts = [0, *(total[last] * 4).tolist()]
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        collecting = gc.isenabled()
-        gc.disable()  # nothing here forms cycles, and the memo makes each collection slow
-        try:
-            return self._encode(texts)
-        finally:
-            if collecting:
-                gc.enable()
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO_ENTRIES:
-            self.older, self.memo = self.memo, {}
-        parts = [self._chunks(t) for t in texts]
-        found = [None if p is None else list(map(self.memo.get, p)) for p in parts]
-        gaps = [[i for i, x in enumerate(f) if x is None] if f and None in f else () for f in found]
-        unseen = {p[i] for p, at in zip(parts, gaps) for i in at}
-        if unseen:
-            self._recall(unseen)
-            self._learn_split(unseen)
-        memo = self.memo
-        for p, f, at in zip(parts, found, gaps):
-            for i in at:
-                f[i] = memo[p[i]]
-        return [self._whole(t) if f is None else b"".join(f) for t, f in zip(texts, found)]
+        out: list[bytes | None] = [None] * len(texts)
+        group: list[tuple[int, bytes]] = []
+        held = 0
+
+        def flush() -> None:
+            for (i, _), ids in zip(group, self._batch([r for _, r in group]) if group else ()):
+                out[i] = ids
+            group.clear()
+
+        for i, text in enumerate(texts):
+            if self.byte and _RUN(text):
+                out[i] = self.whole(text)
+                continue
+            raw = text.encode()
+            if group and held + len(raw) > SPAN:
+                flush()
+                held = 0
+            group.append((i, raw))
+            held += len(raw) + 1
+        flush()
+        return out  # type: ignore[return-value]
 
 
 def encoder(path: str, kind: str) -> ChunkEncoder:
