@@ -147,7 +147,7 @@ def bind_quote(quote: Column, text: Column) -> Column:
     """
     words = F.array_join(F.transform(F.filter(F.split(F.regexp_replace(quote, r"\p{Cc}", " "), rf"[{SPACE}]+"), lambda w: w != ""), quoted), rf"[{SPACE}]+")
     unique = F.regexp_count(text, words) == 1
-    return F.when(text.contains(quote), quote).when((words != "") & unique, F.regexp_extract(text, words, F.lit(0)))
+    return F.when(text.contains(quote), quote).when((words != "") & unique, F.call_function("regexp_extract", text, words, F.lit(0)))
 
 
 def render(template: Column, case_year: Column) -> Column:
@@ -191,5 +191,5 @@ def article_context(text: Column, number: Column) -> Column:
     n = quoted(number)
     patterns = [F.concat(F.lit(p), n, F.lit(r"(?![0-9])[\s\S]{0,12000}")) for p in (r"(?m)^\s*Статья\s+", r"(?m)^\s*Article\s+", r"(?m)^\s*Section\s+")]
     patterns.append(F.concat(F.lit(r"(?m)^\s*"), n, F.lit(r"-бап[\s\S]{0,12000}")))
-    found = [F.regexp_extract(text, p, F.lit(0)) for p in patterns]
+    found = [F.call_function("regexp_extract", text, p, F.lit(0)) for p in patterns]
     return F.coalesce(*(F.when(F.char_length(f) >= 50, f) for f in found))

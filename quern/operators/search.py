@@ -74,7 +74,8 @@ def read_lines(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """(span_id, id, text, issue) for spans (span_id, id, start_line, end_line), inclusive and from 1."""
     valid = (F.col("start_line") >= 1) & (F.col("end_line") >= F.col("start_line")) & (F.col("end_line") - F.col("start_line") < MOST_LINES)
     inside = F.col("line_no").between(F.col("start_line"), F.col("end_line"))
-    each = spans.join(lines(docs), "id", "left").filter(F.col("line_no").isNull() | inside | ~valid)
+    rows = lines(docs).withColumnRenamed("id", "line_id")
+    each = spans.join(rows, (F.col("id") == F.col("line_id")) & inside & valid, "left")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(inside & valid, F.struct("line_no", "line")))), lambda x: x["line"]), "\n")
     out = each.groupBy("span_id", "id").agg(text.alias("text"), F.bool_and(valid).alias("valid"), F.max(F.when(inside, F.col("line_no"))).alias("last"))
     issue = F.when(~F.col("valid"), "bad span").when(F.col("last").isNull(), "no such lines").when(F.char_length("text") > MOST_CHARS, "too long")
