@@ -1,0 +1,92 @@
+import re
+
+from pyspark.sql import functions as F
+
+from quern.llm import pii_surrogates as m
+
+
+def run(rows, *texts, key="k"):
+    docs = rows("doc_id long, text string, kind string, symbols string", *((i, t, "x", "y") for i, t in enumerate(texts)))
+    return {r["doc_id"]: r for r in m.replaced(docs, key).collect()}
+
+
+SAMPLES = {
+    "email": "bob.smith+x@mail.example.org",
+    "ipv4": "10.20.30.40",
+    "card": "4111 1111 1111 1111",
+    "phone": "+1 (415) 555-0100",
+    "ssn": "123-45-6789",
+    "iban": "DE89 3704 0044 0532 0130 00",
+    "secret": "9c8b45435718dcc700c184a7e303cdc64c6a0011",
+}
+
+
+def test_each_type_is_found_replaced_and_keeps_its_format(rows):
+    for kind, value in SAMPLES.items():
+        prefix = 'token = "' if kind == "secret" else "see "
+        got = run(rows, f"{prefix}{value}\" end, {value if kind != 'secret' else ''}")[0]
+        assert [e["kind"] for e in got["pii_entities"]][0] == kind
+        assert value not in got["text"] and got["text"].startswith(prefix)
+        made = got["pii_entities"][0]["surrogate"]
+        if kind not in ("ipv4", "email"):
+            shape = lambda s: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", s)))
+            loose = lambda s: re.sub("[0a]", "0", shape(s)) if kind == "secret" else shape(s)
+            assert loose(made) == loose(value)
+        assert not got["pii_entities"][1:] or got["pii_entities"][1]["surrogate"] == made
+
+
+def test_coreference_over_documents_and_formats(rows):
+    got = run(rows, "call (415) 555-0100", "call 415-555-0100 or Bob@X.org", "bob@x.org")
+    digits = lambda s: re.sub(r"\D", "", s)
+    assert digits(got[0]["text"]) == digits(got[1]["pii_entities"][0]["surrogate"])
+    assert got[1]["pii_entities"][1]["surrogate"].lower() == got[2]["text"].lower()
+
+
+def test_names_keep_gender_script_and_case(rows):
+    got = run(rows, "Mr. John Smith met Mrs Jane SMITH.", "Frau Müller", "г-жа Анна Иванова", "Mr. John Smith")
+    first = got[0]["pii_entities"][0]["surrogate"].split()
+    assert first[0] == "Mr." and first[1] in m.MALE and got[0]["pii_entities"][1]["surrogate"].split()[1] in m.FEMALE
+    assert got[3]["text"] == got[0]["pii_entities"][0]["surrogate"]
+    assert re.fullmatch(r"Frau [A-Z][a-z]+", got[1]["text"]) and re.fullmatch(r"г-жа [А-Яа-я]+ [А-Яа-я]+ва", got[2]["text"])
+
+
+def test_collisions_are_drawn_again(rows, monkeypatch):
+    whole = m.stream
+    monkeypatch.setattr(m, "stream", lambda key, kind, canon, attempt: F.when(attempt < 2, whole(key, kind, F.lit(""), F.lit(0))).otherwise(whole(key, kind, canon, attempt)))
+    got = run(rows, "10.0.0.1 10.0.0.2 10.0.0.3 10.0.0.4")[0]
+    assert len({e["surrogate"] for e in got["pii_entities"]}) == 4
+
+
+def test_surrogates_are_no_originals(rows, monkeypatch):
+    plain = m.surrogate
+    monkeypatch.setattr(m, "surrogate", lambda k, match, s: F.when((match == "10.0.0.1") & s.startswith("0"), "10.0.0.2").otherwise(plain(k, match, s)))
+    got = run(rows, "10.0.0.1 10.0.0.2")[0]
+    assert "10.0.0.2" not in got["text"]
+
+
+def test_key_matters_and_reruns_agree(rows):
+    a, b, c = (run(rows, "x 10.1.2.3", key=k)[0]["text"] for k in ("k", "k", "other"))
+    assert a == b != c
+
+
+def test_clean_text_stays(rows, documents):
+    clean = ["The year 1990 and 12,345 things; 3.14159. Dr no, mr x and v1.2.3.", "", None, "a@b", "1 2 3 4 5 6", "Sr. de la", "12:30:45 on 2020-01-02"]
+    got = run(rows, *clean)
+    assert [got[i]["text"] for i in range(len(clean))] == clean
+
+
+def test_odd_rows_and_empty_table(odd, no_docs):
+    got = m.replaced(odd, "k")
+    assert got.columns == [*odd.columns, "pii_entities"]
+    assert sorted(str(r["text"]) for r in got.select("text").collect()) == sorted(str(r["text"]) for r in odd.select("text").collect())
+    assert m.replaced(no_docs, "k").count() == 0
+
+
+def test_repeated_rows_and_no_original_left(documents):
+    twice = documents.union(documents)
+    found = [e for r in documents.select(m.entities_of(F.col("text")).alias("m")).collect() for e in r["m"]]
+    got = m.replaced(twice, "k").collect()
+    assert len(got) == twice.count() and found
+    whole = "\n".join(r["text"] for r in got)
+    assert not [e for e in set(found) if e in whole]
+    assert sum(len(r["pii_entities"]) for r in got) == 2 * len(found)
