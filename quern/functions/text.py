@@ -17,6 +17,8 @@ YEAR = r"(?<![\p{L}\p{N}_])(19[6-9][0-9]|20[0-2][0-9])(?![\p{L}\p{N}_])"
 INSUFFICIENT = "insufficient information"
 ABSTENTIONS = ("insufficient information", "недостаточно информации", "информация отсутствует", "невозможно рассчитать")
 ANSWER_UNITS = "KZT|PLN|CNY|IDR|PKR|EGP|INR|USD|EUR|тенге|руб|%|percent"
+BOXED = r"(?i)\\boxed\{([^{}]*(?:\{[^{}]*\}[^{}]*)*)\}"
+FINAL = r"(?i)\[FINAL ANSWER\]:[\s\p{Z}]*([^\n\r]+)"
 PLAIN_DECIMAL = r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)"
 
 
@@ -89,8 +91,8 @@ def answer(text: Column) -> Column:
     Code is not run here: see functions.calculator.
     """
     text = strip(text)
-    boxed = _last(F.regexp_extract_all(text, F.lit(r"(?i)\\boxed\{([^{}]*(?:\{[^{}]*\}[^{}]*)*)\}"), F.lit(1)))
-    final = _last(F.regexp_extract_all(text, F.lit(r"(?i)\[FINAL ANSWER\]:[\s\p{Z}]*([^\n\r]+)"), F.lit(1)))
+    boxed = _last(F.regexp_extract_all(text, F.lit(BOXED), F.lit(1)))
+    final = _last(F.regexp_extract_all(text, F.lit(FINAL), F.lit(1)))
     candidate = F.coalesce(F.nullif(boxed, F.lit("")), F.nullif(final, F.lit("")), last_line(text))
     lower = F.lower(candidate)
     abstains = F.lit(False)
