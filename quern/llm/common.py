@@ -57,13 +57,24 @@ def cuts(df: DataFrame, key: str, n: int) -> list[int]:
     return sorted(set(row["q"])) if row and row["q"] else []
 
 
-def bucket_of(key: Column, bounds: list[int]) -> Column:
-    """How many bounds are at most the key (null: 0), as a tree of comparisons of logarithmic depth."""
+#: Bounds up to which a key is compared in generated code.
+TREE = 512
+
 
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key >= F.lit(bounds[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
+def bucket_of(key: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds are at most the key (null: 0), by a binary search.
 
-    return tree(0, len(bounds))
+    Few bounds become a tree of comparisons, many an array that a fold halves step by step.
+    """
+    if len(bounds) <= TREE:
+
+        def tree(lo: int, hi: int) -> Column:
+            if lo == hi:
+                return F.lit(lo)
+            mid = (lo + hi) // 2
+            return F.when(key >= F.lit(bounds[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
+
+        return tree(0, len(bounds))
+    values = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(values, at + step - 1) <= key, at + step).otherwise(at))
