@@ -111,6 +111,49 @@ def reranked(pool: DataFrame, chunk_vectors: DataFrame, query_vectors: DataFrame
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _blocks(vectors: DataFrame, size: int) -> DataFrame:
+    """(ids, values): up to `size` vectors a row as bytes, scaled to length one."""
+    import numpy as np
+    import pandas as pd
+
+    def pack(batches):
+        for rows in batches:
+            for at in range(0, len(rows), size):
+                part = rows.iloc[at : at + size]
+                part = part[part["embedding"].map(lambda v: v is not None)]
+                if len(part):
+                    v = np.array(part["embedding"].tolist(), np.float64)
+                    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+                    yield pd.DataFrame({"ids": [part["vec_id"].to_numpy(np.int64).tobytes()], "values": [v.tobytes()]})
+
+    return vectors.select("vec_id", "embedding").mapInPandas(pack, "ids binary, values binary")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048) -> DataFrame:
+    """(query_id, vec_id, score, rank): the k vectors (vec_id, embedding) of largest cosine, to six decimals, for each query.
+
+    Exact: every block of queries meets every block of vectors, and each meeting keeps k rows a query.
+    """
+    import numpy as np
+    import pandas as pd
+
+    q = _blocks(queries, 512).withColumnsRenamed({"ids": "q_ids", "values": "q_values"})
+
+    def best(batches):
+        for rows in batches:
+            for r in rows.itertuples(index=False):
+                ids, asked = np.frombuffer(r.ids, np.int64), np.frombuffer(r.q_ids, np.int64)
+                v, m = (np.frombuffer(x).reshape(n, -1) for x, n in ((r.values, len(ids)), (r.q_values, len(asked))))
+                s = np.round(v @ m.T, 6)
+                for j, i in enumerate(asked):
+                    order = np.lexsort((ids, -s[:, j]))[:k]
+                    yield pd.DataFrame({"query_id": i, "vec_id": ids[order], "score": s[order, j]})
+
+    met = _blocks(vectors, block).crossJoin(q).mapInPandas(best, "query_id long, vec_id long, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def hits(retrieved: DataFrame, gold: DataFrame) -> DataFrame:
     """(query_id, passage_recall, complete, source_recall, reciprocal_rank) for queries with gold passages.
 

@@ -180,37 +180,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, vec_id, round(score, 4) AS score, rank FROM r WHERE rank <= 10""")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact nearest vectors by cosine; the stated query set (ids divisible by 100) against all rows, in blocks."""
-    e = table(spark, sf_dir, "embeddings")
-    q = [(r["vec_id"], list(map(float, r["embedding"]))) for r in e.filter("vec_id % 100 = 0").orderBy("vec_id").collect()]
-    return _nearest(e, q, 10)
-
-
-def _nearest(e: DataFrame, q: list[tuple[int, list[float]]], k: int, block: int = 1024) -> DataFrame:
-    import numpy as np
-    import pandas as pd
-
-    out = None
-    for at in range(0, max(len(q), 1), block):
-        ids = np.array([i for i, _ in q[at : at + block]], np.int64)
-        m = np.array([v for _, v in q[at : at + block]], np.float64).reshape(len(ids), -1)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) if len(ids) else 1
-
-        def best(batches, ids=ids, m=m):
-            for rows in batches:
-                v = np.array(rows["embedding"].tolist(), np.float64)
-                if not len(v) or not len(ids):
-                    continue
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                s = np.round(v @ m.T, 6)
-                own = rows["vec_id"].to_numpy()
-                for j, i in enumerate(ids):  # each task keeps k rows a query
-                    order = np.lexsort((own, -s[:, j]))[:k]
-                    yield pd.DataFrame({"query_id": i, "vec_id": own[order], "score": s[order, j]})
-
-        part = e.select("vec_id", "embedding").mapInPandas(best, "query_id long, vec_id long, score double")
-        out = part if out is None else out.unionByName(part)
-    n = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", n).filter(F.col("rank") <= k).select("query_id", "vec_id", F.round("score", 4).alias("score"), "rank")
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = retrieval.nearest(e, e.filter("vec_id % 100 = 0"), 10)
+    return found.select("query_id", "vec_id", F.round("score", 4).alias("score"), "rank")
 
 
 _POOL = """

@@ -55,6 +55,15 @@ def test_fusion(rows):
     assert fused[0]["score"] == round(1 / 61 + 1 / 62, 6)
 
 
+def test_nearest(rows):
+    v = rows("vec_id long, embedding array<float>", *((i, [math.cos(i), math.sin(i)]) for i in range(50)), (99, None))
+    got = retrieval.nearest(v, v.filter("vec_id in (3, 7, 99)"), 4, block=8).collect()
+    for q in (3, 7):
+        want = sorted(range(50), key=lambda i: (-round(math.cos(i - q), 5), i))[:4]
+        assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
+    assert {r["query_id"] for r in got} == {3, 7}
+
+
 def test_hits(rows):
     got = rows("query_id int, rank int, source_id string, text string", (1, 1, "s_a", "nothing"), (1, 2, "s_b", "The  Gold\npassage is here"), (2, 1, "s_c", "x"))
     gold = rows("query_id int, source_file string, passage string", (1, "raw/s_b.html", "gold passage"), (1, "s_z", ""), (2, "s_c", "y" * 50))
