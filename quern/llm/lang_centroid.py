@@ -19,17 +19,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.llm.common import require
 
 DIMS = 1 << 14
 CLUSTERS = 4
 #: Training documents a language that the clustering sees, about.  The count of documents does not change it.
-SAMPLE = 1000
+SAMPLE = 500
 #: n-grams at which a text's cosine is expected to reach 1/sqrt(2) of its limit.
 HALF_LENGTH = 400.0
 #: Characters handled at one time.
@@ -195,12 +195,21 @@ def fit(docs: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Mode
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a struct lang_id(lang, score, accepted) of each whole text, whatever its other columns are."""
-
-    @F.pandas_udf("lang string, score double, accepted boolean")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            lang, score, accepted = model.predict(texts.tolist())
-            yield pd.DataFrame({"lang": lang, "score": score, "accepted": accepted})
+    """docs with a last column lang_id: struct(lang, score, accepted) of each whole text, whatever its other columns are."""
+    if "lang_id" in docs.columns:
+        raise ValueError("docs has a column lang_id")
+    at_text = docs.columns.index("text")
+    found = T.StructType().add("lang", "string").add("score", "double").add("accepted", "boolean")
+    fields = [pa.field("lang", pa.string()), pa.field("score", pa.float64()), pa.field("accepted", pa.bool_())]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                lang, score, accepted = model.predict(part.column(at_text).to_pylist())
+                own = pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(accepted)], fields=fields)
+                yield pa.RecordBatch.from_arrays([*part.columns, own], [*names, "lang_id"])
 
-    return docs.withColumn("lang_id", of(F.col("text")))
+    names = docs.columns
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))  # names with dots can't be passed on
+    return plain.mapInArrow(of, T.StructType([*docs.schema.fields, T.StructField("lang_id", found)]))

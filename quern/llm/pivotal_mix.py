@@ -10,7 +10,7 @@ Documents are dealt by a hash to groups of about GROUP within their source and e
 document; those are dealt to larger groups again, as a reduction tree, until a source has one group.  Its last
 open document is rounded by chance.  Random numbers are hashes of seed, tree level and document, so reruns agree.
 
-Defined results.  A null text has size 0; documents of size 0 are never taken (0 words) whatever their fraction.
+Defined results.  A null text has size 0; documents of size 0 are never taken, whatever their rate.
 A null source is a source of its own, last in order.  Repeated rows are separate documents and may differ in
 copies; which of two equal rows gets which is arbitrary and makes no difference.  An empty table gives an empty
 result; sources without words have target 0.
@@ -127,4 +127,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_RAT
             break
         open_, level = done.filter(is_open), level + 1
     luck = F.when(F.col("p") >= 1, 1).when(F.col("p") <= 0, 0).when(_chance(seed, -1, "doc_id", "source") < F.col("p"), 1).otherwise(0)
-    return settled.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.when(F.col("size") > 0, luck).otherwise(0)).cast("long").alias("copies"))
+    return settled.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("whole") + luck).otherwise(0).cast("long").alias("copies"))

@@ -183,13 +183,15 @@ def near_duplicates(docs: DataFrame, words: int = 3, crowd: int = CROWD) -> Data
 # texts, and as many as a pair at the wanted similarity needs to meet with RECALL.
 
 RECALL = 0.985
-#: Bits of chance meetings: a band of log2(n) + SPARE bits.
-SPARE = 6
+#: Bits of a band: so many, or log2(n) for more texts; then few of its values are held by chance.
+BAND_BITS = 24
 #: Words at least; the similarity is estimated from all bits, with a standard error of 0.03 at 512 bits.
 LEAST_WORDS = 8
-#: In a crowd of one variant, each member is compared with so many neighbours in fingerprint order and so many firsts.
-NEIGHBOURS, FIRSTS = 11, 8
-_GATHER = 1 << 21
+#: Texts that share a variant are sorted by fingerprint.  Each is compared with so many before it and with so many
+#: firsts, and linked to the first of the firsts that is near, or else to the nearest: a spanning choice, linear in
+#: the crowd.  Chance holders of a variant are fewer than NEIGHBOURS by the choice of bits.
+NEIGHBOURS, FIRSTS = 48, 8
+_GATHER = 1 << 19
 
 
 def bit_share(similarity: float) -> float:
@@ -198,7 +200,7 @@ def bit_share(similarity: float) -> float:
 
 def band_plan(n: int, similarity: float) -> tuple[int, int]:
     """Bits of a band and number of bands for n texts."""
-    bits = max(16, math.ceil(math.log2(max(n, 2))) + SPARE)
+    bits = max(BAND_BITS, math.ceil(math.log2(max(n, 2))))
     p = bit_share(similarity)
     meet = sum(math.comb(bits, i) * p**i * (1 - p) ** (bits - i) for i in range(3))
     return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - meet))
@@ -239,23 +241,44 @@ def _band_keys(signatures: list[bytes], bits: int, bands: int) -> np.ndarray:
     return out.reshape(len(signatures), -1).view(np.int64)
 
 
-def _meetings(key: np.ndarray, fp: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows sorted by key, fp: pairs of fingerprints that meet and are near in them, and each row's place in its key."""
-    first = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
-    start = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0)) if len(key) else np.zeros(0, np.int64)
+def _meetings(key: np.ndarray, fp: np.ndarray, root: np.ndarray, near: int, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows sorted by key, fp: the links (smaller, larger fingerprint) of their crowds, and each row's place in its key.
+
+    Rows with one root are linked already.  Only rows at place `least` or later in their key are linked.
+    """
+    if not len(key):
+        return fp, fp, np.zeros(0, np.int64)
+    first = np.concatenate(([True], key[1:] != key[:-1]))
+    start = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
     place = np.arange(len(key)) - start
-    found = []
-    for s in range(1, NEIGHBOURS + 1):
-        at = np.flatnonzero(place >= s)
-        found.append((at, at - s))
+    members = np.flatnonzero(place >= least)
+    own, begin = place[members], start[members]
+    hub = np.full(len(members), -1, np.int64)
+    nearest, distance = hub.copy(), np.full(len(members), near + 1, np.int64)
+
+    def apart(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+        d = np.bitwise_count((fp[members[rows]] ^ fp[others]).view(np.uint64)).astype(np.int64)
+        return np.where(root[members[rows]] == root[others], near + 1, d)
+
     for s in range(FIRSTS):
-        at = np.flatnonzero(place > NEIGHBOURS + s)
-        found.append((at, start[at] + s))
-    a = fp[np.concatenate([x for x, _ in found])]
-    b = fp[np.concatenate([x for _, x in found])]
-    keep = (a != b) & (np.bitwise_count((a ^ b).view(np.uint64)) <= near)
-    pairs = np.unique(np.stack((np.minimum(a, b)[keep], np.maximum(a, b)[keep]), axis=1), axis=0) if keep.any() else np.zeros((0, 2), np.int64)
-    return pairs[:, 0], pairs[:, 1], place
+        rows = np.flatnonzero((own > s) & (hub < 0))
+        others = begin[rows] + s
+        hit = apart(rows, others) <= near
+        hub[rows[hit]] = others[hit]
+    for s in range(1, NEIGHBOURS + 1):
+        rows = np.flatnonzero((own >= s) & (hub < 0))
+        if not (own >= s).any():
+            break
+        others = members[rows] - s
+        d = apart(rows, others)
+        better = d < distance[rows]
+        nearest[rows[better]], distance[rows[better]] = others[better], d[better]
+    at = np.concatenate([members[x >= 0] for x in (hub, nearest)])
+    to = np.concatenate([x[x >= 0] for x in (hub, nearest)])
+    if not len(at):
+        return fp[:0], fp[:0], place
+    pairs = np.unique(np.stack((np.minimum(fp[at], fp[to]), np.maximum(fp[at], fp[to])), axis=1), axis=0)
+    return pairs[:, 0].copy(), pairs[:, 1].copy(), place
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -264,12 +287,11 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     Texts with one first word of the signature are one node.  Links are found with the stated recall a pair; a
     group of copies has many.  The similarity of a pair is estimated from all bits of the signatures.
     """
-    spark = docs.sparkSession
     rows = require(docs, "doc_id", "text")
     bits, bands = band_plan(rows.count(), similarity)
     wide = max(LEAST_WORDS, 1 + -(-bits * bands // 64))
     p = bit_share(similarity)
-    near = math.ceil(64 * p + 3.7 * math.sqrt(64 * p * (1 - p)))
+    near = math.ceil(64 * p + 1.75 * math.sqrt(64 * p * (1 - p)))
     most = round(64 * wide * p + 0.5 * math.sqrt(64 * wide * p * (1 - p)))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,59 +304,75 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
 
     prints = stored(rows.mapInArrow(sign, "doc_id long, fp long, sig binary"), "simhash-wide")
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("sig").alias("sig")), "simhash-nodes")
+    sigs = nodes.select("fp", "sig")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, wide) for c in ("sig_a", "sig_b"))
+            close = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= most
+            yield batch.select(["a", "b"]).filter(pa.array(close))
+
+    def verified(rooted: DataFrame, ball: bool) -> DataFrame:
+        pairs = stored(_band_meetings(rooted, bits, bands, near, ball), "simhash-meetings")
+        both = pairs.join(sigs.withColumnsRenamed({"fp": "a", "sig": "sig_a"}), "a").join(sigs.withColumnsRenamed({"fp": "b", "sig": "sig_b"}), "b")
+        return stored(both.select("a", "b", "sig_a", "sig_b").mapInArrow(verify, "a long, b long"), "simhash-links")
+
+    # first those that agree on a whole band; then the balls link only what is not yet linked, so that a crowd of
+    # near copies does not meet in all of its bands
+    same = verified(sigs.withColumn("root", F.col("fp")), False)
+    known = components(same).withColumnsRenamed({"node": "fp"})
+    rooted = stored(sigs.join(known, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-rooted")
+    return _grouped(prints.select("doc_id", "fp"), nodes.select("fp", "least"), same.union(verified(rooted, True)))
+
+
+def _band_meetings(nodes: DataFrame, bits: int, bands: int, near: int, ball: bool) -> DataFrame:
+    """(a, b): links to verify between nodes (fp, sig, root) of different roots that share a band's value or, as balls, a variant."""
+    spark = nodes.sparkSession
+    names = ["key", "fp", "root", "other"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Variants (key, fp, null) and, of those that one task has often, its own meetings (key, fp, other)."""
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        """Variants (key, fp, root, null) and, of those that one task has often, its own meetings (key, fp, root, other)."""
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def rows_of() -> pa.RecordBatch:
-            key, fp = np.concatenate([k for k, _ in held]), np.concatenate([f for _, f in held])
+            key, fp, root = (np.concatenate(x) for x in zip(*held))
             held.clear()
             order = np.lexsort((fp, key))
-            key, fp = key[order], fp[order]
-            a, b, place = _meetings(key, fp, near)
+            key, fp, root = key[order], fp[order], root[order]
+            a, b, place = _meetings(key, fp, root, near, FIRSTS)  # all others meet after the shuffle
             kept = place < FIRSTS
-            keys = pa.array(np.concatenate((key[kept], a ^ b)))
             other = pa.concat_arrays([pa.nulls(int(kept.sum()), pa.int64()), pa.array(b)])
-            return pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate((fp[kept], a))), other], ["key", "fp", "other"])
+            columns = (np.concatenate(x) for x in ((key[kept], a ^ b), (fp[kept], a), (root[kept], a)))
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns), other], names)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 keys = _band_keys(part.column("sig").to_pylist(), bits, bands)
-                held.append((keys.ravel(), np.repeat(part.column("fp").to_numpy(), keys.shape[1])))
-                if sum(len(k) for k, _ in held) > _GATHER:
+                if not ball:
+                    keys = keys[:, :: bits + 1]
+                held.append((keys.ravel(), *(np.repeat(part.column(c).to_numpy(), keys.shape[1]) for c in ("fp", "root"))))
+                if sum(len(x[0]) for x in held) > _GATHER:
                     yield rows_of()
         if held:
             yield rows_of()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        tail = [np.zeros(0, np.int64)] * 3
         for batch in batches:
             done = batch.filter(batch.column("other").is_valid())
             if done.num_rows:
                 yield pa.RecordBatch.from_arrays([done.column("fp"), done.column("other")], ["a", "b"])
             some = batch.filter(batch.column("other").is_null())
-            key = np.concatenate((tail[0], some.column("key").to_numpy()))
-            fp = np.concatenate((tail[1], some.column("fp").to_numpy()))
-            a, b, place = _meetings(key, fp, near)
+            key, fp, root = (np.concatenate((t, some.column(c).to_numpy())) for t, c in zip(tail, names))
+            a, b, place = _meetings(key, fp, root, near)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
             # the last key may go on: its rows are kept, of many the first and the last
             start = len(key) - 1 - int(place[-1]) if len(key) else 0
             keep = np.arange(start, len(key))
             keep = keep[(keep - start < FIRSTS) | (keep >= len(key) - NEIGHBOURS)]
-            tail = (key[keep], fp[keep])
+            tail = [key[keep], fp[keep], root[keep]]
 
-    dealt = nodes.select("fp", "sig").repartition(partitions(spark)).mapInArrow(emit, "key long, fp long, other long")
+    dealt = nodes.select("fp", "sig", "root").repartition(partitions(spark)).mapInArrow(emit, "key long, fp long, root long, other long")
     dealt = dealt.repartition(partitions(spark), "key").sortWithinPartitions("key", "fp")
-    pairs = stored(dealt.mapInArrow(meet, "a long, b long").distinct(), "simhash-meetings")
-    sigs = nodes.select("fp", "sig")
-    both = pairs.join(sigs.select(F.col("fp").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("fp").alias("b"), F.col("sig").alias("sig_b")), "b")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, wide) for c in ("sig_a", "sig_b"))
-            close = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= most
-            yield batch.select(["a", "b"]).filter(pa.array(close))
-
-    return _grouped(prints.select("doc_id", "fp"), nodes.select("fp", "least"), both.select("a", "b", "sig_a", "sig_b").mapInArrow(verify, "a long, b long"))
+    return dealt.mapInArrow(meet, "a long, b long").distinct()
