@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quern.functions import temporal
 from quern.operators import allocation, chunks, metrics, retrieval, search, validation
 
 
@@ -35,6 +36,41 @@ def test_bm25_is_the_formula(rows):
     assert boosted["a_c1"] == pytest.approx(1.25 * got["a_c1"], abs=1e-5) and boosted["b_c0"] == got["b_c0"]
 
 
+def weight(meta, case, codes):
+    eff, snap, code, budget = meta
+    if eff is None:
+        return 0.6
+    if eff > case:
+        return 0.05
+    if code:
+        return 0.1 if eff < max(y for y in codes if y <= case) else 2.5 if abs(snap - case) <= 2 else 2.0
+    if budget:
+        return 2.4 if eff <= case <= snap + 1 else 0.1
+    return 1.5 / (1 + 0.08 * max(0, case - snap))
+
+
+def test_time_aware_ranking_is_the_brute_force_one(rows):
+    texts = {f"{kind} {y}": ("tax " * (1 + y % 3) + "rate of land " * (y % 2) + "x " * (y % 7), y) for y in range(2004, 2016) for kind in ("Income Tax Ordinance", "Finance Act", "Law")}
+    docs = [(f"d{i:02d}", f"d{i:02d}", title, t) for i, (title, (t, _)) in enumerate(texts.items())]
+    c = rows("chunk_id string, source_id string, title string, text string", *docs)
+    q = rows("query_id int, query string, case_year int", (1, "land tax", 2010), (2, "tax rate", 2013), (3, "x tax", 2004))
+    meta = temporal.metadata(rows("id string, title string, raw_path string", *((d[0], d[2], None) for d in docs)))
+    info = {r["id"]: (r["y_eff"], r["y_snap"], r["is_code"], r["is_budget"]) for r in meta.collect()}
+    codes = sorted({m[0] for m in info.values() if m[2]})
+    titles, cases = {d[0]: d[2] for d in docs}, {1: 2010, 2: 2013, 3: 2004}
+    want = {}
+    for r in retrieval.bm25(c, q).collect():
+        case = cases[r["query_id"]]
+        boost = 1.25 if str(case) in titles[r["chunk_id"]] else 1.0
+        want[r["query_id"], r["chunk_id"]] = r["score"] * boost * weight(info[r["chunk_id"]], case, codes)
+    got = retrieval.boosted(retrieval.bm25(c, q), c, q, meta)
+    assert {(r["query_id"], r["chunk_id"]): r["score"] for r in got.collect()} == pytest.approx(want, abs=2e-6)
+    best = {(r["query_id"], r["rank"]): r["chunk_id"] for r in retrieval.top(got, 5).collect()}
+    for i in cases:
+        order = sorted((k[1] for k in want if k[0] == i), key=lambda d: (-round(want[i, d], 6), d))[:5]
+        assert [best[i, n + 1] for n in range(5)] == order
+
+
 def test_parameters_are_injected_at_two(rows):
     ranked = rows("query_id int, chunk_id string, score double, rank int", *((1, f"x{i}", 9.0 - i, i) for i in range(1, 6)))
     q, p = rows("query_id int, case_year int", (1, 2020)), rows("case_year int, chunk_id string, source_id string", (2020, "par", "s"))
