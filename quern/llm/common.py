@@ -41,7 +41,8 @@ def require(df: DataFrame, *names: str) -> DataFrame:
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"missing columns {missing}; there are {df.columns}")
-    return df.select(*(F.col(f"`{n}`") for n in names))
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))  # names may differ in case only, or hold dots
+    return plain.select(*(F.col(f"c{df.columns.index(n)}").alias(n) for n in names))
 
 
 def partitions(spark: SparkSession) -> int:

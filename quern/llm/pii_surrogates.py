@@ -191,6 +191,8 @@ def replaced(docs: DataFrame, key: str) -> DataFrame:
     """docs with surrogates in text and a last column pii_entities: array<struct<kind, surrogate>> in text order."""
     if "pii_entities" in docs.columns:
         raise ValueError("docs has a column pii_entities")
+    names = docs.columns
+    docs = docs.toDF(*("text" if n == "text" else f"c{i}" for i, n in enumerate(names)))
     found = entities_of(F.col("text"))
     some = docs.filter(F.size(found) > 0)
     none = docs.filter(F.coalesce(F.size(found), F.lit(0)) < 1)
@@ -209,6 +211,6 @@ def replaced(docs: DataFrame, key: str) -> DataFrame:
     fills = F.concat(F.transform("pii_entities", lambda x: x.surrogate), F.array(F.lit("")))
     text = F.array_join(F.zip_with(gaps, fills, lambda a, b: F.concat(a, b)), "")
     changed = some.withColumn("pii_text", digest).join(lists, "pii_text")
-    changed = changed.withColumn("text", text).select(*(F.col(f"`{c}`") for c in docs.columns), "pii_entities")
+    changed = changed.withColumn("text", text).select(*docs.columns, "pii_entities")
     empty = F.array().cast(lists.schema["pii_entities"].dataType)
-    return changed.unionByName(none.withColumn("pii_entities", empty))
+    return changed.unionByName(none.withColumn("pii_entities", empty)).toDF(*names, "pii_entities")
