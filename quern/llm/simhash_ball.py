@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, crowd: int = CROWD) -> Data
 # two bits in some band meet in the middle.  Bands are long enough that a chance meeting is rare for the number of
 # texts, and as many as a pair at the wanted similarity needs to meet with RECALL.
 
-RECALL = 0.985
+RECALL = 0.98
 #: Bits of a band: so many, or log2(n) for more texts; then few of its values are held by chance.
 BAND_BITS = 24
 #: Words at least; the similarity is estimated from all bits, with a standard error of 0.03 at 512 bits.
@@ -241,10 +241,12 @@ def _band_keys(signatures: list[bytes], bits: int, bands: int) -> np.ndarray:
     return out.reshape(len(signatures), -1).view(np.int64)
 
 
-def _meetings(key: np.ndarray, fp: np.ndarray, root: np.ndarray, near: int, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _meetings(key: np.ndarray, fp: np.ndarray, root: np.ndarray, flip: np.ndarray, near: int, ball: bool, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of rows sorted by key, fp: the links (smaller, larger fingerprint) of their crowds, and each row's place in its key.
 
-    Rows with one root are linked already.  Only rows at place `least` or later in their key are linked.
+    Rows with one root are linked already.  Only rows at place `least` or later in their key are linked.  flip says
+    which bit of its band a row has changed (0: none).  Two values of a band meet as balls in two variants, equal ones
+    in all; so that each pair counts once, the earlier row must have the smaller flip.  (Equal values met before.)
     """
     if not len(key):
         return fp, fp, np.zeros(0, np.int64)
@@ -258,7 +260,10 @@ def _meetings(key: np.ndarray, fp: np.ndarray, root: np.ndarray, near: int, leas
 
     def apart(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
         d = np.bitwise_count((fp[members[rows]] ^ fp[others]).view(np.uint64)).astype(np.int64)
-        return np.where(root[members[rows]] == root[others], near + 1, d)
+        known = root[members[rows]] == root[others]
+        if ball:
+            known |= flip[others] >= flip[members[rows]]
+        return np.where(known, near + 1, d)
 
     for s in range(FIRSTS):
         rows = np.flatnonzero((own > s) & (hub < 0))
@@ -331,19 +336,19 @@ def _band_meetings(nodes: DataFrame, bits: int, bands: int, near: int, ball: boo
     names = ["key", "fp", "root", "other"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Variants (key, fp, root, null) and, of those that one task has often, its own meetings (key, fp, root, other)."""
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        """Variants (key, fp, root, flip) and, of those that one task has often, its own links (key, fp, null, fp)."""
+        held: list[tuple[np.ndarray, ...]] = []
 
         def rows_of() -> pa.RecordBatch:
-            key, fp, root = (np.concatenate(x) for x in zip(*held))
+            columns = [np.concatenate(x) for x in zip(*held)]
             held.clear()
-            order = np.lexsort((fp, key))
-            key, fp, root = key[order], fp[order], root[order]
-            a, b, place = _meetings(key, fp, root, near, FIRSTS)  # all others meet after the shuffle
+            order = np.lexsort((columns[1], columns[0]))
+            key, fp, root, flip = (c[order] for c in columns)
+            a, b, place = _meetings(key, fp, root, flip, near, ball, FIRSTS)  # all others meet after the shuffle
             kept = place < FIRSTS
-            other = pa.concat_arrays([pa.nulls(int(kept.sum()), pa.int64()), pa.array(b)])
-            columns = (np.concatenate(x) for x in ((key[kept], a ^ b), (fp[kept], a), (root[kept], a)))
-            return pa.RecordBatch.from_arrays([*map(pa.array, columns), other], names)
+            roots = pa.concat_arrays([pa.array(root[kept]), pa.nulls(len(a), pa.int64())])
+            both = [pa.array(np.concatenate(x)) for x in ((key[kept], a ^ b), (fp[kept], a), (flip[kept], b))]
+            return pa.RecordBatch.from_arrays([both[0], both[1], roots, both[2]], names)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -351,27 +356,28 @@ def _band_meetings(nodes: DataFrame, bits: int, bands: int, near: int, ball: boo
                 keys = _band_keys(part.column("sig").to_pylist(), bits, bands)
                 if not ball:
                     keys = keys[:, :: bits + 1]
-                held.append((keys.ravel(), *(np.repeat(part.column(c).to_numpy(), keys.shape[1]) for c in ("fp", "root"))))
+                flip = np.tile(np.arange(keys.size // max(len(keys), 1)) % (bits + 1), len(keys)) if ball else np.zeros(keys.size, np.int64)
+                held.append((keys.ravel(), *(np.repeat(part.column(c).to_numpy(), keys.shape[1]) for c in ("fp", "root")), flip))
                 if sum(len(x[0]) for x in held) > _GATHER:
                     yield rows_of()
         if held:
             yield rows_of()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = [np.zeros(0, np.int64)] * 3
+        tail = [np.zeros(0, np.int64)] * 4
         for batch in batches:
-            done = batch.filter(batch.column("other").is_valid())
+            done = batch.filter(batch.column("root").is_null())
             if done.num_rows:
                 yield pa.RecordBatch.from_arrays([done.column("fp"), done.column("other")], ["a", "b"])
-            some = batch.filter(batch.column("other").is_null())
-            key, fp, root = (np.concatenate((t, some.column(c).to_numpy())) for t, c in zip(tail, names))
-            a, b, place = _meetings(key, fp, root, near)
+            some = batch.filter(batch.column("root").is_valid())
+            key, fp, root, flip = (np.concatenate((t, some.column(c).to_numpy())) for t, c in zip(tail, names))
+            a, b, place = _meetings(key, fp, root, flip, near, ball)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
             # the last key may go on: its rows are kept, of many the first and the last
             start = len(key) - 1 - int(place[-1]) if len(key) else 0
             keep = np.arange(start, len(key))
             keep = keep[(keep - start < FIRSTS) | (keep >= len(key) - NEIGHBOURS)]
-            tail = [key[keep], fp[keep], root[keep]]
+            tail = [x[keep] for x in (key, fp, root, flip)]
 
     dealt = nodes.select("fp", "sig", "root").repartition(partitions(spark)).mapInArrow(emit, "key long, fp long, root long, other long")
     dealt = dealt.repartition(partitions(spark), "key").sortWithinPartitions("key", "fp")
