@@ -19,7 +19,7 @@ never becomes a component's id unless all members lack one.  Empty input gives a
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -157,9 +157,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
 
-def _grouped(prints: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) from documents' fingerprints, the distinct ones with their least doc_id, and links."""
-    roots = components(edges)
+def _grouped(prints: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) from documents' fingerprints, the distinct ones with their least doc_id, and roots (node, root)."""
     member = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     member = stored(member, "simhash-members")
     ids = member.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -171,7 +170,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, crowd: int = CROWD) -> Data
     """(doc_id, fp, component_id): the smallest doc_id that links of at most three bits reach, itself included."""
     prints = stored(fingerprints(docs, words), "simhash")
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    return _grouped(prints, nodes, links(nodes.select("fp"), crowd))
+    return _grouped(prints, nodes, components(links(nodes.select("fp"), crowd)))
 
 
 # Similarity instead of a radius.
@@ -181,17 +180,23 @@ def near_duplicates(docs: DataFrame, words: int = 3, crowd: int = CROWD) -> Data
 # into bands; in each band the ball is hashed whole: everybody emits all variants within one bit, so pairs within
 # two bits in some band meet in the middle.  Bands are long enough that a chance meeting is rare for the number of
 # texts, and as many as a pair at the wanted similarity needs to meet with RECALL.
+#
+# What meets is joined loosely, by signatures, to groups that hold nearly all pairs of the wanted similarity.  Within
+# a loose group all pairs are compared, those that may be similar by the exact Jaccard similarity of their shingles.
 
 RECALL = 0.98
+#: Standard deviations by which a pair at the similarity may differ more in 64 bits or in the whole signature.
+DEVIATIONS = 1.75
 #: Bits of a band: so many, or log2(n) for more texts; then few of its values are held by chance.
 BAND_BITS = 24
 #: Words at least; the similarity is estimated from all bits, with a standard error of 0.03 at 512 bits.
 LEAST_WORDS = 8
-#: Texts that share a variant are sorted by fingerprint.  Each is compared with so many before it and with so many
-#: firsts, and linked to the first of the firsts that is near, or else to the nearest: a spanning choice, linear in
-#: the crowd.  Chance holders of a variant are fewer than NEIGHBOURS by the choice of bits.
-NEIGHBOURS, FIRSTS = 48, 8
-_GATHER = 1 << 19
+#: Up to one more text than this that share a variant are compared pair by pair on 64 bits, then on whole signatures.
+#: More (chance holders are fewer, by the choice of bits) are a crowd: its whole signatures are gathered, and every
+#: pair that could join two groups is compared.  Of the pairs that agree only a spanning choice is passed on.
+NEIGHBOURS = 48
+#: Shingles looked up at one time.
+_AT_ONCE = 22
 
 
 def bit_share(similarity: float) -> float:
@@ -241,63 +246,203 @@ def _band_keys(signatures: list[bytes], bits: int, bands: int) -> np.ndarray:
     return out.reshape(len(signatures), -1).view(np.int64)
 
 
-def _meetings(key: np.ndarray, fp: np.ndarray, root: np.ndarray, flip: np.ndarray, near: int, ball: bool, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows sorted by key, fp: the links (smaller, larger fingerprint) of their crowds, and each row's place in its key.
+def _apart(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Bits in which signatures (rows of 64-bit words) differ from one."""
+    return np.bitwise_count(others ^ one).sum(axis=1, dtype=np.int64)
+
 
-    Rows with one root are linked already.  Only rows at place `least` or later in their key are linked.  flip says
-    which bit of its band a row has changed (0: none).  Two values of a band meet as balls in two variants, equal ones
-    in all; so that each pair counts once, the earlier row must have the smaller flip.  (Equal values met before.)
+def _spanning(root: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows a, b of links that join all roots which any pair of rows links; linked(row, rows) says which.
+
+    Rows of one root count as linked.  Each row is compared with all that are not yet reached, so nothing is left out.
     """
-    if not len(key):
-        return fp, fp, np.zeros(0, np.int64)
-    first = np.concatenate(([True], key[1:] != key[:-1]))
-    start = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
-    place = np.arange(len(key)) - start
-    members = np.flatnonzero(place >= least)
-    own, begin = place[members], start[members]
-    hub = np.full(len(members), -1, np.int64)
-    nearest, distance = hub.copy(), np.full(len(members), near + 1, np.int64)
-
-    def apart(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
-        d = np.bitwise_count((fp[members[rows]] ^ fp[others]).view(np.uint64)).astype(np.int64)
-        known = root[members[rows]] == root[others]
-        if ball:
-            known |= flip[others] >= flip[members[rows]]
-        return np.where(known, near + 1, d)
-
-    for s in range(FIRSTS):
-        rows = np.flatnonzero((own > s) & (hub < 0))
-        others = begin[rows] + s
-        hit = apart(rows, others) <= near
-        hub[rows[hit]] = others[hit]
+    kind = np.unique(root, return_inverse=True)[1]
+    a, b, todo = [], [], np.arange(len(root))
+    while len(todo):
+        own = kind[todo] == kind[todo[0]]
+        queue, todo = todo[own].tolist(), todo[~own]
+        while queue and len(todo):
+            row = queue.pop()
+            hit = todo[linked(row, todo)]
+            if len(hit):
+                kinds, at = np.unique(kind[hit], return_index=True)
+                a += [row] * len(kinds)
+                b += hit[at].tolist()
+                reached = np.isin(kind[todo], kinds)
+                queue += todo[reached].tolist()
+                todo = todo[~reached]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of batches sorted by key, in tables that hold all rows of their keys."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy()
+        start = int(np.searchsorted(keys, keys[-1]))
+        if held and held[-1].column(key)[-1].as_py() != keys[0]:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+        if start:
+            yield pa.Table.from_batches([*held, batch.slice(0, start)]).combine_chunks()
+            held = [batch.slice(start)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _starts(key: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))[: len(key)])
+
+
+def _words(column: pa.ChunkedArray | pa.Array, wide: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, wide)
+
+
+def _gathered_links(rows: DataFrame, wide: int, most: int) -> DataFrame:
+    """(a, b): links of roots, from rows (key, root, sig), such that all rows of a key within `most` bits are joined."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_keys(batches, "key"):
+            key, root = (table.column(c).to_numpy() for c in ("key", "root"))
+            start = _starts(key)
+            mixed = np.flatnonzero(np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start))
+            if not len(mixed):
+                continue
+            a, b = [], []
+            for lo, hi in zip(start[mixed].tolist(), np.append(start, len(key))[mixed + 1].tolist()):
+                sig, own = _words(table.column("sig").slice(lo, hi - lo), wide), root[lo:hi]
+                x, y = _spanning(own, lambda row, others: _apart(sig[row], sig[others]) <= most)
+                a.append(own[x])
+                b.append(own[y])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], ["a", "b"])
+
+    dealt = rows.select("key", "root", "sig").repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(meet, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _small_meetings(key: np.ndarray, fp: np.ndarray, root: np.ndarray, flip: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of whole keys sorted by key, fp: all pairs of rows (a, b) of different roots within `near` bits, and the rows of crowds.
+
+    flip says which bit of its band a row has changed (0: none).  Two values of a band meet as balls in two variants;
+    so that each pair counts once, the earlier row must have the smaller flip.  (Equal values met before.)
+    """
+    start = _starts(key)
+    size = np.diff(np.append(start, len(key)))
+    mixed = np.repeat(np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start), size)
+    place = np.arange(len(key)) - np.repeat(start, size)
+    crowd = np.repeat(size > NEIGHBOURS + 1, size)
+    rows = np.flatnonzero(mixed & ~crowd)
+    a, b = [], []
     for s in range(1, NEIGHBOURS + 1):
-        rows = np.flatnonzero((own >= s) & (hub < 0))
-        if not (own >= s).any():
+        rows = rows[place[rows] >= s]
+        if not len(rows):
             break
-        others = members[rows] - s
-        d = apart(rows, others)
-        better = d < distance[rows]
-        nearest[rows[better]], distance[rows[better]] = others[better], d[better]
-    at = np.concatenate([members[x >= 0] for x in (hub, nearest)])
-    to = np.concatenate([x[x >= 0] for x in (hub, nearest)])
-    if not len(at):
-        return fp[:0], fp[:0], place
-    pairs = np.unique(np.stack((np.minimum(fp[at], fp[to]), np.maximum(fp[at], fp[to])), axis=1), axis=0)
-    return pairs[:, 0].copy(), pairs[:, 1].copy(), place
+        others = rows - s
+        hit = (root[rows] != root[others]) & (flip[others] < flip[rows]) & (np.bitwise_count((fp[rows] ^ fp[others]).view(np.uint64)) <= near)
+        a.append(others[hit])
+        b.append(rows[hit])
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(a or none), np.concatenate(b or none), np.flatnonzero(mixed & crowd)
+
+
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles; a text without words has one of its own."""
+    from xxhash import xxh64_digest
+
+    found = text.encode().lower().split() if text else []
+    if len(found) < words:
+        parts = iter([b" ".join(found)])
+    else:
+        parts = map(b" ".join, zip(*(found[i:] for i in range(words))))
+    return np.unique(np.frombuffer(b"".join(map(xxh64_digest, parts, repeat(SEED))), ">i8").astype(np.int64))
+
+
+def _similar_links(sig: np.ndarray, sets: list[np.ndarray], similarity: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (rows a, b) of texts whose sets of shingles have the similarity, of all pairs within `most` bits."""
+    size = np.array([len(x) for x in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    start = np.cumsum(size) - size
+    mark = np.zeros(int(ids.max()) + 1, np.int32)
+
+    def linked(row: int, others: np.ndarray) -> np.ndarray:
+        out = _apart(sig[row], sig[others]) <= most
+        close = np.flatnonzero(out)
+        if not len(close):
+            return out
+        own = ids[start[row] : start[row] + size[row]]
+        mark[own] = 1
+        for part in np.split(close, np.flatnonzero(np.diff(np.cumsum(size[others[close]]) >> _AT_ONCE)) + 1):
+            texts = others[part]
+            n = size[texts]
+            begin = np.cumsum(n) - n
+            both = np.add.reduceat(mark[ids[np.repeat(start[texts] - begin, n) + np.arange(n.sum())]], begin)
+            out[part] = both >= similarity * (len(own) + n - both) - 1e-9
+        mark[own] = 0
+        return out
+
+    return _spanning(np.arange(len(sets)), linked)
+
+
+def _exact_roots(loose: DataFrame, docs: DataFrame, words: int, similarity: float, wide: int, most: int) -> DataFrame:
+    """(node, root) of the nodes (fp, sig, digest, root) whose loose groups have several, by exact similarity of their texts."""
+    many = loose.join(loose.groupBy("root").count().filter("count > 1").select("root"), "root")
+    many = stored(many.select("root", "fp", "sig", "digest"), "simhash-loose")
+    texts = docs.select(F.xxhash64("text").alias("digest"), "text").join(many.select("digest").distinct(), "digest", "left_semi")
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One of the equal texts of a task; what is left of them falls to its fingerprint later."""
+        seen: set[int] = set()
+        for batch in batches:
+            new = [x not in seen and not seen.add(x) for x in batch.column("digest").to_pylist()]
+            yield batch.filter(pa.array(new, pa.bool_()))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = np.zeros(0, np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fp = np.concatenate((last, batch.column("fp").to_numpy()))
+            new = np.concatenate((np.ones(1 - len(last), bool), fp[1:] != fp[:-1]))
+            last, batch = fp[-1:], batch.filter(pa.array(new))
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                sets = pa.array([shingles(t, words).tobytes() for t in part.column("text").to_pylist()], pa.large_binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("root", "fp", "sig")), sets], ["root", "fp", "sig", "set"])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_keys(hashed(batches), "root"):
+            root, fp = (table.column(c).to_numpy() for c in ("root", "fp"))
+            start = _starts(root).tolist()
+            a, b = [fp], [fp]
+            for lo, hi in zip(start, [*start[1:], len(root)]):
+                part = table.slice(lo, hi - lo)
+                sets = [np.frombuffer(x, np.int64) for x in part.column("set").to_pylist()]
+                x, y = _similar_links(_words(part.column("sig"), wide), sets, similarity, most)
+                a.append(fp[lo:hi][x])
+                b.append(fp[lo:hi][y])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], ["a", "b"])
+
+    texts = texts.mapInArrow(once, "digest long, text string")
+    dealt = many.join(texts, "digest").select("root", "fp", "sig", "text")
+    dealt = dealt.repartition(partitions(docs.sparkSession), "root").sortWithinPartitions("root", "fp")
+    return components(stored(dealt.mapInArrow(solve, "a long, b long"), "simhash-similar"))
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id that links of at least the similarity reach, itself included.
 
-    Texts with one first word of the signature are one node.  Links are found with the stated recall a pair; a
-    group of copies has many.  The similarity of a pair is estimated from all bits of the signatures.
+    Texts with one first word of the signature are one node.  A pair meets with the stated recall; a group of copies
+    has many.  Pairs of a loose group are linked by the exact similarity of their shingles.
     """
     rows = require(docs, "doc_id", "text")
     bits, bands = band_plan(rows.count(), similarity)
     wide = max(LEAST_WORDS, 1 + -(-bits * bands // 64))
     p = bit_share(similarity)
-    near = math.ceil(64 * p + 1.75 * math.sqrt(64 * p * (1 - p)))
-    most = round(64 * wide * p + 0.5 * math.sqrt(64 * wide * p * (1 - p)))
+    near, most = (math.ceil(n * p + DEVIATIONS * math.sqrt(n * p * (1 - p))) for n in (64, 64 * wide))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,80 +450,75 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
                 part = batch.slice(at, 64)
                 own = [signature(t, words, wide) for t in part.column("text").to_pylist()]
                 fp = np.frombuffer(b"".join(x[:8] for x in own), ">i8").astype(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp), pa.array(own, pa.binary())], ["doc_id", "fp", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp), pa.array(own, pa.binary()), part.column("digest")], ["doc_id", "fp", "sig", "digest"])
 
-    prints = stored(rows.mapInArrow(sign, "doc_id long, fp long, sig binary"), "simhash-wide")
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("sig").alias("sig")), "simhash-nodes")
-    sigs = nodes.select("fp", "sig")
+    hashed = rows.withColumn("digest", F.xxhash64("text"))
+    prints = stored(hashed.mapInArrow(sign, "doc_id long, fp long, sig binary, digest long"), "simhash-wide")
+    least = F.min(F.struct("sig", "digest"))
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), least.alias("x")).select("fp", "least", "x.sig", "x.digest")
+    nodes = stored(nodes, "simhash-nodes")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, wide) for c in ("sig_a", "sig_b"))
-            close = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= most
-            yield batch.select(["a", "b"]).filter(pa.array(close))
-
-    def verified(rooted: DataFrame, ball: bool) -> DataFrame:
-        pairs = stored(_band_meetings(rooted, bits, bands, near, ball), "simhash-meetings")
-        both = pairs.join(sigs.withColumnsRenamed({"fp": "a", "sig": "sig_a"}), "a").join(sigs.withColumnsRenamed({"fp": "b", "sig": "sig_b"}), "b")
-        return stored(both.select("a", "b", "sig_a", "sig_b").mapInArrow(verify, "a long, b long"), "simhash-links")
+            x, y = (_words(batch.column(c), wide) for c in ("sig_a", "sig_b"))
+            yield batch.select(["root_a", "root_b"]).filter(pa.array(_apart(x, y) <= most))
 
     # first those that agree on a whole band; then the balls link only what is not yet linked, so that a crowd of
     # near copies does not meet in all of its bands
-    same = verified(sigs.withColumn("root", F.col("fp")), False)
-    known = components(same).withColumnsRenamed({"node": "fp"})
-    rooted = stored(sigs.join(known, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-rooted")
-    return _grouped(prints.select("doc_id", "fp"), nodes.select("fp", "least"), same.union(verified(rooted, True)))
+    same = stored(_gathered_links(_band_rows(nodes, bits, bands), wide, most), "simhash-same")
+    rooted = stored(_rooted(nodes.withColumn("root", F.col("fp")), components(same)), "simhash-rooted")
+    met = stored(_ball_meetings(rooted, bits, bands, near), "simhash-meetings")
+    a, b = (rooted.select(*(F.col(c).alias(f"{c}_{x}") for c in ("fp", "root", "sig"))) for x in "ab")
+    pairs = met.filter("b is not null").select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b")).distinct()
+    pairs = pairs.join(a, "fp_a").join(b, "fp_b").select("root_a", "root_b", "sig_a", "sig_b")
+    crowds = met.filter("b is null").select("key", F.col("a").alias("fp")).join(rooted.select("fp", "root", "sig"), "fp")
+    more = pairs.mapInArrow(verify, "root_a long, root_b long").union(_gathered_links(crowds, wide, most)).toDF("a", "b")
+    loose = stored(_rooted(rooted, components(stored(more.distinct(), "simhash-more"))), "simhash-grouped")
+    return _grouped(prints.select("doc_id", "fp"), nodes.select("fp", "least"), _exact_roots(loose, rows, words, similarity, wide, most))
+
 
+def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Nodes with their root replaced by its own root (node, root) where it has one."""
+    told = roots.select(F.col("node").alias("root"), F.col("root").alias("next"))
+    return nodes.join(told, "root", "left").select("fp", "sig", "digest", F.coalesce("next", "root").alias("root"))
 
-def _band_meetings(nodes: DataFrame, bits: int, bands: int, near: int, ball: bool) -> DataFrame:
-    """(a, b): links to verify between nodes (fp, sig, root) of different roots that share a band's value or, as balls, a variant."""
-    spark = nodes.sparkSession
-    names = ["key", "fp", "root", "other"]
+
+def _band_rows(nodes: DataFrame, bits: int, bands: int) -> DataFrame:
+    """(key, root, sig): a row for each band's value of the nodes (root, sig)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Variants (key, fp, root, flip) and, of those that one task has often, its own links (key, fp, null, fp)."""
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def rows_of() -> pa.RecordBatch:
-            columns = [np.concatenate(x) for x in zip(*held)]
-            held.clear()
-            order = np.lexsort((columns[1], columns[0]))
-            key, fp, root, flip = (c[order] for c in columns)
-            a, b, place = _meetings(key, fp, root, flip, near, ball, FIRSTS)  # all others meet after the shuffle
-            kept = place < FIRSTS
-            roots = pa.concat_arrays([pa.array(root[kept]), pa.nulls(len(a), pa.int64())])
-            both = [pa.array(np.concatenate(x)) for x in ((key[kept], a ^ b), (fp[kept], a), (flip[kept], b))]
-            return pa.RecordBatch.from_arrays([both[0], both[1], roots, both[2]], names)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                keys = _band_keys(part.column("sig").to_pylist(), bits, bands)[:, :: bits + 1]
+                place = pa.array(np.repeat(np.arange(len(keys)), bands))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column("root").take(place), part.column("sig").take(place)], ["key", "root", "sig"])
+
+    return nodes.select(F.col("fp").alias("root"), "sig").mapInArrow(emit, "key long, root long, sig binary")
+
 
+def _ball_meetings(nodes: DataFrame, bits: int, bands: int, near: int) -> DataFrame:
+    """(key, a, b): pairs of nodes (fp, sig, root) to verify that share a variant, and each node of a crowd, b null, with its key."""
+    names = ["key", "fp", "root", "flip"]
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 keys = _band_keys(part.column("sig").to_pylist(), bits, bands)
-                if not ball:
-                    keys = keys[:, :: bits + 1]
-                flip = np.tile(np.arange(keys.size // max(len(keys), 1)) % (bits + 1), len(keys)) if ball else np.zeros(keys.size, np.int64)
-                held.append((keys.ravel(), *(np.repeat(part.column(c).to_numpy(), keys.shape[1]) for c in ("fp", "root")), flip))
-                if sum(len(x[0]) for x in held) > _GATHER:
-                    yield rows_of()
-        if held:
-            yield rows_of()
+                flip = np.tile(np.arange(keys.shape[1]) % (bits + 1), len(keys))
+                fp, root = (np.repeat(part.column(c).to_numpy(), keys.shape[1]) for c in ("fp", "root"))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), fp, root, flip)], names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = [np.zeros(0, np.int64)] * 4
-        for batch in batches:
-            done = batch.filter(batch.column("root").is_null())
-            if done.num_rows:
-                yield pa.RecordBatch.from_arrays([done.column("fp"), done.column("other")], ["a", "b"])
-            some = batch.filter(batch.column("root").is_valid())
-            key, fp, root, flip = (np.concatenate((t, some.column(c).to_numpy())) for t, c in zip(tail, names))
-            a, b, place = _meetings(key, fp, root, flip, near, ball)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-            # the last key may go on: its rows are kept, of many the first and the last
-            start = len(key) - 1 - int(place[-1]) if len(key) else 0
-            keep = np.arange(start, len(key))
-            keep = keep[(keep - start < FIRSTS) | (keep >= len(key) - NEIGHBOURS)]
-            tail = [x[keep] for x in (key, fp, root, flip)]
-
-    dealt = nodes.select("fp", "sig", "root").repartition(partitions(spark)).mapInArrow(emit, "key long, fp long, root long, other long")
-    dealt = dealt.repartition(partitions(spark), "key").sortWithinPartitions("key", "fp")
-    return dealt.mapInArrow(meet, "a long, b long").distinct()
+        for table in _whole_keys(batches, "key"):
+            key, fp, root, flip = (table.column(c).to_numpy() for c in names)
+            a, b, crowd = _small_meetings(key, fp, root, flip, near)
+            pairs = np.unique(np.stack((fp[a], fp[b]), axis=1), axis=0)
+            other = pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(crowd), pa.int64())])
+            keys = np.concatenate((np.zeros(len(pairs), np.int64), key[crowd]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate((pairs[:, 0], fp[crowd]))), other], ["key", "a", "b"])
+
+    dealt = nodes.select("fp", "sig", "root").repartition(partitions(nodes.sparkSession)).mapInArrow(emit, "key long, fp long, root long, flip long")
+    dealt = dealt.repartition(partitions(nodes.sparkSession), "key").sortWithinPartitions("key", "fp")
+    return dealt.mapInArrow(meet, "key long, a long, b long")

@@ -125,3 +125,44 @@ def test_similar_documents(rows, no_docs, odd):
 def test_bit_sums():
     raw = np.random.default_rng(1).integers(0, 256, (700, 3), np.uint8)
     assert (s.bit_sums(raw) == np.unpackbits(raw, axis=1).sum(axis=0)).all()
+
+
+def brute_similar(texts, similarity=0.8, words=5):
+    """Groups of texts by exact similarity, all pairs compared through the lists of each shingle's holders."""
+    sets = [{tuple(t.split()[i : i + words]) for i in range(len(t.split()) - words + 1)} for t in texts]
+    holders = {}
+    for i, own in enumerate(sets):
+        for x in own:
+            holders.setdefault(x, []).append(i)
+    holders = {x: np.array(h) for x, h in holders.items()}
+    size, root = np.array([len(x) for x in sets]), np.arange(len(texts))
+    for i, own in enumerate(sets):
+        both = np.zeros(len(texts), np.int64)
+        for x in own:
+            both[holders[x]] += 1
+        for j in np.flatnonzero(both >= similarity * (size[i] + size - both) - 1e-9):
+            if root[i] != root[j]:
+                root[root == max(root[i], root[j])] = min(root[i], root[j])
+    return root.tolist()
+
+
+def family(rng, n):
+    """A crowd: texts of one base, similarities of about 0.5 to 0.9."""
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    out = []
+    for _ in range(n):
+        own = list(base)
+        for at in rng.sample(range(len(own)), rng.choice((3, 5, 8, 10, 12))):
+            own[at] = f"x{rng.randrange(10**6)}"
+        out.append(own)
+        if rng.random() < 0.3:  # a copy of its own
+            near = list(own)
+            near[rng.randrange(len(own))] = "y"
+            out.append(near)
+    return [" ".join(x) for x in out]
+
+
+def test_a_crowd_of_thousands_equals_brute_force(rows):
+    texts = family(random.Random(7), 1800)
+    got = {r["doc_id"]: r["component_id"] for r in s.similar_documents(rows("doc_id long, text string", *enumerate(texts))).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_similar(texts)
