@@ -184,9 +184,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, crowd: int = CROWD) -> Data
 # What meets is joined loosely, by signatures, to groups that hold nearly all pairs of the wanted similarity.  Within
 # a loose group all pairs are compared, those that may be similar by the exact Jaccard similarity of their shingles.
 
-RECALL = 0.98
+RECALL = 0.985
 #: Standard deviations by which a pair at the similarity may differ more in 64 bits or in the whole signature.
-DEVIATIONS = 1.75
+DEVIATIONS = 3.7
 #: Bits of a band: so many, or log2(n) for more texts; then few of its values are held by chance.
 BAND_BITS = 24
 #: Words at least; the similarity is estimated from all bits, with a standard error of 0.03 at 512 bits.
