@@ -57,7 +57,7 @@ PATTERNS = (
 #: One pattern for all, so that extracting and splitting agree on every boundary.
 ENTITY = "|".join(PATTERNS)
 #: A text without this holds no entity; it is much cheaper to look for.
-HINT = rf"\d\D{{0,2}}\d\D{{0,2}}\d|@|(?:token|secret|password|passwd|key)|{_EDGE}(?:{MALE_TITLES}|{FEMALE_TITLES}|{OTHER_TITLES})\.? \p{{Lu}}"
+HINT = rf"\d\D{{0,2}}\d\D{{0,2}}\d|@|(?i:token|secret|passw|key)|AKIA|gh[pousr]_|sk-|{_EDGE}(?:{MALE_TITLES}|{FEMALE_TITLES}|{OTHER_TITLES})\.? \p{{Lu}}"
 
 
 def kind(match: Column) -> Column:
