@@ -1,12 +1,14 @@
 """Main text of web pages: site templates are found by counting element subtrees per host and removed.
 
 Two passes over the pages.  The first parses each page and hashes the subtree of every block element (tag, sorted
-class and id words, text and children) outside its article; Spark counts on how many pages of a host each hash
-occurs.  A subtree is template if it is on at least MIN_PAGES pages of its host and on MIN_SHARE of them.  The
+class and id words, text and children); Spark counts on how many different pages of a host each hash outside an
+article occurs, and in how many different articles each hash inside.  A subtree is template if it is in at least
+MIN_PAGES of them and in MIN_SHARE of its host's.  Equal pages and equal articles count once, so that copies make no
+template; html, body and the article itself are never template, nor are cells, items and headings of articles.  The
 second pass parses again, drops template subtrees and what is never main text by its element or its class, id or
 role words (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments by readers), and
-returns the blocks of the article (of the whole body where a page marks none).  Subtrees inside an article or main
-element are never taken for template: copies of one article on a host are still that article.
+returns the blocks of the article (of the whole body where a page marks none).  An article that would lose over half
+its text to templates is a near copy of others, and loses none.
 
 Only hashes of small integers are shuffled, pre-aggregated in each task.  A page gets its template hashes by a
 join on host and hash of its own distinct subtrees, so no host's table is broadcast.
@@ -39,6 +41,9 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Of those, what is no template by itself: outside of articles, and inside.
+WHOLE = frozenset(["html", "body"])
+PARTS = WHOLE | frozenset("caption dd dt figcaption h1 h2 h3 h4 h5 h6 hr legend li summary tbody td tfoot th thead tr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math".split())
 NEVER = frozenset("nav header footer aside form button select dialog menu head object canvas audio video map label fieldset".split()) | RAW
@@ -172,36 +177,50 @@ def _article(root: Node) -> list[Node]:
     return []
 
 
-def hash_subtrees(root: Node, skip: list[Node]) -> list[int]:
-    """Sets node.hash below root and returns the hashes of block elements outside `skip`."""
+def hash_subtrees(root: Node, main: list[Node]) -> list[tuple[int, int]]:
+    """Sets node.hash below root and returns (tree, holder): hashes of block elements and of the page or article with them.
+
+    Of an element inside an article the tree is its hash inverted.  Each holder has itself a row, of tree 0 or inverted 0.
+    """
     from xxhash import xxh64_intdigest
 
-    inside = {id(x) for x in skip}
-    order, stack = [], [(root, False)]
-    out = []
+    mains = {id(x): x for x in main}
+    around: set[int] = set()
+    order, stack = [], [(root, None)]
+    outside, inside = [], []
     while stack:
-        node, own = stack.pop()
-        order.append((node, own))
-        own = own or id(node) in inside
-        stack.extend((c, own) for c in node.children if not isinstance(c, str))
-    for node, protected in reversed(order):
+        node, holder = stack.pop()
+        order.append((node, holder))
+        holder = holder or mains.get(id(node))
+        stack.extend((c, holder) for c in node.children if not isinstance(c, str))
+    for node, holder in reversed(order):
         parts = [node.tag, " ".join(sorted(_attributes(node).get("class", "").split())) if node.attrs else ""]
         for c in node.children:
             text = c if isinstance(c, str) else f"\x01{c.hash:x}"
             parts.append(_SPACE.sub(" ", text) if isinstance(c, str) else text)
         node.hash = xxh64_intdigest("\x02".join(parts)) >> 1
-        holds = any(id(x) in inside for x in node.children if not isinstance(x, str))
-        if holds and not protected:
-            inside.add(id(node))  # an ancestor of the article is no template either
-        elif not protected and id(node) not in inside and node.tag in BLOCKS:
-            out.append(node.hash)
-    return out
+        if holder is not None:
+            if node.tag in BLOCKS and node.tag not in PARTS:
+                inside.append((node.hash, holder))
+        elif id(node) in mains or any(id(x) in around for x in node.children if not isinstance(x, str)):
+            around.add(id(node))  # an ancestor of the article is no template either
+        elif node.tag in BLOCKS and node.tag not in WHOLE:
+            outside.append(node.hash)
+    return [(0, root.hash), *((h, root.hash) for h in outside), *((~0, x.hash) for x in main), *((~h, x.hash) for h, x in inside)]
 
 
 def extract(html: str, template: frozenset[int] | set[int]) -> str:
     root = parse(html)
     main = _article(root)
-    hash_subtrees(root, main)
+    trees = {tree for tree, _ in hash_subtrees(root, main)}
+    text = _text(root, main, template)
+    if main and any(tree < 0 and tree in template for tree in trees):
+        whole = _text(root, main, frozenset())
+        return text if 2 * len(text) >= len(whole) else whole
+    return text
+
+
+def _text(root: Node, main: list[Node], template: frozenset[int] | set[int]) -> str:
     protected = {id(x) for x in main}
     blocks: list[str] = []
     line: list[str] = []
@@ -221,7 +240,7 @@ def extract(html: str, template: frozenset[int] | set[int]) -> str:
         if isinstance(node, str):
             line.append(unescape(node))
             continue
-        if id(node) not in protected and node.tag != "#root" and (_unwanted(node, safe) or (not safe and node.hash in template)):
+        if id(node) not in protected and node.tag != "#root" and (_unwanted(node, safe) or (~node.hash if safe else node.hash) in template):
             if node.tag in BLOCKS:
                 end()
             continue
@@ -241,7 +260,7 @@ def host(url: Column) -> Column:
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, tree): hashes of subtrees that recur on a host's pages, from columns host and html."""
+    """(host, tree): hashes of subtrees that recur on a host's pages or (inverted) in its articles, from columns host and html."""
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,14 +269,16 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
                 rows: list[tuple] = []
                 for name, html in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
                     root = parse(html)
-                    rows.extend((name, h) for h in {*hash_subtrees(root, _article(root)), 0})
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["host", "tree"])
-
-    seen = pages.filter("html is not null").select("host", "html").mapInArrow(trees, "host string, tree long")
-    counted = stored(seen.groupBy("host", "tree").agg(F.count(F.lit(1)).alias("n")), "html-trees")
-    totals = counted.filter("tree = 0").select("host", F.col("n").alias("pages"))
-    found = counted.filter(f"tree <> 0 and n >= {min_pages}").join(totals, "host")
-    return found.filter(F.col("n") >= F.lit(min_share) * F.col("pages")).select("host", "tree")
+                    rows.extend((name, *x) for x in set(hash_subtrees(root, _article(root))))
+                columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["host", "tree", "holder"])
+
+    seen = pages.filter("html is not null").select("host", "html").mapInArrow(trees, "host string, tree long, holder long")
+    counted = stored(seen.groupBy("host", "tree").agg(F.count_distinct("holder").alias("n")), "html-trees")
+    counted = counted.withColumn("inside", F.col("tree") < 0)
+    totals = counted.filter("tree in (0, -1)").select("host", "inside", F.col("n").alias("holders"))
+    found = counted.filter(f"tree not in (0, -1) and n >= {min_pages}").join(totals, ["host", "inside"])
+    return found.filter(F.col("n") >= F.lit(min_share) * F.col("holders")).select("host", "tree")
 
 
 def main_text(pages: DataFrame) -> DataFrame:

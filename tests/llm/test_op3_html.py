@@ -55,3 +55,24 @@ def test_pages_of_the_driver_against_a_plain_reading(spark, tables):
         inner = re.sub(r"\s+", " ", re.search(r"<article>(.*?)</article>", html[r["page_id"]], re.S)[1])
         lines = unescape(re.sub(r"<[a-z/][^>]*>", "", re.sub(r"</?(?:p|h1)>", "\n", inner))).split("\n")
         assert r["text"] == "\n".join(x for x in (re.sub(r"\s+", " ", y).strip() for y in lines) if x)
+
+
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_recurring_boxes_of_articles_go(rows, tag):
+    box = "<div class=x><p>Read also our other pages</p></div>"
+    site = [(i, f"http://a.org/{i}", f"<body><{tag}><p>First words of text {i}, and more</p>{box}<p>Text {i} ends</p></{tag}></body>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in h.main_text(pages(rows, *site)).collect()}
+    assert got == {i: f"First words of text {i}, and more\nText {i} ends" for i in range(6)}
+
+
+def test_near_copies_of_an_article_keep_their_text(rows):
+    site = [(i, f"http://a.org/{i}", f"<article><p>The same long words of one article.</p><p>No. {i}</p></article>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in h.main_text(pages(rows, *site)).collect()}
+    assert got == {i: f"The same long words of one article.\nNo. {i}" for i in range(6)}
+
+
+def test_copies_of_an_unmarked_page_stay(rows):
+    site = [(i, "http://a.org/x", "<html><body><div><p>same words</p></div></body></html>") for i in range(8)]
+    other = [(10 + i, None, f"<body><div><p>page {i // 3} of no url</p></div></body>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in h.main_text(pages(rows, *site, *other)).collect()}
+    assert got == {**{i: "same words" for i in range(8)}, **{10 + i: f"page {i // 3} of no url" for i in range(6)}}
