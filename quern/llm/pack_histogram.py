@@ -32,9 +32,9 @@ def pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: in
     """(doc_id, start, length, doc_tokens, ids): each whole text's ids and end id, cut at the capacity."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from quern.llm.token_cache import encoder
+        from quern.llm.token_cache import ChunkEncoder
 
-        code = encoder(tokenizer, kind)
+        code = ChunkEncoder(tokenizer, kind)
         end = np.array([end_id], "<u4").tobytes()
         names = ["doc_id", "start", "length", "doc_tokens", "ids"]
         types = [pa.int64()] * 4 + [pa.binary()]

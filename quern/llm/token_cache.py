@@ -6,26 +6,38 @@ nothing) can thus be encoded once by the `tokenizers` library and looked up afte
 does not hold (two white-space characters in a row, for the byte-level tokenizer) are encoded whole.
 
 The memo is an open-addressing table in numpy arrays: chunks of a batch of texts are found, hashed and looked up by
-array operations.  A chunk is known by two independent 64-bit hashes.
+array operations.  The hash only finds a place: the memo keeps each chunk's bytes, and every chunk that is looked up
+is compared with them.  Where they differ the batch's chunks are encoded without the memo.  Chunks of more than LONGEST bytes are encoded
+each time, so SLOTS bounds the memo in bytes: about 100 MB with the tokenizer.  An encoder is made for one task and
+freed with it.  Long texts are cut before a space or line feed into parts of SPAN bytes (a part without one is longer).
 """
 
 from __future__ import annotations
 
 import re
+from collections import ChainMap
 
 import numpy as np
 
 #: Slots of the memo; it is emptied when three fifths are taken, which costs time and never changes a result.
-SLOTS = 1 << 21
+SLOTS = 1 << 20
+#: Bytes of a chunk that the memo keeps.
+LONGEST = 64
 #: Words without final full stops and commas that are kept by name; likewise.
-STEMS = 250_000
-#: Bytes of text handled at one time, but for longer single texts.
+STEMS = 50_000
+#: Bytes of text handled at one time.
 SPAN = 1 << 18
 
 _RUN = re.compile(r"\s\s").search
 _SPACE = re.compile(r"\s").search
 _SHIFT = np.uint64(65 - SLOTS.bit_length())
-_ENCODERS: dict[tuple[str, str], "ChunkEncoder"] = {}
+_ODD = 0x9E3779B97F4A7C15
+
+
+def _pieces(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start[i], start[i] + 1, ... of each piece, one after the other."""
+    end = np.cumsum(size)
+    return np.repeat(start - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)
 
 
 class Powers:
@@ -70,16 +82,18 @@ class ChunkEncoder:
         self.mark = self._ids("\n" if self.byte else "0")
         if len(self.mark) != 1:
             raise ValueError("the separator is not a single token of this vocabulary")
-        self.first, self.second = Powers(1), Powers(2)
+        self.powers = Powers(1)
         self._clear()
 
     def _clear(self) -> None:
         self.keys = np.zeros(SLOTS, np.uint64)  # 0: free
-        self.checks = np.zeros(SLOTS, np.uint64)
-        self.at = np.zeros(SLOTS, np.int32)
+        self.at = np.zeros(SLOTS, np.int32)  # ids in flat
         self.size = np.zeros(SLOTS, np.int32)
+        self.text_at = np.zeros(SLOTS, np.int32)  # bytes in text
+        self.text_size = np.zeros(SLOTS, np.int16)  # times 4, plus the lead
         self.flat = np.zeros(1 << 16, "<u4")
-        self.used = self.taken = 0
+        self.text = np.zeros(1 << 16, np.uint8)
+        self.used = self.text_used = self.taken = 0
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -113,14 +127,17 @@ class ChunkEncoder:
         split = []
         for w in words:
             stem = w.rstrip(".,")
-            split.append((stem, w[len(stem) :]) if len(stem) < len(w) and stem[-1:].isalpha() else (w, ""))
+            cut = len(stem) < len(w) and stem[-1:].isalpha() and stem[-1:] < "԰"  # letters that every Unicode version has
+            split.append((stem, w[len(stem) :]) if cut else (w, ""))
         new = list({x for pair in split for x in pair if x and x not in self.stems})
-        self.stems.update(zip(new, self._encode_words(new)))
-        known = self.stems
-        return [known[a] + known[b] if b else known[a] if a else b"" for a, b in split]
+        fresh = dict(zip(new, self._encode_words(new)))
+        known = ChainMap(fresh, self.stems)
+        out = [known[a] + known[b] if b else known[a] if a else b"" for a, b in split]
+        self.stems.update((x, ids) for x, ids in fresh.items() if len(x) <= LONGEST)
+        return out
 
-    def _find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
-        """Each key's slot, or -1."""
+    def _find(self, key: np.ndarray) -> np.ndarray:
+        """The slot that holds each key, or -1."""
         slot = (key >> _SHIFT).astype(np.int64)
         found = np.full(len(key), -1, np.int64)
         todo = np.arange(len(key))
@@ -128,20 +145,28 @@ class ChunkEncoder:
             own = slot[todo]
             held = self.keys[own]
             same = held == key[todo]
-            same &= self.checks[own] == check[todo]
             found[todo[same]] = own[same]
             todo = todo[~same & (held != 0)]
             slot[todo] = (slot[todo] + 1) & (SLOTS - 1)
         return found
 
-    def _insert(self, key: np.ndarray, check: np.ndarray, ids: list[bytes]) -> None:
+    def _room(self, name: str, used: int, more: int) -> np.ndarray:
+        """self.<name>, grown to hold so many more entries."""
+        array = getattr(self, name)
+        while used + more > len(array):
+            array = np.concatenate((array, np.zeros_like(array)))
+        setattr(self, name, array)
+        return array
+
+    def _insert(self, key: np.ndarray, code: np.ndarray, ids: list[bytes], text: bytes, text_size: np.ndarray) -> None:
         flat = np.frombuffer(b"".join(ids), "<u4")
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        self.flat[self.used : self.used + len(flat)] = flat
+        self._room("flat", self.used, len(flat))[self.used : self.used + len(flat)] = flat
+        self._room("text", self.text_used, len(text))[self.text_used : self.text_used + len(text)] = np.frombuffer(text, np.uint8)
         size = np.array([len(x) // 4 for x in ids], np.int32)
         at = (self.used + np.cumsum(size) - size).astype(np.int32)
+        text_at = (self.text_used + np.cumsum(text_size) - text_size).astype(np.int32)
         self.used += len(flat)
+        self.text_used += len(text)
         self.taken += len(key)
         slot = (key >> _SHIFT).astype(np.int64)
         todo = np.arange(len(key))
@@ -149,11 +174,12 @@ class ChunkEncoder:
             free = self.keys[slot[todo]] == 0
             own, place = np.unique(slot[todo[free]], return_index=True)
             put = todo[free][place]
-            self.keys[own], self.checks[own], self.at[own], self.size[own] = key[put], check[put], at[put], size[put]
+            self.keys[own], self.at[own], self.size[own], self.text_at[own], self.text_size[own] = key[put], at[put], size[put], text_at[put], code[put]
             todo = np.setdiff1d(todo, put, assume_unique=True)
             slot[todo] = np.where(self.keys[slot[todo]] != 0, (slot[todo] + 1) & (SLOTS - 1), slot[todo])
 
     def _batch(self, raw: list[bytes]) -> list[bytes]:
+        """Ids of texts or parts of texts.  A part that begins with a space or line feed begins with an empty chunk."""
         if self.taken > SLOTS * 3 // 5:
             self._clear()
         joined = b"\n".join(raw) + b"\n"
@@ -166,63 +192,97 @@ class ChunkEncoder:
         doc_end = np.cumsum(sizes + 1) - 1
         last = np.searchsorted(end, doc_end)  # each text's last chunk
         if self.byte:
-            lead = np.empty(len(end), np.uint64)  # 1: a space stands before, 2: a line feed, 3: nothing
+            lead = np.empty(len(end), np.int64)  # 1: a space stands before, 2: a line feed, 3: nothing
             lead[0], lead[1:] = 3, np.where(data[end[:-1]] == 32, 1, 2)
             lead[last[:-1] + 1] = 3
         else:
-            lead = np.full(len(end), 3, np.uint64)
-        mix = lead * np.uint64(0x9E3779B97F4A7C15)
-        key = self.first.slices(data, start, end) + mix
+            lead = np.full(len(end), 3)
+        long = np.flatnonzero(end - start > LONGEST)
+        code = np.minimum(end - start, LONGEST + 1) * 4 + lead  # what the memo compares beside the bytes
+        key = self.powers.slices(data, start, end) + code.astype(np.uint64) * np.uint64(_ODD)
         key = (key ^ key >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
         key[key == 0] = 1
-        check = self.second.slices(data, start, end) + mix + (end - start).astype(np.uint64)
-        slot = self._find(key, check)
+        slot = self._find(key)
+        slot[long] = 0
         gaps = np.flatnonzero(slot < 0)
         if len(gaps):
             _, place = np.unique(key[gaps], return_index=True)
             new = gaps[place]
-            before = {1: " ", 2: "", 3: ""}
-            words = [before[l] + joined[a:b].decode() for l, a, b in zip(lead[new].tolist(), start[new].tolist(), end[new].tolist())]
-            ids = self._learn(words)
-            line = np.array(self.mark, "<u4").tobytes()
-            ids = [line + x if l == 2 else x for x, l in zip(ids, lead[new].tolist())]
-            self._insert(key[new], check[new], ids)
-            slot[gaps] = self._find(key[gaps], check[gaps])
-            if (slot < 0).any():  # two chunks with one key
-                return [self.whole(r.decode()) for r in raw]
-        size = self.size[slot].astype(np.int64)
+            ids = self._coded(joined, start[new], end[new], lead[new])
+            text = data[_pieces(start[new], end[new] - start[new])].tobytes()
+            self._insert(key[new], code[new], ids, text, end[new] - start[new])
+            slot[gaps] = self._find(key[gaps])
+        size, at = self.size[slot].astype(np.int64), self.at[slot].astype(np.int64)
+        if len(long):  # these stand after the memo's ids for this batch only
+            ids = self._coded(joined, start[long], end[long], lead[long])
+            flat = np.frombuffer(b"".join(ids), "<u4")
+            self._room("flat", self.used, len(flat))[self.used : self.used + len(flat)] = flat
+            size[long] = [len(x) // 4 for x in ids]
+            at[long] = self.used + np.cumsum(size[long]) - size[long]
+        short = np.flatnonzero(end - start <= LONGEST)
+        held = slot[short]
+        if (self.text_size[held] != code[short]).any() or (self.text[_pieces(self.text_at[held], self.text_size[held] >> 2)] != data[_pieces(start[short], end[short] - start[short])]).any():
+            return self._plain(joined, start, end, lead, last)
         total = np.cumsum(size)
-        shift = self.at[slot] - (total - size)
-        ids = self.flat[np.repeat(shift, size) + np.arange(int(total[-1]))].tobytes()
+        ids = self.flat[_pieces(at, size)].tobytes()
         cuts = [0, *(total[last] * 4).tolist()]
         return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
+    def _coded(self, joined: bytes, start: np.ndarray, end: np.ndarray, lead: np.ndarray) -> list[bytes]:
+        """Ids of chunks, with what stands before them."""
+        before = {1: " ", 2: "", 3: ""}
+        words = [before[x] + joined[a:b].decode() for x, a, b in zip(lead.tolist(), start.tolist(), end.tolist())]
+        line = np.array(self.mark, "<u4").tobytes()
+        return [line + ids if x == 2 else ids for ids, x in zip(self._learn(words), lead.tolist())]
+
+    def _plain(self, joined: bytes, start: np.ndarray, end: np.ndarray, lead: np.ndarray, last: np.ndarray) -> list[bytes]:
+        """The same without the memo: two chunks of the batch have one key."""
+        ids, first = self._coded(joined, start, end, lead), [0, *(last[:-1] + 1).tolist()]
+        return [b"".join(ids[a : b + 1]) for a, b in zip(first, last.tolist())]
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
+        out: list[list[bytes]] = [[] for _ in texts]
         group: list[tuple[int, bytes]] = []
         held = 0
 
         def flush() -> None:
             for (i, _), ids in zip(group, self._batch([r for _, r in group]) if group else ()):
-                out[i] = ids
+                out[i].append(ids)
             group.clear()
 
         for i, text in enumerate(texts):
             if self.byte and _RUN(text):
-                out[i] = self.whole(text)
+                out[i].append(self.whole(text))
                 continue
-            raw = text.encode()
-            if group and held + len(raw) > SPAN:
-                flush()
-                held = 0
-            group.append((i, raw))
-            held += len(raw) + 1
+            for raw in _parts(text.encode()):
+                if group and held + len(raw) > SPAN:
+                    flush()
+                    held = 0
+                group.append((i, raw))
+                held += len(raw) + 1
         flush()
-        return out  # type: ignore[return-value]
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
+
+
+def _parts(raw: bytes) -> list[bytes]:
+    """A text cut before spaces or line feeds into parts of about SPAN bytes."""
+    if len(raw) <= SPAN:
+        return [raw]
+    out, at = [], 0
+    while len(raw) - at > SPAN:
+        cut = max(raw.rfind(b" ", at + 1, at + SPAN), raw.rfind(b"\n", at + 1, at + SPAN))
+        if cut < 0:
+            later = [x for x in (raw.find(b" ", at + SPAN), raw.find(b"\n", at + SPAN)) if x >= 0]
+            if not later:
+                break
+            cut = min(later)
+        out.append(raw[at:cut])
+        at = cut
+    return [*out, raw[at:]]
+
 
+def vocabulary_size(path: str) -> int:
+    """Ids of a tokenizer, added ones included."""
+    from tokenizers import Tokenizer
 
-def encoder(path: str, kind: str) -> ChunkEncoder:
-    """One per worker process and file."""
-    if (path, kind) not in _ENCODERS:
-        _ENCODERS[path, kind] = ChunkEncoder(path, kind)
-    return _ENCODERS[path, kind]
+    return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)

@@ -63,8 +63,52 @@ def test_records_in_any_order_and_writing_again(spark, odd, documents):
     assert {r["doc_id"]: len(r["ids"]) // 4 for r in f.read_ids(some, folder).collect()} == want
     assert index.select("shard").distinct().count() <= 3
     wide = scratch(spark, "test-wide")
-    rows = f.write_ids(odd, wide, BYTE, "byte", 0, width=4)
-    assert f.read_ids(rows, wide, width=4).count() == odd.count()
+    rows = f.write_ids(odd, wide, BYTE, "byte", 1 << 20)  # an end id that needs four bytes
+    read = f.read_ids(rows, wide).collect()
+    assert len(read) == odd.count() and all(r["ids"][-4:] == (1 << 20).to_bytes(4, "little") for r in read)
+
+
+def test_ids_that_do_not_fit_are_refused():
+    assert f.packed((65535).to_bytes(4, "little"), 2) == b"\xff\xff"
+    with pytest.raises(OverflowError):
+        f.packed((65536).to_bytes(4, "little"), 2)
+
+
+def test_many_rows_of_one_id_spread_over_shards(rows, spark):
+    docs = rows("doc_id long, text string", *((7, f"{i} text") for i in range(400)), (1, "first"), (9, "last"))
+    got = f.round_trip(spark, docs, BYTE, "byte", 0)
+    assert got.select("shard").distinct().count() > 1
+    got = got.select("doc_id", "start", (F.length("ids") / 4).cast("long"), F.crc32("ids")).collect()
+    assert sorted(map(tuple, got)) == sorted(brute([tuple(r) for r in docs.collect()]))
+
+
+def _thue_morse(n, flip):
+    return "".join("ab"[(i.bit_count() + flip) % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("path,kind", [(BYTE, "byte"), (WORD, "word")])
+def test_words_that_collide_in_any_polynomial_hash(path, kind, monkeypatch):
+    from quern.llm import token_cache
+
+    texts = [_thue_morse(n, flip) for n in (32, 64, 512, 1024, 2048, 8192) for flip in (0, 1)]
+    texts.append(" ".join(_thue_morse(1024, i % 2) for i in range(6)))
+    code = ChunkEncoder(path, kind)
+    assert code.encode_all(texts) == [code.whole(t) for t in texts]
+    monkeypatch.setattr(token_cache.Powers, "slices", lambda self, data, start, end: (end - start).astype("u8"))
+    code = ChunkEncoder(path, kind)  # every word of one length has the same key
+    texts = ["ab cd ab", "xy zw\nab q", "", "ab", " cd"]
+    assert code.encode_all(texts) == [code.whole(t) for t in texts]
+
+
+@pytest.mark.parametrize("path,kind", [(BYTE, "byte"), (WORD, "word")])
+def test_very_long_texts_and_words(path, kind):
+    import random
+
+    rng = random.Random(2)
+    texts = ["x y " * 50000, "word\n" * 50000 + "end", "a" * 300000 + " b", "".join(rng.choice("abcdé漢.,") for _ in range(5000))]
+    texts += [" ".join("".join(rng.choice("ab.,Σς") for _ in range(1 + rng.randrange(200))) for _ in range(3000))]
+    code = ChunkEncoder(path, kind)
+    assert code.encode_all(texts) == [code.whole(t) for t in texts]
 
 
 def test_empty_table(spark, no_docs):
