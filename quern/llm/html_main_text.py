@@ -10,19 +10,21 @@ role words (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 returns the blocks of the article (of the whole body where a page marks none).  An article that would lose over half
 its text to templates is a near copy of others, and loses none.
 
-Only hashes of small integers are shuffled, pre-aggregated in each task.  A page gets its template hashes by a
-join on host and hash of its own distinct subtrees, so no host's table is broadcast.
+Only hashes of small integers are shuffled, pre-aggregated in each task.  A host's template hashes
+are at most 1 / MIN_SHARE times the subtrees of its largest page; they reach its pages by a join on the host.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed, empty
 ones left out, and the others joined in page order by one line feed.
 
-Defined results.  A null html is empty: no text.  Rows with equal page_id are separate pages of their host.  A null or unreadable url belongs to a host of its own, the empty one.
+Defined results.  A null html is empty: no text.  Rows with equal page_id are separate pages of their host.
+A very long or malformed page is read whole, in time linear in its length.  A null or unreadable url belongs to a host of its own, the empty one.
 An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -48,19 +50,23 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math".split())
 NEVER = frozenset("nav header footer aside form button select dialog menu head object canvas audio video map label fieldset".split()) | RAW
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-#: Elements that close an open p.
-CLOSES_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "body", "html", "dd", "dt", "li", "legend", "summary", "figcaption"}
-#: An element of the first kind ends one of the second that is still open within the nearest of the third.
-CLOSES = {
-    "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
-    "dd": ({"dd", "dt"}, {"dl"}),
-    "dt": ({"dd", "dt"}, {"dl"}),
-    "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    "option": ({"option"}, {"select"}),
+#: Rules by name: elements of the first kind end open ones of the second up to the nearest of the third.
+RULES = {
+    "p": (BLOCKS - set("td th tr tbody thead tfoot body html dd dt li legend summary figcaption".split()), {"p"}, set("td th li div article section main button".split())),
+    "li": ({"li"}, {"li"}, {"ul", "ol", "menu", "dir"}),
+    "dl": ({"dd", "dt"}, {"dd", "dt"}, {"dl"}),
+    "tr": ({"tr"}, {"tr", "td", "th"}, {"table"}),
+    "td": ({"td", "th"}, {"td", "th"}, {"tr", "table"}),
+    "option": ({"option"}, {"option"}, {"select"}),
 }
-#: Words of class, id and role names that mark what is not main text.
+SEEN_BY: dict[str, list[str]] = defaultdict(list)
+ENDED_BY: dict[str, list[str]] = defaultdict(list)
+for _name, (_starts, _ends, _within) in RULES.items():
+    for _tag in _starts:
+        ENDED_BY[_tag].append(_name)
+    for _tag in _ends | _within:
+        SEEN_BY[_tag].append(_name)
+#: Words of class and id names that mark what is not main text.
 UNWANTED = frozenset(
     "ad ads adv advert adverts advertisement advertising advertorial adsense adslot adbox adunit banner banners billboard sponsor sponsored "
     "promo promos promotion promoted nav navbar navigation menu menus submenu breadcrumb breadcrumbs pager pagination toc sidebar sidebars "
@@ -69,9 +75,19 @@ UNWANTED = frozenset(
     "sharing sharebar related recommended recommendations trending popular comment comments commentlist respond disqus replies reply form search "
     "searchbox hidden".split()
 )
+#: Words that may stand beside one of those in a name and say nothing of what the element holds.
+LAYOUT = frozenset(
+    "area bar block blocks box button buttons column container col count desktop footer group header holder inner item items left "
+    "line link links list main mobile outer page panel post posts primary region right row secondary section site slot sticky style title top "
+    "tools unit user users wrap wrapper x y js is has the".split()
+)
 #: Of those, what an article may hold as its own: its title line.
 OWN_HEADER = frozenset(["header"])
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: What is text by its element, whatever its name says.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table ol dl li figure".split())
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+#: A tag that ends at the next >, whatever quotes are open.
+_BARE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _SPACE = re.compile(r"\s+")
@@ -86,53 +102,93 @@ class Node:
         self.hash = 0
 
 
+class _Open:
+    """The open elements, and for each rule of RULES those that it looks for, so that no rule searches them all."""
+
+    def __init__(self, root: Node) -> None:
+        self.here, self.root = root, root
+        self.count: Counter[str] = Counter()
+        self.track: dict[str, list[Node]] = {name: [] for name in RULES}
+
+    def push(self, node: Node) -> None:
+        self.here = node
+        self.count[node.tag] += 1
+        for name in SEEN_BY.get(node.tag, ()):
+            self.track[name].append(node)
+
+    def close(self, tag: str) -> None:
+        """End the innermost open element of this tag and what is open in it."""
+        if self.count[tag]:
+            while self.here.tag != tag:
+                self._pop()
+            self._pop()
+
+    def _pop(self) -> None:
+        node = self.here
+        self.here = node.parent
+        self.count[node.tag] -= 1
+        for name in SEEN_BY.get(node.tag, ()):
+            self.track[name].pop()
+
+    def make_room(self, tag: str) -> None:
+        """End what the start of such an element ends."""
+        for name in ENDED_BY.get(tag, ()):
+            ends, track = RULES[name][1], self.track[name]
+            while track and track[-1].tag in ends:
+                last = track[-1]
+                while self.here is not last:
+                    self._pop()
+                self._pop()
+
+
 def parse(html: str) -> Node:
-    """A tree of elements and strings; never fails and closes what the page leaves open."""
+    """A tree of elements and strings, in time linear in the page; never fails and closes what the page leaves open."""
     root = Node("#root", None)
-    at, here, n = 0, root, len(html)
+    tree = _Open(root)
+    at, n, tag_at = 0, len(html), _TAG.match
     while at < n:
-        m = _TOKEN.search(html, at)
-        if m is None:
-            here.children.append(html[at:])
+        start = html.find("<", at)
+        if start < 0:
+            tree.here.children.append(html[at:])
             break
-        if m.start() > at:
-            here.children.append(html[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None:
+        m = tag_at(html, start)
+        if m is None and html[start + 1 : start + 2] in ("!", "?"):
+            comment = html.startswith("<!--", start)
+            end = html.find("-->" if comment else ">", start + 2)
+            if start > at:
+                tree.here.children.append(html[at:start])
+            at = n if end < 0 else end + (3 if comment else 1)
+            continue
+        if m is None and html[start + 1 : start + 2].replace("/", "a").isalpha():
+            if html.find(">", start) < 0:  # no tag ends any more
+                tree.here.children.append(html[at:])
+                break
+            m = _BARE_TAG.match(html, start)
+            if m is not None:  # a quote stays open from here on: no later tag can be read by its quotes
+                tag_at = _BARE_TAG.match
+        if m is None:
+            tree.here.children.append(html[at : start + 1])
+            at = start + 1
             continue
-        tag = name.lower()
+        if start > at:
+            tree.here.children.append(html[at:start])
+        at = m.end()
+        tag = m[2].lower()
         if m[1]:
-            node = here
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                here = node.parent
-            elif tag == "br":
-                here.children.append(Node("br", here))
+            if tag == "br":
+                tree.here.children.append(Node("br", tree.here))
+            else:
+                tree.close(tag)
             continue
-        if tag in CLOSES_P:
-            node = here
-            while node is not root and node.tag != "p" and node.tag not in ("td", "th", "li", "div", "article", "section", "main", "button"):
-                node = node.parent
-            if node.tag == "p":
-                here = node.parent
-        if tag in CLOSES:
-            ends, within = CLOSES[tag]
-            node = here
-            while node is not root and node.tag not in within:
-                if node.tag in ends:
-                    here = node.parent
-                    break
-                node = node.parent
-        node = Node(tag, here, m[3])
-        here.children.append(node)
+        tree.make_room(tag)
+        node = Node(tag, tree.here, m[3])
+        tree.here.children.append(node)
         if tag in RAW and not m[3].endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+            end = re.compile(rf"</{re.escape(tag)}\s*+>", re.I).search(html, at)
             node.children.append(html[at : end.start() if end else n])
             at = end.end() if end else n
         elif tag not in VOID and not (m[3].endswith("/") and tag in ("svg", "math")):
-            here = node
+            tree.push(node)
     return root
 
 
@@ -140,8 +196,14 @@ def _attributes(node: Node) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(node.attrs)}
 
 
+def _named(name: str, own: frozenset[str]) -> bool:
+    """Whether a class or id name says that this is no main text: all its words are of such kinds, one at least unwanted."""
+    words = [w for w in map(str.lower, _WORD.findall(name)) if not w.isdigit()]
+    return any(w in UNWANTED and w not in own for w in words) and all(w in UNWANTED or w in LAYOUT for w in words)
+
+
 def _unwanted(node: Node, inside: bool = False) -> bool:
-    """Whether an element is never main text; inside an article its own header is."""
+    """Whether an element is never main text; inside an article its own header and named paragraphs are."""
     own = OWN_HEADER if inside else frozenset()
     if node.tag in NEVER - own:
         return True
@@ -152,10 +214,12 @@ def _unwanted(node: Node, inside: bool = False) -> bool:
         return True
     if found.get("role", "").lower() in ROLES:
         return True
-    if node.tag in ("article", "main", "body", "html"):
-        words = {w.lower() for k in ("class", "id") for w in _WORD.findall(found.get(k, ""))}
-        return bool(words & {"comment", "comments", "ad", "ads", "advert", "related", "promo", "sponsored"}) and node.tag == "article"
-    return any(w.lower() in UNWANTED - own for k in ("class", "id") for w in _WORD.findall(found.get(k, "")))
+    if node.tag in ("main", "body", "html") or inside and node.tag in PROSE:
+        return False
+    names = [*found.get("class", "").split(), found.get("id", "")]
+    if node.tag == "article":
+        own = UNWANTED - {"comment", "comments", "ad", "ads", "advert", "related", "promo", "sponsored"}
+    return any(_named(x, own) for x in names)
 
 
 def _article(root: Node) -> list[Node]:

@@ -76,3 +76,67 @@ def test_copies_of_an_unmarked_page_stay(rows):
     other = [(10 + i, None, f"<body><div><p>page {i // 3} of no url</p></div></body>") for i in range(6)]
     got = {r["page_id"]: r["text"] for r in h.main_text(pages(rows, *site, *other)).collect()}
     assert got == {**{i: "same words" for i in range(8)}, **{10 + i: f"page {i // 3} of no url" for i in range(6)}}
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<article><p class='social-policy'>a</p><section class='search-and-rescue'>b</section><div class='related-posts'>c</div></article>", "a\nb"),
+        ("<article><p class='notice'>kept</p><div id='comments'><p>gone</div><div class='site-footer'>gone</div></article>", "kept"),
+        ("<div class='content-header'>x</div><div class='ad-slot-1'>y</div><div class='hidden gem'>z</div>", "x"),
+        ("<table><tr><td>a<tr><td>b</table><ul><li>c<ul><li>d</ul><li>e</ul>", "a\nb\nc\nd\ne"),
+        ("<p>1 < 2 and <3</p><p>a</i></b>b", "1 < 2 and <3\nab"),
+        ("<p>x<a href=\"y>z</a><p>w", "xz\nw"),
+    ],
+)
+def test_names_and_malformed_markup(html, text):
+    assert h.extract(html, frozenset()) == text
+
+
+@pytest.mark.parametrize(
+    "piece", ["<a ", '<a "', "<a href='x>", "<div>", "</div>", "<b><div></i>", "<!-", "<!--", "<ul><li>", "<table><tr><td>", "<", "</", "<p>x", "<script>", "&", "<b "]
+)
+def test_time_is_linear_in_malformed_pages(piece):
+    import time
+
+    began = time.process_time()
+    h.extract(piece * (1_000_000 // len(piece)) + ">", {1})
+    assert time.process_time() - began < 20
+
+
+def test_templates_turned_off_change_the_text():
+    box = "<div class=x><p>Read also our other pages</p></div>"
+    page = f"<article><p>First words of a long text, and more of them</p>{box}</article>"
+
+    def trees(html):
+        root = h.parse(html)
+        return {t for t, _ in h.hash_subtrees(root, h._article(root)) if t not in (0, ~0)}
+
+    only_box = trees(page) & trees(f"<article>{box}</article>")
+    assert only_box and h.extract(page, only_box) == "First words of a long text, and more of them" != h.extract(page, frozenset())
+
+
+def test_templates_equal_a_count_by_brute_force(rows):
+    """Subtrees of divs written out as strings, counted per host over different pages in plain Python."""
+    import random
+    import re
+    from collections import defaultdict
+
+    rng = random.Random(5)
+    boxes = [f"<div class=\"b{i}\">box {i}</div>" for i in range(6)]
+    site = []
+    for i in range(60):
+        host = f"h{i % 3}.org"
+        own = [b for j, b in enumerate(boxes) if rng.random() < (j + 1) / 12]
+        site.append((i, f"http://{host}/{i}", "<body>" + "".join(own) + f"<div>text {i if i % 7 else 0}</div></body>"))
+    holders, pages_of = defaultdict(set), defaultdict(set)
+    for _, url, html in site:
+        host = url.split("/")[2]
+        pages_of[host].add(html)
+        for div in re.findall("<div.*?</div>", html):
+            holders[host, div].add(html)
+    want = {k for k, v in holders.items() if len(v) >= 3 and len(v) >= 0.2 * len(pages_of[k[0]])}
+    got = {r["page_id"]: r["text"] for r in h.main_text(pages(rows, *site)).collect()}
+    for i, url, html in site:
+        kept = [d for d in re.findall("<div.*?</div>", html) if (url.split("/")[2], d) not in want]
+        assert got[i] == "\n".join(re.sub("<[^>]*>", "", d) for d in kept)
