@@ -1,209 +1,220 @@
 """Stupid-backoff scores of documents, from n-gram count tables of the whole corpus.
 
-Words are the runs of other bytes than ASCII white space, with A-Z in lower case.  The vocabulary is all words that
-make up at least RAREST of the corpus, so it has 1 / RAREST entries at most and may be broadcast; every other word
-is the one token <unk>.  Counts are over all documents.  For a word w after v (at a text's beginning v is <s>):
+Words are the runs of other bytes than ASCII white space, with A-Z in lower case; every word and every n-gram counts,
+known by a hash of 64 bits.  A text is scored by the other texts: c'(g) is the corpus' count of an n-gram less the
+text's own (else no document of the corpus would ever back off).  For a word w after the words h, up to ORDER - 1 of
+them (a text begins with <s>):
 
-    S(w | v) = c(v w) / c(v)              if c(v w) >= CUTOFF
-               ALPHA * c(w) / N           otherwise
+    S(w | h) = c'(h w) / c'(h)            if c'(h w) > 0
+               ALPHA * S(w | h')          otherwise; h' is h without its first word
+    S(w)     = max(c'(w), 1) / N          N is the number of words of the corpus
 
-A bigram that the corpus holds once says nothing but that its own document is there, hence the cutoff of 2.
 A document's score is the sum of ln S over its words.
 
-Relations: token ids of each text are stored once.  The bigram table (key, gain) has the bigrams above the cutoff,
-partitioned by a hash of the key in the shuffle that counts them; gain is what the score gains over the backoff.
-The documents' own bigrams are exploded, with counts, and joined to it by key; documents also send one row with
-their backoff score, and sums by document end it.  The join runs in SLICES parts of the key space, one after the
-other, which divides the disk that its shuffle takes.  Its sides are stored tables and plain exchanges, so Spark
-splits the partitions of frequent bigrams.
+Relations.  Texts are gathered to blocks of about BLOCK words; one pass stores their word ids, each block's words and
+each block's distinct n-grams with counts, so what is exploded is pre-aggregated.  The n-grams are summed by key to the
+count table (partitioned by a hash of the key; those that one text alone can hold are left out, as their c' is 0), and
+joined to it; the counts come back to their block, where the documents' sums are taken.  The join runs in SLICES
+parts of the key space, one after the other, which divides the disk that its shuffle takes.  A frequent n-gram has at most
+one row a block; it meets in a join of plain exchanges, whose partitions Spark splits.
 
-Defined results.  A null text has no words: score 0, mean null.  Rows with equal doc_id are one document of several
-texts (bigrams do not cross texts).  An empty table gives an empty result.
+Defined results.  A null text has no words: score 0.  Rows with equal or null doc_id are separate documents.  A very
+long text is a block of its own, held in memory by its task.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import require, stored
 
-RAREST = 1e-6
-CUTOFF = 2
+ORDER = 3
 ALPHA = 0.4
 SLICES = 2
-START, UNKNOWN, FIRST = 0, 1, 2
-BITS = 21
-#: Entries of the tables that one task gathers before it passes them on.
-GATHER = 1 << 22
-#: Words in one worker's memo; it is emptied when full.
-MEMO = 400_000
+#: Words of a block, about.
+BLOCK = 1 << 21
 STEP = 32
+TABLE = "block long, doc_id long, ids binary, words binary, key long, n long, level int"
+_NAMES = ["block", "doc_id", "ids", "words", "key", "n", "level"]
+_TYPES = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+#: The place of <s> in every block's words.
+START = 0
 
 
-def _hash(word: bytes) -> int:
-    from xxhash import xxh64_intdigest
-
-    return xxh64_intdigest(word) >> 1
-
+class _Index(dict):
+    """Word -> its place among the block's words, in order of first sight."""
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n): counts of hashed words."""
+    def __missing__(self, word: bytes) -> int:
+        place = self[word] = len(self) + 1
+        return place
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-
-        def rows() -> pa.RecordBatch:
-            words = np.fromiter(map(_hash, seen), np.int64, len(seen))
-            out = pa.RecordBatch.from_arrays([pa.array(words), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-            seen.clear()
-            return out
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, STEP):
-                for text in batch.column("text").slice(at, STEP).to_pylist():
-                    seen.update((text or "").encode().lower().split())
-                if len(seen) > MEMO:
-                    yield rows()
-        yield rows()
-
-    return docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+def _hashes(words: Iterator[bytes], n: int) -> np.ndarray:
+    from xxhash import xxh64_intdigest
 
-def token_ids(docs: DataFrame, words: np.ndarray) -> DataFrame:
-    """(doc_id, ids): each text's word ids as uint32 bytes.  words: hashed words by id - FIRST."""
-    order = np.argsort(words, kind="stable")
-    known = docs.sparkSession.sparkContext.broadcast((words[order], (order + FIRST).astype("<u4")))
+    return np.fromiter(map(xxh64_intdigest, words), np.uint64, n)
+
+
+def _longer(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Keys of n-grams from the keys of their histories and last words."""
+    with np.errstate(over="ignore"):
+        x = history * np.uint64(0x9E3779B97F4A7C15) + word
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        return x ^ x >> np.uint64(31)
+
+
+def _levels(ids: np.ndarray, sizes: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length from 1 to order: (place of the last word, n-gram, history), for all words that have so long a history.
+
+    n-grams and histories are numbers within the block; a history's are those of the length before, <s> itself is -1.
+    """
+    end = np.cumsum(sizes)
+    before = np.arange(len(ids)) - np.repeat(end - sizes, sizes)  # words before this one in its text
+    at = np.arange(len(ids))
+    gram = np.unique(ids, return_inverse=True)[1].astype(np.int64) if len(ids) else ids.astype(np.int64)
+    out = [(at, gram, np.zeros(0, np.int64))]
+    for length in range(2, order + 1):
+        own = at[before[at] >= length - 2]
+        last = np.full(len(ids) + 1, -1, np.int64)
+        last[out[-1][0]] = out[-1][1]  # the n-gram one shorter that ends at each word
+        history = np.where(before[own] > 0, last[own - 1], -1) if length == 2 else last[own - 1]
+        word = out[0][1][own]
+        gram = np.unique((history + 1) * (int(out[0][1].max(initial=0)) + 1) + word, return_inverse=True)[1].astype(np.int64)
+        out.append((own, gram, history))
+        at = own
+    return out
+
+
+def _keys(words: np.ndarray, ids: np.ndarray, levels: list) -> list[np.ndarray]:
+    """For each length the keys of its n-grams by number."""
+    out = []
+    for at, gram, history in levels:
+        keys = np.zeros(int(gram.max(initial=-1)) + 1, np.uint64)
+        if not out:
+            keys[gram] = words[ids[at]]
+        else:
+            before = np.append(out[-1], words[START])  # of -1: <s>
+            keys[gram] = _longer(before[history], words[ids[at]])
+        out.append(keys)
+    return out
+
+
+def blocks(docs: DataFrame, order: int = ORDER, block: int = BLOCK) -> DataFrame:
+    """The stored table: rows of documents (doc_id, ids), of a block's words (words) and of its n-grams (key, n, level)."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 24
+        index, held, sizes, names, total = _Index(), [], [], [], 0
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            nonlocal index, held, sizes, names, total, number
+            words = np.concatenate((_hashes(iter([b"<s> "]), 1), _hashes(iter(index), len(index))))
+            ids = np.concatenate(held) if held else np.zeros(0, "<u4")
+            n = len(names)
+            cut = np.cumsum([0, *sizes]) * 4
+            raw = ids.tobytes()
+            columns = [pa.array(np.full(n, number)), pa.array(names, pa.int64()), pa.array([raw[a:b] for a, b in zip(cut, cut[1:])], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(n, t) for t in _TYPES[3:6]), pa.array(np.zeros(n, np.int32))], _NAMES)
+            one = [pa.array([number]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([words.tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*one, pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([-1], pa.int32())], _NAMES)
+            levels = _levels(ids, np.array(sizes, np.int64), order)
+            for level, (keys, (_, gram, _)) in enumerate(zip(_keys(words, ids, levels), levels), 1):
+                counts = np.bincount(gram, minlength=len(keys))
+                for a in range(0, len(keys), 1 << 16):
+                    k, c = keys[a : a + (1 << 16)].view(np.int64), counts[a : a + (1 << 16)]
+                    none = [pa.nulls(len(k), t) for t in _TYPES[1:4]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), number)), *none, pa.array(k), pa.array(c), pa.array(np.full(len(k), level, np.int32))], _NAMES)
+            index, held, sizes, names, total, number = _Index(), [], [], [], 0, number + 1
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, ids = known.value
-        memo: dict[bytes, bytes] = {}
-        unknown = np.array([UNKNOWN], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, STEP):
                 part = batch.slice(at, STEP)
-                split = [(t or "").encode().lower().split() for t in part.column("text").to_pylist()]
-                if len(memo) > MEMO:
-                    memo.clear()
-                new = [w for w in {w for own in split for w in own} if w not in memo]
-                if new:
-                    own = np.fromiter(map(_hash, new), np.int64, len(new))
-                    place = np.minimum(np.searchsorted(hashes, own), max(len(hashes) - 1, 0))
-                    hit = hashes[place] == own if len(hashes) else np.zeros(len(own), bool)
-                    raw = ids[place].tobytes() if len(hashes) else b""
-                    memo.update((w, raw[4 * i : 4 * i + 4] if h else unknown) for i, (w, h) in enumerate(zip(new, hit.tolist())))
-                out = [b"".join(map(memo.__getitem__, own)) for own in split]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "ids"])
-
-    return docs.select("doc_id", "text").mapInArrow(tokens, "doc_id long, ids binary")
-
-
-def _keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a batch of texts: bigram keys, each one's place in the batch, and the word ids."""
-    raw = column.to_pylist()
-    sizes = np.array([len(r) // 4 for r in raw])
-    ids = np.frombuffer(b"".join(raw), "<u4").astype(np.int64)
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
-    before[starts] = START
-    return before << BITS | ids, np.repeat(np.arange(len(raw)), sizes), ids
-
-
-def _slice_of(key: np.ndarray) -> np.ndarray:
-    return (key ^ key >> BITS) % SLICES
-
-
-def bigram_counts(ids: DataFrame) -> DataFrame:
-    """(key, n): key is the first word's id * 2**BITS + the second's."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, held = [], [], 0
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            k, place = np.unique(np.concatenate(keys), return_inverse=True)
-            return k, np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)
-
-        def rows(k: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["key", "n"])
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                own, _, _ = _keys(batch.column("ids").slice(at, 1024))
-                k, n = np.unique(own, return_counts=True)
-                keys.append(k)
-                counts.append(n)
-                held += len(k)
-                if held > GATHER:
-                    k, n = merged()
-                    keys, counts, held = [k], [n], len(k)
-                    if held > GATHER // 2:
-                        yield rows(k, n)
-                        keys, counts, held = [], [], 0
-        if keys:
-            yield rows(*merged())
-
-    return ids.select("ids").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def scores(docs: DataFrame, rarest: float = RAREST, cutoff: int = CUTOFF, alpha: float = ALPHA) -> DataFrame:
-    """(doc_id, n_words, seen, score): words, those whose bigram is above the cutoff, and the sum of ln S."""
-    spark = docs.sparkSession
-    rows = require(docs, "doc_id", "text")
-    found = stored(word_counts(rows), "lm-words")
-    total = found.agg(F.sum("n")).head()[0] or 0
-    vocabulary = found.filter(F.col("n") >= max(1.0, total * rarest)).orderBy(F.desc("n"), "word").toPandas()
-    ids = stored(token_ids(rows, vocabulary.word.to_numpy(np.int64)), "lm-ids")
-    texts = ids.filter(F.length("ids") > 0).count()
-    known = vocabulary.n.to_numpy(np.float64)
-    with np.errstate(divide="ignore"):
-        log_count = np.log(np.concatenate(([texts, total - known.sum()], known)))
-    missed = np.log(alpha) + log_count - np.log(max(total, 1))
-    shared = spark.sparkContext.broadcast((log_count, missed))
-
-    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs, lost = shared.value
-        for batch in batches:
-            key = batch.column("key").to_numpy()
-            gain = np.log(batch.column("n").to_numpy().astype(float)) - logs[key >> BITS] - lost[key & (1 << BITS) - 1]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(gain)], ["key", "gain"])
-
-    table = stored(bigram_counts(ids).filter(F.col("n") >= cutoff).mapInArrow(gains, "key long, gain double"), "lm-bigrams")
-
-    def exploded(part: int):
-        def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            _, lost = shared.value
-            for batch in batches:
-                for at in range(0, batch.num_rows, 1024):
-                    own = batch.slice(at, 1024)
-                    key, place, words = _keys(own.column("ids"))
-                    base = np.bincount(place, weights=lost[words], minlength=own.num_rows)
-                    mine = _slice_of(key) == part
-                    pair, n = np.unique(place[mine] << 2 * BITS | key[mine], return_counts=True)
-                    place, key, value = pair >> 2 * BITS, pair & (1 << 2 * BITS) - 1, n.astype(np.float64)
-                    if part == 0:
-                        every = np.arange(own.num_rows)
-                        place, key, value = np.concatenate((place, every)), np.concatenate((key, -1 - every)), np.concatenate((value, base))
-                    yield pa.RecordBatch.from_arrays([own.column("doc_id").take(pa.array(place)), pa.array(key), pa.array(value)], ["doc_id", "key", "value"])
-
-        return ids.mapInArrow(explode, "doc_id long, key long, value double")
-
-    sums = None
+                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                    found = (text or "").encode().lower().split()
+                    names.append(doc)
+                    sizes.append(len(found))
+                    held.append(np.fromiter(map(index.__getitem__, found), "<u4", len(found)))
+                    total += len(found)
+                    if total >= block:
+                        yield from rows()
+        if names:
+            yield from rows()
+
+    return docs.mapInArrow(gather, TABLE)
+
+
+def _own_counts(doc: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """For each n-gram of a list how often its document holds it there."""
+    _, place, n = np.unique(doc * (int(gram.max(initial=0)) + 1) + gram, return_inverse=True, return_counts=True)
+    return n[place]
+
+
+def scored(ids: np.ndarray, sizes: np.ndarray, words: np.ndarray, known: np.ndarray, counts: np.ndarray, total: int, texts: int, order: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """(words whose longest n-gram is known, sum of ln S) for each text of a block.
+
+    known: the keys, ascending, of n-grams that the corpus holds at least twice, and their counts.
+    """
+    levels = _levels(ids, sizes, order)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    log_s, seen = np.zeros(len(ids)), np.zeros(len(ids), bool)
+    rest = np.zeros(0)
+    for length, (keys, (at, gram, history)) in enumerate(zip(_keys(words, ids, levels), levels), 1):
+        keys = keys.view(np.int64)
+        place = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+        count = np.where(known[place] == keys, counts[place], 1) if len(known) else np.ones(len(keys), np.int64)
+        left = count[gram] - _own_counts(doc[at], gram)  # of this text's n-grams, in other texts
+        if length == 1:
+            log_s = np.log(np.maximum(left, 1)) - np.log(max(total, 1))
+            rest = left.astype(np.float64)
+        else:
+            before = np.where(history < 0, texts - 1, rest[at - 1])
+            hit = left > 0
+            value = np.log(alpha) + log_s[at]
+            value[hit] = np.log(left[hit]) - np.log(before[hit])
+            log_s[at] = value
+            seen[at] = hit
+            rest[at] = left
+    n = len(sizes)
+    return np.bincount(doc, weights=seen, minlength=n).astype(np.int64), np.bincount(doc, weights=log_s, minlength=n)
+
+
+def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block: int = BLOCK) -> DataFrame:
+    """(doc_id, n_words, seen, score): words, those whose longest n-gram other texts hold, and the sum of ln S."""
+    table = stored(blocks(require(docs, "doc_id", "text"), order, block), "lm-blocks")
+    grams = table.filter("level > 0").select("block", "key", "n", "level")
+    counts = stored(grams.groupBy("key").agg(F.sum("n").alias("c")).filter("c > 1"), "lm-counts")
+    total = grams.filter("level = 1").agg(F.sum("n")).head()[0] or 0
+    texts = table.filter("level = 0 and length(ids) > 0").count()
+    found = None
     for part in range(SLICES):
-        held = table.filter(F.col("key").bitwiseXOR(F.shiftright("key", BITS)) % SLICES == part)
-        joined = exploded(part).join(held.hint("shuffle_hash"), "key", "left")
-        gain = F.when(F.col("key") < 0, F.col("value")).otherwise(F.col("value") * F.coalesce("gain", F.lit(0.0)))
-        own = joined.groupBy("doc_id").agg(
-            F.sum(F.when(F.col("key") >= 0, F.col("value")).otherwise(0.0)).alias("n_words"),
-            F.sum(F.when(F.col("gain").isNotNull(), F.col("value")).otherwise(0.0)).alias("seen"),
-            F.sum(gain).alias("score"),
-        )
-        own = stored(own, "lm-sums")
-        sums = own if sums is None else sums.union(own)
-    out = sums.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ("n_words", "seen", "score")))
-    return out.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.col("seen").cast("long").alias("seen"), "score")
+        own = lambda df: df.filter(F.pmod("key", F.lit(SLICES)) == part)
+        some = own(grams).select("block", "key").join(own(counts).hint("shuffle_hash"), "key")
+        some = stored(some.select("block", "key", "c"), "lm-found")
+        found = some if found is None else found.union(some)
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        words = left.filter(pa.compute.equal(left.column("level"), -1)).column("words")
+        rows = left.filter(pa.compute.equal(left.column("level"), 0))
+        raw = rows.column("ids").to_pylist()
+        sizes = np.array([len(x) // 4 for x in raw], np.int64)
+        key = right.column("key").to_numpy()
+        up = np.argsort(key)
+        names = ["doc_id", "n_words", "seen", "score"]
+        if not len(raw):
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64())], names)
+        vocabulary = np.frombuffer(words[0].as_py(), np.uint64)
+        ids = np.frombuffer(b"".join(raw), "<u4")
+        seen, sums = scored(ids, sizes, vocabulary, key[up], right.column("c").to_numpy()[up], total, texts, order, alpha)
+        return pa.table([rows.column("doc_id"), pa.array(sizes), pa.array(seen), pa.array(sums)], names)
+
+    left = table.filter("level < 1").select("block", "doc_id", "ids", "words", "level")
+    return left.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, seen long, score double")

@@ -6,38 +6,47 @@ import pytest
 from quern.llm import lm_backoff
 
 
-def brute(texts, rarest, cutoff, alpha):
-    words = [(d, (t or "").encode().lower().split()) for d, t in texts]
-    uni = Counter(w for _, ws in words for w in ws)
-    total = sum(uni.values())
-    known = {w for w, n in uni.items() if n >= max(1.0, total * rarest)}
-    mapped = [(d, [w if w in known else None for w in ws]) for d, ws in words]
-    c1 = Counter(w for _, ws in mapped for w in ws) + Counter({"<s>": sum(1 for _, ws in mapped if ws)})
-    c2 = Counter(p for _, ws in mapped for p in zip(["<s>", *ws], ws))
-    out = {}
-    for d, ws in mapped:
-        n, seen, score = out.get(d, (0, 0, 0.0))
-        for v, w in zip(["<s>", *ws], ws):
-            hit = c2[v, w] >= cutoff
-            score += math.log(c2[v, w] / c1[v]) if hit else math.log(alpha * c1[w] / total)
-            n, seen = n + 1, seen + hit
-        out[d] = (n, seen, score)
+def brute(texts, order, alpha):
+    """[(doc_id, words, seen, score)] from counters over all texts and over each alone."""
+    docs = [(d, ["<s>", *(t or "").encode().lower().split()]) for d, t in texts]
+
+    def counted(words):
+        return Counter(tuple(words[i : i + n]) for n in range(1, order + 1) for i in range(len(words) - n + 1) if n > 1 or i > 0)
+
+    whole = sum((counted(w) for _, w in docs), Counter())
+    total, texts = sum(len(w) - 1 for _, w in docs), sum(1 for _, w in docs if len(w) > 1)
+    out = []
+    for d, words in docs:
+        own = counted(words)
+        left = lambda g: whole[g] - own[g] if g != ("<s>",) else texts - 1
+        seen, score = 0, 0.0
+        for i in range(1, len(words)):
+            factor = 1.0
+            for n in range(min(order, i + 1), 0, -1):
+                gram = tuple(words[i - n + 1 : i + 1])
+                if n == 1:
+                    score += math.log(factor * max(left(gram), 1) / total)
+                elif left(gram) > 0:
+                    seen += n == min(order, i + 1)
+                    score += math.log(factor * left(gram) / left(gram[:-1]))
+                    break
+                factor *= alpha
+        out.append((d, len(words) - 1, seen, score))
     return out
 
 
-@pytest.mark.parametrize("rarest,cutoff", [(1e-6, 2), (0.01, 2), (1e-6, 1), (0.02, 3)])
-def test_scores_equal_brute_force(odd, documents, rarest, cutoff):
+@pytest.mark.parametrize("order,block", [(3, 1 << 21), (3, 50), (2, 1000), (4, 1000)])
+def test_scores_equal_brute_force(odd, documents, order, block):
     docs = odd.select("doc_id", "text").union(documents.select("doc_id", "text").limit(60))
-    want = brute([(r[0], r[1]) for r in docs.collect()], rarest, cutoff, 0.4)
-    got = {r["doc_id"]: r for r in lm_backoff.scores(docs, rarest, cutoff).collect()}
-    assert got.keys() == want.keys()
-    for d, (n, seen, score) in want.items():
-        assert (got[d]["n_words"], got[d]["seen"]) == (n, seen)
-        assert got[d]["score"] == pytest.approx(score, rel=1e-9, abs=1e-9)
+    key = lambda r: (str(r[0]), r[1], r[2], round(r[3], 3))
+    want = sorted(brute([(r[0], r[1]) for r in docs.collect()], order, 0.4), key=key)
+    got = sorted(map(tuple, lm_backoff.scores(docs, order, 0.4, block).collect()), key=key)
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert [r[3] for r in got] == pytest.approx([r[3] for r in want], rel=1e-9, abs=1e-9)
 
 
 def test_clashing_columns_and_empty_table(odd, no_docs):
-    assert lm_backoff.scores(odd).count() == odd.select("doc_id").distinct().count()
+    assert lm_backoff.scores(odd).count() == odd.count()
     assert lm_backoff.scores(no_docs).count() == 0
 
 
