@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import pii_surrogates as m
@@ -28,24 +29,99 @@ def test_each_type_is_found_replaced_and_keeps_its_format(rows):
         assert [e["kind"] for e in got["pii_entities"]][0] == kind
         assert value not in got["text"] and got["text"].startswith(prefix)
         made = got["pii_entities"][0]["surrogate"]
-        if kind not in ("ipv4", "email"):
+        if kind != "ipv4":
             shape = lambda s: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", s)))
             loose = lambda s: re.sub("[0a]", "0", shape(s)) if kind == "secret" else shape(s)
             assert loose(made) == loose(value)
         assert not got["pii_entities"][1:] or got["pii_entities"][1]["surrogate"] == made
 
 
+def surrogates(got):
+    return {i: [e["surrogate"] for e in got[i]["pii_entities"]] for i in sorted(got)}
+
+
 def test_coreference_over_documents_and_formats(rows):
     got = run(rows, "call (415) 555-0100", "call 415-555-0100 or Bob@X.org", "bob@x.org")
     digits = lambda s: re.sub(r"\D", "", s)
     assert digits(got[0]["text"]) == digits(got[1]["pii_entities"][0]["surrogate"])
-    assert got[1]["pii_entities"][1]["surrogate"].lower() == got[2]["text"].lower()
+    assert got[1]["pii_entities"][1]["surrogate"].lower() == got[2]["text"].lower() and got[1]["pii_entities"][1]["surrogate"][0].isupper()
+
+
+@pytest.mark.parametrize(
+    "spellings,shapes",
+    [
+        (["+1 415 555 0100", "+14155550100", "+1 (415) 555-0100", "+1.415.555.0100"], r"\+1[ .]?\(?\d{3}\)?[ .]?\d{3}[ .-]?\d{4}"),
+        (["+44 20 7946 0958", "+442079460958", "+44-20-7946-0958"], r"\+44[ -]?\d\d[ -]?\d{4}[ -]?\d{4}"),
+        (["+7 912 345 67 89", "+79123456789"], r"\+7 ?\d{3} ?\d{3} ?\d\d ?\d\d"),
+        (["+351 21 123 4567", "+351211234567"], r"\+351 ?\d\d ?\d{3} ?\d{4}"),
+        (["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111"], r"\d{4}([ -]?\d{4}){3}"),
+        (["DE89 3704 0044 0532 0130 00", "DE89370400440532013000"], r"DE\d\d( ?\d{4}){4} ?\d\d"),
+    ],
+)
+def test_one_surrogate_for_every_spelling(rows, spellings, shapes):
+    made = [x[0] for x in surrogates(run(rows, *(f"see {x} end" for x in spellings))).values()]
+    assert len({re.sub(r"[^+\w]", "", x) for x in made}) == 1
+    for was, is_ in zip(spellings, made):
+        assert re.fullmatch(shapes, is_) and was != is_
+        assert re.sub(r"\w", "0", was) == re.sub(r"\w", "0", is_)
+
+
+def luhn(number):
+    digits = [int(c) for c in number if c.isdigit()][::-1]
+    return (sum(digits[::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])) % 10 == 0
+
+
+def test_check_digits_are_valid(rows):
+    cards = ["4111 1111 1111 1111", "5500005555555559", "340000000000009", "6011-0000-0000-0004", "4222222222222", "6304000000000000000"]
+    ibans = ["DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "FR1420041010050500013M02606", "BE68539007547034"]
+    made = surrogates(run(rows, *cards, *ibans))
+    assert all(luhn(made[i][0]) for i in range(len(cards)))
+    for i in range(len(cards), len(made)):
+        plain = made[i][0].replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def test_scripts_stay(rows):
+    made = surrogates(run(rows, "иван@пример.рф", "mail Иван.Петров@пример.рф", "σοφια@mail.gr"))
+    assert re.fullmatch("[а-я]{4}@[а-я]{6}\\.рф", made[0][0])
+    assert re.fullmatch("[А-Я][а-я]{3}\\.[А-Я][а-я]{5}@[а-я]{6}\\.рф", made[1][0])
+    assert re.fullmatch("[α-ω]{5}@[a-z]{4}\\.gr", made[2][0])
+
+
+def test_family_and_given_names_corefer(rows):
+    got = surrogates(run(rows, "Mr. John Smith", "Dr. Smith", "Mrs. Mary SMITH", "Mr John Baker"))
+    family = lambda x: x.split()[-1].lower()
+    assert family(got[0][0]) == family(got[1][0]) == family(got[2][0]) != family(got[3][0])
+    assert got[0][0].split()[1] == got[3][0].split()[1] and got[2][0].split()[-1].isupper()
+
+
+def test_many_names_stay_distinct(rows, monkeypatch):
+    monkeypatch.setattr(m, "SYLLABLES", ["ba", "be"])  # 16 family names of four syllables
+    names = [f"Mr. {''.join(chr(65 + i // 26) + chr(97 + i % 26))}x {'Q' + chr(97 + i % 26)}{chr(97 + i // 26)}y" for i in range(150)]
+    made = [x[0] for x in surrogates(run(rows, *names)).values()]
+    assert len({x.split()[-1] for x in made}) == len({x.split()[1] for x in made}) == 150
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["x@" + "a." * 500_000 + "com", "a@" * 500_000, "a." * 500_000 + "@x.com", "1 " * 500_000, "1." * 500_000, "+1 " * 333_000, "key=" + "aB3" * 333_000, "key=" * 250_000,
+     "Mr. " * 250_000, "Mr. A" + "a" * 1_000_000, "DE89 " + "3704 " * 200_000, "(415) " * 160_000, "AKIA" * 250_000, "123-45-" * 140_000, "иван@" + "пример." * 140_000],
+    ids=lambda t: t[:6],
+)
+def test_long_texts_of_every_pattern(rows, text):
+    import time
+
+    began = time.time()
+    got = run(rows, text, text[:1000] + " bob@x.org")
+    assert got[1]["text"] != text[:1000] + " bob@x.org" and "bob@x.org" not in got[1]["text"]
+    assert time.time() - began < 90
 
 
 def test_names_keep_gender_script_and_case(rows):
     got = run(rows, "Mr. John Smith met Mrs Jane SMITH.", "Frau Müller", "г-жа Анна Иванова", "Mr. John Smith")
     first = got[0]["pii_entities"][0]["surrogate"].split()
     assert first[0] == "Mr." and first[1] in m.MALE and got[0]["pii_entities"][1]["surrogate"].split()[1] in m.FEMALE
+    assert got[0]["pii_entities"][1]["surrogate"].split()[2].isupper()
     assert got[3]["text"] == got[0]["pii_entities"][0]["surrogate"]
     assert re.fullmatch(r"Frau [A-Z][a-z]+", got[1]["text"]) and re.fullmatch(r"г-жа [А-Яа-я]+ [А-Яа-я]+ва", got[2]["text"])
 
@@ -58,8 +134,8 @@ def test_collisions_are_drawn_again(rows, monkeypatch):
 
 
 def test_surrogates_are_no_originals(rows, monkeypatch):
-    plain = m.surrogate
-    monkeypatch.setattr(m, "surrogate", lambda k, match, s: F.when((match == "10.0.0.1") & s.startswith("0"), "10.0.0.2").otherwise(plain(k, match, s)))
+    plain = m.core
+    monkeypatch.setattr(m, "core", lambda k, canon, s, n: F.when((canon == "10.0.0.1") & (n == 0), "10.0.0.2").otherwise(plain(k, canon, s, n)))
     got = run(rows, "10.0.0.1 10.0.0.2")[0]
     assert "10.0.0.2" not in got["text"]
 
@@ -80,6 +156,8 @@ def test_odd_rows_and_empty_table(odd, no_docs):
     assert got.columns == [*odd.columns, "pii_entities"]
     assert sorted(str(r["text"]) for r in got.select("text").collect()) == sorted(str(r["text"]) for r in odd.select("text").collect())
     assert m.replaced(no_docs, "k").count() == 0
+    twice = m.replaced(m.replaced(odd.withColumn("PII_Entities", F.lit(1)), "k"), "k")
+    assert twice.columns == [*odd.columns, "PII_Entities", "pii_entities_", "pii_entities__"]
 
 
 def test_repeated_rows_and_no_original_left(documents):
