@@ -8,8 +8,8 @@ does not hold (two white-space characters in a row, for the byte-level tokenizer
 The memo is an open-addressing table in numpy arrays: chunks of a batch of texts are found, hashed and looked up by
 array operations.  The hash only finds a place: the memo keeps each chunk's bytes, and every chunk that is looked up
 is compared with them.  Where they differ the batch's chunks are encoded without the memo.  Chunks of more than LONGEST bytes are encoded
-each time, so SLOTS bounds the memo in bytes: about 100 MB with the tokenizer.  An encoder is made for one task and
-freed with it.  Long texts are cut before a space or line feed into parts of SPAN bytes (a part without one is longer).
+each time, so SLOTS bounds the memo in bytes: about 100 MB with the tokenizer.  A worker keeps one encoder for its tasks.
+Long texts are cut before a space or line feed into parts of SPAN bytes (a part without one is longer).
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ SLOTS = 1 << 20
 #: Bytes of a chunk that the memo keeps.
 LONGEST = 64
 #: Words without final full stops and commas that are kept by name; likewise.
-STEMS = 50_000
+STEMS = 100_000
 #: Bytes of text handled at one time.
 SPAN = 1 << 18
 
@@ -32,6 +32,7 @@ _RUN = re.compile(r"\s\s").search
 _SPACE = re.compile(r"\s").search
 _SHIFT = np.uint64(65 - SLOTS.bit_length())
 _ODD = 0x9E3779B97F4A7C15
+_ENCODERS: dict[tuple[str, str], "ChunkEncoder"] = {}
 
 
 def _pieces(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -281,6 +282,24 @@ def _parts(raw: bytes) -> list[bytes]:
     return [*out, raw[at:]]
 
 
+def _return_memory() -> None:
+    """Make the C library give large blocks back when they are freed, where it is the usual one (M_MMAP_THRESHOLD is -3)."""
+    import ctypes
+
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)
+    except (AttributeError, OSError):
+        pass
+
+
+def encoder(path: str, kind: str) -> ChunkEncoder:
+    """One per worker process and file."""
+    if (path, kind) not in _ENCODERS:
+        _return_memory()
+        _ENCODERS[path, kind] = ChunkEncoder(path, kind)
+    return _ENCODERS[path, kind]
+
+
 def vocabulary_size(path: str) -> int:
     """Ids of a tokenizer, added ones included."""
     from tokenizers import Tokenizer
