@@ -6,16 +6,21 @@ away a paragraph is adding or subtracting one vector (`combine`).  The vector ha
 
 * identity: IDENTITY lanes modulo 2**32, hashed from the paragraph's SHA-512.  Two documents with equal lanes
   hold the same multiset of paragraphs (but for collisions of that digest or of sums of random lanes).
-* likeness: LEVELS x CELLS lanes modulo 2**16.  Each clause of the paragraph adds a value to the one cell that
-  its hash names; level i takes a 2**-(i+1) part of all clauses, the last level the rest.  Two fingerprints
-  differ in a cell if some clause there is in one and not in the other, so the share of differing cells of a
-  level tells how many clauses differ (linear counting), up to some 60,000 of them; where more differ the
-  likeness is 0.  One more lane counts clauses.
+* likeness: LEVELS x CELLS lanes modulo 2**16.  Each piece of the paragraph adds a value to the one cell that
+  its hash names; level i takes a 2**-(i+1) part of all pieces, the last level the rest.  Two fingerprints
+  differ in a cell if some piece there is in one and not in the other, so the share of differing cells of a
+  level tells how many pieces differ (linear counting).  The last level fills up beyond 10**9 pieces, more than the
+  longest possible text has.  One more lane counts pieces.
 
-The likeness of two fingerprints is 1 - d / (a + b) for a and b clauses of which d differ: 1 for equal ones.
+Pieces are cut by content, so that an edit changes only those about it: after line feeds, after white space that follows
+a punctuation mark, and after some signs of scripts that write no spaces; longer ones than LONG characters also after
+white space that follows a word with one of some last letters, and what is then still longer than LONGEST at all of it.
 
-Defined results.  A null text is an empty one: one empty paragraph without clauses.  Rows with equal doc_id are
-ordered by text.  Null doc_ids come last in descending order.  An empty table gives an empty result.
+The likeness of two fingerprints is 1 - d / (a + b) for a and b pieces of which d differ: 1 for equal ones.
+
+Defined results.  A null text is an empty one: one empty paragraph without pieces.  Rows with equal doc_id are
+ordered by text.  Null doc_ids come last in descending order.  Very long texts are hashed whole.  Repeated rows are
+separate documents with equal fingerprints.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,8 +31,12 @@ from pyspark.sql import functions as F
 from quern.llm.common import bucket_of, cuts, partitions, require
 
 IDENTITY = 8
-LEVELS = 11
+LEVELS = 24
 CELLS = 32
+#: Characters of a piece above which it is cut more finely, and at all white space.
+LONG, LONGEST = 100, 200
+#: Signs after which a piece ends in scripts that write no spaces, and letters that end one of a long piece before white space.
+SIGNS, LETTERS = "的一是不了在人有我他这个们中来上大为和国のにはをたがでานรกเ", "0-9snyаиояςνа"
 _32, _16 = 0xFFFFFFFF, 0xFFFF
 
 
@@ -35,9 +44,15 @@ def paragraphs(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def _clauses(text: Column) -> Column:
-    """Clauses: the non-empty pieces between line feeds and after a punctuation mark and white space."""
-    return F.filter(F.split(text, r"\n|(?<=[.!?,;:|])\s"), lambda x: F.length(x) > 0)
+def _pieces(text: Column) -> Column:
+    """The pieces of a text, none empty."""
+    cut = F.split(text, rf"\n|(?<=[.!?,;:|])\s|(?<=[{SIGNS}])")
+
+    def finer(pieces: Column, most: int, pattern: str) -> Column:
+        return F.flatten(F.transform(pieces, lambda x: F.when(F.length(x) > most, F.split(x, pattern)).otherwise(F.array(x))))
+
+    short = finer(finer(cut, LONG, rf"(?<=[{LETTERS}][\p{{P}}\p{{S}}]{{0,4}})\s"), LONGEST, r"\s")
+    return F.filter(short, lambda x: F.length(x) > 0)
 
 
 def _digests(text: Column) -> Column:
@@ -45,14 +60,14 @@ def _digests(text: Column) -> Column:
 
 
 def _entries(text: Column) -> Column:
-    """For each clause, ascending: its cell * 2**16 + its value."""
+    """For each piece, ascending: its cell * 2**16 + its value."""
 
     def entry(h: Column) -> Column:
         level = sum((h.bitwiseAND(F.lit((1 << i) - 1)) == 0).cast("long") for i in range(1, LEVELS))
         cell = F.pmod(F.shiftrightunsigned(h, 40), F.lit(CELLS)) + level * CELLS
         return F.shiftleft(cell, 16) + F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(_16)).bitwiseOR(F.lit(1))
 
-    return F.array_sort(F.transform(F.transform(_clauses(text), lambda s: F.xxhash64(s)), entry))
+    return F.array_sort(F.transform(F.transform(_pieces(text), lambda s: F.xxhash64(s)), entry))
 
 
 def _identity(digests: Column) -> Column:
@@ -87,7 +102,7 @@ def _cells(entries: Column) -> Column:
 
 
 def with_lanes(df: DataFrame, **texts: str) -> DataFrame:
-    """Add for each name=column a struct(identity, cells, clauses) of that text column.
+    """Add for each name=column a struct(identity, cells, pieces) of that text column.
 
     In two steps, so that no digest or hash is computed twice.
     """
@@ -97,7 +112,7 @@ def with_lanes(df: DataFrame, **texts: str) -> DataFrame:
         n: F.struct(
             _identity(F.col(f"{n}_digests")).alias("identity"),
             _cells(F.col(f"{n}_entries")).alias("cells"),
-            F.size(f"{n}_entries").cast("long").alias("clauses"),
+            F.size(f"{n}_entries").cast("long").alias("pieces"),
         )
         for n in texts
     }
@@ -110,16 +125,16 @@ def combine(a: Column, b: Column, sign: int = 1) -> Column:
     def sums(name: str, mask: int) -> Column:
         return F.zip_with(a[name], b[name], lambda x, y: (x + sign * y).bitwiseAND(F.lit(mask))).alias(name)
 
-    return F.struct(sums("identity", _32), sums("cells", _16), (a["clauses"] + sign * b["clauses"]).alias("clauses"))
+    return F.struct(sums("identity", _32), sums("cells", _16), (a["pieces"] + sign * b["pieces"]).alias("pieces"))
 
 
 def to_hex(v: Column) -> Column:
-    """Identity lanes (8 digits each), cells (4 each) and the count of clauses (8), as one string."""
+    """Identity lanes (8 digits each), cells (4 each) and the count of pieces (8), as one string."""
 
     def digits(array: Column, n: int) -> Column:
         return F.array_join(F.transform(array, lambda x: F.lpad(F.lower(F.hex(x)), n, "0")), "")
 
-    return F.concat(digits(v["identity"], 8), digits(v["cells"], 4), F.lpad(F.lower(F.hex(v["clauses"])), 8, "0"))
+    return F.concat(digits(v["identity"], 8), digits(v["cells"], 4), F.lpad(F.lower(F.hex(v["pieces"])), 8, "0"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -132,7 +147,7 @@ def likeness(a: Column, b: Column) -> Column:
     zero = F.struct(F.lit(0.0).alias("found"), F.lit(0.0).alias("share"), F.lit(True).alias("usable"))
 
     def step(s: Column, x: Column) -> Column:
-        """From the level with the fewest clauses down, until one is too full to be counted by."""
+        """From the level with the fewest pieces down, until one is too full to be counted by."""
         usable = s["usable"] & (x["n"] <= CELLS - 2)
         found = -F.log1p(-x["n"] / F.lit(float(CELLS))) * CELLS
         share = F.pow(F.lit(0.5), F.least(x["i"] + 1, F.lit(LEVELS - 1)))
@@ -142,20 +157,20 @@ def likeness(a: Column, b: Column) -> Column:
             usable.alias("usable"),
         )
 
-    both = a["clauses"] + b["clauses"]
+    both = a["pieces"] + b["pieces"]
     near = F.aggregate(levels, zero, step, lambda s: F.when((both > 0) & (s["share"] > 0), 1 - s["found"] / s["share"] / both).otherwise(0.0))
     near = F.greatest(F.lit(0.0), F.least(near, F.lit(1 - 2.0**-20)))
     return F.when(a["identity"] == b["identity"], F.lit(1.0)).otherwise(near)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, next_text): the next document in descending doc_id, after the last the first.
+    """(doc_id, text, fp, next_text, next_fp), texts without nulls: the next document in descending doc_id, after the last the first.
 
     Rows are dealt to ranges that end at real doc_ids, the highest at the greatest.  The rows at such a bound
     are also sent to the range above it, where they end the order (those at the greatest to the lowest range),
     so each range finds every successor with one shuffle of the texts.
     """
-    rows = require(docs, "doc_id", "text")
+    rows = require(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     top = rows.agg(F.max("doc_id")).head()[0]
     bounds = sorted({*cuts(rows, "doc_id", 8 * partitions(docs.sparkSession)), *([] if top is None else [top])})
     own = bucket_of(F.expr("try_subtract(doc_id, 1L)"), bounds)  # the bounds below doc_id; null ids: 0
@@ -165,12 +180,15 @@ def with_next(docs: DataFrame) -> DataFrame:
         after = F.when(F.col("doc_id") == top, F.lit(0)).otherwise(F.col("own") + 1)
         places.append(F.when(at_bound, F.struct(after.alias("range"), F.lit(1).alias("copy"))))
     dealt = rows.withColumn("own", own).select("doc_id", "text", F.explode(F.array(*places)).alias("to")).filter("to is not null")
+    dealt = dealt.select("doc_id", "text", "to.range", "to.copy").repartition("range")
+    dealt = dealt.sortWithinPartitions("range", "copy", F.desc_nulls_last("doc_id"), "text")
+    # after the shuffle, so that it carries texts alone, and before the window, so that each text is hashed once
+    dealt = with_lanes(dealt, fp="text")
     order = Window.partitionBy("range").orderBy("copy", F.desc_nulls_last("doc_id"), "text")
-    dealt = dealt.select("doc_id", "text", "to.range", "to.copy").withColumn("has", F.lead(F.lit(1)).over(order))
-    dealt = dealt.withColumn("next_text", F.lead("text").over(order))
+    after = {f"next_{c}": F.lead(c).over(order) for c in ("text", "fp")}
     if not bounds:  # only null ids: one range, closed here
-        dealt = dealt.withColumn("next_text", F.when(F.col("has") == 1, F.col("next_text")).otherwise(F.first("text").over(order)))
-    return dealt.filter("copy = 0").select("doc_id", "text", "next_text")
+        after = {f"next_{c}": F.coalesce(x, F.first(c).over(order)) for c, x in zip(("text", "fp"), after.values())}
+    return dealt.withColumns(after).filter("copy = 0").drop("range", "copy")
 
 
 def compared(docs: DataFrame) -> DataFrame:
@@ -178,7 +196,6 @@ def compared(docs: DataFrame) -> DataFrame:
 
     The edited text has its last floor(n/2) code points replaced by the first as many of the next document.
     """
-    whole = with_next(docs).select("doc_id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("text", "next_text")))
     half = F.floor(F.char_length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.char_length("text") - half), F.substring("next_text", F.lit(1), half))
-    return with_lanes(whole.withColumn("edited_text", edited), fp="text", edited_fp="edited_text", next_fp="next_text")
+    return with_lanes(with_next(docs).withColumn("edited_text", edited), edited_fp="edited_text")

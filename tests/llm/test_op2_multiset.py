@@ -1,5 +1,9 @@
 import hashlib
+import math
+import re
+import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import multiset_hash as m
@@ -62,3 +66,84 @@ def test_single_row_and_only_null_ids(rows):
     assert one["edited_text"] == "abab"
     nulls = m.compared(rows("doc_id long, text string", (None, "aaaa"), (None, "bbbb"))).collect()
     assert sorted(r["edited_text"] for r in nulls) == ["aabb", "bbaa"]
+
+
+MASK = (1 << 64) - 1
+
+
+def plain_pieces(text):
+    out = []
+    for x in re.split(rf"\n|(?<=[.!?,;:|])[ \t\n\x0b\f\r]|(?<=[{m.SIGNS}])", text):
+        for y in _after_letters(x) if len(x) > m.LONG else [x]:
+            out += re.split(r"[ \t\n\x0b\f\r]", y) if len(y) > m.LONGEST else [y]
+    return [x for x in out if x]
+
+
+def _after_letters(x):
+    import regex
+
+    return regex.split(rf"(?<=[{m.LETTERS}][\p{{P}}\p{{S}}]{{0,4}})[ \t\n\x0b\f\r]", x)
+
+
+def plain_lanes(text):
+    """(identity lanes, cells, pieces) by plain loops."""
+    from xxhash import xxh64_intdigest
+
+    identity, cells, n = [0] * m.IDENTITY, [0] * (m.LEVELS * m.CELLS), 0
+    for paragraph in text.split("\n"):
+        digest = hashlib.sha512(paragraph.encode()).hexdigest().encode()
+        for i in range(m.IDENTITY):
+            identity[i] += xxh64_intdigest(struct.pack("<i", i), xxh64_intdigest(digest, 42)) & 0xFFFFFFFF
+    for piece in plain_pieces(text):
+        h = xxh64_intdigest(piece.encode(), 42)
+        level = 0
+        while level < m.LEVELS - 1 and not h >> level & 1:
+            level += 1
+        cells[level * m.CELLS + (h >> 40) % m.CELLS] += h >> 20 & 0xFFFF | 1
+        n += 1
+    return [x & 0xFFFFFFFF for x in identity], [x & 0xFFFF for x in cells], n
+
+
+def plain_likeness(a, b):
+    if a[0] == b[0]:
+        return 1.0
+    found = share = 0.0
+    for level in reversed(range(m.LEVELS)):
+        d = sum(x != y for x, y in zip(a[1][level * m.CELLS :][: m.CELLS], b[1][level * m.CELLS :][: m.CELLS]))
+        if d > m.CELLS - 2:
+            break
+        found += -math.log1p(-d / m.CELLS) * m.CELLS
+        share += 0.5 ** min(level + 1, m.LEVELS - 1)
+    both = a[2] + b[2]
+    return max(0.0, min(1 - found / share / both if both and share else 0.0, 1 - 2.0**-20))
+
+
+def test_fingerprints_and_likenesses_equal_brute_force(rows, documents):
+    texts = [r["text"] for r in documents.limit(40).collect()] + ["", "a", "Im " * 500, "漢字の文章です。" * 30, "word### " * 80, "один два три " * 40]
+    docs = rows("doc_id long, text string", *enumerate(texts))
+    h = lambda c: m.to_hex(F.col(c)).alias(f"h_{c}")
+    got = m.compared(docs).select("doc_id", "edited_text", h("fp"), h("edited_fp"), h("next_fp"), m.likeness(F.col("fp"), F.col("edited_fp")).alias("le"), m.likeness(F.col("fp"), F.col("next_fp")).alias("ln"))
+    as_hex = lambda x: "".join(f"{v:08x}" for v in x[0]) + "".join(f"{v:04x}" for v in x[1]) + f"{x[2]:08x}"
+    for r in got.collect():
+        own, edited, after = plain_lanes(texts[r["doc_id"]]), plain_lanes(r["edited_text"]), plain_lanes(texts[(r["doc_id"] - 1) % len(texts)])
+        assert (r["h_fp"], r["h_edited_fp"], r["h_next_fp"]) == (as_hex(own), as_hex(edited), as_hex(after))
+        assert r["le"] == pytest.approx(plain_likeness(own, edited), abs=1e-9) and r["ln"] == pytest.approx(plain_likeness(own, after), abs=1e-9)
+
+
+@pytest.mark.parametrize("unit", ["Im ", "word### ", "漢字の文章です。", "aab cde fgh ", "no marks here at all "])
+def test_texts_without_marks_are_alike_if_half_is_equal(spark, unit):
+    base = "".join(f"{unit}{i * 7919 % 1000} " for i in range(300))
+    other = "".join(f"{unit[::-1]}{i * 6007 % 1000}x " for i in range(300))
+    half = base[: len(base) // 2] + other[: len(base) // 2]
+    df = lanes_of(spark, base=base, half=half, other=other)
+    r = df.select(m.likeness(F.col("base"), F.col("half")).alias("h"), m.likeness(F.col("base"), F.col("other")).alias("o")).first()
+    assert 0.25 < r["h"] < 0.85 and r["h"] > r["o"]
+
+
+def test_many_differing_pieces(spark):
+    """Far over 60,000 differing pieces: the likeness still tells a half from nothing."""
+    base = [f"piece {i}." for i in range(300_000)]
+    other = [f"thing {i}." for i in range(300_000)]
+    df = lanes_of(spark, base="\n".join(base), half="\n".join(base[:150_000] + other[150_000:]), none="\n".join(other))
+    r = df.select(m.likeness(F.col("base"), F.col("half")).alias("h"), m.likeness(F.col("base"), F.col("none")).alias("n")).first()
+    assert abs(r["h"] - 0.5) < 0.2 and r["n"] < 0.3
