@@ -3,14 +3,18 @@
 A text is lower-cased, runs of other characters than letters become one space, and its n-grams of two and three
 characters are hashed to DIMS bins.  A vector holds log(1 + count) * idf, scaled to length one.  Document
 frequencies are counted over all training documents.  Each language's training vectors are clustered by spherical
-k-means into CLUSTERS centroids, fitted on SAMPLE documents a language or so (those with the smallest hash of
-doc_id and text; the share kept is SAMPLE / their number).  A text gets the language of the centroid with the
-largest cosine.  The distance decides on rejection: a text is accepted unless its cosine, relative to
-what a text of its length should reach, is below half the smallest that the language's own sample had.
+k-means into CLUSTERS centroids.  That is fitted on a sample of about SAMPLE documents a language (those with the
+smallest hash of doc_id and text; the share kept is SAMPLE / their number): one half of it makes the centroids, the
+other sets the distance.  A text gets the language of the centroid with the largest cosine.  It is rejected if its cosine,
+relative to what a text of its length should reach, is below that of all but REJECTED of the other half's texts to
+their own languages.  Model.rates tells how many of those are rejected, and how many are accepted if their own language is
+taken away (which tells how alike the languages are).
 
 Defined results.  A null text or one without letters is `und` with score 0 and rejected; so is every text if no
-training document has a language and a letter.  Equal cosines go to the first language in order.  Training
-ignores rows with null lang or doc_id.
+training document has a language and a letter.  Equal cosines go to the first language in order.  Training ignores
+rows with null lang or doc_id; repeated rows count as often as they stand there.  Very long texts are read whole, SPAN
+characters at one time, with the n-grams across.  More than LANGUAGES labels raise ValueError.  If docs has a column
+lang_id, the new one's name gets underscores until it is free.
 """
 
 from __future__ import annotations
@@ -24,12 +28,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import require
+from quern.llm.common import free_name, require
 
 DIMS = 1 << 14
 CLUSTERS = 4
-#: Training documents a language that the clustering sees, about.  The count of documents does not change it.
-SAMPLE = 500
+#: Training documents a language that clustering and rejection see, about.  The count of documents does not change it.
+SAMPLE = 1000
+#: Share of texts in a known language that may be rejected.
+REJECTED = 0.002
+#: Labels of the training documents at most: the driver holds centroids for each.
+LANGUAGES = 1000
 #: n-grams at which a text's cosine is expected to reach 1/sqrt(2) of its limit.
 HALF_LENGTH = 400.0
 #: Characters handled at one time.
@@ -45,21 +53,21 @@ def _letters() -> np.ndarray:
     return _LETTER
 
 
-def _bins(text: str) -> np.ndarray:
-    """The bins of a text's n-grams; empty if it has no letter."""
-    code = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
+def _bins(text: str, tail: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The bins of a span's n-grams, with those that begin in the two codes (or fewer) before it, and the codes for the next."""
+    code = np.frombuffer(text.replace("Σ", "σ").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     code = np.where(_letters()[code], code, np.uint32(32))
-    code = np.concatenate(([np.uint32(32)], code, [np.uint32(32)])).astype(np.uint32)
+    code = np.concatenate((tail, code, [np.uint32(32)] if last else [])).astype(np.uint32)
     keep = np.ones(len(code), bool)
     keep[1:] = (code[1:] != 32) | (code[:-1] != 32)
     code = code[keep]
     if len(code) < 3:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), code
     two = code[:-1] * np.uint32(0x9E3779B1) + code[1:] * np.uint32(0x85EBCA77)
     three = two[:-1] * np.uint32(0xC2B2AE3D) + code[2:] * np.uint32(0x27D4EB2F) + np.uint32(0x165667B1)
-    both = np.concatenate((two, three))
+    both = np.concatenate((two[len(tail) - 1 :], three))
     both ^= both >> np.uint32(15)
-    return (both * np.uint32(0x2C1B3C6D) >> np.uint32(32 - DIMS.bit_length() + 1)).astype(np.int64)
+    return (both * np.uint32(0x2C1B3C6D) >> np.uint32(32 - DIMS.bit_length() + 1)).astype(np.int64), code[-2:]
 
 
 def count_matrix(texts: list[str | None]) -> np.ndarray:
@@ -67,10 +75,13 @@ def count_matrix(texts: list[str | None]) -> np.ndarray:
     out = np.zeros((len(texts), DIMS), np.float32)
     group: list[np.ndarray] = []
     for i, text in enumerate(texts):
+        tail = np.array([32], np.uint32)
         for at in range(0, len(text or ""), SPAN):
-            group.append(_bins(text[at : at + SPAN]) + i * DIMS)
+            bins, tail = _bins(text[at : at + SPAN], tail, at + SPAN >= len(text))
             if len(text) > SPAN:
-                out.reshape(-1)[i * DIMS : (i + 1) * DIMS] += np.bincount(group.pop() - i * DIMS, minlength=DIMS)
+                out[i] += np.bincount(bins, minlength=DIMS)
+            else:
+                group.append(bins + i * DIMS)
     if group:
         out.reshape(-1)[:] += np.bincount(np.concatenate(group), minlength=len(texts) * DIMS)
     return out
@@ -94,7 +105,8 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray  # rows of unit length
     owner: np.ndarray  # each centroid's place in langs
-    least: np.ndarray  # each language's smallest accepted cosine, relative to the expected one
+    least: float = 0.0  # the smallest accepted cosine, relative to the expected one
+    rates: tuple[float, float] = (0.0, 0.0)  # shares rejected of the sample's other half, and accepted without their own language
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Languages, scores and whether each is accepted."""
@@ -113,7 +125,7 @@ class Model:
             some = n > 0
             langs += [self.langs[o] if s else "und" for o, s in zip(own, some)]
             scores[at : at + 64] = np.where(some, top, 0.0)
-            accepted[at : at + 64] = some & (top >= self.least[own] * _expected(np.maximum(n, 1)))
+            accepted[at : at + 64] = some & (top >= self.least * _expected(np.maximum(n, 1)))
         return langs, scores, accepted
 
 
@@ -157,10 +169,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Mode
     df[found.bin.to_numpy(int)] = found.n.to_numpy(float)
     idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1).astype(np.float32)
 
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample / n)))) if sizes else None
     if not sizes:
-        return Model([], idf, np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros(0))
+        return Model([], idf, np.zeros((0, DIMS), np.float32), np.zeros(0, int))
     chance = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / F.lit(float(1 << 53))
     picked = rows.filter(chance < share[F.col("lang")])
 
@@ -177,27 +191,39 @@ def fit(docs: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Mode
     got = picked.mapInArrow(vectors, "doc_id long, lang string, bins array<int>, counts array<float>").toPandas()
     got = got[got.bins.map(len) > 0].sort_values(["lang", "doc_id"], kind="stable")
     langs = sorted(got.lang.unique())
-    centres, owner, least = [], [], []
+    if not langs:
+        return Model([], idf, np.zeros((0, DIMS), np.float32), np.zeros(0, int))
+    centres, owner, others = [], [], []
     for i, lang in enumerate(langs):
         own = got[got.lang == lang]
-        counts = np.zeros((len(own), DIMS), np.float32)
-        for row, bins, n in zip(counts, own.bins, own.counts):
-            row[np.asarray(bins, int)] = n
-        total = counts.sum(axis=1, dtype=np.float64)
-        v = _unit(counts, idf)
-        centre = _cluster(v, clusters)
-        centres.append(centre)
-        owner += [i] * len(centre)
-        least.append(0.5 * float(((v @ centre.T).max(axis=1) / _expected(total)).min()))
-    if not langs:
-        return Model([], idf, np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros(0))
-    return Model(langs, idf, np.concatenate(centres), np.array(owner), np.array(least))
+        for half in (0, 1):
+            part = own.iloc[half::2] if len(own) > 1 else own  # a single document does for both
+            counts = np.zeros((len(part), DIMS), np.float32)
+            for row, bins, n in zip(counts, part.bins, part.counts):
+                row[np.asarray(bins, int)] = n
+            total = counts.sum(axis=1, dtype=np.float64)
+            v = _unit(counts, idf)
+            if half == 0:
+                centres.append(_cluster(v, clusters))
+                owner += [i] * len(centres[-1])
+            else:
+                others.append((i, v, _expected(total)))
+    centroids, of = np.concatenate(centres), np.array(owner)
+    mine, strange = [], []
+    for i, v, expected in others:
+        cos = (v @ centroids.T) / expected[:, None]
+        mine.append(cos[:, of == i].max(axis=1))
+        if len(langs) > 1:
+            strange.append(cos[:, of != i].max(axis=1))
+    near = np.concatenate(mine)
+    least = float(np.quantile(near, REJECTED))
+    rates = float((near < least).mean()), float((np.concatenate(strange) >= least).mean()) if strange else 0.0
+    return Model(langs, idf, centroids, of, least, rates)
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
     """docs with a last column lang_id: struct(lang, score, accepted) of each whole text, whatever its other columns are."""
-    if "lang_id" in docs.columns:
-        raise ValueError("docs has a column lang_id")
+    name = free_name("lang_id", docs.columns)
     at_text = docs.columns.index("text")
     found = T.StructType().add("lang", "string").add("score", "double").add("accepted", "boolean")
     fields = [pa.field("lang", pa.string()), pa.field("score", pa.float64()), pa.field("accepted", pa.bool_())]
@@ -208,8 +234,8 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
                 part = batch.slice(at, 64)
                 lang, score, accepted = model.predict(part.column(at_text).to_pylist())
                 own = pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(accepted)], fields=fields)
-                yield pa.RecordBatch.from_arrays([*part.columns, own], [*names, "lang_id"])
+                yield pa.RecordBatch.from_arrays([*part.columns, own], [*names, name])
 
     names = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))  # names with dots can't be passed on
-    return plain.mapInArrow(of, T.StructType([*docs.schema.fields, T.StructField("lang_id", found)]))
+    return plain.mapInArrow(of, T.StructType([*docs.schema.fields, T.StructField(name, found)]))
