@@ -13,7 +13,8 @@ Features: dimensions and a 64-bit gradient hash of the thumbnail (9 x 8 area mea
 neighbour).
 
 Defined results.  A null text is an empty one.  Payloads are padded with spaces to a positive multiple of ROW
-bytes.  Progressive and arithmetic images raise ValueError.  An empty table gives an empty result.
+bytes.  A very long text is held whole by its task, but encoded and decoded an image (1.6 MB) at a time.  Repeated rows are
+separate media.  Progressive and arithmetic images raise ValueError.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,13 +29,16 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from quern.llm.common import require
+from quern.llm.common import discard, require, stored
 
 ROW = 192
 MAX_ROWS = 8191
-#: Payload bytes handled at one time, but for longer single texts.
+#: Payload bytes handled at one time, but for longer single images.
 SPAN = 1 << 20
+#: Parts in which documents are stored as media and read back, one after the other.
+SLICES = 2
 
 # The zigzag-independent tables of the images written here.
 DC_LENGTHS = (0, 1, 5, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0)
@@ -345,24 +349,38 @@ def thumbnails(images: list[Image]) -> list[np.ndarray]:
     return out
 
 
+def _means(grid: np.ndarray, n: int) -> np.ndarray:
+    """Means of n bands of rows; rows serve several bands where there are fewer."""
+    edges = np.arange(n) * len(grid) // n
+    ends = np.maximum(np.append(edges[1:], len(grid)), edges + 1)
+    return np.stack([grid[a:b].sum(axis=0, dtype=np.float64) / (b - a) for a, b in zip(edges, ends)])
+
+
 def gradient_hash(thumb: np.ndarray) -> str:
     """16 hexadecimal digits."""
-    grid = thumb.astype(np.float64)
-    for axis, n in ((0, 8), (1, 9)):
-        edges = np.arange(n) * grid.shape[axis] // n
-        ends = np.maximum(np.append(edges[1:], grid.shape[axis]), edges + 1)
-        grid = np.add.reduceat(grid, edges, axis=axis) / np.expand_dims(ends - edges, 1 - axis)
+    grid = _means(_means(thumb, 8).T, 9).T
     return np.packbits(grid[:, :-1] < grid[:, 1:]).tobytes().hex()
 
 
 def decode(media: list[bytes]) -> list[tuple[np.ndarray, int, int]]:
-    """For each stream its thumbnail (those of several images one below the other), width and height."""
+    """For each stream its thumbnail (those of several images one below the other), width and height.
+
+    Images are decoded together up to SPAN coded bytes.
+    """
     parsed = [parse(m) for m in media]
-    found = iter(thumbnails([i for own in parsed for i in own]))
-    out = []
+    found: list[np.ndarray] = []
+    group, held = [], 0
+    for image in (i for own in parsed for i in own):
+        size = sum(len(s.data) for s in image.scans)
+        if group and held + size > SPAN:
+            found += thumbnails(group)
+            group, held = [], 0
+        group.append(image)
+        held += size
+    thumbs, out = iter(found + thumbnails(group)), []
     for own in parsed:
-        thumbs = [next(found) for _ in own]
-        out.append((np.concatenate(thumbs) if len(thumbs) > 1 else thumbs[0], own[0].width, sum(i.height for i in own)))
+        mine = [next(thumbs) for _ in own]
+        out.append((np.concatenate(mine) if len(mine) > 1 else mine[0], own[0].width, sum(i.height for i in own)))
     return out
 
 
@@ -386,14 +404,15 @@ def store(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in _spans(batch, "text"):
                 raw = [(t or "").encode() for t in part.column("text").to_pylist()]
-                media = encode([r + b" " * (-len(r) % ROW if r else ROW) for r in raw])
+                padded = [r + b" " * (-len(r) % ROW if r else ROW) for r in raw]
+                media = encode(padded) if len(padded) > 1 else [b"".join(encode([padded[0][i : i + ROW * MAX_ROWS]])[0] for i in range(0, len(padded[0]), ROW * MAX_ROWS))]
                 arrays = [part.column("doc_id"), pa.array([len(r) for r in raw], pa.int64()), pa.array(media, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "media"])
 
     return require(docs, "doc_id", "text").mapInArrow(write, "doc_id long, n_bytes long, media binary")
 
 
-def described(stored: DataFrame) -> DataFrame:
+def described(media: DataFrame) -> DataFrame:
     """doc_id, n_bytes and what is read back from media: payload digests, dimensions and the thumbnail's hash."""
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
@@ -401,13 +420,27 @@ def described(stored: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _spans(batch, "media"):
-                media = part.column("media").to_pylist()
+                streams = part.column("media").to_pylist()
                 rows = []
-                for doc, n, m, (thumb, w, h) in zip(part.column("doc_id").to_pylist(), part.column("n_bytes").to_pylist(), media, decode(media)):
+                for doc, n, m, (thumb, w, h) in zip(part.column("doc_id").to_pylist(), part.column("n_bytes").to_pylist(), streams, decode(streams)):
                     payload = thumb.tobytes()
                     digest = hashlib.sha256(payload).hexdigest()
                     rows.append((doc, n, len(payload), digest, zlib.crc32(payload[-16:]), len(m), hashlib.sha256(m).hexdigest(), gradient_hash(thumb), w, h))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
     schema = ", ".join(f"{n} {'string' if t == pa.string() else 'long'}" for n, t in zip(names, kinds))
-    return stored.mapInArrow(read, schema)
+    return media.mapInArrow(read, schema)
+
+
+def round_trip(docs: DataFrame, slices: int = SLICES) -> DataFrame:
+    """What `described` reads back of the media that `store` has written to the shared folder, one slice at a time.
+
+    A slice's media are removed when their features are stored, so that the disk holds one slice of them.
+    """
+    rows, out = require(docs, "doc_id", "text"), None
+    for i in range(slices):
+        media = stored(store(rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)) == i)), "media")
+        own = stored(described(media), "media-features")
+        discard(media)
+        out = own if out is None else out.union(own)
+    return out

@@ -11,12 +11,11 @@ them (a text begins with <s>):
 
 A document's score is the sum of ln S over its words.
 
-Relations.  Texts are gathered to blocks of about BLOCK words; one pass stores their word ids, each block's words and
-each block's distinct n-grams with counts, so what is exploded is pre-aggregated.  The n-grams are summed by key to the
-count table (partitioned by a hash of the key; those that one text alone can hold are left out, as their c' is 0), and
-joined to it; the counts come back to their block, where the documents' sums are taken.  The join runs in SLICES
-parts of the key space, one after the other, which divides the disk that its shuffle takes.  A frequent n-gram has at most
-one row a block; it meets in a join of plain exchanges, whose partitions Spark splits.
+Relations.  Texts are gathered to blocks of about BLOCK words, stored once as word ids.  Each block explodes to its
+distinct n-grams with counts, so what is shuffled is pre-aggregated; the n-grams are dealt by a hash of the key, summed to
+the count table (those that the corpus holds once are left out, as their c' is 0) and joined to it where they lie;
+the counts come back to their block, where the documents' sums are taken.  SLICES parts of the key space are
+joined one after the other, which divides the disk that the shuffle takes.  A frequent n-gram has one row a block.
 
 Defined results.  A null text has no words: score 0.  Rows with equal or null doc_id are separate documents.  A very
 long text is a block of its own, held in memory by its task.  An empty table gives an empty result.
@@ -28,21 +27,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import require, stored
+from quern.llm.common import partitions, require, stored
 
-ORDER = 3
+ORDER = 2
 ALPHA = 0.4
 SLICES = 2
 #: Words of a block, about.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 STEP = 32
-TABLE = "block long, doc_id long, ids binary, words binary, key long, n long, level int"
-_NAMES = ["block", "doc_id", "ids", "words", "key", "n", "level"]
-_TYPES = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+#: A row for each block: its documents, how many words each has, all their word ids, and the hashes of the words by id.
+TABLE = "block long, docs array<long>, sizes array<long>, ids binary, words binary"
 #: The place of <s> in every block's words.
 START = 0
 
@@ -106,52 +103,65 @@ def _keys(words: np.ndarray, ids: np.ndarray, levels: list) -> list[np.ndarray]:
     return out
 
 
-def blocks(docs: DataFrame, order: int = ORDER, block: int = BLOCK) -> DataFrame:
-    """The stored table: rows of documents (doc_id, ids), of a block's words (words) and of its n-grams (key, n, level)."""
+def blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """TABLE of the documents' words."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 24
-        index, held, sizes, names, total = _Index(), [], [], [], 0
+        index, held, names = _Index(), [], []
 
-        def rows() -> Iterator[pa.RecordBatch]:
-            nonlocal index, held, sizes, names, total, number
+        def row() -> pa.RecordBatch:
+            nonlocal index, held, names, number
             words = np.concatenate((_hashes(iter([b"<s> "]), 1), _hashes(iter(index), len(index))))
-            ids = np.concatenate(held) if held else np.zeros(0, "<u4")
-            n = len(names)
-            cut = np.cumsum([0, *sizes]) * 4
-            raw = ids.tobytes()
-            columns = [pa.array(np.full(n, number)), pa.array(names, pa.int64()), pa.array([raw[a:b] for a, b in zip(cut, cut[1:])], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(n, t) for t in _TYPES[3:6]), pa.array(np.zeros(n, np.int32))], _NAMES)
-            one = [pa.array([number]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([words.tobytes()], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*one, pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([-1], pa.int32())], _NAMES)
-            levels = _levels(ids, np.array(sizes, np.int64), order)
-            for level, (keys, (_, gram, _)) in enumerate(zip(_keys(words, ids, levels), levels), 1):
-                counts = np.bincount(gram, minlength=len(keys))
-                for a in range(0, len(keys), 1 << 16):
-                    k, c = keys[a : a + (1 << 16)].view(np.int64), counts[a : a + (1 << 16)]
-                    none = [pa.nulls(len(k), t) for t in _TYPES[1:4]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), number)), *none, pa.array(k), pa.array(c), pa.array(np.full(len(k), level, np.int32))], _NAMES)
-            index, held, sizes, names, total, number = _Index(), [], [], [], 0, number + 1
+            values = [number, names, [len(x) for x in held], b"".join(x.tobytes() for x in held), words.tobytes()]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+            index, held, names, number = _Index(), [], [], number + 1
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], ["block", "docs", "sizes", "ids", "words"])
 
+        total = 0
         for batch in batches:
             for at in range(0, batch.num_rows, STEP):
                 part = batch.slice(at, STEP)
                 for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
                     found = (text or "").encode().lower().split()
                     names.append(doc)
-                    sizes.append(len(found))
                     held.append(np.fromiter(map(index.__getitem__, found), "<u4", len(found)))
                     total += len(found)
                     if total >= block:
-                        yield from rows()
+                        yield row()
+                        total = 0
         if names:
-            yield from rows()
+            yield row()
 
     return docs.mapInArrow(gather, TABLE)
 
 
+def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word ids, words of each document and word hashes of a block."""
+    return np.frombuffer(row["ids"], "<u4"), np.array(row["sizes"], np.int64), np.frombuffer(row["words"], np.uint64)
+
+
+def exploded(table: DataFrame, order: int, part: int) -> DataFrame:
+    """(block, key, n): the distinct n-grams of each block in one of SLICES parts of the key space."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                ids, sizes, words = _read(row)
+                levels = _levels(ids, sizes, order)
+                for keys, (_, gram, _) in zip(_keys(words, ids, levels), levels):
+                    mine = np.flatnonzero(keys % np.uint64(SLICES) == part)
+                    keys, counts = keys[mine].view(np.int64), np.bincount(gram, minlength=len(keys))[mine]
+                    for a in range(0, len(keys), 1 << 16):
+                        k, n = keys[a : a + (1 << 16)], counts[a : a + (1 << 16)]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), row["block"])), pa.array(k), pa.array(n)], ["block", "key", "n"])
+
+    return table.select("block", "sizes", "ids", "words").mapInArrow(explode, "block long, key long, n long")
+
+
 def _own_counts(doc: np.ndarray, gram: np.ndarray) -> np.ndarray:
     """For each n-gram of a list how often its document holds it there."""
     _, place, n = np.unique(doc * (int(gram.max(initial=0)) + 1) + gram, return_inverse=True, return_counts=True)
@@ -189,32 +199,25 @@ def scored(ids: np.ndarray, sizes: np.ndarray, words: np.ndarray, known: np.ndar
 
 def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_words, seen, score): words, those whose longest n-gram other texts hold, and the sum of ln S."""
-    table = stored(blocks(require(docs, "doc_id", "text"), order, block), "lm-blocks")
-    grams = table.filter("level > 0").select("block", "key", "n", "level")
-    counts = stored(grams.groupBy("key").agg(F.sum("n").alias("c")).filter("c > 1"), "lm-counts")
-    total = grams.filter("level = 1").agg(F.sum("n")).head()[0] or 0
-    texts = table.filter("level = 0 and length(ids) > 0").count()
+    table = stored(blocks(require(docs, "doc_id", "text"), block), "lm-blocks")
+    sizes = table.select(F.explode("sizes").alias("n")).agg(F.sum("n").alias("total"), F.count_if(F.col("n") > 0).alias("texts")).head()
+    total, texts = sizes["total"] or 0, sizes["texts"]
     found = None
     for part in range(SLICES):
-        own = lambda df: df.filter(F.pmod("key", F.lit(SLICES)) == part)
-        some = own(grams).select("block", "key").join(own(counts).hint("shuffle_hash"), "key")
-        some = stored(some.select("block", "key", "c"), "lm-found")
+        grams = exploded(table, order, part).repartition(partitions(table.sparkSession), "key")
+        counts = grams.groupBy("key").agg(F.sum("n").alias("c")).filter("c > 1")
+        some = stored(grams.select("block", "key").join(counts.hint("shuffle_hash"), "key").select("block", "key", "c"), "lm-found")
         found = some if found is None else found.union(some)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        words = left.filter(pa.compute.equal(left.column("level"), -1)).column("words")
-        rows = left.filter(pa.compute.equal(left.column("level"), 0))
-        raw = rows.column("ids").to_pylist()
-        sizes = np.array([len(x) // 4 for x in raw], np.int64)
-        key = right.column("key").to_numpy()
-        up = np.argsort(key)
         names = ["doc_id", "n_words", "seen", "score"]
-        if not len(raw):
+        if not left.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64())], names)
-        vocabulary = np.frombuffer(words[0].as_py(), np.uint64)
-        ids = np.frombuffer(b"".join(raw), "<u4")
-        seen, sums = scored(ids, sizes, vocabulary, key[up], right.column("c").to_numpy()[up], total, texts, order, alpha)
-        return pa.table([rows.column("doc_id"), pa.array(sizes), pa.array(seen), pa.array(sums)], names)
+        row = left.to_pylist()[0]
+        ids, sizes, words = _read(row)
+        key = right.column("key").to_numpy()
+        up = np.argsort(key)
+        seen, sums = scored(ids, sizes, words, key[up], right.column("c").to_numpy()[up], total, texts, order, alpha)
+        return pa.table([pa.array(row["docs"], pa.int64()), pa.array(sizes), pa.array(seen), pa.array(sums)], names)
 
-    left = table.filter("level < 1").select("block", "doc_id", "ids", "words", "level")
-    return left.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, seen long, score double")
+    return table.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, seen long, score double")

@@ -37,28 +37,20 @@ WITH d AS (
                                     '[^\\x20\\x09-\\x0D]+') AS w
   FROM documents),
 t AS MATERIALIZED (
-  SELECT r, i, w, coalesce(lag(w) OVER o, '<s> ') AS v, CASE WHEN i > 1 THEN coalesce(lag(w, 2) OVER o, '<s> ') END AS u
-  FROM (SELECT r, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM d) WINDOW o AS (PARTITION BY r ORDER BY i)),
+  SELECT r, i, w, coalesce(lag(w) OVER (PARTITION BY r ORDER BY i), '<s> ') AS v FROM (SELECT r, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM d)),
 k AS (SELECT count(*) AS n, count(DISTINCT r) AS texts FROM t),
 c1 AS (SELECT w, count(*) AS n FROM t GROUP BY w),
 c2 AS (SELECT v, w, count(*) AS n FROM t GROUP BY v, w),
-c3 AS (SELECT u, v, w, count(*) AS n FROM t WHERE i > 1 GROUP BY u, v, w),
 d1 AS (SELECT r, w, count(*) AS n FROM t GROUP BY r, w),
 d2 AS (SELECT r, v, w, count(*) AS n FROM t GROUP BY r, v, w),
-d3 AS (SELECT r, u, v, w, count(*) AS n FROM t WHERE i > 1 GROUP BY r, u, v, w),
 x AS (
-  SELECT t.r, t.i, t.u, c1.n - d1.n AS w1, c2.n - d2.n AS w2, coalesce(c3.n - d3.n, 0) AS w3,
-         CASE WHEN t.i = 1 THEN (SELECT texts FROM k) - 1 ELSE cv.n - dv.n END AS h2, ch.n - dh.n AS h3
+  SELECT t.r, c1.n - d1.n AS w1, c2.n - d2.n AS w2, CASE WHEN t.i = 1 THEN (SELECT texts FROM k) - 1 ELSE cv.n - dv.n END AS h2
   FROM t JOIN c1 USING (w) JOIN d1 USING (r, w) JOIN c2 USING (v, w) JOIN d2 USING (r, v, w)
-  LEFT JOIN c3 ON t.u = c3.u AND t.v = c3.v AND t.w = c3.w LEFT JOIN d3 ON t.r = d3.r AND t.u = d3.u AND t.v = d3.v AND t.w = d3.w
-  LEFT JOIN c1 cv ON t.v = cv.w LEFT JOIN d1 dv ON t.r = dv.r AND t.v = dv.w
-  LEFT JOIN c2 ch ON t.u = ch.v AND t.v = ch.w LEFT JOIN d2 dh ON t.r = dh.r AND t.u = dh.v AND t.v = dh.w),
+  LEFT JOIN c1 cv ON t.v = cv.w LEFT JOIN d1 dv ON t.r = dv.r AND t.v = dv.w),
 s AS (
-  SELECT r, CASE WHEN i > 1 THEN w3 > 0 ELSE w2 > 0 END AS hit,
-         CASE WHEN w3 > 0 THEN ln(w3::DOUBLE) - ln(h3::DOUBLE)
-              ELSE CASE WHEN i > 1 THEN ln(0.4::DOUBLE) ELSE 0 END
-                   + CASE WHEN w2 > 0 THEN ln(w2::DOUBLE) - ln(h2::DOUBLE)
-                          ELSE ln(0.4::DOUBLE) + ln(greatest(w1, 1)::DOUBLE) - (SELECT ln(n::DOUBLE) FROM k) END END AS s
+  SELECT r, w2 > 0 AS hit,
+         CASE WHEN w2 > 0 THEN ln(w2::DOUBLE) - ln(h2::DOUBLE)
+              ELSE ln(0.4::DOUBLE) + (ln(greatest(w1, 1)::DOUBLE) - (SELECT ln(n::DOUBLE) FROM k)) END AS s
   FROM x)
 SELECT d.doc_id, count(s.s) AS n_words, coalesce(sum(s.hit::INT), 0)::BIGINT AS seen, round(coalesce(sum(s.s), 0), 4) AS score,
        CASE WHEN count(s.s) > 0 THEN round(sum(s.s) / count(s.s), 4) END AS mean_score
@@ -98,7 +90,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jpeg_media.described(jpeg_media.store(_documents(spark, sf_dir)))
+    return jpeg_media.round_trip(_documents(spark, sf_dir))
 
 
 def op6_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
