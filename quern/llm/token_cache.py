@@ -2,29 +2,33 @@
 
 Both supported tokenizers split text beforehand so that no token spans the boundary between a character that is no
 white space and a following space or line feed.  A chunk with what stands before it (a space, a line feed or
-nothing) can thus be encoded once by the `tokenizers` library and looked up afterwards.  Texts where that reasoning
+nothing) can thus be encoded once by the `tokenizers` library and looked up afterwards.  Marks at the end of a chunk
+that follow a letter are a chunk of their own, as both tokenizers part a run of letters from a run of marks; and
+what the word tokenizer makes lower case is so beforehand.  Texts where that reasoning
 does not hold (two white-space characters in a row, for the byte-level tokenizer) are encoded whole.
 
 The memo is an open-addressing table in numpy arrays: chunks of a batch of texts are found, hashed and looked up by
 array operations.  The hash only finds a place: the memo keeps each chunk's bytes, and every chunk that is looked up
 is compared with them.  Where they differ the batch's chunks are encoded without the memo.  Chunks of more than LONGEST bytes are encoded
-each time, so SLOTS bounds the memo in bytes: about 100 MB with the tokenizer.  A worker keeps one encoder for its tasks.
-Long texts are cut before a space or line feed into parts of SPAN bytes (a part without one is longer).
+each time, so SLOTS bounds the memo in bytes: about 200 MB with the tokenizer.  A worker keeps one encoder for its tasks and
+frees it when it has not been used for IDLE seconds, so that it is not held through later stages.  Long texts are cut before a space or line feed into parts of SPAN bytes (a part without one is longer).
 """
 
 from __future__ import annotations
 
 import re
-from collections import ChainMap
+import string
+import threading
+import time
 
 import numpy as np
 
 #: Slots of the memo; it is emptied when three fifths are taken, which costs time and never changes a result.
-SLOTS = 1 << 20
+SLOTS = 1 << 21
 #: Bytes of a chunk that the memo keeps.
 LONGEST = 64
-#: Words without final full stops and commas that are kept by name; likewise.
-STEMS = 100_000
+#: Seconds after which an unused encoder is freed.
+IDLE = 5.0
 #: Bytes of text handled at one time.
 SPAN = 1 << 18
 
@@ -32,6 +36,7 @@ _RUN = re.compile(r"\s\s").search
 _SPACE = re.compile(r"\s").search
 _SHIFT = np.uint64(65 - SLOTS.bit_length())
 _ODD = 0x9E3779B97F4A7C15
+_MARK, _LETTER = (np.isin(np.arange(256), np.frombuffer(x.encode(), np.uint8)) for x in (string.punctuation, string.ascii_letters))
 _ENCODERS: dict[tuple[str, str], "ChunkEncoder"] = {}
 
 
@@ -41,6 +46,20 @@ def _pieces(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)
 
 
+def _without_marks(data: np.ndarray, start: np.ndarray, end: np.ndarray, lead: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Chunks and the places of each text's last, with the marks after a chunk's last letter as chunks of their own."""
+    at = np.maximum.accumulate(np.where(_MARK[data], -1, np.arange(len(data))))[end - 1]  # of an empty chunk: before it
+    # an ASCII letter, or one of those from U+00C0 to U+00FF
+    other = (data[at - 1] == 0xC3) & (data[at] >= 0x80) & (data[at] != 0x97) & (data[at] != 0xB7)
+    cut = (at >= start) & (at + 1 < end) & (_LETTER[data[at]] | other)
+    place = np.arange(len(start)) + np.cumsum(cut) - cut
+    n = len(start) + int(cut.sum())
+    starts, ends, leads = np.empty(n, start.dtype), np.empty(n, end.dtype), np.full(n, 3)
+    starts[place], ends[place], leads[place] = start, np.where(cut, at + 1, end), lead
+    starts[place[cut] + 1], ends[place[cut] + 1] = at[cut] + 1, end[cut]
+    return starts, ends, leads, place[last] + cut[last]
+
+
 class Powers:
     """Prefix hashes: sum of table[byte] * odd**place, so that any slice's hash is a difference, times a power."""
 
@@ -79,11 +98,11 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.byte = kind == "byte"
-        self.stems: dict[str, bytes] = {}
         self.mark = self._ids("\n" if self.byte else "0")
         if len(self.mark) != 1:
             raise ValueError("the separator is not a single token of this vocabulary")
         self.powers = Powers(1)
+        self.used_at = time.monotonic()
         self._clear()
 
     def _clear(self) -> None:
@@ -109,8 +128,8 @@ class ChunkEncoder:
         odd = [not b or own in b or _SPACE(b) is not None for b in bare]
         plain = [w for w, o in zip(words, odd) if not o]
         glue, out = own if self.byte else f" {own} ", []
-        for i in range(0, len(plain), 4000):
-            part = plain[i : i + 4000]
+        for i in range(0, len(plain), 1000):
+            part = plain[i : i + 1000]
             ids = np.asarray(self.tokenizer.encode_batch_fast([glue.join(part)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(ids == self.mark[0])
             if len(cuts) != len(part) - 1:
@@ -121,22 +140,6 @@ class ChunkEncoder:
         done = iter(out)
         return [self.whole(w) if o else next(done) for w, o in zip(words, odd)]
 
-    def _learn(self, words: list[str]) -> list[bytes]:
-        """A letter followed by final full stops or commas is a token boundary, so the word is encoded without them."""
-        if len(self.stems) > STEMS:
-            self.stems.clear()
-        split = []
-        for w in words:
-            stem = w.rstrip(".,")
-            cut = len(stem) < len(w) and stem[-1:].isalpha() and stem[-1:] < "԰"  # letters that every Unicode version has
-            split.append((stem, w[len(stem) :]) if cut else (w, ""))
-        new = list({x for pair in split for x in pair if x and x not in self.stems})
-        fresh = dict(zip(new, self._encode_words(new)))
-        known = ChainMap(fresh, self.stems)
-        out = [known[a] + known[b] if b else known[a] if a else b"" for a, b in split]
-        self.stems.update((x, ids) for x, ids in fresh.items() if len(x) <= LONGEST)
-        return out
-
     def _find(self, key: np.ndarray) -> np.ndarray:
         """The slot that holds each key, or -1."""
         slot = (key >> _SHIFT).astype(np.int64)
@@ -198,6 +201,7 @@ class ChunkEncoder:
             lead[last[:-1] + 1] = 3
         else:
             lead = np.full(len(end), 3)
+        start, end, lead, last = _without_marks(data, start, end, lead, last)
         long = np.flatnonzero(end - start > LONGEST)
         code = np.minimum(end - start, LONGEST + 1) * 4 + lead  # what the memo compares beside the bytes
         key = self.powers.slices(data, start, end) + code.astype(np.uint64) * np.uint64(_ODD)
@@ -234,7 +238,7 @@ class ChunkEncoder:
         before = {1: " ", 2: "", 3: ""}
         words = [before[x] + joined[a:b].decode() for x, a, b in zip(lead.tolist(), start.tolist(), end.tolist())]
         line = np.array(self.mark, "<u4").tobytes()
-        return [line + ids if x == 2 else ids for ids, x in zip(self._learn(words), lead.tolist())]
+        return [line + ids if x == 2 else ids for ids, x in zip(self._encode_words(words), lead.tolist())]
 
     def _plain(self, joined: bytes, start: np.ndarray, end: np.ndarray, lead: np.ndarray, last: np.ndarray) -> list[bytes]:
         """The same without the memo: two chunks of the batch have one key."""
@@ -242,6 +246,7 @@ class ChunkEncoder:
         return [b"".join(ids[a : b + 1]) for a, b in zip(first, last.tolist())]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
+        self.used_at = time.monotonic()
         out: list[list[bytes]] = [[] for _ in texts]
         group: list[tuple[int, bytes]] = []
         held = 0
@@ -255,7 +260,7 @@ class ChunkEncoder:
             if self.byte and _RUN(text):
                 out[i].append(self.whole(text))
                 continue
-            for raw in _parts(text.encode()):
+            for raw in _parts(text.encode() if self.byte else text.encode().lower()):
                 if group and held + len(raw) > SPAN:
                     flush()
                     held = 0
@@ -292,12 +297,26 @@ def _return_memory() -> None:
         pass
 
 
+def _free_idle() -> None:
+    while _ENCODERS:
+        time.sleep(IDLE / 4)
+        for key, code in list(_ENCODERS.items()):
+            if time.monotonic() - code.used_at > IDLE:
+                _ENCODERS.pop(key, None)
+
+
 def encoder(path: str, kind: str) -> ChunkEncoder:
-    """One per worker process and file."""
-    if (path, kind) not in _ENCODERS:
+    """One per worker process and file, freed when it is idle."""
+    found = _ENCODERS.get((path, kind))
+    if found is None:
         _return_memory()
-        _ENCODERS[path, kind] = ChunkEncoder(path, kind)
-    return _ENCODERS[path, kind]
+        found = ChunkEncoder(path, kind)
+        empty = not _ENCODERS
+        _ENCODERS[path, kind] = found
+        if empty:
+            threading.Thread(target=_free_idle, daemon=True).start()
+    found.used_at = time.monotonic()
+    return found
 
 
 def vocabulary_size(path: str) -> int:

@@ -113,3 +113,15 @@ def test_very_long_texts_and_words(path, kind):
 
 def test_empty_table(spark, no_docs):
     assert f.round_trip(spark, no_docs, BYTE, "byte", 0).count() == 0
+
+
+def test_idle_encoders_are_freed(monkeypatch):
+    import time
+
+    from quern.llm import token_cache
+
+    monkeypatch.setattr(token_cache, "IDLE", 0.4)
+    code = token_cache.encoder(BYTE, "byte")
+    assert token_cache.encoder(BYTE, "byte") is code
+    time.sleep(1.2)
+    assert not token_cache._ENCODERS and token_cache.encoder(BYTE, "byte") is not code
