@@ -12,10 +12,11 @@ them (a text begins with <s>):
 A document's score is the sum of ln S over its words.
 
 Relations.  Texts are gathered to blocks of about BLOCK words, stored once as word ids.  Each block explodes to its
-distinct n-grams with counts, so what is shuffled is pre-aggregated; the n-grams are dealt by a hash of the key, summed to
-the count table (those that the corpus holds once are left out, as their c' is 0) and joined to it where they lie;
-the counts come back to their block, where the documents' sums are taken.  SLICES parts of the key space are
-joined one after the other, which divides the disk that the shuffle takes.  A frequent n-gram has one row a block.
+distinct n-grams with counts, so what is shuffled is pre-aggregated; they are dealt by a hash of the key to parts, PART
+of them or so in each, as arrays of keys and counts (a row for each block and part).  A part sums its count table and
+joins the n-grams to it; those that the corpus holds once are left out, as their c' is 0.  The counts come back
+to their block, where the documents' sums are taken.  SLICES parts of the key space are joined one after the other,
+which divides the disk that the shuffle takes.  A frequent n-gram has one entry a block.
 
 Defined results.  A null text has no words: score 0.  Rows with equal or null doc_id are separate documents.  A very
 long text is a block of its own, held in memory by its task.  An empty table gives an empty result.
@@ -37,6 +38,8 @@ ALPHA = 0.4
 SLICES = 2
 #: Words of a block, about.
 BLOCK = 1 << 20
+#: Words of the corpus for each part of the n-grams, about.
+PART = 1 << 19
 STEP = 32
 #: A row for each block: its documents, how many words each has, all their word ids, and the hashes of the words by id.
 TABLE = "block long, docs array<long>, sizes array<long>, ids binary, words binary"
@@ -143,8 +146,9 @@ def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(row["ids"], "<u4"), np.array(row["sizes"], np.int64), np.frombuffer(row["words"], np.uint64)
 
 
-def exploded(table: DataFrame, order: int, part: int) -> DataFrame:
-    """(block, key, n): the distinct n-grams of each block in one of SLICES parts of the key space."""
+def exploded(table: DataFrame, order: int, slice_: int, parts: int) -> DataFrame:
+    """(part, block, keys, counts): the distinct n-grams of each block in one of SLICES slices of the key space, by part."""
+    names = ["part", "block", "keys", "counts"]
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,14 +156,52 @@ def exploded(table: DataFrame, order: int, part: int) -> DataFrame:
                 row = batch.slice(i, 1).to_pylist()[0]
                 ids, sizes, words = _read(row)
                 levels = _levels(ids, sizes, order)
-                for keys, (_, gram, _) in zip(_keys(words, ids, levels), levels):
-                    mine = np.flatnonzero(keys % np.uint64(SLICES) == part)
-                    keys, counts = keys[mine].view(np.int64), np.bincount(gram, minlength=len(keys))[mine]
-                    for a in range(0, len(keys), 1 << 16):
-                        k, n = keys[a : a + (1 << 16)], counts[a : a + (1 << 16)]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), row["block"])), pa.array(k), pa.array(n)], ["block", "key", "n"])
+                keys = _keys(words, ids, levels)
+                counts = np.concatenate([np.bincount(gram, minlength=len(k)) for k, (_, gram, _) in zip(keys, levels)])
+                keys = np.concatenate(keys)
+                mine = np.flatnonzero(keys % np.uint64(SLICES) == slice_)
+                part = (keys[mine] // np.uint64(SLICES) % np.uint64(parts)).astype(np.int64)
+                up = mine[np.argsort(part, kind="stable")]
+                ends = np.cumsum(np.bincount(part, minlength=parts))
+                own = np.flatnonzero(np.diff(ends, prepend=0))
+                cut = list(zip(np.concatenate(([0], ends))[own].tolist(), ends[own].tolist()))
+                keys, counts = keys[up], counts[up].astype("<u4")
+                for at in range(0, len(own), 256):
+                    k, c = ([x[a:b].tobytes() for a, b in cut[at : at + 256]] for x in (keys, counts))
+                    columns = [pa.array(own[at : at + 256]), pa.array(np.full(len(k), row["block"])), pa.array(k, pa.binary()), pa.array(c, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+    return table.select("block", "sizes", "ids", "words").mapInArrow(explode, "part long, block long, keys binary, counts binary")
+
+
+def counted(grams: DataFrame) -> DataFrame:
+    """(block, keys, counts): the n-grams of each block that the corpus holds at least twice, with its counts."""
+
+    def join(rows: list[dict]) -> pa.RecordBatch:
+        keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
+        known, place = np.unique(np.concatenate(keys), return_inverse=True)
+        table = np.bincount(place, weights=np.concatenate([np.frombuffer(r["counts"], "<u4") for r in rows]), minlength=len(known)).astype(np.int64)
+        count, at, out = table[place], 0, []
+        for k in keys:
+            own = count[at : at + len(k)]
+            at += len(k)
+            out.append((k[own > 1].tobytes(), own[own > 1].tobytes()))
+        columns = [pa.array([r["block"] for r in rows]), *(pa.array(c, pa.binary()) for c in zip(*out))]
+        return pa.RecordBatch.from_arrays(columns, ["block", "keys", "counts"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and held[0]["part"] != row["part"]:
+                    yield join(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield join(held)
 
-    return table.select("block", "sizes", "ids", "words").mapInArrow(explode, "block long, key long, n long")
+    dealt = grams.repartition(partitions(grams.sparkSession), "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(joined, "block long, keys binary, counts binary")
 
 
 def _own_counts(doc: np.ndarray, gram: np.ndarray) -> np.ndarray:
@@ -202,11 +244,10 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block: int
     table = stored(blocks(require(docs, "doc_id", "text"), block), "lm-blocks")
     sizes = table.select(F.explode("sizes").alias("n")).agg(F.sum("n").alias("total"), F.count_if(F.col("n") > 0).alias("texts")).head()
     total, texts = sizes["total"] or 0, sizes["texts"]
+    parts = max(1, -(-total // PART))
     found = None
-    for part in range(SLICES):
-        grams = exploded(table, order, part).repartition(partitions(table.sparkSession), "key")
-        counts = grams.groupBy("key").agg(F.sum("n").alias("c")).filter("c > 1")
-        some = stored(grams.select("block", "key").join(counts.hint("shuffle_hash"), "key").select("block", "key", "c"), "lm-found")
+    for slice_ in range(SLICES):
+        some = stored(counted(exploded(table, order, slice_, parts)), "lm-found")
         found = some if found is None else found.union(some)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -215,9 +256,9 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block: int
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64())], names)
         row = left.to_pylist()[0]
         ids, sizes, words = _read(row)
-        key = right.column("key").to_numpy()
+        key, count = (np.frombuffer(b"".join(right.column(c).to_pylist()), np.int64) for c in ("keys", "counts"))
         up = np.argsort(key)
-        seen, sums = scored(ids, sizes, words, key[up], right.column("c").to_numpy()[up], total, texts, order, alpha)
+        seen, sums = scored(ids, sizes, words, key[up], count[up], total, texts, order, alpha)
         return pa.table([pa.array(row["docs"], pa.int64()), pa.array(sizes), pa.array(seen), pa.array(sums)], names)
 
     return table.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, seen long, score double")
