@@ -10,6 +10,9 @@ Documents are dealt by a hash to groups of about GROUP within their source and e
 document; those are dealt to larger groups again, as a reduction tree, until a source has one group.  Its last
 open document is rounded by chance.  Random numbers are hashes of seed, tree level and document, so reruns agree.
 
+Repeated rows are dealt by doc_id, size and text, so one doc_id may have many rows.  The driver computes the targets of at
+most SOURCES sources; more raise ValueError.
+
 Defined results.  A null text has size 0; documents of size 0 are never taken, whatever their rate.
 A null source is a source of its own, last in order.  Repeated rows are separate documents and may differ in
 copies; which of two equal rows gets which is arbitrary and makes no difference.  An empty table gives an empty
@@ -30,6 +33,8 @@ WEIGHTS = (5, 2, 1)
 MAX_RATE = 3
 #: Documents in a group of the first level, and groups joined at each further level.
 GROUP = 256
+#: Sources at most: the driver sees a row of each.
+SOURCES = 1_000_000
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -94,28 +99,32 @@ def _pivot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(*held[0][:-2], held[1], held[0].chance)], columns=rows.columns).astype(rows.dtypes.to_dict())
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_RATE, seed: int = 7, group: int = GROUP) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies): how often each document is taken."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_RATE, seed: int = 7, group: int = GROUP, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, *carry): how often each document is taken; carry names columns that come along."""
     spark = docs.sparkSession
-    rows = require(docs, "doc_id", "text", "source")
-    sized = rows.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"))
-    sized = stored(sized, "mix-sizes")
-    found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
+    rows = require(docs, "doc_id", "text", "source", *carry)
+    size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size")
+    kept = [F.col(c).alias(f"carry{i}") for i, c in enumerate(carry)]
+    sized = stored(rows.select("doc_id", "source", size, F.xxhash64("text").alias("own"), *kept), "mix-sizes")
+    found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(SOURCES + 1).collect()
+    if len(found) > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources")
     goal = targets([(r["source"], r["size"]) for r in found], weights, most)
     plan = spark.createDataFrame(
         [(i, r["source"], r["size"], goal[r["source"]], goal[r["source"]] / r["size"] if r["size"] else 0.0, -(-r["n"] // group)) for i, r in enumerate(found)],
         "source_no int, source string, source_size long, target double, rate double, groups long",
     )
     # one row for each source
-    open_ = sized.join(F.broadcast(plan.withColumnRenamed("source", "own")), F.col("source").eqNullSafe(F.col("own"))).drop("own")
+    open_ = sized.join(F.broadcast(plan.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     copies = F.floor("rate")
     open_ = open_.select("*", copies.alias("whole"), (F.col("rate") - copies).alias("p"))
     settled = None
     level, most_groups = 0, max([-(-r["n"] // group) for r in found], default=1)
-    keys = ["doc_id", "size"]
+    keys = ["doc_id", "size", "own"]
+    named = [f"carry{i}" for i in range(len(carry))]
     while True:
         slot = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), *keys), F.ceil(F.col("groups") / F.lit(group**level))).alias("grp")
-        dealt = open_.select("source_no", slot, "doc_id", "source", "size", "source_size", "target", "rate", "groups", "whole", "p", _chance(seed, level + 100, *keys).alias("chance"))
+        dealt = open_.select("source_no", slot, *named, "own", "doc_id", "source", "size", "source_size", "target", "rate", "groups", "whole", "p", _chance(seed, level + 100, *keys).alias("chance"))
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         dealt = dealt.repartition(n, "source_no", "grp").sortWithinPartitions("source_no", "grp", *keys)
         done = stored(dealt.mapInPandas(_pivot, dealt.schema), "mix-level").drop("chance", "grp")
@@ -127,4 +136,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_RAT
             break
         open_, level = done.filter(is_open), level + 1
     luck = F.when(F.col("p") >= 1, 1).when(F.col("p") <= 0, 0).when(_chance(seed, -1, "doc_id", "source") < F.col("p"), 1).otherwise(0)
-    return settled.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("whole") + luck).otherwise(0).cast("long").alias("copies"))
+    return settled.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("whole") + luck).otherwise(0).cast("long").alias("copies"), *(F.col(n).alias(c) for n, c in zip(named, carry)))

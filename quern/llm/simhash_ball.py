@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import partitions, require, stored
+from quern.llm.common import discard, partitions, require, stored
 
 SEED = 42
 #: Pieces of a long text whose shingles are held as bits at one time.
@@ -151,8 +151,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         new = told.join(jump, "root", "left").select("node", F.least("root", F.coalesce("next", "root")).alias("root"))
         new = stored(new, "labels")
         moved = new.join(labels.withColumnRenamed("root", "was"), "node").filter("root <> was").limit(1).count()
+        discard(told, labels)
         labels = new
         if not moved:
+            discard(both)
             return labels
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
@@ -183,18 +185,26 @@ def near_duplicates(docs: DataFrame, words: int = 3, crowd: int = CROWD) -> Data
 #
 # What meets is joined loosely, by signatures, to groups that hold nearly all pairs of the wanted similarity.  Within
 # a loose group all pairs are compared, those that may be similar by the exact Jaccard similarity of their shingles.
+#
+# Groups of any size are joined without gathering them (`resolved`): a large one is dealt to parts of LIMIT rows, each
+# part is joined on its own, and then each row outside the group's largest class meets all rows of the group, in
+# blocks.  Two rows of different classes are not both of the largest, so no pair is left out.
 
 RECALL = 0.985
-#: Standard deviations by which a pair at the similarity may differ more in 64 bits or in the whole signature.
+#: Standard deviations by which a pair at the similarity may differ more in CHECKED bits or in the whole signature.
 DEVIATIONS = 3.7
+#: By how much less similar texts with one value of a band are joined loosely, so that a crowd of near copies is one
+#: loose group at once; the exact similarity separates them again.
+SLACK = 0.2
 #: Bits of a band: so many, or log2(n) for more texts; then few of its values are held by chance.
-BAND_BITS = 24
+BAND_BITS = 20
 #: Words at least; the similarity is estimated from all bits, with a standard error of 0.03 at 512 bits.
 LEAST_WORDS = 8
-#: Up to one more text than this that share a variant are compared pair by pair on 64 bits, then on whole signatures.
-#: More (chance holders are fewer, by the choice of bits) are a crowd: its whole signatures are gathered, and every
-#: pair that could join two groups is compared.  Of the pairs that agree only a spanning choice is passed on.
+#: Up to one more text than this that share a variant are compared pair by pair on CHECKED bits, then on whole signatures.
+#: More (chance holders are fewer, by the choice of bits) are a crowd: its signatures are joined by `resolved`.
 NEIGHBOURS = 48
+#: Rows of a group that one task gathers.
+LIMIT = 4096
 #: Shingles looked up at one time.
 _AT_ONCE = 22
 
@@ -302,32 +312,92 @@ def _words(column: pa.ChunkedArray | pa.Array, wide: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, wide)
 
 
-def _gathered_links(rows: DataFrame, wide: int, most: int) -> DataFrame:
-    """(a, b): links of roots, from rows (key, root, sig), such that all rows of a key within `most` bits are joined."""
+#: A table of gathered rows -> a function linked(row, rows) that says which rows a row is linked with.
+Judge = Callable[[pa.Table], Callable[[int, np.ndarray], np.ndarray]]
+
+
+def _crossing(kind: np.ndarray, pivots: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows a, b of links that join all kinds which any pair of a pivot and a row links."""
+    kind, (a, b), rows = kind.copy(), ([], []), np.arange(len(kind))
+    for row in pivots.tolist():
+        others = rows[kind != kind[row]]
+        hit = others[linked(row, others)] if len(others) else others
+        if len(hit):
+            kinds, at = np.unique(kind[hit], return_index=True)
+            a += [row] * len(kinds)
+            b += hit[at].tolist()
+            kind[np.isin(kind, kinds)] = kind[row]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _joined(rows: DataFrame, judge: Judge) -> DataFrame:
+    """(a, b): links of roots from rows (key, root, pivot, ...) such that each key's rows are joined: all with all, or pivots with all."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_keys(batches, "key"):
-            key, root = (table.column(c).to_numpy() for c in ("key", "root"))
+            key, root, pivot = (table.column(c).to_numpy() for c in ("key", "root", "pivot"))
             start = _starts(key)
             mixed = np.flatnonzero(np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start))
             if not len(mixed):
                 continue
             a, b = [], []
             for lo, hi in zip(start[mixed].tolist(), np.append(start, len(key))[mixed + 1].tolist()):
-                sig, own = _words(table.column("sig").slice(lo, hi - lo), wide), root[lo:hi]
-                x, y = _spanning(own, lambda row, others: _apart(sig[row], sig[others]) <= most)
+                own, linked = root[lo:hi], judge(table.slice(lo, hi - lo))
+                first = np.flatnonzero(pivot[lo:hi] > 0)
+                x, y = _crossing(own, first, linked) if len(first) else _spanning(own, linked)
                 a.append(own[x])
                 b.append(own[y])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], ["a", "b"])
 
-    dealt = rows.select("key", "root", "sig").repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key")
+    dealt = rows.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key")
     return dealt.mapInArrow(meet, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _small_meetings(key: np.ndarray, fp: np.ndarray, root: np.ndarray, flip: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of whole keys sorted by key, fp: all pairs of rows (a, b) of different roots within `near` bits, and the rows of crowds.
+def resolved(rows: DataFrame, judge: Judge, limit: int = LIMIT) -> DataFrame:
+    """(a, b): links of roots, from rows (key, root, ...), that join all roots which the judge links in some key.
 
-    flip says which bit of its band a row has changed (0: none).  Two values of a band meet as balls in two variants;
+    Rows of one root count as linked.  rows is read up to three times and must be the same each time.
+    """
+    crowd = stored(rows.groupBy("key").count().filter(F.col("count") > limit).select("key", F.ceil(F.col("count") / limit).alias("parts")), "simhash-crowds")
+    names = [c for c in rows.columns if c != "key"]
+    deal = lambda *by: F.pmod(F.xxhash64(*names), *by)  # noqa: E731  copies of a row lie in one part and need not meet
+    mixed = lambda *by: F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", *by)).alias("key")
+    dealt = rows.join(crowd, "key", "left").withColumn("part", deal("parts"))
+    links = stored(_joined(dealt.select(mixed("part"), *names, F.lit(0).alias("pivot")), judge), "simhash-joined")
+    if not crowd.limit(1).count():
+        return links
+    root = components(links).select(F.col("node").alias("root"), F.col("root").alias("next"))
+    left = rows.join(crowd, "key").join(root, "root", "left").withColumn("root", F.coalesce("next", "root")).drop("next")
+    classes = left.groupBy("key", "root").count()
+    sizes = classes.groupBy("key").agg(F.max(F.struct("count", "root")).alias("most"), F.sum("count").alias("n"), F.count(F.lit(1)).alias("classes"))
+    blocks = F.ceil((F.col("n") - F.col("most.count")) / limit).alias("blocks")
+    open_ = stored(sizes.filter("classes > 1").select("key", F.col("most.root").alias("largest"), blocks), "simhash-open")
+    left = left.join(open_, "key")
+    every = left.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("part", deal("parts")).withColumn("pivot", F.lit(0))
+    some = left.filter("root <> largest").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    some = some.withColumn("block", deal("blocks")).withColumn("pivot", F.lit(1))
+    met = every.unionByName(some).select(mixed("part", "block"), *names, "pivot")
+    return links.union(stored(_joined(met, judge), "simhash-crossed"))
+
+
+def _by_signature(wide: int, most: int) -> Judge:
+    """Rows whose signatures differ in `most` bits at most."""
+
+    def judge(table: pa.Table) -> Callable[[int, np.ndarray], np.ndarray]:
+        sig = _words(table.column("sig"), wide)
+        return lambda row, others: _apart(sig[row], sig[others]) <= most
+
+    return judge
+
+
+#: Bits of the first word of a signature by which pairs are told apart where they meet; the bits below hold the flip.
+CHECKED = 56
+
+
+def _small_meetings(key: np.ndarray, root: np.ndarray, tag: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of whole keys sorted by key, node: all pairs of rows (a, b) of different roots within `near` bits, and the rows of crowds.
+
+    The low bits of a tag, the flip, say which bit of its band a row has changed (0: none).  Two values of a band meet as balls in two variants;
     so that each pair counts once, the earlier row must have the smaller flip.  (Equal values met before.)
     """
     start = _starts(key)
@@ -336,13 +406,14 @@ def _small_meetings(key: np.ndarray, fp: np.ndarray, root: np.ndarray, flip: np.
     place = np.arange(len(key)) - np.repeat(start, size)
     crowd = np.repeat(size > NEIGHBOURS + 1, size)
     rows = np.flatnonzero(mixed & ~crowd)
+    flip, word = tag & (1 << 64 - CHECKED) - 1, tag.view(np.uint64) >> np.uint64(64 - CHECKED)
     a, b = [], []
     for s in range(1, NEIGHBOURS + 1):
         rows = rows[place[rows] >= s]
         if not len(rows):
             break
         others = rows - s
-        hit = (root[rows] != root[others]) & (flip[others] < flip[rows]) & (np.bitwise_count((fp[rows] ^ fp[others]).view(np.uint64)) <= near)
+        hit = (root[rows] != root[others]) & (flip[others] < flip[rows]) & (np.bitwise_count(word[rows] ^ word[others]) <= near)
         a.append(others[hit])
         b.append(rows[hit])
     none = [np.zeros(0, np.int64)]
@@ -361,102 +432,95 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(map(xxh64_digest, parts, repeat(SEED))), ">i8").astype(np.int64))
 
 
-def _similar_links(sig: np.ndarray, sets: list[np.ndarray], similarity: float, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (rows a, b) of texts whose sets of shingles have the similarity, of all pairs within `most` bits."""
-    size = np.array([len(x) for x in sets])
-    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    start = np.cumsum(size) - size
-    mark = np.zeros(int(ids.max()) + 1, np.int32)
-
-    def linked(row: int, others: np.ndarray) -> np.ndarray:
-        out = _apart(sig[row], sig[others]) <= most
-        close = np.flatnonzero(out)
-        if not len(close):
+def _by_shingles(wide: int, most: int, similarity: float) -> Judge:
+    """Rows whose sets of shingles have the similarity, of those whose signatures differ in `most` bits at most."""
+
+    def judge(table: pa.Table) -> Callable[[int, np.ndarray], np.ndarray]:
+        sig, sets = _words(table.column("sig"), wide), [np.frombuffer(x, np.int64) for x in table.column("set").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        start = np.cumsum(size) - size
+        mark = np.zeros(int(ids.max()) + 1, np.int32)
+
+        def linked(row: int, others: np.ndarray) -> np.ndarray:
+            out = _apart(sig[row], sig[others]) <= most
+            close = np.flatnonzero(out)
+            if not len(close):
+                return out
+            own = ids[start[row] : start[row] + size[row]]
+            mark[own] = 1
+            for part in np.split(close, np.flatnonzero(np.diff(np.cumsum(size[others[close]]) >> _AT_ONCE)) + 1):
+                texts = others[part]
+                n = size[texts]
+                begin = np.cumsum(n) - n
+                both = np.add.reduceat(mark[ids[np.repeat(start[texts] - begin, n) + np.arange(n.sum())]], begin)
+                out[part] = both >= similarity * (len(own) + n - both) - 1e-9
+            mark[own] = 0
             return out
-        own = ids[start[row] : start[row] + size[row]]
-        mark[own] = 1
-        for part in np.split(close, np.flatnonzero(np.diff(np.cumsum(size[others[close]]) >> _AT_ONCE)) + 1):
-            texts = others[part]
-            n = size[texts]
-            begin = np.cumsum(n) - n
-            both = np.add.reduceat(mark[ids[np.repeat(start[texts] - begin, n) + np.arange(n.sum())]], begin)
-            out[part] = both >= similarity * (len(own) + n - both) - 1e-9
-        mark[own] = 0
-        return out
 
-    return _spanning(np.arange(len(sets)), linked)
+        return linked
+
+    return judge
 
 
 def _exact_roots(loose: DataFrame, docs: DataFrame, words: int, similarity: float, wide: int, most: int) -> DataFrame:
-    """(node, root) of the nodes (fp, sig, digest, root) whose loose groups have several, by exact similarity of their texts."""
+    """(node, root) of the nodes (fp, sig, digest, root) whose loose groups have several, by exact similarity of their texts.
+
+    The shingles of a node are those of the text that its digest names, and stored once.
+    """
     many = loose.join(loose.groupBy("root").count().filter("count > 1").select("root"), "root")
     many = stored(many.select("root", "fp", "sig", "digest"), "simhash-loose")
-    texts = docs.select(F.xxhash64("text").alias("digest"), "text").join(many.select("digest").distinct(), "digest", "left_semi")
+    texts = docs.select(text_digest().alias("digest"), "text").join(many.select("digest").distinct(), "digest", "left_semi")
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One of the equal texts of a task; what is left of them falls to its fingerprint later."""
-        seen: set[int] = set()
+        """The shingles of the texts of a task, without its repeated ones; its memory is bounded by its part of the texts."""
+        seen: set[str] = set()
         for batch in batches:
-            new = [x not in seen and not seen.add(x) for x in batch.column("digest").to_pylist()]
-            yield batch.filter(pa.array(new, pa.bool_()))
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                part = part.filter(pa.array([x not in seen and not seen.add(x) for x in part.column("digest").to_pylist()], pa.bool_()))
+                sets = pa.array([shingles(t, words).tobytes() for t in part.column("text").to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("digest"), sets], ["digest", "set"])
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = np.zeros(0, np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            fp = np.concatenate((last, batch.column("fp").to_numpy()))
-            new = np.concatenate((np.ones(1 - len(last), bool), fp[1:] != fp[:-1]))
-            last, batch = fp[-1:], batch.filter(pa.array(new))
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                sets = pa.array([shingles(t, words).tobytes() for t in part.column("text").to_pylist()], pa.large_binary())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("root", "fp", "sig")), sets], ["root", "fp", "sig", "set"])
-
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_keys(hashed(batches), "root"):
-            root, fp = (table.column(c).to_numpy() for c in ("root", "fp"))
-            start = _starts(root).tolist()
-            a, b = [fp], [fp]
-            for lo, hi in zip(start, [*start[1:], len(root)]):
-                part = table.slice(lo, hi - lo)
-                sets = [np.frombuffer(x, np.int64) for x in part.column("set").to_pylist()]
-                x, y = _similar_links(_words(part.column("sig"), wide), sets, similarity, most)
-                a.append(fp[lo:hi][x])
-                b.append(fp[lo:hi][y])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], ["a", "b"])
+    sets = texts.mapInArrow(once, "digest string, set binary").groupBy("digest").agg(F.any_value("set").alias("set"))
+    rows = many.join(sets, "digest").select(F.col("root").alias("key"), F.col("fp").alias("root"), "sig", "set")
+    rows = stored(rows, "simhash-sets")
+    return components(resolved(rows, _by_shingles(wide, most, similarity)))
 
-    texts = texts.mapInArrow(once, "digest long, text string")
-    dealt = many.join(texts, "digest").select("root", "fp", "sig", "text")
-    dealt = dealt.repartition(partitions(docs.sparkSession), "root").sortWithinPartitions("root", "fp")
-    return components(stored(dealt.mapInArrow(solve, "a long, b long"), "simhash-similar"))
+
+def text_digest() -> Column:
+    """128 bits of a column text; null is a text of its own."""
+    return F.md5(F.concat(F.when(F.col("text").isNull(), "0").otherwise("1"), F.coalesce("text", F.lit(""))))
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, fp, component_id): the smallest doc_id that links of at least the similarity reach, itself included.
+    """(doc_id, digest, group, component_id): the smallest doc_id that links of at least the similarity reach, itself included.
 
-    Texts with one first word of the signature are one node.  A pair meets with the stated recall; a group of copies
-    has many.  Pairs of a loose group are linked by the exact similarity of their shingles.
+    Equal texts (digest) are one node.  group is a number of the component, also where all its doc_ids are null.  A
+    pair meets with the stated recall; a group of copies has many.  Pairs of a loose group are linked by the exact
+    similarity of their shingles.
     """
     rows = require(docs, "doc_id", "text")
     bits, bands = band_plan(rows.count(), similarity)
     wide = max(LEAST_WORDS, 1 + -(-bits * bands // 64))
-    p = bit_share(similarity)
-    near, most = (math.ceil(n * p + DEVIATIONS * math.sqrt(n * p * (1 - p))) for n in (64, 64 * wide))
+    allowed = lambda n, j: math.ceil(n * bit_share(j) + DEVIATIONS * math.sqrt(n * bit_share(j) * (1 - bit_share(j))))
+    near, most, loosely = allowed(CHECKED, similarity), allowed(64 * wide, similarity), allowed(64 * wide, max(similarity - SLACK, 0.0))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 own = [signature(t, words, wide) for t in part.column("text").to_pylist()]
-                fp = np.frombuffer(b"".join(x[:8] for x in own), ">i8").astype(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp), pa.array(own, pa.binary()), part.column("digest")], ["doc_id", "fp", "sig", "digest"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(own, pa.binary()), part.column("digest")], ["doc_id", "sig", "digest"])
 
-    hashed = rows.withColumn("digest", F.xxhash64("text"))
-    prints = stored(hashed.mapInArrow(sign, "doc_id long, fp long, sig binary, digest long"), "simhash-wide")
-    least = F.min(F.struct("sig", "digest"))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), least.alias("x")).select("fp", "least", "x.sig", "x.digest")
-    nodes = stored(nodes, "simhash-nodes")
+    prints = stored(rows.withColumn("digest", text_digest()).mapInArrow(sign, "doc_id long, sig binary, digest string"), "simhash-wide")
+    texts = stored(prints.groupBy("digest").agg(F.min("doc_id").alias("least"), F.any_value("sig").alias("sig")), "simhash-texts")
+    for seed in range(100):  # until no two texts share a number; the first try but for huge corpora
+        nodes = stored(texts.withColumn("fp", F.xxhash64(F.lit(seed), "digest")), "simhash-nodes")
+        if not nodes.groupBy("fp").count().filter("count > 1").limit(1).count():
+            break
+        discard(nodes)
+    discard(texts)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -465,16 +529,21 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
 
     # first those that agree on a whole band; then the balls link only what is not yet linked, so that a crowd of
     # near copies does not meet in all of its bands
-    same = stored(_gathered_links(_band_rows(nodes, bits, bands), wide, most), "simhash-same")
+    same = resolved(_band_rows(nodes, bits, bands), _by_signature(wide, loosely))
     rooted = stored(_rooted(nodes.withColumn("root", F.col("fp")), components(same)), "simhash-rooted")
     met = stored(_ball_meetings(rooted, bits, bands, near), "simhash-meetings")
     a, b = (rooted.select(*(F.col(c).alias(f"{c}_{x}") for c in ("fp", "root", "sig"))) for x in "ab")
     pairs = met.filter("b is not null").select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b")).distinct()
     pairs = pairs.join(a, "fp_a").join(b, "fp_b").select("root_a", "root_b", "sig_a", "sig_b")
-    crowds = met.filter("b is null").select("key", F.col("a").alias("fp")).join(rooted.select("fp", "root", "sig"), "fp")
-    more = pairs.mapInArrow(verify, "root_a long, root_b long").union(_gathered_links(crowds, wide, most)).toDF("a", "b")
+    crowds = met.filter("b is null").select("key", F.col("a").alias("fp")).join(rooted.select("fp", "root", "sig"), "fp").select("key", "root", "sig")
+    more = pairs.mapInArrow(verify, "root_a long, root_b long").union(resolved(crowds, _by_signature(wide, most))).toDF("a", "b")
     loose = stored(_rooted(rooted, components(stored(more.distinct(), "simhash-more"))), "simhash-grouped")
-    return _grouped(prints.select("doc_id", "fp"), nodes.select("fp", "least"), _exact_roots(loose, rows, words, similarity, wide, most))
+    roots = _exact_roots(loose, rows, words, similarity, wide, most)
+    member = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("digest", "least", F.coalesce("root", "fp").alias("group"))
+    member = stored(member, "simhash-members")
+    ids = member.groupBy("group").agg(F.min("least").alias("component_id"))
+    of = stored(member.join(ids, "group").select("digest", "group", "component_id"), "simhash-components")
+    return prints.join(of, "digest").select("doc_id", "digest", "group", "component_id")
 
 
 def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -499,26 +568,28 @@ def _band_rows(nodes: DataFrame, bits: int, bands: int) -> DataFrame:
 
 def _ball_meetings(nodes: DataFrame, bits: int, bands: int, near: int) -> DataFrame:
     """(key, a, b): pairs of nodes (fp, sig, root) to verify that share a variant, and each node of a crowd, b null, with its key."""
-    names = ["key", "fp", "root", "flip"]
+    names = ["key", "fp", "root", "tag"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                keys = _band_keys(part.column("sig").to_pylist(), bits, bands)
-                flip = np.tile(np.arange(keys.shape[1]) % (bits + 1), len(keys))
+                sig = part.column("sig").to_pylist()
+                keys = _band_keys(sig, bits, bands)
+                word = np.frombuffer(b"".join(x[:8] for x in sig), ">u8").astype(np.uint64) & ~np.uint64((1 << 64 - CHECKED) - 1)
+                tag = (word[:, None] | (np.arange(keys.shape[1]) % (bits + 1)).astype(np.uint64)).ravel().view(np.int64)
                 fp, root = (np.repeat(part.column(c).to_numpy(), keys.shape[1]) for c in ("fp", "root"))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), fp, root, flip)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), fp, root, tag)], names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_keys(batches, "key"):
-            key, fp, root, flip = (table.column(c).to_numpy() for c in names)
-            a, b, crowd = _small_meetings(key, fp, root, flip, near)
+            key, fp, root, tag = (table.column(c).to_numpy() for c in names)
+            a, b, crowd = _small_meetings(key, root, tag, near)
             pairs = np.unique(np.stack((fp[a], fp[b]), axis=1), axis=0)
             other = pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(crowd), pa.int64())])
             keys = np.concatenate((np.zeros(len(pairs), np.int64), key[crowd]))
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate((pairs[:, 0], fp[crowd]))), other], ["key", "a", "b"])
 
-    dealt = nodes.select("fp", "sig", "root").repartition(partitions(nodes.sparkSession)).mapInArrow(emit, "key long, fp long, root long, flip long")
+    dealt = nodes.select("fp", "sig", "root").repartition(partitions(nodes.sparkSession)).mapInArrow(emit, "key long, fp long, root long, tag long")
     dealt = dealt.repartition(partitions(nodes.sparkSession), "key").sortWithinPartitions("key", "fp")
     return dealt.mapInArrow(meet, "key long, a long, b long")

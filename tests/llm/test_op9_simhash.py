@@ -180,3 +180,24 @@ def test_lone_pairs_at_the_similarity_are_found_and_others_are_not(rows):
     linked = [got[2 * i + 1] == 2 * i for i in range(400)]
     assert not any(x for x, y in zip(linked, similar) if not y)
     assert sum(linked) >= 0.96 * sum(similar)
+
+
+def test_large_groups_are_joined_in_parts(rows, monkeypatch):
+    """Links within parts, and those that only a pivot finds, equal all pairs: chains over numbers that differ by at most 2."""
+    rng = random.Random(9)
+    groups = {7: sorted(rng.sample(range(1000), 420)), 8: list(range(0, 900, 3)), 9: [0, 1, 5]}
+    table = rows("key long, root long, sig binary", *((k, 1000 * k + v, v.to_bytes(8, "little")) for k, own in groups.items() for v in own))
+
+    def judge(part):
+        value = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.int64)
+        return lambda row, others: np.abs(value[others] - value[row]) <= 2
+
+    want = {}
+    for k, own in groups.items():
+        root = own[0]
+        for before, v in zip([own[0], *own], own):
+            root = v if v - before > 2 else root
+            want[1000 * k + v] = 1000 * k + root
+    for limit in (16, 64, 10_000):
+        got = {r["node"]: r["root"] for r in s.components(s.resolved(table, judge, limit)).collect()}
+        assert {v: got.get(v, v) for v in want} == want
