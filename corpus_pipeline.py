@@ -8,8 +8,8 @@ mixing        sources are mixed to their target weights: a document is repeated
 packing       token ids are cut into pieces and packed into sequences of 2048
 
 Every stage but the last returns the columns of documents.  Rows with equal doc_id are separate documents; near_dedup
-keeps those whose doc_id is some group's smallest, and of equal texts among them one.  Nulls: a null text
-is rejected by language_id; null doc_ids form no group's smallest id unless all are null.
+keeps one row of each group: of its smallest doc_id the text with the smallest digest.  Nulls: a null text is
+rejected by language_id; a null doc_id is no group's smallest unless all are null.
 """
 
 from __future__ import annotations
@@ -31,8 +31,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = simhash_ball.similar_documents(docs, words=5, similarity=0.8)
-    kept = stored(groups.filter("doc_id <=> component_id").select("doc_id").distinct(), "kept")
-    once = require(docs, *COLUMNS).withColumn("digest", F.xxhash64("text")).join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
+    kept = stored(groups.groupBy("group").agg(first).select(F.col("first.doc_id").alias("kept_id"), F.col("first.digest").alias("kept_digest")), "kept")
+    rows = require(docs, *COLUMNS).withColumn("digest", simhash_ball.text_digest())
+    once = rows.join(kept, (F.col("digest") == F.col("kept_digest")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
     return once.dropDuplicates(["doc_id", "digest"]).select(COLUMNS)
 
 
@@ -42,10 +44,10 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = require(docs, *COLUMNS).withColumn("row", F.xxhash64(*COLUMNS))
-    taken = pivotal_mix.mix(rows.select(F.col("row").alias("doc_id"), "text", "source"))
-    taken = stored(taken.groupBy(F.col("doc_id").alias("row")).agg(F.sum("copies").alias("copies")).filter("copies > 0"), "taken")
-    # equal rows are one here and share their copies
+    row = F.sha2(F.to_json(F.struct(*COLUMNS)), 256)  # equal rows are one here and share their copies
+    rows = require(docs, *COLUMNS).withColumn("row", row)
+    taken = pivotal_mix.mix(rows, carry=("row",))
+    taken = stored(taken.groupBy("row").agg(F.sum("copies").alias("copies")).filter("copies > 0"), "taken")
     return rows.dropDuplicates(["row"]).join(taken, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(COLUMNS)
 
 
