@@ -6,7 +6,7 @@ away a paragraph is adding or subtracting one vector (`combine`).  The vector ha
 
 * identity: IDENTITY lanes modulo 2**32, hashed from the paragraph's SHA-512.  Two documents with equal lanes
   hold the same multiset of paragraphs (but for collisions of that digest or of sums of random lanes).
-* likeness: LEVELS x CELLS lanes modulo 2**16.  Each piece of the paragraph adds a value to the one cell that
+* likeness: LEVELS x CELLS lanes modulo 2**16, of which those that are not 0 are listed.  Each piece of the paragraph adds a value to the one cell that
   its hash names; level i takes a 2**-(i+1) part of all pieces, the last level the rest.  Two fingerprints
   differ in a cell if some piece there is in one and not in the other, so the share of differing cells of a
   level tells how many pieces differ (linear counting).  The last level fills up beyond 10**9 pieces, more than the
@@ -63,8 +63,8 @@ def _entries(text: Column) -> Column:
     """For each piece, ascending: its cell * 2**16 + its value."""
 
     def entry(h: Column) -> Column:
-        level = sum((h.bitwiseAND(F.lit((1 << i) - 1)) == 0).cast("long") for i in range(1, LEVELS))
-        cell = F.pmod(F.shiftrightunsigned(h, 40), F.lit(CELLS)) + level * CELLS
+        level = F.least(F.bit_count(F.bitwise_not(h).bitwiseAND(h - 1)), F.lit(LEVELS - 1))  # zeros at the end
+        cell = F.pmod(F.shiftrightunsigned(h, 40), F.lit(CELLS)) + level.cast("long") * CELLS
         return F.shiftleft(cell, 16) + F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(_16)).bitwiseOR(F.lit(1))
 
     return F.array_sort(F.transform(F.transform(_pieces(text), lambda s: F.xxhash64(s)), entry))
@@ -81,24 +81,20 @@ def _identity(digests: Column) -> Column:
 
 
 def _cells(entries: Column) -> Column:
-    """LEVELS * CELLS sums, from entries in ascending order: a cell's sum is written when the next cell begins."""
+    """The sums that are not 0, as cell * 2**16 + sum, ascending, from entries in ascending order."""
     nothing = F.array().cast("array<long>")
     zero = F.struct(F.lit(-1).cast("long").alias("cell"), F.lit(0).cast("long").alias("total"), nothing.alias("done"))
-    zeros = lambda n: F.array_repeat(F.lit(0).cast("long"), n.cast("int"))
+
+    def written(s: Column) -> Column:
+        return F.when(s["total"] == 0, s["done"]).otherwise(F.concat(s["done"], F.array(F.shiftleft(s["cell"], 16) + s["total"])))
 
     def step(s: Column, x: Column) -> Column:
         cell, value = F.shiftrightunsigned(x, 16), x.bitwiseAND(F.lit(_16))
         same = s["cell"] == cell
-        gap = zeros(cell - s["cell"] - 1)
-        done = F.when(same, s["done"]).when(s["cell"] < 0, gap).otherwise(F.concat(s["done"], F.array(s["total"]), gap))
         total = F.when(same, (s["total"] + value).bitwiseAND(F.lit(_16))).otherwise(value)
-        return F.struct(cell.alias("cell"), total.alias("total"), done.alias("done"))
-
-    def finish(s: Column) -> Column:
-        written = F.when(s["cell"] < 0, nothing).otherwise(F.concat(s["done"], F.array(s["total"])))
-        return F.concat(written, zeros(F.lit(LEVELS * CELLS) - F.size(written)))
+        return F.struct(cell.alias("cell"), total.alias("total"), F.when(same, s["done"]).otherwise(written(s)).alias("done"))
 
-    return F.aggregate(entries, zero, step, finish)
+    return F.aggregate(entries, zero, step, written)
 
 
 def with_lanes(df: DataFrame, **texts: str) -> DataFrame:
@@ -121,44 +117,43 @@ def with_lanes(df: DataFrame, **texts: str) -> DataFrame:
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """Lanes of both documents' paragraphs together (sign 1), or of a's without b's (sign -1)."""
-
-    def sums(name: str, mask: int) -> Column:
-        return F.zip_with(a[name], b[name], lambda x, y: (x + sign * y).bitwiseAND(F.lit(mask))).alias(name)
-
-    return F.struct(sums("identity", _32), sums("cells", _16), (a["pieces"] + sign * b["pieces"]).alias("pieces"))
+    identity = F.zip_with(a["identity"], b["identity"], lambda x, y: (x + sign * y).bitwiseAND(F.lit(_32)))
+    other = b["cells"] if sign > 0 else F.transform(b["cells"], lambda x: x + (1 << 16) - 2 * x.bitwiseAND(F.lit(_16)))
+    return F.struct(identity.alias("identity"), _cells(F.array_sort(F.concat(a["cells"], other))).alias("cells"), (a["pieces"] + sign * b["pieces"]).alias("pieces"))
 
 
 def to_hex(v: Column) -> Column:
-    """Identity lanes (8 digits each), cells (4 each) and the count of pieces (8), as one string."""
+    """Identity lanes (8 digits each), cells that are not 0 (8 each: the cell's number and its sum) and the count of pieces (8), as one string."""
 
     def digits(array: Column, n: int) -> Column:
         return F.array_join(F.transform(array, lambda x: F.lpad(F.lower(F.hex(x)), n, "0")), "")
 
-    return F.concat(digits(v["identity"], 8), digits(v["cells"], 4), F.lpad(F.lower(F.hex(v["pieces"])), 8, "0"))
+    return F.concat(digits(v["identity"], 8), digits(v["cells"], 8), F.lpad(F.lower(F.hex(v["pieces"])), 8, "0"))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1; exactly 1 where the identity lanes are equal, below 1 elsewhere."""
-    differing = F.zip_with(a["cells"], b["cells"], lambda x, y: (x != y).cast("int"))
-    levels = F.transform(
-        F.sequence(F.lit(LEVELS - 1), F.lit(0), F.lit(-1)),
-        lambda i: F.struct(i.alias("i"), F.aggregate(F.slice(differing, i * CELLS + 1, CELLS), F.lit(0), lambda s, x: s + x).alias("n")),
-    )
-    zero = F.struct(F.lit(0.0).alias("found"), F.lit(0.0).alias("share"), F.lit(True).alias("usable"))
+    apart = F.concat(F.array_except(a["cells"], b["cells"]), F.array_except(b["cells"], a["cells"]))
+    differing = F.reverse(F.array_sort(F.array_distinct(F.transform(apart, lambda x: F.shiftrightunsigned(x, 16).cast("int")))))
+    counted = lambda n: -F.log1p(-n / F.lit(float(CELLS))) * CELLS
+    # from the level with the fewest pieces down, until one is too full to be counted by
+    zero = F.struct(F.lit(LEVELS).alias("level"), F.lit(0).alias("n"), F.lit(0.0).alias("found"), F.lit(False).alias("full"))
 
     def step(s: Column, x: Column) -> Column:
-        """From the level with the fewest pieces down, until one is too full to be counted by."""
-        usable = s["usable"] & (x["n"] <= CELLS - 2)
-        found = -F.log1p(-x["n"] / F.lit(float(CELLS))) * CELLS
-        share = F.pow(F.lit(0.5), F.least(x["i"] + 1, F.lit(LEVELS - 1)))
-        return F.struct(
-            (s["found"] + F.when(usable, found).otherwise(0.0)).alias("found"),
-            (s["share"] + F.when(usable, share).otherwise(0.0)).alias("share"),
-            usable.alias("usable"),
-        )
+        level = F.floor(x / CELLS).cast("int")
+        same = s["level"] == level
+        n = F.when(same, s["n"] + 1).otherwise(1)
+        new = F.struct(level.alias("level"), n.alias("n"), F.when(same, s["found"]).otherwise(s["found"] + counted(s["n"])).alias("found"), (n > CELLS - 2).alias("full"))
+        return F.when(s["full"], s).otherwise(new)
 
     both = a["pieces"] + b["pieces"]
-    near = F.aggregate(levels, zero, step, lambda s: F.when((both > 0) & (s["share"] > 0), 1 - s["found"] / s["share"] / both).otherwise(0.0))
+
+    def finish(s: Column) -> Column:
+        found = F.when(s["full"], s["found"] * F.pow(F.lit(2.0), s["level"] + 1)).otherwise(s["found"] + counted(s["n"]))
+        whole = F.when(s["full"] & (s["level"] == LEVELS - 1), F.lit(None)).otherwise(found)
+        return F.when(both > 0, 1 - whole / both)
+
+    near = F.coalesce(F.aggregate(differing, zero, step, finish), F.lit(0.0))
     near = F.greatest(F.lit(0.0), F.least(near, F.lit(1 - 2.0**-20)))
     return F.when(a["identity"] == b["identity"], F.lit(1.0)).otherwise(near)
 
