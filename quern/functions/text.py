@@ -37,6 +37,17 @@ def tokens(text: Column) -> Column:
     return F.flatten(F.transform(words, forms))
 
 
+def bag(text: Column) -> Column:
+    """The same tokens in another order: by patterns over the whole text, which is much faster than word by word."""
+    lower = F.lower(text)
+    words = F.regexp_extract_all(lower, F.lit(rf"[{WORD}]{{2,}}|\p{{Nd}}"), F.lit(0))
+    long_ = F.regexp_extract_all(lower, F.lit(rf"(?<![{WORD}])(?!\p{{Nd}}+(?![{WORD}]))[{WORD}]{{5}}(?=[{WORD}])"), F.lit(0))
+    stems = F.transform(long_, lambda x: F.concat(F.lit("#"), x))
+    cjk = F.filter(words, lambda t: t.rlike("[一-鿿]") & (F.char_length(t) >= 2))
+    pairs = F.flatten(F.transform(cjk, lambda t: F.transform(F.sequence(F.lit(1), F.char_length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))))
+    return F.concat(words, stems, F.when(lower.rlike("[一-鿿]"), pairs).otherwise(F.array().cast("array<string>")))
+
+
 def years(text: Column) -> Column:
     """Years 1960 to 2029 that stand alone, in order."""
     return F.transform(F.regexp_extract_all(text, F.lit(YEAR), F.lit(1)), lambda y: y.cast("int"))

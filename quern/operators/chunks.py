@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,18 +50,31 @@ def chunked(docs: DataFrame, most: int = MAX_CHARS, overlap: int = OVERLAP, head
 def lines(docs: DataFrame) -> DataFrame:
     """(id, line_no, start, line): lines from 1 with the offset of their first character; any line end is one of LINE_END.
 
-    Offsets are of the text whose line ends are one character each (CRLF counts two).
+    Offsets count characters of the text as it stands (CRLF counts two).  Each text is cut in one pass.
     """
-    text = F.col("text")
-    parts, ends = F.split(text, LINE_END), F.regexp_extract_all(text, F.lit(f"({LINE_END})"), F.lit(1))
-    sizes = F.zip_with(F.transform(parts, lambda p: F.char_length(p)), F.transform(ends, lambda e: F.char_length(e)), lambda a, b: a + F.coalesce(b, F.lit(0)))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
-    starts = F.aggregate(sizes, zero, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")), lambda s: s["all"])
-    zipped = F.filter(F.transform(F.arrays_zip(parts.alias("line"), starts.alias("start")), lambda x: x), lambda x: x.isNotNull())
-    each = docs.select("id", F.posexplode(zipped).alias("pos", "x"), F.size(parts).alias("n"))
-    # a final line end opens no further line
-    each = each.filter((F.col("pos") < F.col("n") - 1) | (F.col("x.line") != ""))
-    return each.select("id", (F.col("pos") + 1).alias("line_no"), F.col("x.start").alias("start"), F.col("x.line").alias("line"))
+    end = re.compile(LINE_END.replace(r"\x{85}", "\x85").replace(r"\x{2028}", "\u2028").replace(r"\x{2029}", "\u2029"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                ids, number, start, line = [], [], [], []
+                for i, text in enumerate(part.column("text").to_pylist()):
+                    begin, own = 0, []
+                    for m in end.finditer(text or ""):
+                        own.append((begin, m.start()))
+                        begin = m.end()
+                    if begin < len(text or ""):  # a final line end opens no further line
+                        own.append((begin, len(text)))
+                    ids += [i] * len(own)
+                    number += range(1, len(own) + 1)
+                    start += [a for a, _ in own]
+                    line += [text[a:b] for a, b in own]
+                columns = [part.column("id").take(pa.array(ids, pa.int64())), pa.array(number, pa.int32()), pa.array(start, pa.int32()), pa.array(line, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "line_no", "start", "line"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", "text").mapInArrow(cut, f"id {kind}, line_no int, start int, line string")
 
 
 def section_spans(docs: DataFrame, heading: str = HEADING) -> DataFrame:

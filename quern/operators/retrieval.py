@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.temporal import multiplier
-from quern.functions.text import normal, source_id, tokens
+from quern.functions.text import bag, normal, source_id
+from quern.tables import stored
 
 K1, B = 1.5, 0.75
 TITLE_YEAR_BOOST = 1.25
@@ -22,17 +23,23 @@ PARAMETER_KEYWORDS = (
 )
 
 
-def corpus_stats(corpus: DataFrame) -> DataFrame:
-    """One row (n, avg_length): passages and their mean number of tokens."""
-    return corpus.select(F.size(tokens(F.col("text"))).alias("l")).agg(F.count("l").alias("n"), F.avg("l").alias("avg_length"))
-
+def postings(corpus: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, length, term, tf), stored: of given terms only where there are some.  Each passage has a row of term '' too.
 
-def term_frequencies(corpus: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(chunk_id, length, term, tf), of given terms only where there are some; counted in each task before the shuffle."""
-    each = corpus.select("chunk_id", tokens(F.col("text")).alias("t")).select("chunk_id", F.size("t").alias("length"), F.explode("t").alias("term"))
+    Texts are tokenised once; term frequencies, document frequencies and lengths all come from this table.
+    """
+    each = corpus.select("chunk_id", bag(F.col("text")).alias("t"))
+    each = each.select("chunk_id", F.size("t").alias("length"), F.explode(F.concat("t", F.array(F.lit("")))).alias("term"))
     if terms is not None:
-        each = each.join(terms, "term", "left_semi")
-    return each.groupBy("chunk_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+        asked = terms.select("term").distinct()
+        each = each.join(asked.union(asked.sparkSession.createDataFrame([("",)], "term string")), "term", "left_semi")
+    counted = each.groupBy("chunk_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return stored(counted, "postings")
+
+
+def corpus_stats(posted: DataFrame) -> DataFrame:
+    """One row (n, avg_length): passages and their mean number of tokens."""
+    return posted.filter("term = ''").agg(F.count("length").alias("n"), F.avg("length").alias("avg_length"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -41,13 +48,13 @@ def idf(n: Column, df: Column) -> Column:
 
 def bm25(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score): sums over a query's distinct terms, to six decimals."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    postings = term_frequencies(corpus, asked.select("term").distinct())
-    weights = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(corpus_stats(corpus)))
+    asked = queries.select("query_id", F.explode(F.array_distinct(bag(F.col("query")))).alias("term"))
+    posted = postings(corpus, asked)
+    found = posted.filter("term <> ''")
+    weights = found.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(corpus_stats(posted)))
     terms = asked.join(weights.select("term", idf(F.col("n"), F.col("df")).alias("idf"), "avg_length"), "term")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    found = postings.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return found
+    return found.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def boosted(scores: DataFrame, corpus: DataFrame, queries: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
@@ -111,6 +118,18 @@ def reranked(pool: DataFrame, chunk_vectors: DataFrame, query_vectors: DataFrame
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def retrieved(corpus: DataFrame, queries: DataFrame, chunk_vectors: DataFrame, query_vectors: DataFrame, mode: str, k: int, metadata: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, rank) of one mode: bm25, dense or hybrid.
+
+    The pool is BM25's best (time-aware with metadata), POOL of them at least; dense and hybrid order it by vectors.  With
+    metadata the year's parameter passage is put at rank 2.
+    """
+    pool = top(boosted(bm25(corpus, queries), corpus, queries, metadata), max(POOL, k))
+    best = pool.filter(F.col("rank") <= k) if mode == "bm25" else reranked(pool, chunk_vectors, query_vectors, mode, k)
+    best = best.select("query_id", "chunk_id", "score", "rank")
+    return best if metadata is None else injected(best, queries, parameter_passages(corpus, metadata), k)
+
+
 def _blocks(vectors: DataFrame, size: int) -> DataFrame:
     """(ids, values): up to `size` vectors a row as bytes, scaled to length one."""
     import numpy as np

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import quoted
-from quern.operators.chunks import lines, section_spans
+from quern.operators.chunks import LINE_END, lines, section_spans
+from quern.tables import stored
 
 EXCERPT, HITS, BUDGET, SECTIONS, MOST_LINES, MOST_CHARS = 1200, 6, 10_000, 40, 400, 40_000
 
@@ -32,42 +33,59 @@ def matches_all(text: Column, patterns: list[str]) -> Column:
 
 
 def find(docs: DataFrame, query: str) -> DataFrame:
-    """(id, line_no, rank, last_line, excerpt): rank 0 the phrase on a line, 1 all terms on it, 2 all in three lines.
+    """(id, line_no, rank, start, end, start_line, last_line, excerpt): rank 0 the phrase on a line, 1 all terms on it, 2 all in three lines.
 
-    An excerpt is the line or lines, with a neighbour on each side where all fit in EXCERPT characters.
+    An excerpt is the line or lines with the neighbours on each side that fit whole in EXCERPT characters; of longer ones
+    EXCERPT characters from shortly before the match.  One that lacks a term then is no hit.  Documents without all
+    terms are left out before any line is cut.
     """
     patterns = query_patterns(query)
-    rows = lines(docs)
+    docs = docs.filter(matches_all(F.col("text"), patterns))
     order = Window.partitionBy("id").orderBy("line_no")
-    rows = rows.withColumns({"n1": F.lead("line", 1).over(order), "n2": F.lead("line", 2).over(order), "p1": F.lag("line", 1).over(order)})
+    ahead = {f"s{i}": F.lead("start", i).over(order) for i in (1, 2, 3, 4)} | {f"n{i}": F.lead("line", i).over(order) for i in (1, 2)}
+    rows = lines(docs).withColumns(ahead | {"before": F.lag("start", 1).over(order)})
     three = F.concat_ws("\n", "line", "n1", "n2")
     phrase = F.lower("line").contains(query.strip().lower())
     rank = F.when(phrase & matches_all(F.col("line"), patterns), 0).when(matches_all(F.col("line"), patterns), 1).when(matches_all(three, patterns), 2)
-    rows = rows.withColumn("rank", rank).filter("rank is not null")
-    own = F.when(F.col("rank") == 2, three).otherwise(F.col("line"))
-    after = F.when(F.col("rank") == 2, F.lit(None).cast("string")).otherwise(F.col("n1"))
-    wide = F.concat_ws("\n", "p1", own, after)
-    excerpt = F.when(F.char_length(wide) <= EXCERPT, wide).otherwise(F.substring(own, 1, EXCERPT))
-    return rows.select("id", "line_no", "rank", F.when(F.col("rank") == 2, F.col("line_no") + 2).otherwise(F.col("line_no")).alias("last_line"), excerpt.alias("excerpt"))
+    rows = rows.withColumn("rank", rank).filter("rank is not null").select("id", "line_no", "rank", "start", "before", *ahead)
+    rows = rows.drop("n1", "n2").join(docs.select("id", "text"), "id").withColumn("size", F.char_length("text"))
+    # where the core lines end, and the line after them
+    end = F.coalesce(F.when(F.col("rank") == 2, F.col("s3")).otherwise(F.col("s1")), F.col("size"))
+    after = F.when(end < F.col("size"), F.coalesce(F.when(F.col("rank") == 2, F.col("s4")).otherwise(F.col("s2")), F.col("size")))
+    rows = rows.withColumns({"core": end, "after": after})
+    part = lambda a, b: F.substring(F.col("text"), a + 1, b - a)
+    first = F.array_min(F.array(*(F.regexp_instr(part(F.col("start"), F.col("core")), F.lit(p)) for p in patterns))) - 1 if patterns else F.lit(0)
+    first = F.when(F.col("rank") == 0, F.instr(F.lower(part(F.col("start"), F.col("core"))), query.strip().lower()) - 1).otherwise(first)
+    long_ = F.col("core") - F.col("start") > EXCERPT
+    wide = F.when(F.col("core") - F.col("before") <= EXCERPT, F.col("before"))
+    begin = F.when(long_, F.greatest(F.col("start"), F.col("start") + first - 100)).otherwise(F.coalesce(wide, F.col("start")))
+    rows = rows.withColumn("begin", begin)
+    stop = F.when(long_, F.least(F.col("core"), F.col("begin") + EXCERPT)).otherwise(F.coalesce(F.when(F.col("after") - F.col("begin") <= EXCERPT, F.col("after")), F.col("core")))
+    rows = rows.withColumn("stop", stop).withColumn("excerpt", part(F.col("begin"), F.col("stop"))).filter(matches_all(F.col("excerpt"), patterns))
+    line_of = lambda at: (F.regexp_count(F.substring(F.col("text"), F.lit(1), at), F.lit(LINE_END)) + 1).cast("int")
+    return rows.select(
+        "id", "line_no", "rank", F.col("begin").alias("start"), F.col("stop").alias("end"), line_of(F.col("begin")).alias("start_line"), line_of(F.col("stop") - 1).alias("last_line"), "excerpt"
+    )
 
 
 def best_hits(found: DataFrame, hits: int = HITS, budget: int = BUDGET) -> DataFrame:
     """The first hits by rank, id, line that do not overlap an earlier one and fit a budget of JSON characters together.
 
-    Candidates are cut to those that can be among them before the sequential choice, so it sees few rows.
+    Each is the least of all that still may follow, so no candidate is cut off; the driver sees the chosen ones only.
     """
-    order = Window.orderBy("rank", "id", "line_no")
-    pool = found.orderBy("rank", "id", "line_no").limit(hits * 8)
-    pool = pool.withColumn("cost", F.char_length(F.to_json(F.struct("id", "line_no", "excerpt"))))
-    rows = pool.withColumn("pos", F.row_number().over(order)).agg(F.array_sort(F.collect_list(F.struct("pos", "id", "line_no", "last_line", "rank", "excerpt", "cost"))).alias("all"))
-    start = F.struct(F.lit(0).alias("used"), F.slice("all", 1, 0).alias("kept"))
-
-    def step(s: Column, x: Column) -> Column:
-        overlaps = F.exists(s["kept"], lambda k: (k["id"] == x["id"]) & (k["line_no"] <= x["last_line"]) & (x["line_no"] <= k["last_line"]))
-        take = ~overlaps & (F.size(s["kept"]) < hits) & (s["used"] + x["cost"] <= budget)
-        return F.struct(F.when(take, s["used"] + x["cost"]).otherwise(s["used"]).alias("used"), F.when(take, F.concat(s["kept"], F.array(x))).otherwise(s["kept"]).alias("kept"))
-
-    return rows.select(F.explode(F.aggregate("all", start, step, lambda s: s["kept"])).alias("x")).select("x.id", "x.line_no", "x.last_line", "x.rank", "x.excerpt")
+    left = stored(found.withColumn("cost", F.char_length(F.to_json(F.struct("id", "line_no", "excerpt")))), "hits")
+    names, spent, chosen = ["rank", "id", "line_no", "start", "end", "start_line", "last_line", "excerpt", "cost"], 0, []
+    while len(chosen) < hits:
+        fits = left.filter(F.col("cost") <= budget - spent)
+        for c in chosen:
+            fits = fits.filter(F.struct("rank", "id", "line_no") > F.struct(F.lit(c["rank"]), F.lit(c["id"]), F.lit(c["line_no"])))
+            fits = fits.filter((F.col("id") != F.lit(c["id"])) | (F.col("start") >= c["end"]) | (F.col("end") <= c["start"]))
+        best = fits.agg(F.min(F.struct(*names)).alias("x")).head()["x"]
+        if best is None:
+            break
+        chosen.append(best)
+        spent += best["cost"]
+    return found.sparkSession.createDataFrame([tuple(c[n] for n in names) for c in chosen], left.select(*names).schema).drop("cost")
 
 
 def read_lines(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -101,11 +119,23 @@ def list_sections(docs: DataFrame, query: str = "", most: int = SECTIONS, budget
     return rows.join(at, "id").groupBy("id", "section", "label", "total", "truncated").agg(asof.alias("first_line"))
 
 
-def read_sections(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, label, text, issue) for wanted (id, label): issues none, ambiguous, too large."""
+def read_sections(docs: DataFrame, wanted: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
+    """(id, label, text, issue) for wanted (id, label): issues none, ambiguous, unavailable, overlaps gap, too large.
+
+    gaps (id, label, start, end): a section of a gap's own label is unavailable, one that meets another gap overlaps it.
+    """
     spans = section_spans(docs)
     found = wanted.join(spans, ["id", "label"], "left").groupBy("id", "label").agg(F.count("section").alias("n"), F.min("start").alias("start"), F.min("end").alias("end"))
-    issue = F.when(F.col("n") == 0, "none").when(F.col("n") > 1, "ambiguous").when(F.col("end") - F.col("start") > MOST_CHARS, "too large")
+    if gaps is None:
+        found = found.withColumns({"closed": F.lit(False), "met": F.lit(False)})
+    else:
+        g = gaps.select(F.col("id").alias("g_id"), F.col("label").alias("g_label"), F.col("start").alias("g_start"), F.col("end").alias("g_end"))
+        same = F.coalesce(F.col("g_label") == F.col("label"), F.lit(False))
+        meets = F.coalesce((F.col("g_start") < F.col("end")) & (F.col("g_end") > F.col("start")), F.lit(False))
+        found = found.join(g, F.col("id") == F.col("g_id"), "left").groupBy("id", "label", "n", "start", "end").agg(F.bool_or(same).alias("closed"), F.bool_or(meets).alias("met"))
+    issue = (
+        F.when(F.col("closed"), "unavailable").when(F.col("n") == 0, "none").when(F.col("n") > 1, "ambiguous").when(F.col("met"), "overlaps gap").when(F.col("end") - F.col("start") > MOST_CHARS, "too large")
+    )
     out = found.join(docs.select("id", F.col("text").alias("body")), "id", "left").withColumn("issue", issue)
     return out.select("id", "label", F.when(F.col("issue").isNull(), F.substring("body", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))).alias("text"), "issue")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,16 +100,63 @@ def bound_passages(citations: DataFrame, documents: DataFrame) -> DataFrame:
     return rows.select("question_no", "citation_id", "document_id", slice_.alias("passage"), issue.alias("issue"))
 
 
+#: Probes at most that one automaton holds; more raise ValueError.
+PROBES = 1_000_000
+
+
+def holding(documents: DataFrame, probes: DataFrame) -> DataFrame:
+    """(probe_id, id): documents (id, text) whose text, in normal form, holds a probe (probe_id, probe) as it stands; empty ones never.
+
+    The probes are few by their nature (gold passages) and checked to be: one automaton of them reads each text once.
+    """
+    rows = probes.select("probe_id", F.col("probe").alias("p")).filter("p <> ''").limit(PROBES + 1).collect()
+    if len(rows) > PROBES:
+        raise ValueError(f"more than {PROBES} probes")
+    by_text: dict[str, list[int]] = {}
+    for r in rows:
+        by_text.setdefault(r["p"], []).append(r["probe_id"])
+    shared = documents.sparkSession.sparkContext.broadcast(by_text)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found_in = automaton(shared.value)
+        for batch in batches:
+            ids, found = [], []
+            for i, text in enumerate(batch.column("t").to_pylist()):
+                for p in found_in(text or ""):
+                    found += shared.value[p]
+                    ids += [i] * len(shared.value[p])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), batch.column("id").take(pa.array(ids, pa.int64()))], ["probe_id", "id"])
+
+    kind = documents.schema["id"].dataType.simpleString()
+    return documents.select("id", normal(F.col("text")).alias("t")).mapInArrow(search, f"probe_id long, id {kind}")
+
+
+def automaton(words: Iterable[str]) -> Callable[[str], set[str]]:
+    """A function that gives the words that a text holds."""
+    words = list(words)
+    try:
+        import ahocorasick
+    except ImportError:  # slower, with equal results
+        return lambda text: {w for w in words if w in text}
+    tree = ahocorasick.Automaton()
+    for w in words:
+        tree.add_word(w, w)
+    if not words:
+        return lambda text: set()
+    tree.make_automaton()
+    return lambda text: {w for _, w in tree.iter(text)}
+
+
 def duplicate_questions(rows: DataFrame) -> DataFrame:
     """(family, no, first_family): questions whose text, but for case and white space, an earlier family has."""
-    text = normal(F.col("question"))
+    text = F.sha2(normal(F.col("question")), 256)
     firsts = rows.select(text.alias("t"), "family").groupBy("t").agg(F.min("family").alias("first_family"))
     return rows.withColumn("t", text).join(firsts, "t").filter("first_family < family").select("family", "no", "first_family")
 
 
 def near_duplicates(rows: DataFrame) -> DataFrame:
     """(family, no): questions of a family that equal an earlier one but for numbers; temporal variants may."""
-    signed = rows.withColumn("signature", F.xxhash64(duplicate_signature(F.col("question"), F.col("steps"))))
+    signed = rows.withColumn("signature", F.sha2(duplicate_signature(F.col("question"), F.col("steps")), 256))
     n = F.row_number().over(Window.partitionBy("family", "signature").orderBy("no"))
     return signed.withColumn("n", n).filter("n > 1 and variant <> 'temporal'").select("family", "no")
 

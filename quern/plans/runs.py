@@ -36,5 +36,8 @@ def cited_sources(citations: DataFrame, documents: DataFrame) -> DataFrame:
 def routed_feedback(issues: DataFrame, cases: DataFrame) -> DataFrame:
     """(question_no, issue): an issue that names 'Question N' goes to that case, any other to all cases."""
     n = F.regexp_extract("issue", r"^\s*Question (\d+)(?![0-9])", 1)
-    rows = issues.select("issue", F.when(n != "", n.cast("int")).alias("named"))
-    return cases.select("question_no").join(F.broadcast(rows), F.col("named").isNull() | (F.col("named") == F.col("question_no"))).select("question_no", "issue")
+    rows = issues.select("issue", F.when(n != "", n.cast("int")).alias("question_no"))
+    numbers = cases.select("question_no")
+    named = rows.filter("question_no is not null").join(numbers, "question_no").select("question_no", "issue")
+    # what names no question goes to each: the output itself is that large
+    return named.unionByName(numbers.crossJoin(rows.filter("question_no is null").select("issue")))

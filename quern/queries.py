@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern import contract_queries
 from quern.functions import temporal, text
 from quern.functions.calculator import calculate_udf
 from quern.operators import allocation, chunks, metrics, retrieval, search, validation
@@ -47,7 +48,7 @@ _NORMAL = rf"lower(regexp_replace(regexp_replace(%s, '{_S}+', ' ', 'g'), '^ | $'
 
 @_query(f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_terms, len(list_filter(t, lambda x: x[1] = '#')) AS n_stems FROM (SELECT doc_id, {_TOKENS} AS t FROM documents)")
 def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("t"))
+    t = table(spark, sf_dir, "documents").select("doc_id", text.bag(F.col("text")).alias("t"))
     return t.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_terms"), F.size(F.filter("t", lambda x: x.startswith("#"))).alias("n_stems"))
 
 
@@ -70,9 +71,9 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_IDF)
 def idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _docs_as_corpus(spark, sf_dir)
-    tf = retrieval.term_frequencies(c).groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
-    return tf.crossJoin(F.broadcast(retrieval.corpus_stats(c))).select("term", "cf", "df", F.round(retrieval.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+    posted = retrieval.postings(_docs_as_corpus(spark, sf_dir))
+    tf = posted.filter("term <> ''").groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
+    return tf.crossJoin(F.broadcast(retrieval.corpus_stats(posted))).select("term", "cf", "df", F.round(retrieval.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
 _BM25 = f"""
@@ -341,33 +342,13 @@ def number_only_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.near_duplicates(d)
 
 
-@_query("""WITH r AS (SELECT o_orderkey AS k, [CASE WHEN o_totalprice < 1000 THEN 'low total' END, CASE WHEN o_orderstatus NOT IN ('O', 'F') THEN 'status' END, CASE WHEN year(o_orderdate) NOT BETWEEN 1992 AND 1997 THEN 'year' END] AS v FROM orders)
-SELECT rule, k::VARCHAR AS key FROM (SELECT k, unnest(v) AS rule FROM r) WHERE rule IS NOT NULL""")
-def row_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = {"low total": F.col("o_totalprice") < 1000, "status": ~F.col("o_orderstatus").isin("O", "F"), "year": ~F.year("o_orderdate").between(1992, 1997)}
-    return validation.violations(table(spark, sf_dir, "orders"), F.col("o_orderkey"), rules)
-
-
 @_query(f"""WITH b AS (SELECT item_id, {_NORMAL % 'text'} AS p FROM benchmark), d AS (SELECT doc_id, {_NORMAL % 'text'} AS t FROM documents)
 SELECT item_id, doc_id FROM b JOIN d ON p <> '' AND contains(t, p[1:60])""")
 def passage_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold the probe of a passage.  Probes are matched by their first five words, then by containment."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.substring(text.normal(F.col("text")), 1, 60).alias("probe")).filter("probe <> ''")
-    d = table(spark, sf_dir, "documents").select("doc_id", text.normal(F.col("text")).alias("t"))
-    # the probe's second to fourth word stand whole in any text that holds it, so they are an equality to join by
-    key = lambda words: F.array_join(words, " ")
-    b = b.withColumn("w", F.split("probe", " "))
-    long_ = b.filter(F.size("w") > 4).select("item_id", "probe", key(F.slice("w", 2, 3)).alias("k"))
-    short = b.filter(F.size("w") <= 4).select("item_id", "probe")
-    words = d.withColumn("w", F.split("t", " "))
-    three = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: key(F.slice("w", i, 3))))
-    keys = words.filter(F.size("w") >= 3).select("doc_id", F.explode(three).alias("k"))
-    pairs = keys.join(long_, "k").select("doc_id", "item_id", "probe").distinct()
-    found = pairs.join(d, "doc_id").filter(F.col("t").contains(F.col("probe"))).select("item_id", "doc_id")
-    few = [(r["item_id"], r["probe"]) for r in short.collect()]  # probes of under five words: a filter each
-    for item, probe in few:
-        found = found.unionByName(d.filter(F.col("t").contains(probe)).select(F.lit(item).cast("long").alias("item_id"), "doc_id"))
-    return found
+    """Documents that hold the first 60 characters of a passage."""
+    probes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("probe_id"), F.substring(text.normal(F.col("text")), 1, 60).alias("probe"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return validation.holding(docs, probes).select(F.col("probe_id").alias("item_id"), F.col("id").alias("doc_id"))
 
 
 @_query(r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
@@ -495,13 +476,6 @@ def document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", store.document_id(F.col("url")).alias("id"))
 
 
-@_query("SELECT n_nationkey, n_name, CASE WHEN o_n IS NULL THEN 'no customer' ELSE 'ok' END AS state FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS o_n FROM customer WHERE c_acctbal > 9000 GROUP BY 1) ON c_nationkey = n_nationkey")
-def full_outer_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").filter("c_acctbal > 9000").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("o_n"))
-    n = table(spark, sf_dir, "nation").join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    return n.select("n_nationkey", "n_name", F.when(F.col("o_n").isNull(), "no customer").otherwise("ok").alias("state"))
-
-
 @_query("""WITH n AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) SELECT event_id FROM n WHERE n = 1""")
 def stable_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first event of each user and type in order of time: de-duplication that keeps order."""
@@ -524,8 +498,8 @@ def grouped_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return QUERIES | contract_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | contract_queries.oracle_sql()

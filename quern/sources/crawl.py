@@ -57,7 +57,8 @@ def depths(found: DataFrame, root: str, most: int = 64) -> DataFrame:
     found.createOrReplaceTempView("quern_found")
     return found.sparkSession.sql(
         f"""WITH RECURSIVE walk(url, depth) MAX RECURSION LEVEL {most} AS (
-              SELECT url, 0 FROM quern_found WHERE url = '{root}'
+              SELECT url, 0 FROM quern_found WHERE url = :root
               UNION ALL SELECT f.url, w.depth + 1 FROM quern_found f JOIN walk w ON f.observed_from = w.url)
-            SELECT url, min(depth) AS depth FROM walk GROUP BY url"""
+            SELECT url, min(depth) AS depth FROM walk GROUP BY url""",
+        args={"root": root},
     )
