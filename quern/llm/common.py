@@ -51,6 +51,15 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows of a table that may be broadcast: some tens of MB of keys.
+BROADCAST_ROWS = 300_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The table, to be broadcast if its rows are counted to be BROADCAST_ROWS at most; else it joins by a shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def free_name(name: str, taken: list[str]) -> str:
     """The name, with underscores until no column has it."""
     lower = {t.lower() for t in taken}

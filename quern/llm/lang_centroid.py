@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -193,28 +194,25 @@ def fit(docs: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Mode
     langs = sorted(got.lang.unique())
     if not langs:
         return Model([], idf, np.zeros((0, DIMS), np.float32), np.zeros(0, int))
-    centres, owner, others = [], [], []
-    for i, lang in enumerate(langs):
-        own = got[got.lang == lang]
-        for half in (0, 1):
-            part = own.iloc[half::2] if len(own) > 1 else own  # a single document does for both
-            counts = np.zeros((len(part), DIMS), np.float32)
-            for row, bins, n in zip(counts, part.bins, part.counts):
-                row[np.asarray(bins, int)] = n
-            total = counts.sum(axis=1, dtype=np.float64)
-            v = _unit(counts, idf)
-            if half == 0:
-                centres.append(_cluster(v, clusters))
-                owner += [i] * len(centres[-1])
-            else:
-                others.append((i, v, _expected(total)))
-    centroids, of = np.concatenate(centres), np.array(owner)
+    def dense(part: pd.DataFrame) -> np.ndarray:
+        counts = np.zeros((len(part), DIMS), np.float32)
+        for row, bins, n in zip(counts, part.bins, part.counts):
+            row[np.asarray(bins, int)] = n
+        return counts
+
+    own = [got[got.lang == lang] for lang in langs]
+    centres = [_cluster(_unit(dense(x.iloc[::2]), idf), clusters) for x in own]
+    centroids, of = np.concatenate(centres), np.repeat(np.arange(len(langs)), [len(c) for c in centres])
     mine, strange = [], []
-    for i, v, expected in others:
-        cos = (v @ centroids.T) / expected[:, None]
-        mine.append(cos[:, of == i].max(axis=1))
-        if len(langs) > 1:
-            strange.append(cos[:, of != i].max(axis=1))
+    for i, x in enumerate(own):
+        half = x.iloc[1::2] if len(x) > 1 else x  # a single document does for both
+        for at in range(0, len(half), 64):
+            counts = dense(half.iloc[at : at + 64])
+            total = counts.sum(axis=1, dtype=np.float64)
+            cos = (_unit(counts, idf) @ centroids.T) / _expected(total)[:, None]
+            mine.append(cos[:, of == i].max(axis=1))
+            if len(langs) > 1:
+                strange.append(cos[:, of != i].max(axis=1))
     near = np.concatenate(mine)
     least = float(np.quantile(near, REJECTED))
     rates = float((near < least).mean()), float((np.concatenate(strange) >= least).mean()) if strange else 0.0

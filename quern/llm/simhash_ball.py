@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import discard, partitions, require, stored
+from quern.llm.common import discard, partitions, require, small, stored
 
 SEED = 42
 #: Pieces of a long text whose shingles are held as bits at one time.
@@ -470,7 +470,7 @@ def _exact_roots(loose: DataFrame, docs: DataFrame, words: int, similarity: floa
     """
     many = loose.join(loose.groupBy("root").count().filter("count > 1").select("root"), "root")
     many = stored(many.select("root", "fp", "sig", "digest"), "simhash-loose")
-    texts = docs.select(text_digest().alias("digest"), "text").join(many.select("digest").distinct(), "digest", "left_semi")
+    texts = docs.select(text_digest().alias("digest"), "text").join(small(many.select("digest")), "digest", "left_semi")
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The shingles of the texts of a task, without its repeated ones; its memory is bounded by its part of the texts."""
