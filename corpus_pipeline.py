@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import lang_centroid, pack_histogram, pii_surrogates, pivotal_mix, simhash_ball
-from quern.llm.common import require, stored
+from quern.llm.common import require, small, stored
 from quern.llm.queries import SURROGATE_KEY, tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,10 +32,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = simhash_ball.similar_documents(docs, words=5, similarity=0.8)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
-    kept = stored(groups.groupBy("group").agg(first).select(F.col("first.doc_id").alias("kept_id"), F.col("first.digest").alias("kept_digest")), "kept")
+    kept = groups.groupBy("group").agg(first).select("group", F.col("first.doc_id").alias("kept_id"), F.col("first.digest").alias("kept_digest"))
+    each = groups.groupBy("group", "doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).join(kept, "group")
+    own = (F.col("digest") == F.col("kept_digest")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
+    # what goes, and of equal rows all but one; both are few, so that most texts need no shuffle
+    other = stored(each.select(F.col("doc_id").alias("other_id"), F.col("digest").alias("other_digest"), own.alias("own"), "n").filter("not own or n > 1"), "others")
     rows = require(docs, *COLUMNS).withColumn("digest", simhash_ball.text_digest())
-    once = rows.join(kept, (F.col("digest") == F.col("kept_digest")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return once.dropDuplicates(["doc_id", "digest"]).select(COLUMNS)
+    same = (F.col("digest") == F.col("other_digest")) & F.col("doc_id").eqNullSafe(F.col("other_id"))
+    once = rows.join(small(other), same, "left_anti")
+    repeated = rows.join(small(other.filter("own")), same, "left_semi").dropDuplicates(["doc_id", "digest"])
+    return once.unionByName(repeated).select(COLUMNS)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
