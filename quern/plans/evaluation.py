@@ -59,9 +59,9 @@ def responses(asked: DataFrame, done: DataFrame | None, responder: Callable, par
 
 
 def answered(asked: DataFrame, given: DataFrame) -> DataFrame:
-    """asked with pred_value, pred_unit: of the last program if the condition asks for one and it has a result, else of the text."""
+    """asked with pred_value, pred_unit: of the last program if there is one and it has a result, else of the text."""
     rows = asked.join(given, "key", "left")
-    block = F.when(F.col("condition").contains("program") & F.col("raw_response").contains("```"), F.try_element_at(F.regexp_extract_all("raw_response", F.lit(r"(?i)```(?:python)?\s*([\s\S]*?)```"), F.lit(1)), F.lit(-1)))
+    block = F.when(F.col("raw_response").contains("```"), F.try_element_at(F.regexp_extract_all("raw_response", F.lit(r"(?i)```(?:python)?\s*([\s\S]*?)```"), F.lit(1)), F.lit(-1)))
     rows = rows.withColumn("program_value", run_program_udf(block))
     said = text.answer(F.col("program_value"))["value"]
     plain = text.answer(F.col("raw_response"))
