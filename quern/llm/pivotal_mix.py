@@ -102,7 +102,7 @@ def _pivot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_RATE, seed: int = 7, group: int = GROUP, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, *carry): how often each document is taken; carry names columns that come along."""
     spark = docs.sparkSession
-    rows = require(docs, "doc_id", "text", "source", *carry)
+    rows = require(docs, *dict.fromkeys(["doc_id", "text", "source", *carry]))
     size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size")
     kept = [F.col(c).alias(f"carry{i}") for i, c in enumerate(carry)]
     sized = stored(rows.select("doc_id", "source", size, F.xxhash64("text").alias("own"), *kept), "mix-sizes")

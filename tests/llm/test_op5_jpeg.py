@@ -113,3 +113,63 @@ def test_query_rows(odd, no_docs):
 def test_gradient_hash_is_of_the_picture():
     ramp = np.tile(np.arange(90, dtype=np.uint8), (40, 1))
     assert j.gradient_hash(ramp) == "f" * 16 and j.gradient_hash(ramp[:, ::-1]) == "0" * 16
+
+
+def plain_media(payload):
+    """The image of one payload, bit by bit: a row of 192 blocks is a restart interval."""
+    dc = j.canonical_codes(j.DC_LENGTHS, j.DC_SYMBOLS)
+    out = []
+    for at in range(0, len(payload), 192):
+        bits, last = "", 128
+        for x in payload[at : at + 192]:
+            d, last = x - last, x
+            code, n = dc[abs(d).bit_length()]
+            bits += format(code, f"0{n}b") + (format(d if d > 0 else d + (1 << abs(d).bit_length()) - 1, f"0{abs(d).bit_length()}b") if d else "") + "0"
+        bits += "1" * (-len(bits) % 8)
+        out.append(int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00"))
+    body = b"".join(x + bytes([255, 0xD0 + i % 8]) for i, x in enumerate(out))[:-2]
+    return j._head(len(payload) // 192) + body + b"\xff\xd9"
+
+
+def plain_feature(payload):
+    rows = len(payload) // 192
+    grid = []
+    for y in range(8):
+        a = y * rows // 8
+        b = max((y + 1) * rows // 8 if y < 7 else rows, a + 1)
+        line = []
+        for x in range(9):
+            c, d = x * 192 // 9, (x + 1) * 192 // 9
+            line.append(sum(sum(payload[192 * r + c : 192 * r + d]) for r in range(a, b)) / ((b - a) * (d - c)))
+        grid.append(line)
+    bits = "".join("1" if l < r else "0" for line in grid for l, r in zip(line, line[1:]))
+    return f"{int(bits, 2):016x}"
+
+
+def test_media_and_feature_equal_brute_force(documents, odd):
+    docs = odd.select("doc_id", "text").union(documents.select("doc_id", "text").limit(30)).filter("length(text) < 20000 or text is null")
+    want = []
+    for d, t in docs.collect():
+        raw = (t or "").encode()
+        p = raw + b" " * (-len(raw) % 192 if raw else 192)
+        m = plain_media(p)
+        want.append(str((d, len(m), hashlib.sha256(m).hexdigest(), plain_feature(p))))
+    for got in (j.described(j.store(docs)), j.round_trip(docs)):
+        assert sorted(str(tuple(r)) for r in got.select("doc_id", "media_bytes", "media_sha256", "feature").collect()) == sorted(want)
+
+
+def test_round_trip_stores_and_cleans_up(spark, documents, no_docs):
+    import glob
+
+    base = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    assert j.round_trip(documents).count() == documents.count() and j.round_trip(no_docs).count() == 0
+    assert not glob.glob(f"{base}/media-[0-9a-f]*/*.parquet")
+
+
+def test_a_very_long_text_is_many_images():
+    payload = bytes(range(256)) * 12 * (j.MAX_ROWS // 16 + 5)
+    payload = payload[: len(payload) // j.ROW * j.ROW]
+    whole = j.encode([payload])[0]
+    step = j.ROW * j.MAX_ROWS
+    assert whole == b"".join(j.encode([payload[i : i + step]])[0] for i in range(0, len(payload), step))
+    assert j.decode([whole, j.encode([b"x" * j.ROW])[0]])[0][0].tobytes() == payload

@@ -1,3 +1,7 @@
+import math
+import random
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,13 +34,73 @@ def test_reruns_and_partitioning_agree(spark, documents):
     assert a == b
 
 
-def test_expectation_is_kept(rows):
-    docs = rows("doc_id long, text string, source string", *((i, "w " * (1 + i % 3), "ab"[i % 2]) for i in range(40)))
-    total = {}
-    for seed in range(30):
-        for r in m.mix(docs, weights=(2, 1), seed=seed, group=4).collect() if seed < 6 else []:
-            total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["copies"]
-    assert all(0 <= n <= 18 for n in total.values())
+def plain_pivot(rows):
+    """One group, (chance, size, p) in order, by the definition: pairs exchange mass until one of the two is integral."""
+    settled, held = [None] * len(rows), None
+    for i, (chance, size, p) in enumerate(rows):
+        if size == 0 or p <= 0 or p >= 1:
+            settled[i] = p
+        elif held is None:
+            held = (i, size, p)
+        else:
+            j, other, q = held
+            up, down = min(size * p, other * (1 - q)), min(size * (1 - p), other * q)
+            give = chance < down / (up + down)  # so that the expected move is 0
+            p, q = (p - up / size, q + up / other) if give else (p + down / size, q - down / other)
+            pair = {i: (size, p), j: (other, q)}
+            near = lambda x: abs(x - round(x)) < 1e-9
+            held = None
+            for k, (n, x) in pair.items():
+                if near(x):
+                    settled[k] = float(round(x))
+                else:
+                    held = (k, n, x)
+    if held:
+        settled[held[0]] = held[2]
+    return settled
+
+
+def frame(groups):
+    rows = [(0, g, i, "s", size, 1, 0.0, 0.0, 1, 0, p, c) for g, own in enumerate(groups) for i, (c, size, p) in enumerate(own)]
+    return pd.DataFrame(rows, columns=["source_no", "grp", "doc_id", "source", "size", "source_size", "target", "rate", "groups", "whole", "p", "chance"])
+
+
+def test_pairing_equals_brute_force():
+    rng = random.Random(6)
+    groups = [[(rng.random(), rng.choice([0, 1, 2, 5, 30]), rng.choice([0.0, 1.0, rng.random(), rng.random(), rng.random()])) for _ in range(rng.randrange(1, 40))] for _ in range(60)]
+    whole = frame(groups)
+    for cut in (len(whole), 37):  # in one batch or in several
+        out = pd.concat(m._pivot(whole.iloc[a : a + cut] for a in range(0, len(whole), cut)))
+        got = {(r.grp, r.doc_id): r.p for r in out.itertuples()}
+        assert len(out) == len(whole)
+        for g, own in enumerate(groups):
+            assert [got[g, i] for i in range(len(own))] == pytest.approx(plain_pivot(own), abs=1e-9)
+
+
+def test_expectation_is_kept():
+    rng, rounds = random.Random(8), 4000
+    own = [(rng.choice([1, 2, 7]), rng.uniform(0.1, 0.9)) for _ in range(9)]
+    whole = frame([[(rng.random(), size, p) for size, p in own] for _ in range(rounds)])
+    out = pd.concat(m._pivot(iter([whole])))
+    mean = out.groupby("doc_id").p.mean()
+    for i, (_, p) in enumerate(own):
+        assert abs(mean[i] - p) < 4 * math.sqrt(0.25 / rounds)
+    kept = out.assign(mass=out.p * out["size"]).groupby("grp").mass.sum()
+    assert kept.to_numpy() == pytest.approx(sum(size * p for size, p in own))
+
+
+def test_one_doc_id_spreads_over_groups(spark):
+    docs = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("one two "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"))
+    got = m.mix(docs.union(docs.limit(5)), group=16, carry=("text",))
+    assert got.columns[-1] == "text" and got.count() == 2005
+    sums = got.agg(F.sum(F.col("copies") * F.col("size")), F.first("target")).first()
+    assert abs(sums[0] - sums[1]) <= 3
+
+
+def test_too_many_sources(rows, monkeypatch):
+    monkeypatch.setattr(m, "SOURCES", 1)
+    with pytest.raises(ValueError):
+        m.mix(rows("doc_id long, text string, source string", (1, "a", "x"), (2, "b", "y")))
 
 
 def test_odd_rows(odd, no_docs):

@@ -33,6 +33,23 @@ def test_shortest_pack_first():
         p.patterns({11: 1}, 10)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 32), max_size=60))
+def test_patterns_equal_placing_one_by_one(lengths):
+    """Longest first, each into the shortest pack that has room, else a new one."""
+    packs = []
+    for n in sorted(lengths, reverse=True):
+        fits = [p for p in packs if sum(p) + n <= 32]
+        if fits:
+            min(fits, key=sum).append(n)
+        else:
+            packs.append([n])
+    got = Counter()
+    for pattern, count in p.patterns(Counter(lengths), 32):
+        got[sum(n * t for n, t in pattern)] += count
+    assert got == Counter(map(sum, packs)) and sum(got.values()) == len(packs)
+
+
 def placed(docs, capacity):
     cut = p.pieces(docs, P.path("word_bpe_49k.json"), "word", 1, capacity)
     return p.pack(stored(cut, "test-pieces"), ["doc_id", "start", "ids"], capacity)
