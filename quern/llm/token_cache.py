@@ -287,16 +287,6 @@ def _parts(raw: bytes) -> list[bytes]:
     return [*out, raw[at:]]
 
 
-def _return_memory() -> None:
-    """Make the C library give large blocks back when they are freed, where it is the usual one (M_MMAP_THRESHOLD is -3)."""
-    import ctypes
-
-    try:
-        ctypes.CDLL(None).mallopt(-3, 1 << 20)
-    except (AttributeError, OSError):
-        pass
-
-
 def _free_idle() -> None:
     while _ENCODERS:
         time.sleep(IDLE / 4)
@@ -309,7 +299,6 @@ def encoder(path: str, kind: str) -> ChunkEncoder:
     """One per worker process and file, freed when it is idle."""
     found = _ENCODERS.get((path, kind))
     if found is None:
-        _return_memory()
         found = ChunkEncoder(path, kind)
         empty = not _ENCODERS
         _ENCODERS[path, kind] = found
