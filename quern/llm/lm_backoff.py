@@ -14,8 +14,8 @@ A document's score is the sum of ln S over its words.
 Relations.  Texts are gathered to blocks of about BLOCK words, stored once as word ids.  Each block explodes to its
 distinct n-grams with counts, so what is shuffled is pre-aggregated; they are dealt by a hash of the key to parts, PART
 of them or so in each, as arrays of keys and counts (a row for each block and part).  A part sums its count table and
-joins the n-grams to it; those that the corpus holds once are left out, as their c' is 0.  The counts come back
-to their block, where the documents' sums are taken.  SLICES parts of the key space are joined one after the other,
+joins the n-grams to it; what other blocks hold of an n-gram comes back to its block (nothing does where they hold none),
+which adds its own counts and takes the documents' sums.  SLICES parts of the key space are joined one after the other,
 which divides the disk that the shuffle takes.  A frequent n-gram has one entry a block.
 
 Defined results.  A null text has no words: score 0.  Rows with equal or null doc_id are separate documents.  A very
@@ -175,17 +175,18 @@ def exploded(table: DataFrame, order: int, slice_: int, parts: int) -> DataFrame
 
 
 def counted(grams: DataFrame) -> DataFrame:
-    """(block, keys, counts): the n-grams of each block that the corpus holds at least twice, with its counts."""
+    """(block, keys, counts): the n-grams of each block that other blocks hold too, and how often they do."""
 
     def join(rows: list[dict]) -> pa.RecordBatch:
         keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
         known, place = np.unique(np.concatenate(keys), return_inverse=True)
-        table = np.bincount(place, weights=np.concatenate([np.frombuffer(r["counts"], "<u4") for r in rows]), minlength=len(known)).astype(np.int64)
-        count, at, out = table[place], 0, []
+        mine = np.concatenate([np.frombuffer(r["counts"], "<u4") for r in rows])
+        table = np.bincount(place, weights=mine, minlength=len(known)).astype(np.int64)
+        count, at, out = table[place] - mine, 0, []
         for k in keys:
             own = count[at : at + len(k)]
             at += len(k)
-            out.append((k[own > 1].tobytes(), own[own > 1].tobytes()))
+            out.append((k[own > 0].tobytes(), own[own > 0].tobytes()))
         columns = [pa.array([r["block"] for r in rows]), *(pa.array(c, pa.binary()) for c in zip(*out))]
         return pa.RecordBatch.from_arrays(columns, ["block", "keys", "counts"])
 
@@ -213,7 +214,7 @@ def _own_counts(doc: np.ndarray, gram: np.ndarray) -> np.ndarray:
 def scored(ids: np.ndarray, sizes: np.ndarray, words: np.ndarray, known: np.ndarray, counts: np.ndarray, total: int, texts: int, order: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
     """(words whose longest n-gram is known, sum of ln S) for each text of a block.
 
-    known: the keys, ascending, of n-grams that the corpus holds at least twice, and their counts.
+    known: the keys, ascending, of n-grams that other blocks hold too, and their counts there.
     """
     levels = _levels(ids, sizes, order)
     doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -222,7 +223,9 @@ def scored(ids: np.ndarray, sizes: np.ndarray, words: np.ndarray, known: np.ndar
     for length, (keys, (at, gram, history)) in enumerate(zip(_keys(words, ids, levels), levels), 1):
         keys = keys.view(np.int64)
         place = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
-        count = np.where(known[place] == keys, counts[place], 1) if len(known) else np.ones(len(keys), np.int64)
+        count = np.bincount(gram, minlength=len(keys))
+        if len(known):
+            count += np.where(known[place] == keys, counts[place], 0)
         left = count[gram] - _own_counts(doc[at], gram)  # of this text's n-grams, in other texts
         if length == 1:
             log_s = np.log(np.maximum(left, 1)) - np.log(max(total, 1))
