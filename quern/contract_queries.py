@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text
+from quern.functions.calculator import calculate_udf
 from quern.operators import chunks, search, validation
 from quern.tables import table
 
@@ -255,6 +256,40 @@ def decimal_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("no", (F.col("i") + 1).alias("i"), text.is_plain_decimal(F.col("v")).alias("ok"))
 
 
+_S = r"[\s\p{Z}\x1c-\x1f\x{85}]"
+
+
+@_query(rf"""WITH {_SPANS}, e AS (SELECT id, unnest([0, 1, 2, 3]) AS i, unnest([substring(text, 1, a1), substring(text, a1 + 1, a2 - a1), substring(text, a2 + 1, a3 - a2), substring(text, a3 + 1)]) AS part FROM s),
+t AS (SELECT id, i, regexp_replace(part, '^{_S}+|{_S}+$', '', 'g') AS part FROM e)
+SELECT id || '_c' || (row_number() OVER (PARTITION BY id ORDER BY i) - 1) AS chunk_id, md5(part) AS digest FROM t WHERE part <> ''""")
+def chunk_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of texts with headings: one for each article, and what stands before the first."""
+    return chunks.chunked(_laws(spark, sf_dir).withColumn("title", F.lit(""))).select("chunk_id", F.md5("text").alias("digest"))
+
+
+_SHAPES = {
+    "concat(p, ' * 7 - 2.5')": "p * 7 - 2.5",
+    "concat('abs(-', p, ') + +.5')": "p + 0.5",
+    "concat('floor(', p, ') - ceil(', p, ')')": "floor(p) - ceil(p)",
+    "concat('max(', p, ', 1000, 5e4) - min(', p, ', 20000)')": "greatest(p, 50000) - least(p, 20000)",
+    "concat('round_half_up((', p, ') * 1.005, 2)')": "round(p * 1.005::DECIMAL(4,3), 2)",
+    "concat('round_down(', p, ', 0) * -(1 + 1)')": "trunc(p) * -2",
+    "concat(p, ' / 0')": "NULL",
+    "concat('round(', p, ')')": "NULL",
+}
+_TRIMMED = "CASE WHEN contains(v, '.') THEN regexp_replace(regexp_replace(v, '0+$', ''), '[.]$', '') ELSE v END"
+
+
+@_query(f"""WITH o AS (SELECT o_orderkey AS no, CAST(o_totalprice AS DECIMAL(18,2)) AS p FROM orders),
+e AS (SELECT no, CASE no % {len(_SHAPES)} {' '.join(f'WHEN {i} THEN ({sql})::VARCHAR' for i, sql in enumerate(_SHAPES.values()))} END AS v FROM o)
+SELECT no, CASE WHEN {_TRIMMED} IN ('-0', '') THEN '0' ELSE {_TRIMMED} END AS value FROM e""")
+def calculator_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expressions of several shapes, two of them not allowed."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("no"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("p"))
+    shape = F.element_at(F.array(*map(F.expr, _SHAPES)), (F.col("no") % len(_SHAPES) + 1).cast("int"))
+    return o.select("no", calculate_udf(shape).alias("value"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
