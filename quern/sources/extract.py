@@ -117,12 +117,19 @@ _UNSUPPORTED = {_W + t: t for t in ("drawing", "pict", "object", "sym", "numPr")
 }
 
 
+_CHOICE = "{http://schemas.openxmlformats.org/markup-compatibility/2006}"
+_RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+
+
 def _docx_part(root: ElementTree.Element) -> str:
     out: list[str] = []
 
     def walk(e: ElementTree.Element) -> None:
         tag = e.tag
-        if tag in _UNSUPPORTED:
+        if tag == _CHOICE + "AlternateContent":  # one of its branches: the first choice, else the fallback
+            for child in sorted(e, key=lambda x: x.tag != _CHOICE + "Choice")[:1]:
+                walk(child)
+        elif tag in _UNSUPPORTED:
             out.append(GAP.format(_UNSUPPORTED[tag]))
         elif tag == _W + "t":
             out.append(e.text or "")
@@ -163,6 +170,23 @@ def _docx_part(root: ElementTree.Element) -> str:
     return "".join(out)
 
 
+def _docx_names(z: zipfile.ZipFile, names: list[str]) -> list[str]:
+    """The parts that the document refers to, in the order of docx_text; by name where it has no list of relations."""
+    own = {kind: [n for n in sorted(names) if n.startswith(f"word/{kind}") and n.endswith(".xml")] for kind in ("header", "document", "footnotes", "endnotes", "footer")}
+    listed = "word/_rels/document.xml.rels"
+    if listed in names and "word/document.xml" in names:
+        target = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(z.read(listed))}
+        path = lambda t: t.lstrip("/") if t.startswith("/") else f"word/{t}"
+        body = ElementTree.fromstring(z.read("word/document.xml"))
+        for kind in ("header", "footer"):
+            used = [path(target.get(e.get(_RELATION), "")) for e in body.iter(f"{_W}{kind}Reference")]
+            own[kind] = [n for n in dict.fromkeys(used) if n in names]
+        every = set(map(path, target.values()))
+        for kind in ("footnotes", "endnotes"):
+            own[kind] = [n for n in own[kind] if n in every]
+    return [n for kind in own.values() for n in kind]
+
+
 def docx_text(raw: bytes | None) -> tuple[str | None, str | None]:
     """(text, issue): headers, body, footnotes, endnotes and footers in this order; cells by tab, rows by line."""
     if not raw:
@@ -178,17 +202,16 @@ def docx_text(raw: bytes | None) -> tuple[str | None, str | None]:
                 return None, "unsafe member"
             if any("vbaProject" in n for n in names):
                 return None, "macro"
-            parts = [n for kind in ("header", "document", "footnotes", "endnotes", "footer") for n in sorted(names) if n.startswith(f"word/{kind}") and n.endswith(".xml")]
+            if any(b"<!DOCTYPE" in x or b"<!ENTITY" in x for x in (z.read(n) for n in names if n.endswith((".xml", ".rels")))):
+                return None, "unsafe xml"
+            parts = _docx_names(z, names)
             if "word/document.xml" not in parts:
                 return None, "no document"
-            texts = []
-            for n in parts:
-                body = z.read(n)
-                if b"<!DOCTYPE" in body or b"<!ENTITY" in body:
-                    return None, "unsafe xml"
-                texts.append(_docx_part(ElementTree.fromstring(body)))
+            texts = [_docx_part(ElementTree.fromstring(z.read(n))) for n in parts]
     except ValueError as e:
         return None, str(e)
+    except RecursionError:
+        return None, "nested too deep"
     except (zipfile.BadZipFile, ElementTree.ParseError, RuntimeError, NotImplementedError):
         return None, "not a document"
     text = "\n".join(x.strip("\n") for x in texts if x.strip())

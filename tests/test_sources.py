@@ -80,6 +80,9 @@ def test_docx(rows):
     text, issue = extract.docx_text(raw)
     assert issue is None and text.split("\n") == ["x", "A\tB", "[footnote 2]", "[GAP: drawing]", "[footnote 2] two"]
     assert extract.docx_text(docx("<w:ins/>"))[1] == "tracked changes" and extract.docx_text(docx("<w:p><w:r><w:rPr><w:vanish/></w:rPr></w:r></w:p>"))[1] == "hidden text"
+    both = '<mc:AlternateContent xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006"><mc:Fallback>' + p("old") + "</mc:Fallback><mc:Choice>" + p("new") + "</mc:Choice></mc:AlternateContent>"
+    assert extract.docx_text(docx(both)) == ("new", None)
+    assert extract.docx_text(docx("<w:r>" * 3000 + "</w:r>" * 3000))[1] == "nested too deep"
     assert extract.docx_text(b"no zip")[1] == "not a document" and extract.docx_text(None)[1] == "empty"
     assert rows("raw binary", (raw,), (None,)).select(extract.docx_extracted("raw").alias("x")).select("x.issue").collect() == [(None,), ("empty",)]
 
