@@ -13,7 +13,7 @@ A document's score is the sum of ln S over its words.
 
 Relations.  Texts are gathered to blocks of about BLOCK words, stored once as word ids.  Each block explodes to its
 distinct n-grams with counts, so what is shuffled is pre-aggregated; they are dealt by a hash of the key to parts, PART
-of them or so in each, as arrays of keys and counts (a row for each block and part).  A part sums its count table and
+of them or so in each, as arrays of keys, counts and the block's own numbers for them (a row for each block and part).  A part sums its count table and
 joins the n-grams to it; what other blocks hold of an n-gram comes back to its block (nothing does where they hold none),
 which adds its own counts and takes the documents' sums.  SLICES parts of the key space are joined one after the other,
 which divides the disk that the shuffle takes.  A frequent n-gram has one entry a block.
@@ -35,7 +35,7 @@ from quern.llm.common import partitions, require, stored
 
 ORDER = 2
 ALPHA = 0.4
-SLICES = 2
+SLICES = 3
 #: Words of a block, about.
 BLOCK = 1 << 20
 #: Words of the corpus for each part of the n-grams, about.
@@ -147,8 +147,11 @@ def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def exploded(table: DataFrame, order: int, slice_: int, parts: int) -> DataFrame:
-    """(part, block, keys, counts): the distinct n-grams of each block in one of SLICES slices of the key space, by part."""
-    names = ["part", "block", "keys", "counts"]
+    """(part, block, keys, counts, grams): the distinct n-grams of each block in one of SLICES slices of the key space, by part.
+
+    grams are the block's numbers of n-grams, those of one length after those of the length before.
+    """
+    names = ["part", "block", "keys", "counts", "grams"]
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,15 +170,14 @@ def exploded(table: DataFrame, order: int, slice_: int, parts: int) -> DataFrame
                 cut = list(zip(np.concatenate(([0], ends))[own].tolist(), ends[own].tolist()))
                 keys, counts = keys[up], counts[up].astype("<u4")
                 for at in range(0, len(own), 256):
-                    k, c = ([x[a:b].tobytes() for a, b in cut[at : at + 256]] for x in (keys, counts))
-                    columns = [pa.array(own[at : at + 256]), pa.array(np.full(len(k), row["block"])), pa.array(k, pa.binary()), pa.array(c, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, names)
+                    arrays = [pa.array([x[a:b].tobytes() for a, b in cut[at : at + 256]], pa.binary()) for x in (keys, counts, up.astype("<u4"))]
+                    yield pa.RecordBatch.from_arrays([pa.array(own[at : at + 256]), pa.array(np.full(len(arrays[0]), row["block"])), *arrays], names)
 
-    return table.select("block", "sizes", "ids", "words").mapInArrow(explode, "part long, block long, keys binary, counts binary")
+    return table.select("block", "sizes", "ids", "words").mapInArrow(explode, "part long, block long, keys binary, counts binary, grams binary")
 
 
 def counted(grams: DataFrame) -> DataFrame:
-    """(block, keys, counts): the n-grams of each block that other blocks hold too, and how often they do."""
+    """(block, grams, counts): the numbers of the n-grams of each block that other blocks hold too, and how often they do."""
 
     def join(rows: list[dict]) -> pa.RecordBatch:
         keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
@@ -183,12 +185,12 @@ def counted(grams: DataFrame) -> DataFrame:
         mine = np.concatenate([np.frombuffer(r["counts"], "<u4") for r in rows])
         table = np.bincount(place, weights=mine, minlength=len(known)).astype(np.int64)
         count, at, out = table[place] - mine, 0, []
-        for k in keys:
+        for r, k in zip(rows, keys):
             own = count[at : at + len(k)]
             at += len(k)
-            out.append((k[own > 0].tobytes(), own[own > 0].tobytes()))
+            out.append((np.frombuffer(r["grams"], "<u4")[own > 0].tobytes(), own[own > 0].tobytes()))
         columns = [pa.array([r["block"] for r in rows]), *(pa.array(c, pa.binary()) for c in zip(*out))]
-        return pa.RecordBatch.from_arrays(columns, ["block", "keys", "counts"])
+        return pa.RecordBatch.from_arrays(columns, ["block", "grams", "counts"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -202,7 +204,7 @@ def counted(grams: DataFrame) -> DataFrame:
             yield join(held)
 
     dealt = grams.repartition(partitions(grams.sparkSession), "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(joined, "block long, keys binary, counts binary")
+    return dealt.mapInArrow(joined, "block long, grams binary, counts binary")
 
 
 def _own_counts(doc: np.ndarray, gram: np.ndarray) -> np.ndarray:
@@ -211,21 +213,20 @@ def _own_counts(doc: np.ndarray, gram: np.ndarray) -> np.ndarray:
     return n[place]
 
 
-def scored(ids: np.ndarray, sizes: np.ndarray, words: np.ndarray, known: np.ndarray, counts: np.ndarray, total: int, texts: int, order: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+def scored(ids: np.ndarray, sizes: np.ndarray, grams: np.ndarray, counts: np.ndarray, total: int, texts: int, order: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
     """(words whose longest n-gram is known, sum of ln S) for each text of a block.
 
-    known: the keys, ascending, of n-grams that other blocks hold too, and their counts there.
+    grams: the block's numbers of n-grams that other blocks hold too, and their counts there.
     """
     levels = _levels(ids, sizes, order)
     doc = np.repeat(np.arange(len(sizes)), sizes)
     log_s, seen = np.zeros(len(ids)), np.zeros(len(ids), bool)
-    rest = np.zeros(0)
-    for length, (keys, (at, gram, history)) in enumerate(zip(_keys(words, ids, levels), levels), 1):
-        keys = keys.view(np.int64)
-        place = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
-        count = np.bincount(gram, minlength=len(keys))
-        if len(known):
-            count += np.where(known[place] == keys, counts[place], 0)
+    rest, first = np.zeros(0), 0
+    for length, (at, gram, history) in enumerate(levels, 1):
+        count = np.bincount(gram)
+        own = (grams >= first) & (grams < first + len(count))
+        count[grams[own] - first] += counts[own]
+        first += len(count)
         left = count[gram] - _own_counts(doc[at], gram)  # of this text's n-grams, in other texts
         if length == 1:
             log_s = np.log(np.maximum(left, 1)) - np.log(max(total, 1))
@@ -258,10 +259,9 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block: int
         if not left.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64())], names)
         row = left.to_pylist()[0]
-        ids, sizes, words = _read(row)
-        key, count = (np.frombuffer(b"".join(right.column(c).to_pylist()), np.int64) for c in ("keys", "counts"))
-        up = np.argsort(key)
-        seen, sums = scored(ids, sizes, words, key[up], count[up], total, texts, order, alpha)
+        ids, sizes = np.frombuffer(row["ids"], "<u4"), np.array(row["sizes"], np.int64)
+        grams, counts = (np.frombuffer(b"".join(right.column(c).to_pylist()), t) for c, t in (("grams", "<u4"), ("counts", np.int64)))
+        seen, sums = scored(ids, sizes, grams.astype(np.int64), counts, total, texts, order, alpha)
         return pa.table([pa.array(row["docs"], pa.int64()), pa.array(sizes), pa.array(seen), pa.array(sums)], names)
 
-    return table.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, seen long, score double")
+    return table.drop("words").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, seen long, score double")
