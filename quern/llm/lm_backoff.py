@@ -37,7 +37,7 @@ ORDER = 2
 ALPHA = 0.4
 SLICES = 3
 #: Words of a block, about.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Words of the corpus for each part of the n-grams, about.
 PART = 1 << 19
 STEP = 32
