@@ -262,26 +262,30 @@ def _apart(one: np.ndarray, others: np.ndarray) -> np.ndarray:
 
 
 def _spanning(root: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows a, b of links that join all roots which any pair of rows links; linked(row, rows) says which.
+    """(a, b): links of each root with the least of those it is joined with, by any pair of rows; linked(row, rows) says which.
 
     Rows of one root count as linked.  Each row is compared with all that are not yet reached, so nothing is left out.
+    Links with the least root are the same ones wherever the same rows meet again.
     """
     kind = np.unique(root, return_inverse=True)[1]
     a, b, todo = [], [], np.arange(len(root))
     while len(todo):
         own = kind[todo] == kind[todo[0]]
-        queue, todo = todo[own].tolist(), todo[~own]
+        met, todo = todo[own], todo[~own]
+        queue, parts = met.tolist(), [met[:1]]
         while queue and len(todo):
             row = queue.pop()
             hit = todo[linked(row, todo)]
             if len(hit):
-                kinds, at = np.unique(kind[hit], return_index=True)
-                a += [row] * len(kinds)
-                b += hit[at].tolist()
-                reached = np.isin(kind[todo], kinds)
+                reached = np.isin(kind[todo], kind[hit])
+                parts.append(todo[reached])
                 queue += todo[reached].tolist()
                 todo = todo[~reached]
-    return np.array(a, np.int64), np.array(b, np.int64)
+        joined = np.unique(root[np.concatenate(parts)])
+        a.append(np.full(len(joined) - 1, joined[0]))
+        b.append(joined[1:])
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(a or none), np.concatenate(b or none)
 
 
 def _whole_keys(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -344,9 +348,12 @@ def _joined(rows: DataFrame, judge: Judge) -> DataFrame:
             for lo, hi in zip(start[mixed].tolist(), np.append(start, len(key))[mixed + 1].tolist()):
                 own, linked = root[lo:hi], judge(table.slice(lo, hi - lo))
                 first = np.flatnonzero(pivot[lo:hi] > 0)
-                x, y = _crossing(own, first, linked) if len(first) else _spanning(own, linked)
-                a.append(own[x])
-                b.append(own[y])
+                if len(first):
+                    x, y = (own[i] for i in _crossing(own, first, linked))
+                else:
+                    x, y = _spanning(own, linked)
+                a.append(x)
+                b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], ["a", "b"])
 
     dealt = rows.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key")
