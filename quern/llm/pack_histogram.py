@@ -26,6 +26,8 @@ from quern.llm.common import partitions, require, stored
 
 CAPACITY = 2048
 STEP = 256
+#: Slots of the token memo: half the usual, as packing follows stages that leave less memory.
+MEMO = 1 << 20
 
 
 def pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
@@ -34,7 +36,7 @@ def pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: in
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from quern.llm.token_cache import encoder
 
-        code = encoder(tokenizer, kind)
+        code = encoder(tokenizer, kind, MEMO)
         end = np.array([end_id], "<u4").tobytes()
         names = ["doc_id", "start", "length", "doc_tokens", "ids"]
         types = [pa.int64()] * 4 + [pa.binary()]

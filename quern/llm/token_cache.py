@@ -10,7 +10,7 @@ does not hold (two white-space characters in a row, for the byte-level tokenizer
 The memo is an open-addressing table in numpy arrays: chunks of a batch of texts are found, hashed and looked up by
 array operations.  The hash only finds a place: the memo keeps each chunk's bytes, and every chunk that is looked up
 is compared with them.  Where they differ the batch's chunks are encoded without the memo.  Chunks of more than LONGEST bytes are encoded
-each time, so SLOTS bounds the memo in bytes: about 200 MB with the tokenizer.  A worker keeps one encoder for its tasks and
+each time, so its slots bound the memo in bytes: 60 a slot at most, less in practice.  A worker keeps one encoder for its tasks and
 frees it when it has not been used for IDLE seconds, so that it is not held through later stages.  Long texts are cut before a space or line feed into parts of SPAN bytes (a part without one is longer).
 """
 
@@ -23,18 +23,17 @@ import time
 
 import numpy as np
 
-#: Slots of the memo; it is emptied when three fifths are taken, which costs time and never changes a result.
+#: Slots of the memo, a power of two; it is emptied when three fifths are taken, which costs time and never changes a result.
 SLOTS = 1 << 21
 #: Bytes of a chunk that the memo keeps.
 LONGEST = 64
 #: Seconds after which an unused encoder is freed.
-IDLE = 5.0
+IDLE = 3.0
 #: Bytes of text handled at one time.
 SPAN = 1 << 18
 
 _RUN = re.compile(r"\s\s").search
 _SPACE = re.compile(r"\s").search
-_SHIFT = np.uint64(65 - SLOTS.bit_length())
 _ODD = 0x9E3779B97F4A7C15
 _MARK, _LETTER = (np.isin(np.arange(256), np.frombuffer(x.encode(), np.uint8)) for x in (string.punctuation, string.ascii_letters))
 _ENCODERS: dict[tuple[str, str], "ChunkEncoder"] = {}
@@ -87,7 +86,7 @@ class Powers:
 class ChunkEncoder:
     """encode_all(texts) -> little-endian uint32 id bytes per text, equal to tokenizing each text whole."""
 
-    def __init__(self, path: str, kind: str) -> None:
+    def __init__(self, path: str, kind: str, slots: int = SLOTS) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -97,7 +96,7 @@ class ChunkEncoder:
             raise ValueError(f"unknown kind of tokenizer: {kind}")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.byte = kind == "byte"
+        self.byte, self.slots, self.shift = kind == "byte", slots, np.uint64(65 - slots.bit_length())
         self.mark = self._ids("\n" if self.byte else "0")
         if len(self.mark) != 1:
             raise ValueError("the separator is not a single token of this vocabulary")
@@ -106,11 +105,11 @@ class ChunkEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys = np.zeros(SLOTS, np.uint64)  # 0: free
-        self.at = np.zeros(SLOTS, np.int32)  # ids in flat
-        self.size = np.zeros(SLOTS, np.int32)
-        self.text_at = np.zeros(SLOTS, np.int32)  # bytes in text
-        self.text_size = np.zeros(SLOTS, np.int16)  # times 4, plus the lead
+        self.keys = np.zeros(self.slots, np.uint64)  # 0: free
+        self.at = np.zeros(self.slots, np.int32)  # ids in flat
+        self.size = np.zeros(self.slots, np.int32)
+        self.text_at = np.zeros(self.slots, np.int32)  # bytes in text
+        self.text_size = np.zeros(self.slots, np.int16)  # times 4, plus the lead
         self.flat = np.zeros(1 << 16, "<u4")
         self.text = np.zeros(1 << 16, np.uint8)
         self.used = self.text_used = self.taken = 0
@@ -142,7 +141,7 @@ class ChunkEncoder:
 
     def _find(self, key: np.ndarray) -> np.ndarray:
         """The slot that holds each key, or -1."""
-        slot = (key >> _SHIFT).astype(np.int64)
+        slot = (key >> self.shift).astype(np.int64)
         found = np.full(len(key), -1, np.int64)
         todo = np.arange(len(key))
         while len(todo):
@@ -151,7 +150,7 @@ class ChunkEncoder:
             same = held == key[todo]
             found[todo[same]] = own[same]
             todo = todo[~same & (held != 0)]
-            slot[todo] = (slot[todo] + 1) & (SLOTS - 1)
+            slot[todo] = (slot[todo] + 1) & (self.slots - 1)
         return found
 
     def _room(self, name: str, used: int, more: int) -> np.ndarray:
@@ -172,7 +171,7 @@ class ChunkEncoder:
         self.used += len(flat)
         self.text_used += len(text)
         self.taken += len(key)
-        slot = (key >> _SHIFT).astype(np.int64)
+        slot = (key >> self.shift).astype(np.int64)
         todo = np.arange(len(key))
         while len(todo):
             free = self.keys[slot[todo]] == 0
@@ -180,11 +179,11 @@ class ChunkEncoder:
             put = todo[free][place]
             self.keys[own], self.at[own], self.size[own], self.text_at[own], self.text_size[own] = key[put], at[put], size[put], text_at[put], code[put]
             todo = np.setdiff1d(todo, put, assume_unique=True)
-            slot[todo] = np.where(self.keys[slot[todo]] != 0, (slot[todo] + 1) & (SLOTS - 1), slot[todo])
+            slot[todo] = np.where(self.keys[slot[todo]] != 0, (slot[todo] + 1) & (self.slots - 1), slot[todo])
 
     def _batch(self, raw: list[bytes]) -> list[bytes]:
         """Ids of texts or parts of texts.  A part that begins with a space or line feed begins with an empty chunk."""
-        if self.taken > SLOTS * 3 // 5:
+        if self.taken > self.slots * 3 // 5:
             self._clear()
         joined = b"\n".join(raw) + b"\n"
         data = np.frombuffer(joined, np.uint8)
@@ -295,11 +294,11 @@ def _free_idle() -> None:
                 _ENCODERS.pop(key, None)
 
 
-def encoder(path: str, kind: str) -> ChunkEncoder:
+def encoder(path: str, kind: str, slots: int = SLOTS) -> ChunkEncoder:
     """One per worker process and file, freed when it is idle."""
     found = _ENCODERS.get((path, kind))
     if found is None:
-        found = ChunkEncoder(path, kind)
+        found = ChunkEncoder(path, kind, slots)
         empty = not _ENCODERS
         _ENCODERS[path, kind] = found
         if empty:
