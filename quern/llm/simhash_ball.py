@@ -25,7 +25,7 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import discard, partitions, require, small, stored
@@ -136,7 +136,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Nothing but a count reaches the driver; each round's labels are written to the shared folder.
     """
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")), "links")
+    # each node's links with smaller ones become one with the least of them, and links among those, which crowds share
+    up = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).withColumn("m", F.min("a").over(Window.partitionBy("b")))
+    few = stored(up.select(F.col("m").alias("a"), "b").union(up.filter("a <> m").select("m", "a")).distinct(), "links-few")
+    both = stored(few.union(few.select("b", "a")), "links")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), "labels")
     for _ in range(max_rounds):
         told = (
@@ -154,7 +157,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         discard(told, labels)
         labels = new
         if not moved:
-            discard(both)
+            discard(both, few)
             return labels
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
