@@ -176,6 +176,16 @@ def exploded(table: DataFrame, order: int, slice_: int, parts: int) -> DataFrame
     return table.select("block", "sizes", "ids", "words").mapInArrow(explode, "part long, block long, keys binary, counts binary, grams binary")
 
 
+def _thin(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 in as few bytes each as the largest needs; the first byte says how many."""
+    kind = np.min_scalar_type(int(numbers.max(initial=0)))
+    return bytes([kind.itemsize]) + numbers.astype(kind).tobytes()
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
 def counted(grams: DataFrame) -> DataFrame:
     """(block, grams, counts): the numbers of the n-grams of each block that other blocks hold too, and how often they do."""
 
@@ -188,7 +198,8 @@ def counted(grams: DataFrame) -> DataFrame:
         for r, k in zip(rows, keys):
             own = count[at : at + len(k)]
             at += len(k)
-            out.append((np.frombuffer(r["grams"], "<u4")[own > 0].tobytes(), own[own > 0].tobytes()))
+            grams = np.frombuffer(r["grams"], "<u4")[own > 0].astype(np.int64)  # ascending
+            out.append((_thin(np.diff(grams, prepend=0)), _thin(own[own > 0])))
         columns = [pa.array([r["block"] for r in rows]), *(pa.array(c, pa.binary()) for c in zip(*out))]
         return pa.RecordBatch.from_arrays(columns, ["block", "grams", "counts"])
 
@@ -260,8 +271,10 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block: int
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64())], names)
         row = left.to_pylist()[0]
         ids, sizes = np.frombuffer(row["ids"], "<u4"), np.array(row["sizes"], np.int64)
-        grams, counts = (np.frombuffer(b"".join(right.column(c).to_pylist()), t) for c, t in (("grams", "<u4"), ("counts", np.int64)))
-        seen, sums = scored(ids, sizes, grams.astype(np.int64), counts, total, texts, order, alpha)
+        none = [np.zeros(0, np.int64)]
+        grams = np.concatenate([np.cumsum(_wide(x)) for x in right.column("grams").to_pylist()] or none)
+        counts = np.concatenate([_wide(x) for x in right.column("counts").to_pylist()] or none)
+        seen, sums = scored(ids, sizes, grams, counts, total, texts, order, alpha)
         return pa.table([pa.array(row["docs"], pa.int64()), pa.array(sizes), pa.array(seen), pa.array(sums)], names)
 
     return table.drop("words").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, seen long, score double")
