@@ -41,6 +41,8 @@ REJECTED = 0.002
 LANGUAGES = 1000
 #: n-grams at which a text's cosine is expected to reach 1/sqrt(2) of its limit.
 HALF_LENGTH = 400.0
+#: Decimals of a cosine.
+DECIMALS = 6
 #: Characters handled at one time.
 SPAN = 1 << 20
 
@@ -119,9 +121,10 @@ class Model:
             if not len(self.centroids):
                 langs += ["und"] * len(part)
                 continue
-            cos = _unit(counts, self.idf) @ self.centroids.T
+            # sums in double precision and few decimals: a text's score does not depend on its batch
+            cos = np.round(_unit(counts.astype(np.float64), self.idf) @ self.centroids.T.astype(np.float64), DECIMALS)
             best = cos.argmax(axis=1)
-            top = np.clip(cos[np.arange(len(part)), best].astype(np.float64), 0, 1)
+            top = np.clip(cos[np.arange(len(part)), best], 0, 1)
             own = self.owner[best]
             some = n > 0
             langs += [self.langs[o] if s else "und" for o, s in zip(own, some)]

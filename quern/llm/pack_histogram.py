@@ -9,7 +9,8 @@ each of its lengths; that range table is joined back by length and rank.
 Documents longer than the capacity are cut there; each id lies in exactly one piece.
 
 Defined results.  A null text is an empty one: one piece with the end id alone.  Repeated rows are separate
-documents.  An empty table gives an empty result.
+documents.  A very long text is encoded whole, in spans, and cut into pieces that are dealt to parts each by itself, as are
+those of null doc_ids.  Only the named columns are read.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -116,13 +117,14 @@ def rank_ranges(packs: list[tuple[tuple[tuple[int, int], ...], int]]) -> list[tu
 def pack(rows: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFrame:
     """All columns of rows (a stored table with a column length) and sequence_id, offset.
 
-    `order` names the columns that order pieces of equal length, the first also deals them into parts.
+    `order` names the columns that order pieces of equal length and deal them into parts; pieces that agree in all of them
+    (repeated rows) are in any order.  Other columns come along.
     """
     spark = rows.sparkSession
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     ranges = rank_ranges(patterns(counts, capacity))
     table = spark.createDataFrame(ranges, "p_length long, lo long, hi long, base long, times long, at long")
-    salted = rows.withColumn("p_part", F.pmod(F.xxhash64(order[0]), F.lit(4 * partitions(spark))).cast("int"))
+    salted = rows.withColumn("p_part", F.pmod(F.xxhash64(*order), F.lit(4 * partitions(spark))).cast("int"))
     parts = salted.groupBy("length", "p_part").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("p_part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = stored(parts.select("length", "p_part", F.coalesce(before, F.lit(0)).alias("p_before")), "pack-offsets")

@@ -8,12 +8,15 @@ from its target by less than its largest document at the end.
 
 Documents are dealt by a hash to groups of about GROUP within their source and each group leaves at most one open
 document; those are dealt to larger groups again, as a reduction tree, until a source has one group.  Its last
-open document is rounded by chance.  Random numbers are hashes of seed, tree level and document, so reruns agree.
+open document is rounded by chance, which may leave the source off its target by a share of that document.  Such a rest is
+filled from small documents: a random pool of about FILL times the rest in words (all documents of a small source) gives or takes
+single copies, the longest that fit first, so that the source misses its target by less than half its shortest document that can
+still change.  No document is taken over `most` times.  Random numbers are hashes of seed, tree level and document, so reruns agree.
 
 Repeated rows are dealt by doc_id, size and text, so one doc_id may have many rows.  The driver computes the targets of at
 most SOURCES sources; more raise ValueError.
 
-Defined results.  A null text has size 0; documents of size 0 are never taken, whatever their rate.
+Defined results.  Very long texts are counted whole.  A null text has size 0; documents of size 0 are never taken, whatever their rate.
 A null source is a source of its own, last in order.  Repeated rows are separate documents and may differ in
 copies; which of two equal rows gets which is arbitrary and makes no difference.  An empty table gives an empty
 result; sources without words have target 0.
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +37,10 @@ WEIGHTS = (5, 2, 1)
 MAX_RATE = 3
 #: Documents in a group of the first level, and groups joined at each further level.
 GROUP = 256
+#: Words of the pool that fills a rest, as a multiple of the rest, and its documents at least (in the mean).
+FILL, POOL = 8, 256
+#: Documents longer than a rest that are tried.
+TRIED = 16
 #: Sources at most: the driver sees a row of each.
 SOURCES = 1_000_000
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -99,6 +107,41 @@ def _pivot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(*held[0][:-2], held[1], held[0].chance)], columns=rows.columns).astype(rows.dtypes.to_dict())
 
 
+def _filled(rows: pd.DataFrame, most: int) -> pd.DataFrame:
+    """A source's pool with copies given (rest > 0) or taken until the rest is as small as single copies make it.
+
+    If none fits, one that is too long may be changed first and the others fill what it opens; the best of TRIED such is taken.
+    """
+    rows = rows.sort_values(["size", "draw", "doc_id"], ascending=[False, True, True], kind="stable")
+    size, start = rows["size"].to_numpy(), rows["copies"].to_numpy()
+
+    def filled(copies: np.ndarray, rest: float) -> tuple[float, np.ndarray]:
+        while True:  # each change brings the rest nearer to 0
+            step, before = (1 if rest > 0 else -1), rest
+            able = lambda: copies < most if step > 0 else copies > 0  # noqa: B023, E731
+            for i in np.flatnonzero(able() & (size <= abs(rest))):
+                if size[i] <= abs(rest):
+                    copies[i] += step
+                    rest -= step * size[i]
+            if rest != before:
+                continue
+            over = np.flatnonzero(able() & (size < 2 * abs(rest)))  # the shortest of those that are more than fits
+            if not len(over):
+                return abs(rest), copies
+            copies[over[-1]] += step
+            rest -= step * size[over[-1]]
+
+    rest = float(rows["rest"].iloc[0])
+    step = 1 if rest > 0 else -1
+    best = filled(start.copy(), rest)
+    able = np.flatnonzero((start < most if step > 0 else start > 0) & (size > abs(rest)))
+    for i in able[np.unique(size[able], return_index=True)[1]][:TRIED] if best[0] >= 1 else ():
+        other = start.copy()
+        other[i] += step
+        best = min(best, filled(other, rest - step * size[i]), key=lambda x: x[0])
+    return rows.assign(copies=best[1])
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_RATE, seed: int = 7, group: int = GROUP, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, *carry): how often each document is taken; carry names columns that come along."""
     spark = docs.sparkSession
@@ -136,4 +179,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_RAT
             break
         open_, level = done.filter(is_open), level + 1
     luck = F.when(F.col("p") >= 1, 1).when(F.col("p") <= 0, 0).when(_chance(seed, -1, "doc_id", "source") < F.col("p"), 1).otherwise(0)
-    return settled.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("whole") + luck).otherwise(0).cast("long").alias("copies"), *(F.col(n).alias(c) for n, c in zip(named, carry)))
+    taken = F.when(F.col("size") > 0, F.col("whole") + luck).otherwise(0).cast("long").alias("copies")
+    chosen = settled.select("source_no", "doc_id", "source", "size", "source_size", "target", taken, *named, _chance(seed, -2, *keys).alias("draw"))
+    # one row for each source: what it lacks, and the share of its documents that may fill that
+    free = F.when(F.col("rest") > 0, F.col("more")).otherwise(F.col("less"))
+    own = lambda c: F.sum(F.when(c, F.col("size")).otherwise(0))
+    sums = chosen.groupBy("source_no").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("rest"), own(F.col("copies") < most).alias("more"), own(F.col("copies") > 0).alias("less"), F.count(F.lit(1)).alias("n"))
+    rests = stored(sums.select(F.col("source_no").alias("no"), "rest", F.greatest(FILL * F.abs("rest") / F.greatest(free, F.lit(1)), F.lit(POOL) / F.col("n")).alias("share")), "mix-rests")
+    joined = chosen.join(F.broadcast(rests), F.col("source_no") == F.col("no"), "left").drop("no")
+    pool = F.coalesce((F.col("size") > 0) & (F.abs("rest") >= 0.5) & (F.col("draw") < F.col("share")), F.lit(False))
+    inside = joined.filter(pool).drop("share")
+    done = inside.groupBy("source_no").applyInPandas(lambda rows: _filled(rows, most), inside.schema)
+    result = joined.filter(~pool).drop("share").unionByName(done)
+    return result.select("doc_id", "source", "size", "source_size", "target", "copies", *(F.col(n).alias(c) for n, c in zip(named, carry)))

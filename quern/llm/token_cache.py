@@ -5,7 +5,8 @@ white space and a following space or line feed.  A chunk with what stands before
 nothing) can thus be encoded once by the `tokenizers` library and looked up afterwards.  Marks at the end of a chunk
 that follow a letter are a chunk of their own, as both tokenizers part a run of letters from a run of marks; and
 what the word tokenizer makes lower case is so beforehand.  Texts where that reasoning
-does not hold (two white-space characters in a row, for the byte-level tokenizer) are encoded whole.
+does not hold (two white-space characters in a row, for the byte-level tokenizer; the string of a special or added token, which the library
+gives that token's id) are encoded whole.
 
 The memo is an open-addressing table in numpy arrays: chunks of a batch of texts are found, hashed and looked up by
 array operations.  The hash only finds a place: the memo keeps each chunk's bytes, and every chunk that is looked up
@@ -95,7 +96,9 @@ class ChunkEncoder:
         if kind not in ("byte", "word"):
             raise ValueError(f"unknown kind of tokenizer: {kind}")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # the library finds these in any text; upper and lower case are not told apart here
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(added), re.I).search if added else lambda text: None
         self.byte, self.slots, self.shift = kind == "byte", slots, np.uint64(65 - slots.bit_length())
         self.mark = self._ids("\n" if self.byte else "0")
         if len(self.mark) != 1:
@@ -256,7 +259,7 @@ class ChunkEncoder:
             group.clear()
 
         for i, text in enumerate(texts):
-            if self.byte and _RUN(text):
+            if self.byte and _RUN(text) or self.added(text):
                 out[i].append(self.whole(text))
                 continue
             for raw in _parts(text.encode() if self.byte else text.encode().lower()):

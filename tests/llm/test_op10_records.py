@@ -125,3 +125,19 @@ def test_idle_encoders_are_freed(monkeypatch):
     assert token_cache.encoder(BYTE, "byte") is code
     time.sleep(1.2)
     assert not token_cache._ENCODERS and token_cache.encoder(BYTE, "byte") is not code
+
+
+def test_strings_of_special_tokens_are_read_as_the_library_reads_them():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quern.llm.token_cache import ChunkEncoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    added = [t.content for t in library.get_added_tokens_decoder().values()]
+    assert added
+    texts = [f"{a}{t}{b}" for t in [*added, *map(str.upper, added), added[0][:-1]] for a, b in (("", ""), ("word ", " word"), ("x", "y"), ("1\n", "\n2"), (" ", "  "))]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    got = ChunkEncoder(path, "byte").encode_all(texts)
+    assert [list(memoryview(x).cast("I")) for x in got] == want

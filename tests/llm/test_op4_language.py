@@ -98,6 +98,15 @@ def test_names_and_labels(odd, no_docs, monkeypatch):
 
 
 def test_repeated_rows_get_equal_answers(documents):
-    few = documents.limit(20)
+    few = documents.orderBy("doc_id").limit(20)
     got = c.predicted(few.union(few), c.fit(documents)).groupBy("doc_id", "text", "lang_id").count().collect()
     assert all(r["count"] == 2 for r in got)
+
+
+def test_a_score_does_not_depend_on_the_batch(documents):
+    model = c.fit(documents)
+    texts = [r["text"] for r in documents.orderBy("doc_id").limit(100).collect()]
+    together = model.predict(texts)
+    for i, text in enumerate(texts):
+        lang, score, accepted = model.predict([text])
+        assert (lang[0], score[0], accepted[0]) == (together[0][i], together[1][i], together[2][i])

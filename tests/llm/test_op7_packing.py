@@ -88,3 +88,19 @@ def test_empty_table(no_docs):
 def test_little_padding(documents):
     got = placed(documents, 2048).agg(F.sum("length"), F.count_distinct("sequence_id")).first()
     assert got[0] / (2048 * got[1]) > 0.97
+
+
+def test_strings_of_special_tokens_are_read_as_the_library_reads_them():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quern.llm.token_cache import ChunkEncoder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    added = [t.content for t in library.get_added_tokens_decoder().values()]
+    assert added
+    texts = [f"{a}{t}{b}" for t in [*added, *map(str.upper, added), added[0][:-1]] for a, b in (("", ""), ("word ", " word"), ("x", "y"), ("1\n", "\n2"), (" ", "  "))]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    got = ChunkEncoder(path, "word").encode_all(texts)
+    assert [list(memoryview(x).cast("I")) for x in got] == want
