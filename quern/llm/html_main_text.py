@@ -3,22 +3,27 @@
 Two passes over the pages.  The first parses each page and hashes the subtree of every block element (tag, sorted
 class and id words, text and children); Spark counts on how many different pages of a host each hash outside an
 article occurs, and in how many different articles each hash inside.  A subtree is template if it is in at least
-MIN_PAGES of them and in MIN_SHARE of its host's.  Equal pages and equal articles count once, so that copies make no
-template; html, body and the article itself are never template, nor are cells, items and headings of articles.  The
-second pass parses again, drops template subtrees and what is never main text by its element or its class, id or
-role words (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments by readers), and
-returns the blocks of the article (of the whole body where a page marks none).  An article that would lose over half
-its text to templates is a near copy of others, and loses none.
+MIN_PAGES of them and in MIN_SHARE of its host's (prose, and what stands in articles: MIN_INSIDE).  Equal pages and equal
+articles count once, so that copies make no template.  Many sites fill their boxes anew for each page, so what hangs beside a marked
+article is counted by its shape too (tags and classes without text).  html, body and the article itself are never template, nor is
+prose of articles (paragraphs, items, headings, cells).
 
-Only hashes of small integers are shuffled, pre-aggregated in each task.  A host's template hashes
-are at most 1 / MIN_SHARE times the subtrees of its largest page; they reach its pages by a join on the host.
+The second pass walks each page from its root and drops every subtree that is template.  Only for subtrees that are too rare on
+their host to be told by a count a tie is broken by what the page says of itself: outside of its article (where it marks one)
+they go, and so do those named by element, class, id or role as menus, headers, footers, sidebars, notices, adverts, forms or
+comments by readers.  Scripts, styles and the like are no text at all.  `tallied` says how much went by which rule; without counts
+(`extract(html, None)`) nothing but scripts goes.  An article that would lose over half its text to
+templates is a near copy of others, and loses none.
+
+Only hashes of small integers are shuffled, pre-aggregated in each task.  Templates are broadcast as one set a host if they are
+counted to be few (`common.BROADCAST_ROWS`); beyond that they are joined to the hashes of each page, and pages get just their own.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed, empty
 ones left out, and the others joined in page order by one line feed.
 
 Defined results.  A null html is empty: no text.  Rows with equal page_id are separate pages of their host.
-A very long or malformed page is read whole, in time linear in its length.  A null or unreadable url belongs to a host of its own, the empty one.
-An empty table gives an empty result.
+A very long or malformed page is read whole, in time linear in its length.  A page of a null or unreadable url has no host, and nothing
+is counted for it.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,10 +37,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import require, stored
+from quern.llm.common import BROADCAST_ROWS, require, stored
 
 MIN_PAGES = 3
-MIN_SHARE = 0.2
+#: Shares of a host's pages for a subtree outside of articles, and for prose there and all inside.
+MIN_SHARE, MIN_INSIDE = 0.05, 0.2
 STEP = 64
 
 # Elements by what they are.
@@ -94,12 +100,12 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("attrs", "children", "hash", "parent", "tag")
+    __slots__ = ("attrs", "children", "hash", "parent", "shape", "tag")
 
     def __init__(self, tag: str, parent: "Node | None", attrs: str = "") -> None:
         self.tag, self.parent, self.attrs = tag, parent, attrs
         self.children: list = []
-        self.hash = 0
+        self.hash = self.shape = 0
 
 
 class _Open:
@@ -245,6 +251,7 @@ def hash_subtrees(root: Node, main: list[Node]) -> list[tuple[int, int]]:
     """Sets node.hash below root and returns (tree, holder): hashes of block elements and of the page or article with them.
 
     Of an element inside an article the tree is its hash inverted.  Each holder has itself a row, of tree 0 or inverted 0.
+    What hangs beside an article has a second tree, its shape: tags and classes without text, runs of equal children as one.
     """
     from xxhash import xxh64_intdigest
 
@@ -257,35 +264,73 @@ def hash_subtrees(root: Node, main: list[Node]) -> list[tuple[int, int]]:
         order.append((node, holder))
         holder = holder or mains.get(id(node))
         stack.extend((c, holder) for c in node.children if not isinstance(c, str))
+    beside: list[Node] = []
     for node, holder in reversed(order):
+        if holder is None and main and id(node) not in mains:
+            own = [c.shape for c in node.children if not isinstance(c, str)]
+            own = [x for i, x in enumerate(own) if i == 0 or x != own[i - 1]]
+            name = f"{node.tag}\x02{_attributes(node).get('class', '') if node.attrs else ''}"
+            node.shape = xxh64_intdigest(f"shape\x02{name}\x02{own}") >> 1 | 1
         parts = [node.tag, " ".join(sorted(_attributes(node).get("class", "").split())) if node.attrs else ""]
         for c in node.children:
             text = c if isinstance(c, str) else f"\x01{c.hash:x}"
             parts.append(_SPACE.sub(" ", text) if isinstance(c, str) else text)
-        node.hash = xxh64_intdigest("\x02".join(parts)) >> 1
+        node.hash = xxh64_intdigest("\x02".join(parts)) >> 1 & ~1 | (node.tag in PROSE)  # the lowest bit: is it prose
         if holder is not None:
-            if node.tag in BLOCKS and node.tag not in PARTS:
+            if node.tag in BLOCKS and node.tag not in PARTS and node.tag not in PROSE:
                 inside.append((node.hash, holder))
         elif id(node) in mains or any(id(x) in around for x in node.children if not isinstance(x, str)):
             around.add(id(node))  # an ancestor of the article is no template either
         elif node.tag in BLOCKS and node.tag not in WHOLE:
             outside.append(node.hash)
-    return [(0, root.hash), *((h, root.hash) for h in outside), *((~0, x.hash) for x in main), *((~h, x.hash) for h, x in inside)]
+            beside.append(node)
+    return [(0, root.hash), *((h, root.hash) for h in outside), *((x.shape, root.hash) for x in beside if id(x.parent) in around), *((~0, x.hash) for x in main), *((~h, x.hash) for h, x in inside)]
 
 
-def extract(html: str, template: frozenset[int] | set[int]) -> str:
+def extract(html: str, template: frozenset[int] | set[int] | None, tally: Counter | None = None) -> str:
+    """A page's main text; template: hashes of its host's templates, None if nothing was counted.  tally gets characters by why they went."""
     root = parse(html)
+    if template is None:
+        return _text(root, [], None, tally)
     main = _article(root)
     trees = {tree for tree, _ in hash_subtrees(root, main)}
-    text = _text(root, main, template)
+    found = Counter()
+    text = _text(root, main, template, found)
     if main and any(tree < 0 and tree in template for tree in trees):
-        whole = _text(root, main, frozenset())
-        return text if 2 * len(text) >= len(whole) else whole
+        whole = Counter()
+        all_text = _text(root, main, {t for t in template if t >= 0}, whole)
+        if 2 * len(text) < len(all_text):
+            text, found = all_text, whole
+    if tally is not None:
+        tally.update(found)
     return text
 
 
-def _text(root: Node, main: list[Node], template: frozenset[int] | set[int]) -> str:
-    protected = {id(x) for x in main}
+def _length(node: "Node | str") -> int:
+    """Characters of the text below a node, without scripts and the like."""
+    total, stack = 0, [node]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, str):
+            total += len(_SPACE.sub(" ", node).strip())
+        elif node.tag not in RAW:
+            stack.extend(node.children)
+    return total
+
+
+def _around(main: list[Node]) -> set[int]:
+    """The ancestors of the main elements, the root too."""
+    found: set[int] = set()
+    for node in main:
+        up = node.parent
+        while up is not None and id(up) not in found:
+            found.add(id(up))
+            up = up.parent
+    return found
+
+
+def _text(root: Node, main: list[Node], template: frozenset[int] | set[int] | None, tally: Counter | None) -> str:
+    mains, around = {id(x) for x in main}, _around(main)
     blocks: list[str] = []
     line: list[str] = []
 
@@ -295,25 +340,43 @@ def _text(root: Node, main: list[Node], template: frozenset[int] | set[int]) ->
         if text:
             blocks.append(text)
 
-    stack: list = [(x, bool(main)) for x in reversed(main or [root])]
+    def gone(node: Node | str, inside: bool) -> str | None:
+        """Why a node is no main text, or None."""
+        if isinstance(node, str):
+            return "outside" if main and not inside else None
+        if node.tag in RAW:
+            return "element"
+        if template is None or id(node) in mains or id(node) in around or node is root:
+            return None
+        if (~node.hash if inside else node.hash) in template or not inside and id(node.parent) in around and node.shape in template:
+            return "recurs"
+        if main and not inside:
+            return "outside"
+        return "named" if _unwanted(node, inside) else None
+
+    stack: list = [(root, False)]
     while stack:
-        node, safe = stack.pop()
+        node, inside = stack.pop()
         if node is None:
             end()
             continue
+        why = gone(node, inside)
+        if why:
+            if tally is not None and why != "element":
+                tally[why] += _length(node)
+            if not isinstance(node, str) and node.tag in BLOCKS:
+                end()
+            continue
         if isinstance(node, str):
             line.append(unescape(node))
             continue
-        if id(node) not in protected and node.tag != "#root" and (_unwanted(node, safe) or (~node.hash if safe else node.hash) in template):
-            if node.tag in BLOCKS:
-                end()
-            continue
         if node.tag == "br":
             line.append(" ")
+        inside = inside or id(node) in mains
         if node.tag in BLOCKS:
             end()
-            stack.append((None, safe))
-        stack.extend((c, safe) for c in reversed(node.children))
+            stack.append((None, inside))
+        stack.extend((c, inside) for c in reversed(node.children))
     end()
     return "\n".join(blocks)
 
@@ -323,41 +386,66 @@ def host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, tree): hashes of subtrees that recur on a host's pages or (inverted) in its articles, from columns host and html."""
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of columns host, key, html: host, key, tree, holder."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, STEP):
+            part = batch.slice(at, STEP)
+            rows: list[tuple] = []
+            for name, key, html in zip(*(part.column(c).to_pylist() for c in ("host", "key", "html"))):
+                root = parse(html)
+                rows.extend((name, key, *x) for x in set(hash_subtrees(root, _article(root))))
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "key", "tree", "holder"])
 
-    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, STEP):
-                part = batch.slice(at, STEP)
-                rows: list[tuple] = []
-                for name, html in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
-                    root = parse(html)
-                    rows.extend((name, *x) for x in set(hash_subtrees(root, _article(root))))
-                columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["host", "tree", "holder"])
-
-    seen = pages.filter("html is not null").select("host", "html").mapInArrow(trees, "host string, tree long, holder long")
+
+_TREES = "host string, key string, tree long, holder long"
+
+
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, min_inside: float = MIN_INSIDE) -> DataFrame:
+    """(host, tree): hashes of subtrees that recur on a host's pages or (inverted) in its articles, from columns host and html."""
+    rows = pages.filter("html is not null and host <> ''").select("host", F.lit("").alias("key"), "html")
+    seen = rows.mapInArrow(_trees, _TREES)
     counted = stored(seen.groupBy("host", "tree").agg(F.count_distinct("holder").alias("n")), "html-trees")
     counted = counted.withColumn("inside", F.col("tree") < 0)
     totals = counted.filter("tree in (0, -1)").select("host", "inside", F.col("n").alias("holders"))
     found = counted.filter(f"tree not in (0, -1) and n >= {min_pages}").join(totals, ["host", "inside"])
-    return found.filter(F.col("n") >= F.lit(min_share) * F.col("holders")).select("host", "tree")
+    least = F.when(F.col("inside") | (F.col("tree") % 2 == 1), F.lit(min_inside)).otherwise(F.lit(min_share))
+    return found.filter(F.col("n") >= least * F.col("holders")).select("host", "tree")
 
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text) of all pages."""
+def tallied(pages: DataFrame, few: int = BROADCAST_ROWS) -> DataFrame:
+    """(page_id, url, text, recurs, outside, named) of all pages: the text, and characters that went as template, or too rare for
+    that as outside of the page's article or by name.  few: templates that are broadcast at most."""
     rows = require(pages, "page_id", "url", "html").withColumn("host", host(F.col("url")))
     table = stored(templates(rows), "html-templates")
-    # a host's template hashes: at most 1 / MIN_SHARE times the subtrees of its largest page
-    lists = stored(table.groupBy("host").agg(F.collect_list("tree").alias("trees")), "html-lists")
-    joined = rows.join(lists, "host", "left")
+    if table.limit(few + 1).count() <= few:
+        lists: dict[str, set[int]] = defaultdict(set)
+        for r in table.collect():
+            lists[r["host"]].add(r["tree"])
+        shared = pages.sparkSession.sparkContext.broadcast(dict(lists))
+        own = rows.withColumn("trees", F.lit(None).cast("array<long>"))
+    else:  # the hashes of each page, of which equal pages of a host share one list
+        keyed = rows.withColumn("key", F.md5(F.coalesce("html", F.lit(""))))
+        seen = keyed.filter("html is not null and host <> ''").select("host", "key", "html").mapInArrow(_trees, _TREES).select("host", "key", "tree").distinct()
+        own = stored(seen.join(table, ["host", "tree"]).groupBy("host", "key").agg(F.collect_list("tree").alias("trees")), "html-lists")
+        own, shared = keyed.join(own, ["host", "key"], "left"), None
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, none = shared.value if shared else {}, frozenset()
         for batch in batches:
             for at in range(0, batch.num_rows, STEP):
                 part = batch.slice(at, STEP)
-                out = [extract(h or "", frozenset(t or ())) for h, t in zip(part.column("html").to_pylist(), part.column("trees").to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
+                out, why = [], []
+                for name, html, trees in zip(*(part.column(c).to_pylist() for c in ("host", "html", "trees"))):
+                    why.append(Counter())
+                    out.append(extract(html or "", known.get(name, none) if shared else frozenset(trees or ()), why[-1]))
+                counts = [pa.array([w[k] for w in why], pa.int64()) for k in ("recurs", "outside", "named")]
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(out, pa.string()), *counts], ["page_id", "url", "text", "recurs", "outside", "named"])
 
-    return joined.select("page_id", "url", "html", "trees").mapInArrow(texts, "page_id long, url string, text string")
+    return own.select("page_id", "url", "host", "html", "trees").mapInArrow(texts, "page_id long, url string, text string, recurs long, outside long, named long")
+
+
+def main_text(pages: DataFrame, few: int = BROADCAST_ROWS) -> DataFrame:
+    """(page_id, url, text) of all pages."""
+    return tallied(pages, few).select("page_id", "url", "text")

@@ -27,8 +27,8 @@ from quern.llm.common import partitions, require, stored
 
 CAPACITY = 2048
 STEP = 256
-#: Slots of the token memo: half the usual, as packing follows stages that leave less memory.
-MEMO = 1 << 20
+#: Slots of the token memo: a quarter of the usual, as packing follows stages that leave less memory.
+MEMO = 1 << 19
 
 
 def pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from quern.llm import html_main_text as h
 
@@ -135,8 +136,57 @@ def test_templates_equal_a_count_by_brute_force(rows):
         pages_of[host].add(html)
         for div in re.findall("<div.*?</div>", html):
             holders[host, div].add(html)
-    want = {k for k, v in holders.items() if len(v) >= 3 and len(v) >= 0.2 * len(pages_of[k[0]])}
+    want = {k for k, v in holders.items() if len(v) >= 3 and len(v) >= h.MIN_SHARE * len(pages_of[k[0]])}
     got = {r["page_id"]: r["text"] for r in h.main_text(pages(rows, *site)).collect()}
     for i, url, html in site:
         kept = [d for d in re.findall("<div.*?</div>", html) if (url.split("/")[2], d) not in want]
         assert got[i] == "\n".join(re.sub("<[^>]*>", "", d) for d in kept)
+
+
+def plain_text(html, drop):
+    """Lines of a page of divs and one article without the pieces in drop."""
+    import re
+
+    for piece in drop:
+        html = html.replace(piece, "")
+    return "\n".join(x for x in re.sub("<[^>]*>", "\n", html).split("\n") if x.strip())
+
+
+@pytest.mark.parametrize("few", [1000, 0])
+def test_counts_decide_outside_of_articles_and_names_only_ties(rows, few):
+    box = [f"<div class=\"k{i}\">box number {i}</div>" for i in range(3)]
+    site = [(i, f"http://a.org/{i}", f"<body>{box[i % 3]}<article><p>text {i}</p></article><div class=z{i}>once {i}</div></body>") for i in range(12)]
+    bare = [(100 + i, f"http://b.org/{i}", f"<body>{box[i % 2]}<div class=\"menu\">menu {i}</div><div>words {i}</div></body>") for i in range(8)]
+    bare.append(bare[0])
+    got = h.tallied(pages(rows, *site, *bare), few).collect()
+    for r in got:
+        html = next(x[2] for x in site + bare if x[0] == r["page_id"])
+        if r["page_id"] < 100:
+            assert (r["text"], r["recurs"] > 0, r["outside"] > 0, r["named"]) == (plain_text(html, [*box, f"<div class=z{r['page_id']}>once {r['page_id']}</div>"]), True, True, 0)
+        else:
+            assert (r["text"], r["recurs"] > 0, r["outside"], r["named"] > 0) == (f"words {r['page_id'] - 100}", True, 0, True)
+    assert len(got) == 21
+    for _, _, html in site + bare:
+        assert h.extract(html, None) == plain_text(html, [])
+
+
+def test_boxes_that_are_filled_anew_go_by_their_shape():
+    page = "<body><nav><ul><li>a {0}<li>b {0}</ul></nav><div>one {0}</div><article><nav>own</nav><div><p>x {0}</p></div></article></body>"
+
+    def trees(html):
+        root = h.parse(html)
+        return {t for t, _ in h.hash_subtrees(root, h._article(root)) if t not in (0, ~0)}
+
+    both = trees(page.format(1)) & trees(page.replace("<li>b {0}", "<li>b<li>c<li>d").format(2))
+    tally = h.Counter()
+    assert h.extract(page.format(3), both, tally) == "x 3" and tally["recurs"] == len("a 3") + len("b 3") + len("one 3") + len("own") and not tally["outside"]
+
+
+def test_what_goes_on_the_drivers_pages_goes_by_counts(spark, tables):
+    p = spark.read.parquet(f"{tables}/pages.parquet")
+    many = p.unionByName(p.withColumn("html", F.regexp_replace("html", "<p>", "<p>again "))).unionByName(p.withColumn("html", F.regexp_replace("html", "<p>", "<p>more ")))
+    total = h.tallied(many).agg({"recurs": "sum", "outside": "sum", "named": "sum"}).first()
+    assert total["sum(recurs)"] > 9 * (total["sum(outside)"] + total["sum(named)"])
+    texts = {(r["page_id"], r["text"]) for r in h.main_text(p).collect()}
+    off = {(r["page_id"], h.extract(r["html"] or "", None)) for r in p.collect()}
+    assert len(texts & off) < 0.05 * len(texts)
