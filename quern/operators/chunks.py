@@ -17,6 +17,7 @@ HEADING = (
     r"(?m)^(?=[ \t\x{a0}]*(?:Статья|СТАТЬЯ|Бап|БАП|Article|ARTICLE|Section|SECTION|Pasal|PASAL|Art\.|المادة|مادة"
     r"|第[一二三四五六七八九十百千万0-9]+条)[ \t\x{a0}.:()0-9٠-٩\-]+)"
 )
+FIRST_LINE = r"\A[^\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]*"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
@@ -27,8 +28,13 @@ def sections(text: Column, heading: str = HEADING) -> Column:
 
 def _windows(section: Column, most: int, overlap: int) -> Column:
     """A section as it is, or windows of it; later ones begin with its first line unless they do so anyway."""
+    # the first line is taken once for all windows
+    headed = F.struct(section.alias("text"), F.substring(F.regexp_extract(section, FIRST_LINE, 0), 1, TITLE_CHARS).alias("first"))
+    return F.flatten(F.transform(F.array(headed), lambda s: _cut(s["text"], s["first"], most, overlap)))
+
+
+def _cut(section: Column, first: Column, most: int, overlap: int) -> Column:
     step = max(most - overlap, LEAST_STEP)
-    first = F.substring(F.element_at(F.split(section, LINE_END), 1), 1, TITLE_CHARS)
     # the last window is the first that reaches the end
     count = F.greatest(F.lit(0), F.ceil((F.char_length(section) - most) / step)).cast("int")
 

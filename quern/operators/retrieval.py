@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from quern.functions.temporal import multiplier
 from quern.functions.text import bag, normal, source_id
-from quern.tables import stored
+from quern.operators.postings import best, counted, idf, impact, index, scored, stats
+from quern.tables import few, stored
 
-K1, B = 1.5, 0.75
 TITLE_YEAR_BOOST = 1.25
 POOL, RRF_K = 30, 60
 # Phrases of passages that state a year's amounts.
@@ -23,40 +23,27 @@ PARAMETER_KEYWORDS = (
 )
 
 
-def postings(corpus: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(chunk_id, length, term, tf), stored: of given terms only where there are some.  Each passage has a row of term '' too.
-
-    Texts are tokenised once; term frequencies, document frequencies and lengths all come from this table.
-    """
-    each = corpus.select("chunk_id", bag(F.col("text")).alias("t"))
-    each = each.select("chunk_id", F.size("t").alias("length"), F.explode(F.concat("t", F.array(F.lit("")))).alias("term"))
-    if terms is not None:
-        asked = terms.select("term").distinct()
-        each = each.join(asked.union(asked.sparkSession.createDataFrame([("",)], "term string")), "term", "left_semi")
-    counted = each.groupBy("chunk_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return stored(counted, "postings")
-
-
-def corpus_stats(posted: DataFrame) -> DataFrame:
-    """One row (n, avg_length): passages and their mean number of tokens."""
-    return posted.filter("term = ''").agg(F.count("length").alias("n"), F.avg("length").alias("avg_length"))
-
-
-def idf(n: Column, df: Column) -> Column:
-    return F.log1p((n - df + 0.5) / (df + 0.5))
-
-
 def bm25(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score): sums over a query's distinct terms, to six decimals."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(bag(F.col("query")))).alias("term"))
-    posted = postings(corpus, asked)
+    asked = stored(queries.select("query_id", F.explode(F.array_distinct(bag(F.col("query")))).alias("term")), "asked")
+    sums = scored(corpus, asked)
+    if sums is not None:
+        return sums.withColumn("score", F.round("score", 6))
+    posted = counted(corpus, asked)  # too many queries to send to the tasks
     found = posted.filter("term <> ''")
-    weights = found.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(corpus_stats(posted)))
+    weights = found.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats(posted)))
     terms = asked.join(weights.select("term", idf(F.col("n"), F.col("df")).alias("idf"), "avg_length"), "term")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
+    terms = few(stored(terms, "asked-weights"))
+    part = F.col("idf") * impact(F.col("tf"), F.col("length"), F.col("avg_length"))
     return found.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
+def best_by_index(corpus: DataFrame, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """The k best passages of BM25 through an index of postings by impact, and how many postings each query read of its own."""
+    asked = stored(queries.select("query_id", F.explode(F.array_distinct(bag(F.col("query")))).alias("term")), "asked")
+    return best(*index(counted(corpus, asked)), asked, k)
+
+
 def boosted(scores: DataFrame, corpus: DataFrame, queries: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
     """Scores times the title-year boost and, with metadata (id, y_eff, y_snap, is_code, is_budget), the time weight."""
     out = scores.join(corpus.select("chunk_id", "source_id", "title"), "chunk_id").join(queries.select("query_id", "case_year"), "query_id")
@@ -180,7 +167,10 @@ def hits(retrieved: DataFrame, gold: DataFrame) -> DataFrame:
     passage's text holds its first 60 characters, or its first 35 in its own source; an empty one never is.
     """
     g = gold.select("query_id", F.monotonically_increasing_id().alias("g"), source_id(F.coalesce("source_file", F.lit(""))).alias("gold_source"), normal(F.coalesce("passage", F.lit(""))).alias("p"))
-    r = retrieved.select("query_id", "rank", "source_id", normal(F.coalesce("text", F.lit(""))).alias("t"))
+    # a passage that several queries found is normalised once
+    r = stored(retrieved.select("query_id", "rank", "source_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.sha2("text", 256)), "hits-found")
+    texts = stored(r.groupBy("digest").agg(F.any_value("text").alias("text")).select("digest", normal(F.col("text")).alias("t")), "hits-texts")
+    r = r.drop("text").join(texts, "digest").drop("digest")
     found = (F.col("p") != "") & (F.col("t").contains(F.substring("p", 1, 60)) | ((F.col("source_id") == F.col("gold_source")) & F.col("t").contains(F.substring("p", 1, 35))))
     each = g.join(r, "query_id", "left").groupBy("query_id", "g").agg(
         F.min(F.when(found, F.col("rank"))).alias("first"), F.first("gold_source").alias("gold_source"),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import INSUFFICIENT, bind_quote, duplicate_signature, is_plain_decimal, normal, source_id, starts_formula, strip
+from quern.tables import few, stored
 
 # Fixed values of the data model.
 CATEGORIES = ("1000", "2000", "3000", "4000", "5000", "6000")
@@ -149,9 +150,9 @@ def automaton(words: Iterable[str]) -> Callable[[str], set[str]]:
 
 def duplicate_questions(rows: DataFrame) -> DataFrame:
     """(family, no, first_family): questions whose text, but for case and white space, an earlier family has."""
-    text = F.sha2(normal(F.col("question")), 256)
-    firsts = rows.select(text.alias("t"), "family").groupBy("t").agg(F.min("family").alias("first_family"))
-    return rows.withColumn("t", text).join(firsts, "t").filter("first_family < family").select("family", "no", "first_family")
+    signed = stored(rows.select("family", "no", F.sha2(normal(F.col("question")), 256).alias("t")), "questions")
+    firsts = signed.groupBy("t").agg(F.min("family").alias("first_family"), F.max("family").alias("last")).filter("first_family < last").drop("last")
+    return signed.join(few(stored(firsts, "question-firsts")), "t").filter("first_family < family").select("family", "no", "first_family")
 
 
 def near_duplicates(rows: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quern import contract_queries
 from quern.functions import temporal, text
 from quern.functions.calculator import calculate_udf
-from quern.operators import allocation, chunks, metrics, retrieval, search, validation
+from quern.operators import allocation, chunks, metrics, postings, retrieval, search, validation
 from quern.sources import extract, store, urls
 from quern.streaming import ledger
 from quern.tables import table
@@ -71,9 +71,9 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_IDF)
 def idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posted = retrieval.postings(_docs_as_corpus(spark, sf_dir))
+    posted = postings.counted(_docs_as_corpus(spark, sf_dir))
     tf = posted.filter("term <> ''").groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
-    return tf.crossJoin(F.broadcast(retrieval.corpus_stats(posted))).select("term", "cf", "df", F.round(retrieval.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+    return tf.crossJoin(F.broadcast(postings.stats(posted))).select("term", "cf", "df", F.round(postings.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
 _BM25 = f"""
@@ -94,6 +94,14 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select(F.col("query_id").alias("item_id"), F.col("chunk_id").alias("doc_id"), F.round("score", 4).alias("score"), "rank")
 
 
+@_query(f"WITH {_BM25}, n AS (SELECT item_id, count(*) AS postings FROM q JOIN p USING (term) GROUP BY item_id) SELECT r.item_id, doc_id, round(score, 4) AS score, rank, postings FROM r JOIN n USING (item_id) WHERE rank <= 5")
+def bm25_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same passages through blocks of postings by impact, with the postings of each query's terms."""
+    best, read = retrieval.best_by_index(_docs_as_corpus(spark, sf_dir), _items(spark, sf_dir), 5)
+    out = best.join(read, "query_id")
+    return out.select(F.col("query_id").alias("item_id"), F.col("chunk_id").alias("doc_id"), F.round("score", 4).alias("score"), "rank", "postings")
+
+
 _HITS = f"""
 g AS (SELECT item_id, {_NORMAL % 'text'} AS p FROM benchmark),
 h AS (SELECT g.item_id, min(CASE WHEN p <> '' AND contains({_NORMAL % 'd2.text'}, p[1:60]) THEN rank END) AS f

@@ -51,7 +51,7 @@ def fetch(url: str, get: Callable[[str], Response], policy: dict[str, list[str]]
         if not permits(url, policy):
             raise Refused("URL_POLICY")
         way.append(url)
-        answer = _tried(lambda: get(url), retries, wait)
+        answer, body = _tried(lambda: _read(get(url), most), retries, wait)
         if answer.status in REDIRECTS:
             if not answer.headers.get("location"):
                 raise Refused("REDIRECT_INVALID")
@@ -59,20 +59,25 @@ def fetch(url: str, get: Callable[[str], Response], policy: dict[str, list[str]]
             continue
         if answer.status != 200:
             raise Refused("HTTP_STATUS")
-        return _limited(answer, most), url, way
+        return body, url, way
     raise Refused("REDIRECT_LIMIT")
 
 
-def _tried(get: Callable[[], Response], retries: int, wait: Callable[[float], None]) -> Response:
+def _read(answer: Response, most: int) -> tuple[Response, bytes]:
+    return answer, _limited(answer, most) if answer.status == 200 else b""
+
+
+def _tried(exchange: Callable[[], tuple[Response, bytes]], retries: int, wait: Callable[[float], None]) -> tuple[Response, bytes]:
+    """An exchange with its whole body: an answer that breaks off is asked for again, as is a passing status."""
     for attempt in range(retries + 1):
         try:
-            answer, code = get(), None
+            done, code = exchange(), None
         except TimeoutError:
-            answer, code = None, "CONNECT_TIMEOUT"
+            done, code = None, "CONNECT_TIMEOUT"
         except OSError:
-            answer, code = None, "CONNECT_ERROR"
-        if answer is not None and (answer.status not in PASSING or attempt == retries):
-            return answer
+            done, code = None, "CONNECT_ERROR"
+        if done is not None and (done[0].status not in PASSING or attempt == retries):
+            return done
         if attempt == retries:
             raise Refused(code)
         wait(min(0.25 * 2**attempt, 2.0))
@@ -103,6 +108,8 @@ def fetched(urls: DataFrame, get: Callable[[str], Response], policy: dict[str, l
                     out.append((url, *fetch(url, get, policy, **limits), None))
                 except Refused as e:
                     out.append((url, None, None, None, str(e)))
+                except Exception as e:  # a transport's own fault concerns its row only
+                    out.append((url, None, None, None, f"TRANSPORT_{type(e).__name__}"))
             yield pd.DataFrame(out, columns=["url", "content", "final_url", "redirects", "code"])
 
     return urls.select("url").mapInPandas(run, "url string, content binary, final_url string, redirects array<string>, code string")
@@ -134,7 +141,7 @@ def responder(model: Callable[[str], str], tries: int = 5, wait: Callable[[float
             for prompt in rows["prompt"]:
                 try:
                     out.append(asked(prompt, model, tries, wait))
-                except (OSError, TimeoutError) as e:
+                except Exception as e:
                     out.append(f"[EVALUATION ERROR: {type(e).__name__}]")
             yield rows.assign(raw_response=out)[["key", "prompt", "raw_response"]]
 
@@ -142,14 +149,20 @@ def responder(model: Callable[[str], str], tries: int = 5, wait: Callable[[float
 
 
 def embedded(texts: DataFrame, cache: DataFrame, embed: Callable[[list[str]], list[list[float]]]) -> DataFrame:
-    """(key, embedding) of texts (key, text): those of the cache, and of keys without one in batches of BATCH texts cut at LONGEST characters."""
+    """(key, embedding, code) of texts (key, text), code null for success: those of the cache, and of keys without one in batches of BATCH texts cut at LONGEST characters."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for at in range(0, len(rows), BATCH):
                 part = rows.iloc[at : at + BATCH]
-                yield pd.DataFrame({"key": part["key"], "embedding": embed([t[:LONGEST] for t in part["text"]])})
+                try:
+                    found = embed([t[:LONGEST] for t in part["text"]])
+                    if len(found) != len(part):
+                        raise ValueError("another number of vectors than texts")
+                    yield pd.DataFrame({"key": part["key"], "embedding": found, "code": None})
+                except Exception as e:
+                    yield pd.DataFrame({"key": part["key"], "embedding": None, "code": f"EMBEDDING_{type(e).__name__}"})
 
     missing = texts.select("key", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["key"]).join(cache, "key", "left_anti")
-    known = cache.join(texts.select("key").distinct(), "key", "left_semi").select("key", "embedding")
-    return known.unionByName(missing.mapInPandas(run, "key string, embedding array<double>"))
+    known = cache.join(texts.select("key").distinct(), "key", "left_semi").select("key", "embedding", F.lit(None).cast("string").alias("code"))
+    return known.unionByName(missing.mapInPandas(run, "key string, embedding array<double>, code string"))

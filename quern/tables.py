@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -35,3 +36,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a table that may be broadcast.
+BROADCAST_ROWS = 300_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """The table, to be broadcast if its rows are counted to be BROADCAST_ROWS at most; else it joins by a shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The table over as many tasks as there are cores, where its files would make fewer: for work that is much dearer than a shuffle."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
