@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quern.tables import spread, stored
 
@@ -123,11 +124,12 @@ def scored(corpus: DataFrame, asked: DataFrame) -> DataFrame | None:
     number = {q: i for i, q in enumerate(ids)}
     by_term = np.array(sorted((place[r["term"]], number[r["query_id"]]) for r in pairs), np.int64).reshape(-1, 2)
     start = np.searchsorted(by_term[:, 0], np.arange(len(place) + 1))
+    id_type = to_arrow_type(asked.schema["query_id"].dataType)
     shared = context.broadcast((by_term[:, 1].copy(), start, weight, ids))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query, start, weight, ids = shared.value
-        names, step = pa.array(ids), max(1, (1 << 22) // max(1, len(ids)))
+        names, step = pa.array(ids, id_type), max(1, (1 << 22) // max(1, len(ids)))
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)

@@ -2,27 +2,20 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import quoted
-from quern.operators.chunks import LINE_END, lines, section_spans
+from quern.operators import positional
+from quern.operators.chunks import lines, section_spans
 from quern.tables import stored
 
-EXCERPT, HITS, BUDGET, SECTIONS, MOST_LINES, MOST_CHARS = 1200, 6, 10_000, 40, 400, 40_000
+HITS, BUDGET, SECTIONS, MOST_LINES, MOST_CHARS = 6, 10_000, 40, 400, 40_000
 
 
 def query_patterns(query: str) -> list[str]:
     """A pattern for each term: whole words in any case, numbers exactly, word* as a prefix; ValueError for other uses of *."""
-    if not query.strip():
-        return []
-    found = re.findall(r"[0-9]+(?:[.,][0-9]+)*|[^\W\d_]+\*?", query)
-    if sum(t.endswith("*") for t in found) != query.count("*") or re.search(r"\*\w", query):
-        raise ValueError("* may only end a word of letters")
-    word = r"\p{L}\p{N}_"
-    return [rf"(?iu)(?<![{word}]){re.escape(t.rstrip('*'))}{r'\p{L}*' if t.endswith('*') else ''}(?![{word}])" for t in found]
+    return [positional.pattern_of(t) for t in positional.terms_of(query)] if query.strip() else []
 
 
 def matches_all(text: Column, patterns: list[str]) -> Column:
@@ -35,37 +28,12 @@ def matches_all(text: Column, patterns: list[str]) -> Column:
 def find(docs: DataFrame, query: str) -> DataFrame:
     """(id, line_no, rank, start, end, start_line, last_line, excerpt): rank 0 the phrase on a line, 1 all terms on it, 2 all in three lines.
 
-    An excerpt is the line or lines with the neighbours on each side that fit whole in EXCERPT characters; of longer ones
-    EXCERPT characters from shortly before the match.  One that lacks a term then is no hit.  Documents without all
-    terms are left out before any line is cut.
+    Documents without all terms are left out before any line is cut; hits meet their lines, never whole texts.  For many queries over the same
+    documents see `positional.search`.
     """
-    patterns = query_patterns(query)
-    docs = docs.filter(matches_all(F.col("text"), patterns))
-    order = Window.partitionBy("id").orderBy("line_no")
-    ahead = {f"s{i}": F.lead("start", i).over(order) for i in (1, 2, 3, 4)} | {f"n{i}": F.lead("line", i).over(order) for i in (1, 2)}
-    rows = lines(docs).withColumns(ahead | {"before": F.lag("start", 1).over(order)})
-    three = F.concat_ws("\n", "line", "n1", "n2")
-    phrase = F.lower("line").contains(query.strip().lower())
-    rank = F.when(phrase & matches_all(F.col("line"), patterns), 0).when(matches_all(F.col("line"), patterns), 1).when(matches_all(three, patterns), 2)
-    rows = rows.withColumn("rank", rank).filter("rank is not null").select("id", "line_no", "rank", "start", "before", *ahead)
-    rows = rows.drop("n1", "n2").join(docs.select("id", "text"), "id").withColumn("size", F.char_length("text"))
-    # where the core lines end, and the line after them
-    end = F.coalesce(F.when(F.col("rank") == 2, F.col("s3")).otherwise(F.col("s1")), F.col("size"))
-    after = F.when(end < F.col("size"), F.coalesce(F.when(F.col("rank") == 2, F.col("s4")).otherwise(F.col("s2")), F.col("size")))
-    rows = rows.withColumns({"core": end, "after": after})
-    part = lambda a, b: F.substring(F.col("text"), a + 1, b - a)
-    first = F.array_min(F.array(*(F.regexp_instr(part(F.col("start"), F.col("core")), F.lit(p)) for p in patterns))) - 1 if patterns else F.lit(0)
-    first = F.when(F.col("rank") == 0, F.instr(F.lower(part(F.col("start"), F.col("core"))), query.strip().lower()) - 1).otherwise(first)
-    long_ = F.col("core") - F.col("start") > EXCERPT
-    wide = F.when(F.col("core") - F.col("before") <= EXCERPT, F.col("before"))
-    begin = F.when(long_, F.greatest(F.col("start"), F.col("start") + first - 100)).otherwise(F.coalesce(wide, F.col("start")))
-    rows = rows.withColumn("begin", begin)
-    stop = F.when(long_, F.least(F.col("core"), F.col("begin") + EXCERPT)).otherwise(F.coalesce(F.when(F.col("after") - F.col("begin") <= EXCERPT, F.col("after")), F.col("core")))
-    rows = rows.withColumn("stop", stop).withColumn("excerpt", part(F.col("begin"), F.col("stop"))).filter(matches_all(F.col("excerpt"), patterns))
-    line_of = lambda at: (F.regexp_count(F.substring(F.col("text"), F.lit(1), at), F.lit(LINE_END)) + 1).cast("int")
-    return rows.select(
-        "id", "line_no", "rank", F.col("begin").alias("start"), F.col("stop").alias("end"), line_of(F.col("begin")).alias("start_line"), line_of(F.col("stop") - 1).alias("last_line"), "excerpt"
-    )
+    held = docs.filter(matches_all(F.col("text"), query_patterns(query)))
+    cut = stored(positional.lines(held), "lines")
+    return positional.excerpts(positional.matching(cut, query), cut).drop("query_id")
 
 
 def best_hits(found: DataFrame, hits: int = HITS, budget: int = BUDGET) -> DataFrame:

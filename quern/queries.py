@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quern import contract_queries
 from quern.functions import temporal, text
 from quern.functions.calculator import calculate_udf
-from quern.operators import allocation, chunks, metrics, postings, retrieval, search, validation
+from quern.operators import allocation, chunks, metrics, positional, postings, retrieval, search, validation
 from quern.sources import extract, store, urls
 from quern.streaming import ledger
 from quern.tables import table
@@ -403,6 +403,39 @@ def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.find(d, "the mit").select("id", "line_no", "rank")
 
 
+_RUNS = r"(?s)(^|[^\p{L}\p{N}_])"
+
+
+@_query(rf"""WITH q AS (SELECT item_id, lower(w[1]) AS a, lower(w[2]) AS b FROM (SELECT item_id, regexp_extract_all(text, '[A-Za-z]{{3,}}') AS w FROM benchmark) WHERE len(w) > 1),
+l AS (SELECT doc_id AS id, string_split(text, chr(10)) AS l FROM documents),
+u AS (SELECT id, unnest(l) AS line, generate_subscripts(l, 1) AS line_no, len(l) AS n FROM l),
+f AS (SELECT id, line_no::INT AS line_no, line || CASE WHEN line_no < n THEN chr(10) ELSE '' END AS f FROM u WHERE line_no < n OR line <> ''),
+s AS (SELECT *, coalesce(sum(length(f)) OVER (PARTITION BY id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st, lag(f) OVER w AS f0, lead(f, 1) OVER w AS f1, lead(f, 2) OVER w AS f2, lead(f, 3) OVER w AS f3
+      FROM f WINDOW w AS (PARTITION BY id ORDER BY line_no)),
+c AS (SELECT *, concat(f, f1, f2) AS three FROM s, q WHERE contains(lower(concat(f, f1, f2)), a) AND contains(lower(concat(f, f1, f2)), b)),
+m AS (SELECT *, regexp_matches(lower(f), '{_RUNS}' || a || '($|[^\p{{L}}\p{{N}}_])') AND regexp_matches(lower(f), '{_RUNS}' || b || '($|[^\p{{L}}\p{{N}}_])') AS one,
+  regexp_matches(lower(three), '{_RUNS}' || a || '($|[^\p{{L}}\p{{N}}_])') AND regexp_matches(lower(three), '{_RUNS}' || b || '($|[^\p{{L}}\p{{N}}_])') AS any3 FROM c),
+r AS (SELECT *, CASE WHEN one AND contains(lower(f), a || ' ' || b) THEN 0 WHEN one THEN 1 ELSE 2 END AS rank FROM m WHERE any3),
+x AS (SELECT *, CASE WHEN rank = 2 THEN three ELSE f END AS core, CASE WHEN rank = 2 THEN f3 ELSE f1 END AS nx FROM r),
+y AS (SELECT *, CASE WHEN rank = 0 THEN strpos(lower(core), a || ' ' || b) - 1 ELSE least(length(regexp_extract(lower(core), '(?s)^(|.*?[^\p{{L}}\p{{N}}_])' || a || '(?:$|[^\p{{L}}\p{{N}}_])', 1)),
+  length(regexp_extract(lower(core), '(?s)^(|.*?[^\p{{L}}\p{{N}}_])' || b || '(?:$|[^\p{{L}}\p{{N}}_])', 1))) END AS first FROM x),
+z AS (SELECT *, CASE WHEN length(core) > 1200 THEN substring(core, (greatest(0, first - 100) + 1)::INT, 1200)
+  ELSE CASE WHEN length(coalesce(f0, '')) + length(core) <= 1200 THEN coalesce(f0, '') ELSE '' END || core ||
+       CASE WHEN length(core) + CASE WHEN length(coalesce(f0, '')) + length(core) <= 1200 THEN length(coalesce(f0, '')) ELSE 0 END + length(coalesce(nx, '')) <= 1200 THEN coalesce(nx, '') ELSE '' END END AS e,
+  CASE WHEN length(core) > 1200 THEN st + greatest(0, first - 100) WHEN length(coalesce(f0, '')) + length(core) <= 1200 THEN st - length(coalesce(f0, '')) ELSE st END AS b0 FROM y)
+SELECT item_id, id, line_no, rank, b0::INT AS start, (b0 + length(e))::INT AS "end", md5(e) AS digest FROM z
+WHERE regexp_matches(lower(e), '{_RUNS}' || a || '($|[^\p{{L}}\p{{N}}_])') AND regexp_matches(lower(e), '{_RUNS}' || b || '($|[^\p{{L}}\p{{N}}_])')""")
+def phrase_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two words of each benchmark item, searched in all documents through the positional index: excerpts with their offsets."""
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))
+    items = table(spark, sf_dir, "benchmark").select("item_id", words.alias("w")).filter("size(w) > 1")
+    asked = items.select(F.col("item_id").alias("query_id"), F.concat_ws(" ", F.col("w")[0], F.col("w")[1]).alias("query"))
+    runs, cut = positional.index(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    found = positional.search(runs, cut, asked)
+    return found.select(F.col("query_id").alias("item_id"), "id", "line_no", "rank", "start", "end", F.md5("excerpt").alias("digest"))
+
+
+
 @_query("""WITH s AS (SELECT doc_id AS id, doc_id * 7 % 50 AS a FROM documents), m AS (SELECT id, a AS start, a + 10 AS "end" FROM s UNION ALL SELECT id, a + (id % 3) * 8, a + (id % 3) * 8 + 5 FROM s),
 o AS (SELECT *, max("end") OVER (PARTITION BY id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM m),
 i AS (SELECT *, sum(CASE WHEN b >= start THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY start, "end") AS g FROM o)
