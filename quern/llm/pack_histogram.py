@@ -27,17 +27,17 @@ from quern.llm.common import partitions, require, stored
 
 CAPACITY = 2048
 STEP = 256
-#: Slots of the token memo: a quarter of the usual, as packing follows stages that leave less memory.
-MEMO = 1 << 19
+#: Slots of the token memo: half the usual; after other stages, which leave less memory, fewer.
+MEMO, LESS_MEMO = 1 << 20, 1 << 19
 
 
-def pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: int = CAPACITY, slots: int = MEMO) -> DataFrame:
     """(doc_id, start, length, doc_tokens, ids): each whole text's ids and end id, cut at the capacity."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from quern.llm.token_cache import encoder
 
-        code = encoder(tokenizer, kind, MEMO)
+        code = encoder(tokenizer, kind, slots)
         end = np.array([end_id], "<u4").tobytes()
         names = ["doc_id", "start", "length", "doc_tokens", "ids"]
         types = [pa.int64()] * 4 + [pa.binary()]
