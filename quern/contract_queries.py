@@ -177,19 +177,22 @@ def temporal_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.temporal_pairs(q)
 
 
-# Laws with headings: a preamble, then three articles cut from the document's text.
-_LAW = "concat('Preamble of ', source, chr(10), 'Article 1. On ', lang, chr(10), left(text, 150), chr(10), 'Article 2. More', chr(10), substring(text, 151, 400), chr(10), 'Article 2. More', chr(10), substring(text, 551, 50), chr(10))"
+# Laws with headings: a preamble, then three articles with the whole text of a document; its lines are marked, so that none is a heading.
+_BODY = "replace(coalesce(text, ''), chr(10), concat(chr(10), '> '))"
+_LAW = (
+    "concat('Preamble of ', coalesce(source, ''), chr(10), 'Article 1. On ', coalesce(lang, ''), chr(10), '> ', left(body, 150), chr(10), "
+    "'Article 2. More', chr(10), '> ', substring(body, 151, 400), chr(10), 'Article 2. More', chr(10), '> ', substring(body, 551), chr(10))"
+)
 _SPANS = rf"""
-d AS (SELECT doc_id AS id, {_LAW} AS text FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND NOT regexp_matches(text, '(^|\n)[ \t\x{{A0}}]*(Статья|СТАТЬЯ|Бап|БАП|Article|ARTICLE|Section|SECTION|Pasal|PASAL|Art\.|المادة|مادة|第)')),
+d AS (SELECT doc_id AS id, {_LAW} AS text FROM (SELECT doc_id, source, lang, {_BODY} AS body FROM documents)),
 l AS (SELECT id, text, length('Preamble of ' || '' || split_part(text, chr(10), 1)) - length('Preamble of ') + 1 AS a1 FROM d),
 p AS (SELECT id, text, a1, a1 + strpos(substring(text, a1 + 1), chr(10) || 'Article 2. More' || chr(10)) AS a2 FROM l),
 s AS (SELECT id, text, a1, a2, a2 + 1 + strpos(substring(text, a2 + 2), chr(10) || 'Article 2. More' || chr(10)) AS a3 FROM p)"""
 
 
 def _laws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter("source is not null and lang is not null")
-    plain = ~F.col("text").rlike(r"(^|\n)[ \t\x{A0}]*(Статья|СТАТЬЯ|Бап|БАП|Article|ARTICLE|Section|SECTION|Pasal|PASAL|Art\.|المادة|مادة|第)")
-    return d.filter(plain).select(F.col("doc_id").alias("id"), F.expr(_LAW).alias("text"))
+    d = table(spark, sf_dir, "documents").withColumn("body", F.expr(_BODY))
+    return d.select(F.col("doc_id").alias("id"), F.expr(_LAW).alias("text"))
 
 
 @_query(f"""WITH {_SPANS} SELECT id, 1 AS section, a1 AS start, a2 AS "end", split_part(substring(text, a1 + 1), chr(10), 1) AS label FROM s
@@ -215,8 +218,8 @@ def section_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(rf"""WITH {_SPANS}, n AS (SELECT id, string_split(text, chr(10)) AS l FROM s), w AS (SELECT id, l, 1 + id % 4 AS a, 2 + id % 7 AS b FROM n)
-SELECT id, CASE WHEN b >= a AND a <= len(l) - 1 THEN md5(array_to_string(l[a : least(b, len(l) - 1)], chr(10))) END AS digest,
-  CASE WHEN b < a THEN 'bad span' WHEN a > len(l) - 1 THEN 'no such lines' END AS issue FROM w""")
+SELECT id, CASE WHEN b >= a AND a <= len(l) - 1 AND length(array_to_string(l[a : least(b, len(l) - 1)], chr(10))) <= 40000 THEN md5(array_to_string(l[a : least(b, len(l) - 1)], chr(10))) END AS digest,
+  CASE WHEN b < a THEN 'bad span' WHEN a > len(l) - 1 THEN 'no such lines' WHEN length(array_to_string(l[a : least(b, len(l) - 1)], chr(10))) > 40000 THEN 'too long' END AS issue FROM w""")
 def line_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence spans of lines, inclusive."""
     laws = _laws(spark, sf_dir)
@@ -243,7 +246,7 @@ def section_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VALUES = "[CAST(o_totalprice AS DECIMAL(18,2))::VARCHAR, '+' || o_orderkey, '.5', '1,000', '1e3', '', 'x', repeat('9', (o_orderkey % 120)::INT), '-0.' || repeat('0', (o_orderkey % 110)::INT) || '1', '5.']"
 
 
-@_query(f"""WITH v AS (SELECT o_orderkey AS no, unnest({_VALUES}) AS v, generate_subscripts({_VALUES}, 1) AS i FROM orders WHERE o_orderkey % 10 = 1)
+@_query(f"""WITH v AS (SELECT o_orderkey AS no, unnest({_VALUES}) AS v, generate_subscripts({_VALUES}, 1) AS i FROM orders)
 SELECT no, i, regexp_full_match(v, '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)') AND length(regexp_replace(regexp_replace(v, '[^0-9]', '', 'g'), '^0+', '')) <= 100
   AND length(regexp_replace(regexp_extract(v, '^[+-]?([0-9]*)', 1), '^0+', '')) <= 101 AND length(regexp_extract(v, '^[+-]?0*[.](0*)', 1)) <= 99 AS ok FROM v""")
 def decimal_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,7 +255,7 @@ def decimal_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.concat(F.lit("+"), k), F.lit(".5"), F.lit("1,000"), F.lit("1e3"), F.lit(""), F.lit("x"),
         F.repeat(F.lit("9"), (k % 120).cast("int")), F.concat(F.lit("-0."), F.repeat(F.lit("0"), (k % 110).cast("int")), F.lit("1")), F.lit("5."),
     )
-    each = table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 1").select(k.alias("no"), F.posexplode(values).alias("i", "v"))
+    each = table(spark, sf_dir, "orders").select(k.alias("no"), F.posexplode(values).alias("i", "v"))
     return each.select("no", (F.col("i") + 1).alias("i"), text.is_plain_decimal(F.col("v")).alias("ok"))
 
 
@@ -260,8 +263,11 @@ _S = r"[\s\p{Z}\x1c-\x1f\x{85}]"
 
 
 @_query(rf"""WITH {_SPANS}, e AS (SELECT id, unnest([0, 1, 2, 3]) AS i, unnest([substring(text, 1, a1), substring(text, a1 + 1, a2 - a1), substring(text, a2 + 1, a3 - a2), substring(text, a3 + 1)]) AS part FROM s),
-t AS (SELECT id, i, regexp_replace(part, '^{_S}+|{_S}+$', '', 'g') AS part FROM e)
-SELECT id || '_c' || (row_number() OVER (PARTITION BY id ORDER BY i) - 1) AS chunk_id, md5(part) AS digest FROM t WHERE part <> ''""")
+t AS (SELECT id, i, regexp_replace(part, '^{_S}+|{_S}+$', '', 'g') AS part FROM e),
+w AS (SELECT id, i, part, unnest(range(0, greatest(0, ceil((length(part) - 2400) / 2100.0))::INT + 1)) AS j FROM t WHERE part <> ''),
+c AS (SELECT *, regexp_replace(part[j * 2100 + 1 : j * 2100 + 2400], '^{_S}+|{_S}+$', '', 'g') AS own, string_split(part, chr(10))[1][1:180] AS head FROM w),
+h AS (SELECT *, CASE WHEN j > 0 AND head <> '' AND NOT starts_with(own, head) THEN head || ' (cont.)' || chr(10) || own ELSE own END AS text FROM c WHERE own <> '')
+SELECT id || '_c' || (row_number() OVER (PARTITION BY id ORDER BY i, j) - 1) AS chunk_id, md5(text) AS digest FROM h""")
 def chunk_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of texts with headings: one for each article, and what stands before the first."""
     return chunks.chunked(_laws(spark, sf_dir).withColumn("title", F.lit(""))).select("chunk_id", F.md5("text").alias("digest"))

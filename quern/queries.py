@@ -16,6 +16,7 @@ from quern import contract_queries
 from quern.functions import temporal, text
 from quern.functions.calculator import calculate_udf
 from quern.operators import allocation, chunks, metrics, positional, postings, retrieval, search, validation
+from quern.plans import comparison
 from quern.sources import extract, store, urls
 from quern.streaming import ledger
 from quern.tables import table
@@ -103,17 +104,23 @@ def bm25_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _HITS = f"""
+nd AS MATERIALIZED (SELECT doc_id, {_NORMAL % 'text'} AS t FROM documents),
 g AS (SELECT item_id, {_NORMAL % 'text'} AS p FROM benchmark),
-h AS (SELECT g.item_id, min(CASE WHEN p <> '' AND contains({_NORMAL % 'd2.text'}, p[1:60]) THEN rank END) AS f
-      FROM g LEFT JOIN r ON g.item_id = r.item_id AND rank <= 5 LEFT JOIN documents d2 ON r.doc_id = d2.doc_id GROUP BY g.item_id)"""
+gs AS (SELECT g.item_id, any_value(p) AS p, min(doc_id) AS src FROM g LEFT JOIN nd ON p <> '' AND contains(t, p[1:60]) GROUP BY g.item_id),
+h AS (SELECT gs.item_id, any_value(src) AS src, min(CASE WHEN p <> '' AND (contains(t, p[1:60]) OR (src IS NOT NULL AND r.doc_id = src AND contains(t, p[1:35]))) THEN rank END) AS f, coalesce(bool_or(r.doc_id = src), false) AS hit
+      FROM gs LEFT JOIN r ON gs.item_id = r.item_id AND rank <= 5 LEFT JOIN nd ON r.doc_id = nd.doc_id GROUP BY gs.item_id)"""
 
 
-@_query(f"WITH {_BM25}, {_HITS} SELECT count(*) AS queries, round(avg(CASE WHEN f IS NULL THEN 0 ELSE 1 END), 6) AS passage_recall, round(avg(coalesce(1.0 / f, 0)), 6) AS reciprocal_rank FROM h")
+@_query(f"""WITH {_BM25}, {_HITS} SELECT count(*) AS queries, round(avg(CASE WHEN f IS NULL THEN 0 ELSE 1 END), 6) AS passage_recall, round(avg(coalesce(1.0 / f, 0)), 6) AS reciprocal_rank,
+  round(avg(CASE WHEN f IS NULL THEN 0 ELSE 1 END), 6) AS complete, round(avg(CASE WHEN src IS NULL OR hit THEN 1 ELSE 0 END), 6) AS source_recall FROM h""")
 def bm25_topk_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus, items = _docs_as_corpus(spark, sf_dir), _items(spark, sf_dir)
+    """Hits of BM25's top five; an item's gold source is the first document that holds its passage."""
+    corpus, items = _docs_as_corpus(spark, sf_dir).withColumn("source_id", F.concat(F.lit("s_"), "source_id")), _items(spark, sf_dir)
     best = retrieval.top(retrieval.bm25(corpus, items), 5).join(corpus.select("chunk_id", "source_id", "text"), "chunk_id")
-    gold = items.select("query_id", F.lit("").alias("source_file"), F.col("query").alias("passage"))
-    return metrics.retrieval_means(retrieval.hits(best, gold)).select("queries", "passage_recall", "reciprocal_rank")
+    probes = items.select(F.col("query_id").alias("probe_id"), F.substring(text.normal(F.coalesce("query", F.lit(""))), 1, 60).alias("probe"))
+    first = validation.holding(corpus.select(F.col("chunk_id").alias("id"), "text"), probes).groupBy(F.col("probe_id").alias("query_id")).agg(F.min("id").alias("src"))
+    gold = items.join(first, "query_id", "left").select("query_id", F.concat(F.lit("raw/s_"), F.col("src").cast("string"), F.lit(".html")).alias("source_file"), F.col("query").alias("passage"))
+    return metrics.retrieval_means(retrieval.hits(best, gold)).select("queries", "passage_recall", "reciprocal_rank", "complete", "source_recall")
 
 
 def _laws(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,16 +219,15 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _POOL = f"""{_BM25},
 pool AS (SELECT r.item_id AS query_id, r.doc_id AS chunk_id, rank AS br, coalesce(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 0) AS cos
-      FROM r LEFT JOIN embeddings q ON q.vec_id = r.item_id % 100 LEFT JOIN embeddings c ON c.vec_id = r.doc_id % 100 WHERE rank <= 30),
+      FROM r LEFT JOIN embeddings q ON q.vec_id = r.item_id LEFT JOIN embeddings c ON c.vec_id = r.doc_id WHERE rank <= 30),
 dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, br) AS dr FROM pool)"""
 
 
 def _pool(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
-    """BM25's pool of 30 in another order; the table of vectors stands in for those of passages and queries."""
+    """BM25's pool of 30 in another order; a vector is that of the passage and of the query of its number, where there is one."""
     corpus, items = _docs_as_corpus(spark, sf_dir).withColumn("title", F.lit("")), _items(spark, sf_dir)
-    e = table(spark, sf_dir, "embeddings").filter("vec_id < 100").select("vec_id", F.col("embedding").alias("vector"))
-    vectors = lambda df, c: df.select(c, (F.col(c) % 100).alias("vec_id")).join(F.broadcast(e), "vec_id").select(c, "vector")  # noqa: E731  100 vectors
-    out = retrieval.retrieved(corpus, items, vectors(corpus, "chunk_id"), vectors(items, "query_id"), mode, 8)
+    vectors = lambda c: table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias(c), F.col("embedding").alias("vector"))
+    out = retrieval.retrieved(corpus, items, vectors("chunk_id"), vectors("query_id"), mode, 8)
     return out.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -265,6 +271,48 @@ sc AS (SELECT *, g <> 'insufficient information' AS solvable, coalesce(p = 'insu
     ELSE abs(p::DOUBLE - g::DOUBLE) <= 1 OR abs(p::DOUBLE - g::DOUBLE) / greatest(abs(g::DOUBLE), 1) <= 0.01 END, false) AS tolerant FROM rec)"""
 
 
+@_query("""WITH l AS (SELECT o_orderkey, o_orderpriority, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 11 <> 3),
+r AS (SELECT o_orderkey, o_orderpriority, o_orderstatus, CASE WHEN o_orderkey % 9 = 2 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 13 <> 5),
+s AS (SELECT coalesce(l.o_orderpriority, r.o_orderpriority) AS o_orderpriority, CASE WHEN r.o_orderkey IS NULL THEN 'only_left' WHEN l.o_orderkey IS NULL THEN 'only_right'
+  WHEN l.o_totalprice = r.o_totalprice AND l.o_orderstatus = r.o_orderstatus THEN 'equal' ELSE 'changed' END AS state FROM l FULL JOIN r USING (o_orderkey)),
+g AS (SELECT o_orderpriority, state, grouping(o_orderpriority) * 2 + grouping(state) AS level, count(*) AS keys FROM s GROUP BY GROUPING SETS ((o_orderpriority, state), (o_orderpriority), (state), ()))
+SELECT o_orderpriority, state, level::BIGINT AS level, keys FROM g UNION ALL SELECT '0-NONE', 'absent', 0, 0""")
+def run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions of the orders set beside each other by key, with totals and the categories that neither has."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice")
+    k = F.col("o_orderkey")
+    right = o.filter(k % 13 != 5).withColumn("o_totalprice", F.col("o_totalprice") + F.when(k % 9 == 2, 1).otherwise(0))
+    states = comparison.compared(o.filter(k % 11 != 3), right, ["o_orderkey", "o_orderpriority"], ["o_orderstatus", "o_totalprice"])
+    expected = o.select("o_orderpriority").union(o.sparkSession.createDataFrame([("0-NONE",)], "o_orderpriority string"))
+    return comparison.summary(states.select("o_orderpriority", "state"), ["o_orderpriority"], expected).withColumn("level", F.col("level").cast("long"))
+
+
+@_query(f"WITH {_REC} SELECT tax_category, count(*) AS n, round(avg(exact::INT), 6) AS em, round(regr_slope(exact::INT::DOUBLE, (2000 - case_year)::DOUBLE), 6) AS slope, round(regr_intercept(exact::INT::DOUBLE, (2000 - case_year)::DOUBLE), 6) AS intercept FROM sc GROUP BY tax_category")
+def temporal_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.temporal_decay(metrics.scored(_records(spark, sf_dir)), 2000)
+
+
+@_query(f"""WITH {_REC}, y AS (SELECT family, case_year, max_by(exact, question_no) AS exact FROM sc GROUP BY family, case_year),
+p AS (SELECT sc.exact AS now, b.exact AS was, sc.case_year - b.case_year AS gap FROM sc ASOF JOIN y b ON sc.family = b.family AND sc.case_year > b.case_year)
+SELECT gap::INT AS gap, count(*) AS pairs, count(*) FILTER (now AND was) AS both, count(*) FILTER (was AND NOT now) AS lost, count(*) FILTER (now AND NOT was) AS won,
+  round(CASE WHEN count(*) FILTER (was) > 0 THEN count(*) FILTER (now AND was) / count(*) FILTER (was) END, 6) AS kept FROM p GROUP BY gap""")
+def paired_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers paired with the latest of an earlier year in their family."""
+    return metrics.paired_consistency(metrics.paired_years(metrics.scored(_records(spark, sf_dir))))
+
+
+@_query(f"""WITH {_REC}, k AS (SELECT *, question_no % 17 <> 0 AS unit_ok, question_no % 3 > 0 AS found, try_cast(g AS DOUBLE) AS gd, try_cast(p AS DOUBLE) AS pd FROM sc)
+SELECT CASE WHEN NOT solvable THEN CASE WHEN abstained THEN 'right' ELSE 'missed abstention' END WHEN abstained THEN 'false abstention' WHEN p IS NULL THEN 'no answer'
+  WHEN abs(pd - gd) <= 0.01 THEN CASE WHEN unit_ok THEN 'right' ELSE 'wrong unit' END WHEN NOT found THEN 'evidence not found'
+  WHEN abs(pd - gd) <= abs(gd) / 1000 THEN 'rounding' ELSE 'other value' END AS kind, count(*) AS n FROM k GROUP BY kind""")
+def error_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, k = metrics.scored(_records(spark, sf_dir)), F.col("question_no")
+    predicted = text.normal(F.col("pred_value"))
+    kind = metrics.error_kind(F.col("gold_answer"), predicted, k % 17 != 0, k % 3 > 0, text.INSUFFICIENT)
+    return r.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+
 @_query(f"""WITH {_REC} SELECT count(*) AS total, count(*) FILTER (solvable) AS solvable_total, round(avg(exact::INT), 6) AS em, round(avg(tolerant::INT), 6) AS tolerant_em,
 round(avg(exact::INT) FILTER (solvable), 6) AS solvable_em, round(avg(tolerant::INT) FILTER (solvable), 6) AS solvable_tolerant,
 round(avg(abstained::INT) FILTER (NOT solvable), 6) AS abstention_accuracy, round(avg(abstained::INT) FILTER (solvable), 6) AS false_abstention_rate FROM sc""")
