@@ -35,5 +35,5 @@ def test_odd_documents_and_no_documents(spark, tables, odd, no_docs):
 
 def test_every_operator_is_registered():
     names = q.queries()
-    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 14)}
     assert set(q.oracle_sql()) <= set(names)
