@@ -56,16 +56,24 @@ def best_hits(found: DataFrame, hits: int = HITS, budget: int = BUDGET) -> DataF
     return found.sparkSession.createDataFrame([tuple(c[n] for n in names) for c in chosen], left.select(*names).schema).drop("cost")
 
 
-def read_lines(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(span_id, id, text, issue) for spans (span_id, id, start_line, end_line), inclusive and from 1."""
+def read_lines(docs: DataFrame, spans: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
+    """(span_id, id, text, issue) for spans (span_id, id, start_line, end_line), inclusive and from 1.
+
+    With gaps (id, gaps: array<struct<label, reason, start, end>>) also a column gaps: those that meet the lines that were read.
+    """
     valid = (F.col("start_line") >= 1) & (F.col("end_line") >= F.col("start_line")) & (F.col("end_line") - F.col("start_line") < MOST_LINES)
     inside = F.col("line_no").between(F.col("start_line"), F.col("end_line"))
     rows = lines(docs).withColumnRenamed("id", "line_id")
     each = spans.join(rows, (F.col("id") == F.col("line_id")) & inside & valid, "left")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(inside & valid, F.struct("line_no", "line")))), lambda x: x["line"]), "\n")
-    out = each.groupBy("span_id", "id").agg(text.alias("text"), F.bool_and(valid).alias("valid"), F.max(F.when(inside, F.col("line_no"))).alias("last"))
+    ends = F.min("start").alias("from"), F.max(F.col("start") + F.char_length("line")).alias("upto")
+    out = each.groupBy("span_id", "id").agg(text.alias("text"), F.bool_and(valid).alias("valid"), F.max(F.when(inside, F.col("line_no"))).alias("last"), *ends)
     issue = F.when(~F.col("valid"), "bad span").when(F.col("last").isNull(), "no such lines").when(F.char_length("text") > MOST_CHARS, "too long")
-    return out.select("span_id", "id", F.when(issue.isNull(), F.col("text")).alias("text"), issue.alias("issue"))
+    read = F.when(issue.isNull(), F.col("text")).alias("text")
+    if gaps is None:
+        return out.select("span_id", "id", read, issue.alias("issue"))
+    met = F.when(issue.isNull(), relevant_gaps(F.col("gaps"), F.col("from"), F.col("upto")))
+    return out.join(gaps.select("id", "gaps"), "id", "left").select("span_id", "id", read, issue.alias("issue"), met.alias("gaps"))
 
 
 def list_sections(docs: DataFrame, query: str = "", most: int = SECTIONS, budget: int = BUDGET) -> DataFrame:

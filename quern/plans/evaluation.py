@@ -59,13 +59,26 @@ def responses(asked: DataFrame, done: DataFrame | None, responder: Callable, par
 
 
 def answered(asked: DataFrame, given: DataFrame) -> DataFrame:
-    """asked with pred_value, pred_unit: of the last program if there is one and it has a result, else of the text."""
+    """asked with pred_value, pred_unit and answer_state: of the last program if it was read and has a result, else of the text.
+
+    answer_state: program, text, 'program not read' (outside of the grammar, or without a result; the answer is then that of
+    the text outside of all programs, which may be none), or none without a response.
+    """
+    fence = r"(?i)```(?:python)?\s*([\s\S]*?)```"
     rows = asked.join(given, "key", "left")
-    block = F.when(F.col("raw_response").contains("```"), F.try_element_at(F.regexp_extract_all("raw_response", F.lit(r"(?i)```(?:python)?\s*([\s\S]*?)```"), F.lit(1)), F.lit(-1)))
+    block = F.when(F.col("raw_response").contains("```"), F.try_element_at(F.regexp_extract_all("raw_response", F.lit(fence), F.lit(1)), F.lit(-1)))
     rows = rows.withColumn("program_value", run_program_udf(block))
-    said = text.answer(F.col("program_value"))["value"]
-    plain = text.answer(F.col("raw_response"))
-    return rows.withColumn("pred_value", F.when(F.col("program_value").isNotNull(), said).otherwise(plain["value"])).withColumn("pred_unit", F.when(F.col("program_value").isNull(), plain["unit"])).drop("program_value")
+    ran, unread = F.col("program_value").isNotNull(), block.isNotNull() & F.col("program_value").isNull()
+    rest = F.trim(F.regexp_replace("raw_response", fence, "\n"))
+    plain = text.answer(F.when(unread, F.nullif(rest, F.lit(""))).otherwise(F.col("raw_response")))
+    state = F.when(ran, "program").when(unread, "program not read").when(F.col("raw_response").isNotNull(), "text").otherwise("none")
+    value = F.when(ran, text.answer(F.col("program_value"))["value"]).otherwise(plain["value"])
+    return rows.withColumns({"pred_value": value, "pred_unit": F.when(~ran, plain["unit"]), "answer_state": state}).drop("program_value")
+
+
+def unread_share(answers: DataFrame) -> DataFrame:
+    """(condition, responses, not_read): the share of responses whose program was not read."""
+    return answers.groupBy("condition").agg(F.count("raw_response").alias("responses"), F.round(F.avg((F.col("answer_state") == "program not read").cast("double")), 6).alias("not_read"))
 
 
 def summary(records: DataFrame) -> DataFrame:

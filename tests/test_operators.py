@@ -273,3 +273,26 @@ def test_sets(rows):
     assert [r["v"] for r in validation.first_rows(rows("k int, pos int, v string", (1, 2, "b"), (1, 1, "a")), ["k"], "pos").collect()] == ["a"]
     spans = rows("id int, start int, `end` int", (1, 0, 5), (1, 5, 7), (1, 9, 12), (1, 10, 11))
     assert {tuple(r) for r in search.merged_spans(spans).collect()} == {(1, 0, 7), (1, 9, 12)}
+
+
+def test_read_lines_give_the_gaps_they_meet(rows):
+    docs = rows("id long, text string", (1, "one\ntwo [GAP]\nthree\nfour"), (2, "x"))
+    gaps = rows("id long, gaps array<struct<label:string,reason:string,`start`:int,`end`:int>>", (1, [("g", "image", 8, 13), ("h", "scan", 14, 15)]))
+    spans = rows("span_id long, id long, start_line int, end_line int", (1, 1, 1, 1), (2, 1, 1, 2), (3, 1, 2, 3), (4, 2, 1, 1), (5, 2, 3, 4))
+    got = {r["span_id"]: (r["issue"], [g["label"] for g in r["gaps"]] if r["gaps"] is not None else None) for r in search.read_lines(docs, spans, gaps).collect()}
+    assert got == {1: (None, []), 2: (None, ["g"]), 3: (None, ["g", "h"]), 4: (None, None), 5: ("no such lines", None)}
+
+
+def test_a_program_that_is_not_read_is_no_answer(rows):
+    from quern.plans import evaluation
+
+    fence = "`" * 3
+    said = {
+        "a": f"{fence}python\nprint(2 * 3)\n{fence}", "b": f"{fence}python\nif True:\n    x += 1\n{fence}", "c": f"[FINAL ANSWER]: 12 KZT\n{fence}python\nx = f'{{1}}'\n{fence}", "d": "[FINAL ANSWER]: 7", "e": None,
+    }
+    asked = rows("key string, condition string", *((k, "cot") for k in "abcdef"))
+    got = evaluation.answered(asked, rows("key string, raw_response string", *said.items()))
+    assert {r["key"]: (r["pred_value"], r["answer_state"]) for r in got.collect()} == {
+        "a": ("6", "program"), "b": (None, "program not read"), "c": ("12", "program not read"), "d": ("7", "text"), "e": (None, "none"), "f": (None, "none"),
+    }
+    assert evaluation.unread_share(got).first()["not_read"] == pytest.approx(2 / 6, abs=1e-6)

@@ -110,3 +110,44 @@ SHAPE = T.StructType().add("no", "long", False).add("steps", T.ArrayType(T.Struc
 def test_structured_errors(text, want):
     got = structure.errors(text, SHAPE)
     assert [(e["path"], e["type"]) for e in got] == want and "secret name" not in str(got)
+
+
+def test_what_breaks_off_is_asked_for_again_and_never_ends_a_task(rows):
+    tries = []
+
+    def half():
+        yield b"ab"
+        if len(tries) < 3:
+            raise ConnectionResetError
+
+    def get(url):
+        tries.append(url)
+        return remote.Response(200, {}, half())
+
+    policy = {"a.org": [".*"]}
+    assert remote.fetch("https://a.org/x", get, policy, wait=lambda s: None)[0] == b"ab" and len(tries) == 3
+
+    def broken(url):
+        if url.endswith("value"):
+            raise ValueError("x")
+
+        def body():
+            yield b"a"
+            raise ConnectionResetError
+
+        return remote.Response(200, {}, body())
+
+    got = remote.fetched(rows("url string", ("https://a.org/value",), ("https://a.org/reset",)), broken, policy, retries=0).collect()
+    assert {r["url"][-5:]: r["code"] for r in got} == {"value": "TRANSPORT_ValueError", "reset": "CONNECT_ERROR"}
+
+
+def test_embedding_faults_are_values(rows):
+    def embed(texts):
+        if "bad" in texts:
+            raise ValueError
+        return [[1.0]] * (len(texts) if "few" not in texts else 0)
+
+    cache = rows("key string, embedding array<double>", ("k", [2.0]))
+    for text, code in (("bad", "EMBEDDING_ValueError"), ("few", "EMBEDDING_ValueError"), ("good", None)):
+        got = {r["key"]: (r["embedding"], r["code"]) for r in remote.embedded(rows("key string, text string", ("k", "x"), ("n", text)), cache, embed).collect()}
+        assert got == {"k": ([2.0], None), "n": (None if code else [1.0], code)}
