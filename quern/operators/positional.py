@@ -168,13 +168,14 @@ def excerpts(hits: DataFrame, cut: DataFrame) -> DataFrame:
     offset = lambda p: F.char_length(F.split(part(F.col("from"), F.col("core")), p, 2)[0])
     on_line = F.col("rank") == 1
     rows = rows.withColumn("rank", F.when(on_line & core.contains(F.col("phrase")), 0).otherwise(F.col("rank")))
-    first = F.when(F.col("rank") == 0, F.instr(core, F.col("phrase")) - 1).otherwise(F.array_min(F.transform("patterns", offset)))
     long_ = F.col("core") - F.col("from") > EXCERPT
+    # only long lines are cut, so that only they are searched again
+    first = F.when(long_ & (F.col("rank") == 0), F.instr(core, F.col("phrase")) - 1).when(long_, F.array_min(F.transform("patterns", offset)))
     begin = F.when(long_, F.greatest(F.col("from"), F.col("from") + first - 100)).otherwise(F.when(F.col("core") <= EXCERPT, 0).otherwise(F.col("from")))
     rows = rows.withColumn("begin", begin.cast("int"))
     stop = F.when(long_, F.least(F.col("core"), F.col("begin") + EXCERPT)).otherwise(F.when(F.col("after") - F.col("begin") <= EXCERPT, F.col("after")).otherwise(F.col("core")))
     rows = rows.withColumn("stop", stop).withColumn("excerpt", part(F.col("begin"), F.col("stop")))
-    rows = rows.filter(F.forall("patterns", lambda p: F.regexp_like(F.col("excerpt"), p)))
+    rows = rows.filter(F.when(long_, F.forall("patterns", lambda p: F.regexp_like(F.col("excerpt"), p))).otherwise(F.lit(True)))
     at = lambda c: F.array_max(F.transform(F.filter("w", lambda x: x["start"] - F.col("base") <= c), lambda x: x["other"]))
     return rows.select(
         "query_id", "id", "line_no", "rank", (F.col("base") + F.col("begin")).alias("start"), (F.col("base") + F.col("stop")).alias("end"),
