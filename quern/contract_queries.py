@@ -7,14 +7,16 @@ same expressions over orders, lineitem and documents.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text
 from quern.functions.calculator import calculate_udf
-from quern.operators import chunks, search, validation
-from quern.tables import table
+from quern.operators import chunks, offsets, search, validation
+from quern.streaming import calls
+from quern.tables import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -296,6 +298,40 @@ def calculator_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("no", calculate_udf(shape).alias("value"))
 
 
+_CLOSED = r"Article 1\. On en\n"
+
+
+@_query(rf"""WITH {_SPANS}, k AS (SELECT *, substring(text, a1 + 1, a2 - a1) LIKE 'Article 1. On en' || chr(10) || '%' AS closed, length('[UNAVAILABLE PROVISION: Article 1. On en]') + 1 AS n FROM s),
+u AS (SELECT *, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM k),
+o AS (SELECT id, line_no, closed, a1, a2, n, coalesce(sum(length(line) + 1) OVER (PARTITION BY id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, length(text) AS size FROM u)
+SELECT id, line_no::INT AS line_no, start, CASE WHEN NOT closed OR start < a1 THEN start WHEN start < a2 THEN a1 ELSE start - (a2 - a1) + n END::BIGINT AS out_at, closed AND start >= a1 AND start < a2 AS withheld,
+  CASE WHEN closed AND start >= a1 AND start < a2 THEN a1 ELSE start END::BIGINT AS source_at FROM o WHERE start < size""")
+def offset_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line's beginning in the text whose closed sections are withheld, and from there back."""
+    laws = _laws(spark, sf_dir)
+    pieces = stored(offsets.interval_map(laws.select("id", F.char_length("text").alias("size")), offsets.withholding(laws, _CLOSED)), "pieces")
+    there = offsets.to_output(pieces, chunks.lines(laws).select("id", "line_no", F.col("start").cast("long").alias("start")), "start")
+    back = offsets.to_source(pieces, there.withColumnRenamed("edited", "withheld"), "out_at")
+    return back.select("id", "line_no", "start", "out_at", "withheld", "source_at")
+
+
+_CALL_KINDS = "CASE WHEN event_type IN ('click', 'view') THEN 'reserve' WHEN event_type = 'error' THEN 'fail' ELSE 'settle' END"
+
+
+@_query(f"""WITH e AS (SELECT 'u' || (event_id // 4 % 50) AS ledger, 'c' || (event_id // 4) AS id, {_CALL_KINDS} AS kind, event_id % 1000 AS tokens, ts FROM events),
+r AS (SELECT ledger, id, min(ts) AS at, first(tokens ORDER BY ts, tokens) AS tokens FROM e WHERE kind = 'reserve' GROUP BY ALL),
+m AS (SELECT e.ledger, e.id, count(*) AS n, first(kind ORDER BY e.ts, kind = 'fail', e.tokens) FILTER (r.at IS NULL OR e.ts BETWEEN r.at AND r.at + INTERVAL 10 MINUTE) AS kind,
+  first(e.tokens ORDER BY e.ts, kind = 'fail', e.tokens) FILTER (r.at IS NULL OR e.ts BETWEEN r.at AND r.at + INTERVAL 10 MINUTE) AS tokens FROM e LEFT JOIN r ON r.ledger = e.ledger AND r.id = e.id WHERE kind <> 'reserve' GROUP BY ALL)
+SELECT coalesce(r.ledger, m.ledger) AS ledger, coalesce(r.id, m.id) AS id, CASE WHEN r.id IS NULL THEN 'unreserved' WHEN m.kind = 'settle' THEN 'completed' ELSE 'failed' END AS status,
+  CASE WHEN r.id IS NULL THEN NULL WHEN m.kind IS NULL THEN 'interrupted' WHEN m.kind = 'fail' THEN 'reported' END AS error, coalesce(r.tokens, 0) AS reserved_tokens,
+  CASE WHEN m.kind = 'settle' THEN m.tokens ELSE coalesce(r.tokens, 0) END AS accounted_tokens, coalesce(m.n, 0)::INT AS settlements FROM r FULL JOIN m ON r.ledger = m.ledger AND r.id = m.id""")
+def call_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four events in a row are a call; it fails as interrupted if none settles it within ten minutes."""
+    e, n = table(spark, sf_dir, "events"), F.floor(F.col("event_id") / 4)
+    rows = e.select(F.concat(F.lit("u"), n % 50).alias("ledger"), F.concat(F.lit("c"), n).alias("id"), F.expr(_CALL_KINDS).alias("kind"), (F.col("event_id") % 1000).alias("tokens"), "ts")
+    return calls.outcomes(rows, timedelta(minutes=10))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -25,7 +25,7 @@ OUT = "ledger string, id string, status string, error string, reserved_tokens lo
 def _valid(events: DataFrame) -> DataFrame:
     """Events of a known kind with ledger, id and time; tokens null or below 0 count 0."""
     kept = events.filter(F.col("kind").isin(*KINDS) & F.col("ledger").isNotNull() & F.col("id").isNotNull() & F.col("ts").isNotNull())
-    return kept.select(F.col("ledger").cast("string").alias("ledger"), F.col("id").cast("string").alias("id"), "kind", F.greatest(F.coalesce("tokens", F.lit(0)), F.lit(0)).cast("long").alias("tokens"), "ts")
+    return kept.select(F.col("ledger").cast("string").alias("ledger"), F.col("id").cast("string").alias("id"), "kind", F.greatest(F.coalesce("tokens", F.lit(0)), F.lit(0)).cast("long").alias("tokens"), F.col("ts").cast("timestamp").alias("ts"))
 
 
 def outcomes(events: DataFrame, limit: timedelta) -> DataFrame:
