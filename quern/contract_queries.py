@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text
 from quern.functions.calculator import calculate_udf
-from quern.operators import chunks, offsets, search, validation
+from quern.operators import alignment, chunks, offsets, search, validation
 from quern.streaming import calls
 from quern.tables import stored, table
 
@@ -331,6 +331,28 @@ def call_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = e.select(F.concat(F.lit("u"), n % 50).alias("ledger"), F.concat(F.lit("c"), n).alias("id"), F.expr(_CALL_KINDS).alias("kind"), (F.col("event_id") % 1000).alias("tokens"), "ts")
     return calls.outcomes(rows, timedelta(minutes=10))
 
+_QUOTED = (
+    "CASE item_id % 4 WHEN 0 THEN text WHEN 1 THEN replace(text, ' ', '  ') WHEN 2 THEN concat(split_part(text, ' ', 1), ' ', split_part(text, ' ', 2), ' ', split_part(text, ' ', 3), ' ', "
+    "split_part(text, ' ', 4), ' and then other words that the text does not have') ELSE concat('No such words, ', text) END"
+)
+
+
+@_query(rf"""WITH q AS (SELECT item_id, trim({_QUOTED}) AS quote FROM benchmark),
+f AS (SELECT *, regexp_extract(quote, '^[^\p{{L}}\p{{N}}_]*[\p{{L}}\p{{N}}_]+([^\p{{L}}\p{{N}}_]+[\p{{L}}\p{{N}}_]+){{3}}') AS prefix, regexp_replace(quote, '\s+', ' ', 'g') AS plain FROM q WHERE quote <> ''),
+d AS (SELECT doc_id, text, regexp_replace(text, '\s+', ' ', 'g') AS flat FROM documents),
+m AS (SELECT item_id, doc_id, text, quote, prefix, plain, contains(text, quote) AS whole, len(string_split(flat, plain)) - 1 AS n, len(string_split(text, prefix)) - 1 AS n_prefix
+  FROM f, d WHERE contains(text, quote) OR contains(flat, plain) OR prefix <> '' AND contains(text, prefix)),
+r AS (SELECT *, CASE WHEN whole THEN 'exact' WHEN n = 1 THEN 'spaces' WHEN prefix <> '' AND n_prefix = 1 THEN 'prefix' END AS rung FROM m)
+SELECT item_id, doc_id, rung, CASE rung WHEN 'exact' THEN strpos(text, quote) - 1 WHEN 'prefix' THEN strpos(text, prefix) - 1 END AS start,
+  CASE rung WHEN 'exact' THEN md5(quote) WHEN 'prefix' THEN NULL ELSE md5(plain) END AS digest FROM r WHERE rung IS NOT NULL""")
+def citation_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes from the benchmark's items, as they are, spaced otherwise or changed, in all documents; start of rungs 1 and 3, digests of rungs 1 and 2."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("citation_id"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("article"), F.expr(_QUOTED).alias("quote"))
+    got = alignment.aligned(b, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    rung = F.col("rung")
+    start = F.when(rung != "spaces", F.col("start"))
+    return got.select(F.col("citation_id").alias("item_id"), F.col("id").alias("doc_id"), "rung", start.cast("long").alias("start"), F.when(rung != "prefix", F.md5(F.when(rung == "exact", F.col("passage")).otherwise(text.squeeze(F.col("passage"))))).alias("digest"))
+
 
 def queries() -> dict[str, Query]:
     return dict(QUERIES)

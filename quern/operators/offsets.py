@@ -44,14 +44,15 @@ def _ordered():
     return Window.partitionBy("id").orderBy("start", "end", F.col("n").isNull())
 
 
-def _placed(pieces: DataFrame, points: DataFrame, at: str, start: str, end: str) -> DataFrame:
-    """points with the last piece that begins at or before `at`: an as-of match in blocks."""
+def placed(pieces: DataFrame, points: DataFrame, at: str, start: str = "start", end: str = "end") -> DataFrame:
+    """points (id, ...) with met_piece, the last of pieces (id, piece, ...) that begins at or before `at`: an as-of match in blocks."""
     whole = F.sequence(F.floor(F.col(start) / BLOCK), F.floor(F.col(end) / BLOCK))  # also where it ends, for the place after the last
-    p = F.struct(*(F.col(c) for c in MAP if c != "id")).alias("p")
-    left = pieces.select("id", p, F.col(start).alias("key"), F.col(end).alias("size"), F.explode(whole).alias("block"))
+    p = F.struct(*(F.col(c) for c in pieces.columns if c != "id")).alias("p")
+    left = pieces.select("id", p, F.col(start).alias("key"), F.col(end).alias("last"), F.explode(whole).alias("block"))
     # a piece that began in an earlier block stands at the block's beginning; of pieces at one place the longer is last
-    left = left.select("id", "block", F.greatest("key", F.col("block") * BLOCK).alias("key"), F.col("size").alias("last"), "p", F.lit(None).cast(points.select(F.struct("*")).schema[0].dataType).alias("row"))
-    right = points.select("id", F.floor(F.col(at) / BLOCK).alias("block"), F.col(at).cast("long").alias("key"), F.lit(None).cast("long").alias("last"), F.lit(None).cast(left.schema["p"].dataType).alias("p"), F.struct("*").alias("row"))
+    row = F.struct(*points.columns).alias("row")
+    left = left.select("id", "block", F.greatest("key", F.col("block") * BLOCK).alias("key"), "last", "p", F.lit(None).cast(points.select(row).schema["row"].dataType).alias("row"))
+    right = points.select("id", F.floor(F.col(at) / BLOCK).alias("block"), F.col(at).cast("long").alias("key"), F.lit(None).cast("long").alias("last"), F.lit(None).cast(left.schema["p"].dataType).alias("p"), row)
     order = Window.partitionBy("id", "block").orderBy("key", F.col("row").isNotNull(), "last", "p.piece").rowsBetween(Window.unboundedPreceding, 0)
     both = left.unionByName(right).withColumn("p", F.last("p", ignorenulls=True).over(order))
     return both.filter("row is not null").select("row.*", F.col("p").alias("met_piece"))
@@ -62,7 +63,7 @@ def to_output(pieces: DataFrame, points: DataFrame, at: str = "at") -> DataFrame
 
     Places outside of the text, or of an id without a map, have nulls.
     """
-    rows = _placed(pieces, points, at, "start", "end")
+    rows = placed(pieces, points, at, "start", "end")
     inside = (F.col(at) >= 0) & (F.col(at) <= F.col("met_piece.end"))
     within = F.col("met_piece.edited") & (F.col(at) < F.col("met_piece.end"))
     place = F.when(within, F.col("met_piece.out_start")).otherwise(F.col("met_piece.out_end") - (F.col("met_piece.end") - F.col(at)))
@@ -71,7 +72,7 @@ def to_output(pieces: DataFrame, points: DataFrame, at: str = "at") -> DataFrame
 
 def to_source(pieces: DataFrame, points: DataFrame, at: str = "at") -> DataFrame:
     """points (id, at, ...) of the edited text with source_at and edited: a place in a replacement lies at the edit's beginning."""
-    rows = _placed(pieces, points, at, "out_start", "out_end")
+    rows = placed(pieces, points, at, "out_start", "out_end")
     inside = (F.col(at) >= 0) & (F.col(at) <= F.col("met_piece.out_end"))
     within = F.col("met_piece.edited") & (F.col(at) < F.col("met_piece.out_end"))
     place = F.when(within, F.col("met_piece.start")).otherwise(F.col("met_piece.end") - (F.col("met_piece.out_end") - F.col(at)))
