@@ -46,7 +46,8 @@ def best_hits(found: DataFrame, hits: int = HITS, budget: int = BUDGET) -> DataF
     while len(chosen) < hits:
         fits = left.filter(F.col("cost") <= budget - spent)
         for c in chosen:
-            fits = fits.filter(F.struct("rank", "id", "line_no") > F.struct(F.lit(c["rank"]), F.lit(c["id"]), F.lit(c["line_no"])))
+            before = F.struct(*(F.lit(c[n]).cast(left.schema[n].dataType).alias(n) for n in ("rank", "id", "line_no")))
+            fits = fits.filter(F.struct("rank", "id", "line_no") > before)
             fits = fits.filter((F.col("id") != F.lit(c["id"])) | (F.col("start") >= c["end"]) | (F.col("end") <= c["start"]))
         best = fits.agg(F.min(F.struct(*names)).alias("x")).head()["x"]
         if best is None:
