@@ -64,6 +64,7 @@ def family_failures(assigned: DataFrame, questions: DataFrame, citations: DataFr
     q = questions.join(has, ["family", "no", "language"], "left").withColumn("has", F.coalesce("has", F.array().cast("array<string>")))
     # a period for each year is few rows by the settings' own limits
     q = q.join(F.broadcast(periods.select("label", F.col("start").alias("p_start"), F.col("end").alias("p_end")).limit(1000)), F.col("case_year").between(F.col("p_start"), F.col("p_end")), "left")
+    q = q.join(assigned.select("family", F.col("family").alias("assigned_family")).distinct(), "family", "left")
     last = F.element_at("gold_steps", -1)
     missing = F.col("variant") == "missing_information"
     number = lambda x: x.try_cast("decimal(38,10)")
@@ -76,7 +77,7 @@ def family_failures(assigned: DataFrame, questions: DataFrame, citations: DataFr
         _failed(
             q, "no",
             ("formula", starts_formula(*texts)),
-            ("other assignment", ~same_assignment(F.col("family"), F.col("country"), F.col("language"), F.col("family"), run)),
+            ("other assignment", ~same_assignment(F.col("family"), F.col("country"), F.col("language"), F.col("assigned_family"), run)),
             ("validated by its author", F.col("status") == "validated"),
             ("no note", (F.col("variant") != "original") & F.col("note").isNull()),
             ("no period", F.col("label").isNull()),

@@ -52,6 +52,11 @@ def test_questions(rows, change, want):
     assert check(rows, [question(**change)], [citation()]) == want
 
 
+def test_a_family_that_was_not_assigned_is_told(rows):
+    got = check(rows, [question(), question(family="F2")], [citation(), citation(family="F2")])
+    assert (1, "other assignment") in got and (0, "assigned numbers") in got
+
+
 @pytest.mark.parametrize(
     "change,want",
     [
