@@ -15,6 +15,10 @@ from quern.functions.calculator import run_program_udf
 from quern.functions.prompts import prompt
 from quern.operators import allocation, metrics, retrieval
 from quern.sources.store import missing_only, with_citations
+from quern.tables import stored
+
+#: Conditions of a run, which are settings.
+CONDITIONS = 1000
 
 
 def dataset(questions: DataFrame, citations: DataFrame, part: str = "full", families: list[str] | None = None, limit: int | None = None, dev_target: int = 5) -> DataFrame:
@@ -99,3 +103,35 @@ def bootstrap(rows: DataFrame, rounds: int = 200, seed: int = 7) -> DataFrame:
     weight = sum(((u >= c).cast("int") for c in limits), F.lit(0))
     means = drawn.withColumn("w", weight).groupBy("round").agg((F.sum(F.col("w") * F.col("k")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("m"))
     return means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+
+
+def paired(records: DataFrame, base: str) -> DataFrame:
+    """(condition, both, neither, gained, lost, only_here, only_base): each other condition's exact answers beside those of a base condition, by question.
+
+    gained: exact here and not in the base; lost: the other way; a question that one of the two lacks counts in only_here or only_base.
+    A question is counted once a condition: right if any of its records is.
+    """
+    each = metrics.scored(records.withColumn("gold_answer", F.coalesce("answer_value", F.lit(text.INSUFFICIENT))))
+    each = each.groupBy("condition", "no").agg(F.max(F.coalesce("exact", F.lit(False))).alias("ok"))
+    others = [r[0] for r in each.select("condition").filter(F.col("condition") != base).distinct().limit(CONDITIONS + 1).collect()]
+    if len(others) > CONDITIONS:
+        raise ValueError(f"more than {CONDITIONS} conditions")
+    own = each.filter(F.col("condition") == base).select("no", F.col("ok").alias("base_ok"), F.explode(F.array(*map(F.lit, others)).cast("array<string>")).alias("condition"))
+    rows = own.join(each.filter(F.col("condition") != base), ["condition", "no"], "full_outer")
+    n = lambda c, name: F.count_if(c).alias(name)
+    ok, was = F.col("ok"), F.col("base_ok")
+    return rows.groupBy("condition").agg(n(ok & was, "both"), n(~ok & ~was, "neither"), n(ok & ~was, "gained"), n(~ok & was, "lost"), n(was.isNull(), "only_here"), n(ok.isNull(), "only_base"))
+
+
+def write_run(records: DataFrame, folder: str, run: dict[str, str], base: str | None = None) -> None:
+    """records, summary and comparison of a run below a folder: records by (condition, question number), read back in that order by file.
+
+    run (country, split, model and the like) stands in each row of summary and comparison; a comparison needs a base condition.
+    """
+    given, records = {k: F.lit(v) for k, v in run.items()}, stored(records, "records")
+    n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = records.repartitionByRange(n, "condition", "no").sortWithinPartitions("condition", "no")
+    dealt.write.mode("overwrite").partitionBy("condition").json(f"{folder}/records")
+    summary(records).withColumns(given).write.mode("overwrite").json(f"{folder}/summary")
+    if base is not None:
+        paired(records, base).withColumns(given | {"base": F.lit(base)}).write.mode("overwrite").json(f"{folder}/comparison")

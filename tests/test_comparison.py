@@ -1,3 +1,5 @@
+import json
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -5,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import metrics
-from quern.plans import comparison
+from quern.plans import comparison, evaluation
 
 
 @pytest.fixture
@@ -74,3 +76,24 @@ def test_pairs_of_years_against_brute_force(spark):
 def test_kinds_of_error(spark, gold, predicted, unit, found, kind):
     row = spark.createDataFrame([(gold, predicted, unit, found)], "g string, p string, u boolean, f boolean")
     assert row.select(metrics.error_kind(F.col("g"), F.col("p"), F.col("u"), F.col("f"), "none")).first()[0] == kind
+
+
+def test_outputs_of_a_run(spark, rows, tmp_path):
+    """Records by number, a summary and a comparison with a base condition, against plain counts."""
+    random.seed(5)
+    made = [(c, no, "10", random.choice(["10", "11", None])) for c in ("base", "rag", "other") for no in random.sample(range(60), 40)]
+    records = rows("condition string, no int, answer_value string, pred_value string", *made)
+    evaluation.write_run(records, f"file://{tmp_path}/run", {"country": "KZ", "split": "dev"}, base="base")
+    files = sorted(p for p in os.listdir(tmp_path / "run" / "records" / "condition=rag") if p.startswith("part-"))
+    numbers = [json.loads(line)["no"] for f in files for line in open(tmp_path / "run" / "records" / "condition=rag" / f)]
+    assert numbers == sorted(no for c, no, _, _ in made if c == "rag")
+    summary = {r.condition: (r.country, r.split, r.total, r.em) for r in spark.read.json(f"file://{tmp_path}/run/summary").collect()}
+    assert summary == {c: ("KZ", "dev", 40, sum(x[3] == "10" for x in made if x[0] == c) / 40) for c in ("base", "rag", "other")}
+    ok = {c: {no: p == "10" for d, no, _, p in made if d == c} for c in ("base", "rag", "other")}
+    for r in spark.read.json(f"file://{tmp_path}/run/comparison").collect():
+        a, b = ok[r.condition], ok["base"]
+        both = a.keys() & b.keys()
+        want = sum(a[n] and b[n] for n in both), sum(not a[n] and not b[n] for n in both), sum(a[n] and not b[n] for n in both), sum(b[n] and not a[n] for n in both), len(a.keys() - both), len(b.keys() - both)
+        assert (r.both, r.neither, r.gained, r.lost, r.only_here, r.only_base) == want and r.base == "base"
+    assert evaluation.paired(records.filter("condition = 'base'"), "base").count() == 0
+    assert evaluation.paired(records.limit(0), "base").count() == 0
