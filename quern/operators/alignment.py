@@ -14,7 +14,7 @@ What has no rung stays without a passage: no rule takes any line that happens to
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import squeeze, strip
 from quern.operators import chunks, offsets
-from quern.tables import few, spread, stored
+from quern.tables import BROADCAST_ROWS, few, spread, stored
 
 ANCHOR, MORE, LINE, CONTEXT, LEAST = 4, 80, 35, 12_000, 50
 BLOCK = 1 << 12
@@ -32,22 +32,55 @@ _NUMBER = r"[0-9]+(?:-[0-9]+)?"
 ARTICLES = chunks.HEADING + r"|(?m)^(?=[ \t]*[0-9]+(?:-[0-9]+)?-бап)"
 
 
-def _runs(docs: DataFrame, windows: bool) -> DataFrame:
-    """(id, no, start, stop) of each run of word characters; with windows also w: the run and up to three that follow it."""
+def _words(docs: DataFrame, columns: str, emit: Callable[[list[re.Match]], list[list]]) -> DataFrame:
+    """(id, columns) of each text's runs of word characters, as emit gives them: a list for each column."""
+    names = [c.split()[0] for c in columns.split(", ")]
+    kinds = {"int": pa.int32(), "array<string>": pa.list_(pa.string())}
+    types = [kinds[c.split()[1]] for c in columns.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):  # a text at a time, so that a batch of long ones stays small
-                found = list(_RUN.finditer(batch.column("text")[i].as_py() or ""))
-                columns = [batch.column("id").take(pa.array([i] * len(found), pa.int64())), pa.array(range(len(found)), pa.int32())]
-                columns += [pa.array([m.start() for m in found], pa.int32()), pa.array([m.end() for m in found], pa.int32())]
-                if windows:
-                    words = [m[0] for m in found]
-                    columns.append(pa.array([words[j : j + ANCHOR] for j in range(len(words))], pa.list_(pa.string())))
-                yield pa.RecordBatch.from_arrays(columns, ["id", "no", "start", "stop", "w"][: len(columns)])
+                out = emit(list(_RUN.finditer(batch.column("text")[i].as_py() or "")))
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array([i] * len(out[0]), pa.int64())), *map(pa.array, out, types)], ["id", *names])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return spread(docs.select("id", "text")).mapInArrow(cut, f"id {kind}, no int, start int, stop int" + (", w array<string>" if windows else ""))
+    return spread(docs.select("id", "text")).mapInArrow(cut, f"id {kind}, {columns}")
+
+
+def _windows(docs: DataFrame, heads: DataFrame) -> DataFrame:
+    """(id, no, start, head): the windows of runs in documents that are among heads (head); those of one run to ANCHOR.
+
+    Up to BROADCAST_ROWS heads go to the tasks, which then give no other windows; more of them are joined by a shuffle.
+    """
+    known = [tuple(r["head"]) for r in heads.limit(BROADCAST_ROWS + 1).collect()]
+    every = len(known) > BROADCAST_ROWS
+    lengths = range(1, ANCHOR + 1) if every else sorted({len(h) for h in known})
+    wanted = docs.sparkSession.sparkContext.broadcast({} if every else by_first(known))
+
+    def emit(found: list[re.Match]) -> list[list]:
+        words, chosen = [m[0] for m in found], wanted.value
+        out: list[list] = [[], [], []]
+        for j, first in enumerate(words):
+            own = None if every else chosen.get(first)
+            if every or own:
+                for k in lengths:
+                    head = tuple(words[j : j + k])
+                    if len(head) == k and (every or head in own):
+                        out[0].append(j)
+                        out[1].append(found[j].start())
+                        out[2].append(head)
+        return out
+
+    return _words(docs, "no int, start int, head array<string>", emit)
+
+
+def by_first(heads: list[tuple[str, ...]]) -> dict[str, set[tuple[str, ...]]]:
+    out: dict[str, set[tuple[str, ...]]] = {}
+    for head in heads:
+        out.setdefault(head[0], set()).add(head)
+    return out
 
 
 def _quotes(citations: DataFrame) -> DataFrame:
@@ -105,17 +138,16 @@ def aligned(citations: DataFrame, docs: DataFrame) -> DataFrame:
 def _places(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     """(citation_id, id, no, start): where a quote's first words, ANCHOR at most, stand in documents."""
     asked = quotes.select("citation_id", "wanted", "lead", F.slice("words", F.lit(1), F.lit(ANCHOR)).alias("head"))
-    lengths = sorted(r[0] for r in asked.select(F.size("head")).distinct().collect())  # ANCHOR at most
-    windows = F.filter(F.array(*(F.slice("w", F.lit(1), F.lit(k)) for k in lengths)).cast("array<array<string>>"), lambda w: w.isNotNull())
-    each = _runs(docs, True).select("id", "no", "start", F.explode(F.array_distinct(windows)).alias("head"))
-    met = each.join(few(asked), "head").filter("wanted is null or wanted = id")
+    met = _windows(docs, asked.select("head").distinct()).join(few(asked), "head").filter("wanted is null or wanted = id")
     return met.select("citation_id", "id", "no", F.greatest(F.lit(0), F.col("start") - F.col("lead")).alias("start"))
 
 
 def _verified(hits: DataFrame, quotes: DataFrame, docs: DataFrame, cut: DataFrame) -> DataFrame:
     """Rungs 1 and 2 of hits: the text up to the word at the quote's end is the quote's."""
-    own = hits.join(few(quotes.select("citation_id", "tail", F.size("words").alias("n"), "quote")), "citation_id")
-    ends = _runs(docs.join(hits.select("id").distinct(), "id", "left_semi"), False).select("id", F.col("no").alias("last"), "stop")
+    # not broadcast by their number: quotes may be long; what is small is broadcast by its size as it runs
+    own = hits.join(quotes.select("citation_id", "tail", F.size("words").alias("n"), "quote"), "citation_id")
+    own_docs = docs.join(hits.select("id").distinct(), "id", "left_semi")
+    ends = _words(own_docs, "last int, stop int", lambda found: [list(range(len(found))), [m.end() for m in found]])
     rows = own.withColumn("last", F.col("no") + F.col("n") - 1).join(ends, ["id", "last"])
     rows = rows.select("id", F.struct("citation_id", "quote").alias("key"), F.col("start").alias("a"), (F.col("stop") + F.col("tail")).alias("b"))
     read = slices(cut, rows).select("key.*", "id", "a", "slice")
@@ -130,7 +162,7 @@ def _verified(hits: DataFrame, quotes: DataFrame, docs: DataFrame, cut: DataFram
 def _prefixed(hits: DataFrame, quotes: DataFrame, cut: DataFrame) -> DataFrame:
     """Rung 3 of hits: quotes of ANCHOR words at least whose first ones stand at one place of the document."""
     long_ = quotes.filter(F.size("words") >= ANCHOR).select("citation_id", "prefix", (F.char_length("quote") + MORE).alias("size"))
-    rows = hits.join(few(long_), "citation_id").select("id", F.struct("citation_id", "prefix", "size").alias("key"), F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))
+    rows = hits.join(long_, "citation_id").select("id", F.struct("citation_id", "prefix", "size").alias("key"), F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))
     read = slices(cut, rows).select("key.*", "id", "a", "slice").filter(F.col("slice").startswith(F.col("prefix")))
     one = read.groupBy("citation_id", "id").agg(F.count(F.lit(1)).alias("n"), F.first("a").alias("start"), F.first("slice").alias("slice"), F.first("size").alias("size")).filter("n = 1")
     whole = F.when(F.char_length("slice") == F.col("size"), F.regexp_replace("slice", r"\s+\S*\z", "")).otherwise(F.col("slice"))

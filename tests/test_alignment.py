@@ -30,8 +30,11 @@ def tables(rows):
     return rows("citation_id int, id string, article string, quote string", *CITED), rows("id string, text string", *DOCS)
 
 
-def test_rungs(tables, monkeypatch):
+@pytest.mark.parametrize("most", [300_000, 2])
+def test_rungs(tables, monkeypatch, most):
+    """With few quotes and with more than are sent to the tasks."""
     monkeypatch.setattr(alignment, "BLOCK", 32)
+    monkeypatch.setattr(alignment, "BROADCAST_ROWS", most)
     got = {(r.citation_id, r.id): (r.rung, r.start, r.passage) for r in alignment.aligned(*tables).collect()}
     text = dict(DOCS)
     for (_, i), (rung, start, passage) in got.items():
