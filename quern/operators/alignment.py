@@ -125,8 +125,8 @@ def aligned(citations: DataFrame, docs: DataFrame) -> DataFrame:
     """
     key = ["citation_id", "id"]
     quotes = stored(_quotes(citations), "quotes")
-    cut = stored(blocks(docs), "blocks")
     hits = stored(_places(quotes, docs), "places")
+    cut = stored(blocks(docs.join(hits.select("id").distinct(), "id", "left_semi")), "blocks")
     found = stored(_verified(hits, quotes, docs, cut), "whole")
     found = found.unionByName(stored(_prefixed(hits.join(found, key, "left_anti"), quotes, cut), "prefixes"))
     asked = citations.filter("id is not null").select(*key, "article")
