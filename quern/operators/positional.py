@@ -148,7 +148,7 @@ def search(runs: DataFrame, cut: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def excerpts(hits: DataFrame, cut: DataFrame) -> DataFrame:
-    """Hits (query_id, id, line_no, rank 1 or 2, phrase, patterns) with their excerpts from lines (id, line_no, start, full).
+    """Hits (query_id, id, line_no, rank, phrase, patterns) with their excerpts from lines (id, line_no, start, full); of those of rank 1 the phrase is looked for.
 
     An excerpt is the line or lines with the neighbours on each side that fit whole in EXCERPT characters; of longer ones EXCERPT
     characters from shortly before the match.  One that lacks a term then is no hit.  A hit meets five lines at most.
@@ -184,14 +184,15 @@ def excerpts(hits: DataFrame, cut: DataFrame) -> DataFrame:
 
 
 def matching(cut: DataFrame, query: str) -> DataFrame:
-    """Hits of one query as `excerpts` takes them, by a scan of lines: for documents that are searched only once."""
+    """Every hit of one query as `excerpts` takes them, by a scan of lines: for documents that are searched only once."""
     patterns = [pattern_of(t) for t in terms_of(query)] if query.strip() else []
     order = Window.partitionBy("id").orderBy("line_no")
     all_of = lambda c: _all(c, patterns)
     three = F.concat("full", F.coalesce(F.lead("full", 1).over(order), F.lit("")), F.coalesce(F.lead("full", 2).over(order), F.lit("")))
-    rank = F.when(all_of(F.col("full")), 1).when(all_of(F.col("three")), 2)
+    phrase = query.strip().lower()
+    rank = F.when(all_of(F.col("full")), F.when(F.lower("full").contains(phrase), 0).otherwise(1)).when(all_of(F.col("three")), 2)
     rows = cut.withColumn("three", three).withColumn("rank", rank).filter("rank is not null")
-    return rows.select(F.lit(0).alias("query_id"), "id", "line_no", "rank", F.lit(query.strip().lower()).alias("phrase"), F.array(*map(F.lit, patterns)).cast("array<string>").alias("patterns"))
+    return rows.select(F.lit(0).alias("query_id"), "id", "line_no", "rank", F.lit(phrase).alias("phrase"), F.array(*map(F.lit, patterns)).cast("array<string>").alias("patterns"))
 
 
 def _all(text: Column, patterns: list[str]) -> Column:

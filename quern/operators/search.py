@@ -25,17 +25,27 @@ def matches_all(text: Column, patterns: list[str]) -> Column:
     return out
 
 
+def hits(docs: DataFrame, query: str) -> DataFrame:
+    """(id, line_no, rank) of every line that a query hits: rank 0 the phrase on a line, 1 all terms on it, 2 all in three lines, however long they are.
+
+    Documents without all terms are left out before any line is cut.
+    """
+    return positional.matching(positional.lines(_holding(docs, query)), query).select("id", "line_no", "rank")
+
+
 def find(docs: DataFrame, query: str) -> DataFrame:
-    """(id, line_no, rank, start, end, start_line, last_line, excerpt): rank 0 the phrase on a line, 1 all terms on it, 2 all in three lines.
+    """(id, line_no, rank, start, end, start_line, last_line, excerpt): those of `hits` whose excerpt holds all terms, which one of long lines may not.
 
-    Documents without all terms are left out before any line is cut; hits meet their lines, never whole texts.  For many queries over the same
-    documents see `positional.search`.
+    Hits meet their lines, never whole texts.  For many queries over the same documents see `positional.search`.
     """
-    held = docs.filter(matches_all(F.col("text"), query_patterns(query)))
-    cut = stored(positional.lines(held), "lines")
+    cut = stored(positional.lines(_holding(docs, query)), "lines")
     return positional.excerpts(positional.matching(cut, query), cut).drop("query_id")
 
 
+def _holding(docs: DataFrame, query: str) -> DataFrame:
+    return docs.filter(matches_all(F.col("text"), query_patterns(query)))
+
+
 def best_hits(found: DataFrame, hits: int = HITS, budget: int = BUDGET) -> DataFrame:
     """The first hits by rank, id, line that do not overlap an earlier one and fit a budget of JSON characters together.
 
@@ -137,4 +147,4 @@ def relevant_gaps(gaps: Column, start: Column, end: Column) -> Column:
     return F.transform(met, lambda g: F.struct(F.substring(g["label"], 1, 240).alias("label"), F.substring(g["reason"], 1, 180).alias("reason")))
 
 
-__all__ = ["best_hits", "find", "list_sections", "matches_all", "merged_spans", "query_patterns", "quoted", "read_lines", "read_sections", "relevant_gaps", "smallest_section"]
+__all__ = ["best_hits", "find", "hits", "list_sections", "matches_all", "merged_spans", "query_patterns", "quoted", "read_lines", "read_sections", "relevant_gaps", "smallest_section"]

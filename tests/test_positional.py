@@ -64,6 +64,17 @@ def test_a_scan_finds_the_same(spark, docs, query):
     assert [tuple(r) for r in a] == [tuple(r) for r in b] and a
 
 
+@pytest.mark.parametrize("query", QUERIES)
+def test_hits_are_told_whatever_their_excerpt_would_hold(docs, query):
+    try:
+        got = search.hits(docs, query).collect()
+    except ValueError:
+        got = []
+    assert {(r["id"], r["line_no"]): r["rank"] for r in got} == brute(query)
+    if query == "land tax":
+        assert (6, 1, 1) in {tuple(r) for r in got} and 6 not in {r["id"] for r in search.find(docs, query).collect()}
+
+
 def test_long_lines_are_cut_round_the_match(spark):
     text = "u" * 3000 + " land tax " + "v" * 3000
     got = search.find(spark.createDataFrame([(1, text)], "id long, text string"), "land tax").first()
