@@ -1,10 +1,11 @@
 """A positional index of documents' lines, and search of many queries at once through it.
 
-The index has a row for each run of letters, digits and underscores: its lower-case term, document, line, place in the line, offsets and what
-stands before it.  Rows lie in folders by a hash of the term (a frequent term's are spread by document within its folder), so that a search
-reads only the folders of its terms.  A term of a query is one run, the beginning of one (word*), or several that
-follow each other at the right distance (1,000.50), which is a join of places.  Lines of hits, never whole documents,
-are then joined for the excerpts.
+The index has a row for each run of letters, digits and underscores in a document: its lower-case term and the lines that have it.  Of a run of
+the digits 0 to 9, which may be a part of a number, it also has each place in its line and the sign before.  Rows lie in folders by a hash of the
+term; each task writes its own file of a folder, so that a frequent term is not one task's and nothing is shuffled.  A search reads only the
+folders of its terms.  A term of a query is one run, the beginning of one (word*), or several that
+follow each other at the right distance (1,000.50), which is a join of places.  The lines of each term, then each query, are put together by document;
+hits meet the lines of their document, each of which is shuffled once whatever the number of queries.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from quern.tables import few, spread, stored
 
 EXCERPT = 1200
 FOLDERS = 64
+CODEC = "zstd"  # these tables are as large as the documents
 _RUN = re.compile(r"\w+")
+_DIGIT, _DIGITS, _JOINTS = re.compile("[0-9]").search, re.compile("[0-9]+").fullmatch, (".", ",")
 _TERM = re.compile(r"[0-9]+(?:[.,][0-9]+)*|[^\W\d_]+\*?")
 _END = re.compile(LINE_END.replace(r"\x{85}", "\x85").replace(r"\x{2028}", "\u2028").replace(r"\x{2029}", "\u2029"))
 
@@ -66,36 +69,48 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stored tables of runs (folder, term, id, line_no, place, gap) and of lines (id, line_no, start, full), from columns id, text."""
-    cut = stored(lines(docs), "lines")
+    """Stored tables of runs (folder, term, id, line_no, place, gap) and of lines (id, line_no, start, full), from columns id, text.
+
+    line_no and place are arrays, gap is a string: of a run of digits they have an entry each time, of others line_no has each line once.
+    """
+    cut = stored(lines(docs), "lines", codec=CODEC)
     kind = docs.schema["id"].dataType.simpleString()
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                row, place, gap, term = [], [], [], []
-                for i, line in enumerate(part.column("full").to_pylist()):
-                    last = 0
-                    for n, m in enumerate(_RUN.finditer(line)):
-                        row.append(i)
-                        place.append(n)
-                        gap.append(line[last : m.start()] if m.start() - last == 1 else None)  # only such join the parts of a number
-                        term.append(m[0].lower())
-                        last = m.end()
-                rows = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("id").take(rows), part.column("line_no").take(rows), pa.array(place, pa.int32()), pa.array(gap, pa.string()), pa.array(term, pa.string())], ["id", "line_no", "place", "gap", "term"])
-
-    found = cut.select("id", "line_no", "full").mapInArrow(runs, f"id {kind}, line_no int, place int, gap string, term string")
+                ids = part.column("id").to_pylist()
+                found: dict[tuple, tuple[list, list, list]] = {}
+                row = 0  # the first of its document here
+                for i, (number, line) in enumerate(zip(part.column("line_no").to_pylist(), part.column("full").to_pylist())):
+                    row = row if ids[i] == ids[row] else i
+                    for term in {x.lower() for x in set(_RUN.findall(line))}:
+                        if not _DIGITS(term):
+                            found.setdefault((row, term), ([], [], []))[0].append(number)
+                    if _DIGIT(line):
+                        last = 0
+                        for n, m in enumerate(_RUN.finditer(line)):
+                            if _DIGITS(m[0]):
+                                numbers, places, gaps = found.setdefault((row, m[0]), ([], [], []))
+                                numbers.append(number)
+                                places.append(n)
+                                before = line[last : m.start()]
+                                gaps.append(before if before in _JOINTS else " ")  # only such join the parts of a number
+                            last = m.end()
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([t for _, t in found], pa.string()), part.column("id").take(pa.array([i for i, _ in found], pa.int64())),
+                    pa.array([x[0] for x in found.values()], pa.list_(pa.int32())), pa.array([x[1] for x in found.values()], pa.list_(pa.int32())),
+                    pa.array(["".join(x[2]) for x in found.values()], pa.string()),
+                ], ["term", "id", "line_no", "place", "gap"])
+
+    found = cut.select("id", "line_no", "full").mapInArrow(runs, f"term string, id {kind}, line_no array<int>, place array<int>, gap string")
     found = found.withColumn("folder", F.pmod(F.xxhash64("term"), F.lit(FOLDERS)).cast("int"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # a folder's rows go to several tasks, by document, so that a frequent term is not one task's
-    dealt = found.repartition(n, "folder", F.pmod(F.xxhash64("id"), F.lit(max(1, n // 4)))).sortWithinPartitions("folder", "term")
-    return stored(dealt, "runs", by=["folder"]), cut
+    return stored(found.sortWithinPartitions("folder", "term"), "runs", by=["folder"], codec=CODEC), cut
 
 
 def parsed(queries: DataFrame) -> DataFrame:
-    """(query_id, phrase, patterns, n_terms, term_no, parts, part, run, gap, prefix) of queries (query_id, query); wrong ones have no row."""
+    """(query_id, phrase, patterns, term, n_terms, parts, part, run, gap, prefix) of queries (query_id, query); wrong ones have no row."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -106,17 +121,17 @@ def parsed(queries: DataFrame) -> DataFrame:
                 except ValueError:
                     continue
                 patterns = [pattern_of(t) for t in terms]
-                for i, term in enumerate(terms):
+                for term in terms:
                     pieces = re.split("([.,])", term.rstrip("*")) if term[0].isdigit() else [term.rstrip("*")]
                     for j, run in enumerate(pieces[::2]):
-                        out.append((query_id, query.strip().lower(), patterns, len(terms), i, len(pieces) // 2 + 1, j, run.lower(), pieces[2 * j - 1] if j else None, term.endswith("*")))
+                        out.append((query_id, query.strip().lower(), patterns, term.lower(), len({t.lower() for t in terms}), len(pieces) // 2 + 1, j, run.lower(), pieces[2 * j - 1] if j else None, term.endswith("*")))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _PARSED.split(", ")])
 
     kind = queries.schema["query_id"].dataType.simpleString()
     return queries.select("query_id", "query").mapInPandas(parse, f"query_id {kind}, " + _PARSED.split(", ", 1)[1])
 
 
-_PARSED = "query_id, phrase string, patterns array<string>, n_terms int, term_no int, parts int, part int, run string, gap string, prefix boolean"
+_PARSED = "query_id, phrase string, patterns array<string>, term string, n_terms int, parts int, part int, run string, gap string, prefix boolean"
 
 
 def search(runs: DataFrame, cut: DataFrame, queries: DataFrame) -> DataFrame:
@@ -125,62 +140,72 @@ def search(runs: DataFrame, cut: DataFrame, queries: DataFrame) -> DataFrame:
     rank 0: the phrase is on the line, 1: all terms are, 2: all are in it and the two lines after it.  A query without terms has no hits.
     """
     terms = stored(parsed(queries).withColumn("folder", F.pmod(F.xxhash64("run"), F.lit(FOLDERS)).cast("int")), "query-terms")
-    exact = terms.filter("not prefix")
-    folders = [r["folder"] for r in exact.select("folder").distinct().collect()]  # FOLDERS at most
-    keep = ["query_id", "term_no", "parts", "part", "id", "line_no", "place"]
-    near = F.col("wanted").isNull() | (F.col("wanted") == F.col("gap"))
-    met = runs.filter(F.col("folder").isin(folders)).join(few(exact.withColumnRenamed("gap", "wanted").drop("folder")), F.col("term") == F.col("run")).filter(near)
+    # queries share their terms
+    needles = terms.select(F.col("term").alias("key"), "parts", "part", "run", F.col("gap").alias("wanted"), "prefix", "folder").distinct()
+    whole, chain = needles.filter("parts = 1 and not prefix"), needles.filter("parts > 1")
+    met = _read(runs, whole).join(few(whole.select("key", "run")), F.col("term") == F.col("run")).select("id", "key", "line_no")
     first = lambda c: F.substring(c, 1, 1)
-    starts = few(terms.filter("prefix").select("query_id", "term_no", "parts", "part", "run", first("run").alias("initial")))
+    starts = few(needles.filter("prefix").select("key", "run", first("run").alias("initial")))
     rest = F.col("term").startswith(F.col("run")) & F.expr("substring(term, length(run) + 1)").rlike(r"^\p{L}*$")
-    begun = runs.join(starts, first("term") == F.col("initial")).filter(rest)
-    occurs = met.select(*keep).unionByName(begun.select(*keep))
+    begun = runs.join(starts, first("term") == F.col("initial")).filter(rest).select("id", "key", "line_no")
     # parts of one number follow each other
-    whole = occurs.filter("parts = 1").select("query_id", "term_no", "id", "line_no")
-    chained = occurs.filter("parts > 1").groupBy("query_id", "term_no", "parts", "id", "line_no", (F.col("place") - F.col("part")).alias("at")).agg(F.count_distinct("part").alias("n"))
-    whole = whole.unionByName(chained.filter("n = parts").select("query_id", "term_no", "id", "line_no")).distinct()
-    near3 = whole.select("query_id", "term_no", "id", F.col("line_no").alias("own"), F.explode(F.sequence(F.greatest(F.lit(1), F.col("line_no") - 2), F.col("line_no"))).alias("line_no"))
-    every = near3.groupBy("query_id", "id", "line_no").agg(F.count_distinct("term_no").alias("n"), F.count_distinct(F.when(F.col("own") == F.col("line_no"), F.col("term_no"))).alias("here"))
-    asked = terms.groupBy("query_id").agg(F.first("n_terms").alias("n_terms"), F.first("phrase").alias("phrase"), F.first("patterns").alias("patterns"))
-    hits = every.join(few(stored(asked, "queries")), "query_id").filter("n = n_terms")
-    hits = hits.withColumn("rank", F.when(F.col("here") == F.col("n_terms"), 1).otherwise(2)).drop("n", "here", "n_terms")
-    return excerpts(stored(hits, "hits"), cut)
-
-
-def excerpts(hits: DataFrame, cut: DataFrame) -> DataFrame:
-    """Hits (query_id, id, line_no, rank, phrase, patterns) with their excerpts from lines (id, line_no, start, full); of those of rank 1 the phrase is looked for.
-
-    An excerpt is the line or lines with the neighbours on each side that fit whole in EXCERPT characters; of longer ones EXCERPT
-    characters from shortly before the match.  One that lacks a term then is no hit.  A hit meets five lines at most.
+    each = _read(runs, chain).join(few(chain.drop("folder", "prefix")), F.col("term") == F.col("run"))
+    each = each.select("id", "key", "parts", "part", "wanted", "gap", "line_no", F.posexplode("place").alias("n", "at"))
+    each = each.filter(F.col("wanted").isNull() | (F.col("wanted") == F.expr("substring(gap, n + 1, 1)")))
+    each = each.groupBy("id", "key", "parts", F.expr("line_no[n]").alias("line"), (F.col("at") - F.col("part")).alias("at")).agg(F.count_distinct("part").alias("n"))
+    chained = each.filter("n = parts").select("id", "key", F.array("line").alias("line_no"))
+    # from here on a document is one task's
+    own = met.unionByName(begun).unionByName(chained).repartition("id").groupBy("id", "key").agg(F.flatten(F.collect_list("line_no")).alias("lines"))
+    wanting = few(terms.select("query_id", F.col("term").alias("key"), "n_terms").distinct())
+    held = own.join(wanting, "key").groupBy("id", "query_id", "n_terms").agg(F.collect_list("lines").alias("l")).filter(F.size("l") == F.col("n_terms"))
+    common = lambda lists: F.aggregate(lists, lists[0], F.array_intersect)
+    near = F.transform("l", lambda x: F.flatten(F.transform(x, lambda n: F.sequence(F.greatest(F.lit(1), n - 2), n))))
+    held = held.select("id", "query_id", common(F.col("l")).alias("here"), common(near).alias("near"))
+    ranked = lambda lists, rank: F.transform(lists, lambda n: F.struct(n.alias("line_no"), F.lit(rank).alias("rank")))
+    hits = held.select("id", "query_id", F.explode(F.concat(ranked(F.col("here"), 1), ranked(F.array_except("near", "here"), 2))).alias("x"))
+    asked = terms.groupBy("query_id").agg(F.first("phrase").alias("phrase"), F.first("patterns").alias("patterns"))
+    return excerpts(hits.select("query_id", "id", "x.line_no", "x.rank"), cut, asked)
+
+
+def _read(runs: DataFrame, needles: DataFrame) -> DataFrame:
+    return runs.filter(F.col("folder").isin([r["folder"] for r in needles.select("folder").distinct().collect()]))  # FOLDERS at most
+
+
+def excerpts(hits: DataFrame, cut: DataFrame, asked: DataFrame) -> DataFrame:
+    """Hits (query_id, id, line_no, rank) with their excerpts from lines (id, line_no, start, full), of queries (query_id, phrase, patterns).
+
+    Of those of rank 1 the phrase is looked for.  An excerpt is the line or lines with the neighbours on each side that fit whole in EXCERPT
+    characters; of longer ones EXCERPT characters from shortly before the match.  One that lacks a term then is no hit.  Hits and lines meet by
+    document; a line goes to its neighbours there, and only then to each of its hits.
     """
-    around = hits.select("query_id", "id", "line_no", F.explode(F.sequence(F.col("line_no") - 1, F.col("line_no") + 3)).alias("other"))
-    own = cut.select(F.col("id"), F.col("line_no").alias("other"), "start", "full")
-    met = around.join(own, ["id", "other"]).groupBy("query_id", "id", "line_no").agg(F.sort_array(F.collect_list(F.struct("other", "start", "full"))).alias("w"))
-    rows = hits.join(met, ["query_id", "id", "line_no"])
-    last = F.when(F.col("rank") == 2, F.col("line_no") + 2).otherwise(F.col("line_no"))
-    text = F.array_join(F.transform("w", lambda x: x["full"]), "")
-    size = F.aggregate("w", F.lit(0), lambda n, x: n + F.char_length(x["full"]))
-    upto = lambda n: F.aggregate(F.filter("w", lambda x: x["other"] <= n), F.lit(0), lambda s, x: s + F.char_length(x["full"]))
-    # places in the joined lines: where the core lines begin and end, and the line after them
-    rows = rows.withColumns({"joined": text, "base": F.col("w")[0]["start"], "from": upto(F.col("line_no") - 1), "core": upto(last), "after": upto(last + 1), "size": size})
-    part = lambda a, b: F.substring(F.col("joined"), a + 1, b - a)
-    core = F.lower(part(F.col("from"), F.col("core")))
-    offset = lambda p: F.char_length(F.split(part(F.col("from"), F.col("core")), p, 2)[0])
-    on_line = F.col("rank") == 1
-    rows = rows.withColumn("rank", F.when(on_line & core.contains(F.col("phrase")), 0).otherwise(F.col("rank")))
-    long_ = F.col("core") - F.col("from") > EXCERPT
+    line = cut.select("id", "line_no", F.struct("start", "full").alias("line"), F.lit(None).cast(hits.select(F.struct("query_id", "rank").alias("x")).schema["x"].dataType).alias("hit"))
+    hit = hits.select("id", "line_no", F.lit(None).cast(line.schema["line"].dataType).alias("line"), F.struct("query_id", "rank").alias("hit"))
+    rows = line.unionByName(hit).repartition("id").groupBy("id", "line_no").agg(F.first("line", True).alias("line"), F.collect_list("hit").alias("hits"))
+    order = Window.partitionBy("id").orderBy("line_no")
+    rows = rows.withColumns({"l0": F.lag("line").over(order)} | {f"l{i + 1}": F.lead("line", i).over(order) for i in (1, 2, 3)})
+    rows = rows.filter(F.size("hits") > 0).withColumn("hit", F.explode("hits")).select("id", "line_no", "hit.*", "line", "l0", "l2", "l3", "l4")
+    rows = rows.join(few(stored(asked, "queries")), "query_id")
+    full = lambda c: F.coalesce(F.col(c)["full"], F.lit(""))
+    three = F.col("rank") == 2
+    rows = rows.withColumn("core", F.when(three, F.concat(full("line"), full("l2"), full("l3"))).otherwise(full("line")))
+    rows = rows.withColumns({"low": F.lower("core"), "size": F.char_length("core"), "after": F.when(three, full("l4")).otherwise(full("l2"))})
+    rows = rows.withColumn("rank", F.when((F.col("rank") == 1) & F.col("low").contains(F.col("phrase")), 0).otherwise(F.col("rank")))
+    long_ = F.col("size") > EXCERPT
     # only long lines are cut, so that only they are searched again
-    first = F.when(long_ & (F.col("rank") == 0), F.instr(core, F.col("phrase")) - 1).when(long_, F.array_min(F.transform("patterns", offset)))
-    begin = F.when(long_, F.greatest(F.col("from"), F.col("from") + first - 100)).otherwise(F.when(F.col("core") <= EXCERPT, 0).otherwise(F.col("from")))
-    rows = rows.withColumn("begin", begin.cast("int"))
-    stop = F.when(long_, F.least(F.col("core"), F.col("begin") + EXCERPT)).otherwise(F.when(F.col("after") - F.col("begin") <= EXCERPT, F.col("after")).otherwise(F.col("core")))
-    rows = rows.withColumn("stop", stop).withColumn("excerpt", part(F.col("begin"), F.col("stop")))
+    offset = lambda p: F.char_length(F.split("low", p, 2)[0])
+    match = F.when(long_ & (F.col("rank") == 0), F.instr("low", F.col("phrase")) - 1).when(long_, F.array_min(F.transform("patterns", offset)))
+    rows = rows.withColumn("from", F.greatest(F.lit(0), match - 100).cast("int"))
+    before = F.when(F.char_length(full("l0")) + F.col("size") <= EXCERPT, full("l0")).otherwise("")
+    rows = rows.withColumn("before", before)
+    fits = F.char_length("before") + F.col("size") + F.char_length("after") <= EXCERPT
+    excerpt = F.when(long_, F.substring("core", F.col("from") + 1, F.lit(EXCERPT))).otherwise(F.concat("before", "core", F.when(fits, F.col("after")).otherwise("")))
+    start = F.col("line")["start"] + F.when(long_, F.col("from")).otherwise(-F.char_length("before"))
+    rows = rows.withColumns({"excerpt": excerpt, "start": start})
     rows = rows.filter(F.when(long_, F.forall("patterns", lambda p: F.regexp_like(F.col("excerpt"), p))).otherwise(F.lit(True)))
-    at = lambda c: F.array_max(F.transform(F.filter("w", lambda x: x["start"] - F.col("base") <= c), lambda x: x["other"]))
-    return rows.select(
-        "query_id", "id", "line_no", "rank", (F.col("base") + F.col("begin")).alias("start"), (F.col("base") + F.col("stop")).alias("end"),
-        at(F.col("begin")).alias("start_line"), at(F.col("stop") - 1).alias("last_line"), "excerpt",
-    )
+    rows = rows.withColumn("end", F.col("start") + F.char_length("excerpt"))
+    begins = lambda c, at: F.coalesce((F.col(c)["start"] <= at).cast("int"), F.lit(0))
+    of = lambda at: F.col("line_no") - 1 + begins("line", at) + begins("l2", at) + begins("l3", at) + begins("l4", at)
+    return rows.select("query_id", "id", "line_no", "rank", "start", "end", of(F.col("start")).alias("start_line"), of(F.col("end") - 1).alias("last_line"), "excerpt")
 
 
 def matching(cut: DataFrame, query: str) -> DataFrame:
@@ -189,10 +214,8 @@ def matching(cut: DataFrame, query: str) -> DataFrame:
     order = Window.partitionBy("id").orderBy("line_no")
     all_of = lambda c: _all(c, patterns)
     three = F.concat("full", F.coalesce(F.lead("full", 1).over(order), F.lit("")), F.coalesce(F.lead("full", 2).over(order), F.lit("")))
-    phrase = query.strip().lower()
-    rank = F.when(all_of(F.col("full")), F.when(F.lower("full").contains(phrase), 0).otherwise(1)).when(all_of(F.col("three")), 2)
-    rows = cut.withColumn("three", three).withColumn("rank", rank).filter("rank is not null")
-    return rows.select(F.lit(0).alias("query_id"), "id", "line_no", "rank", F.lit(phrase).alias("phrase"), F.array(*map(F.lit, patterns)).cast("array<string>").alias("patterns"))
+    rank = F.when(all_of(F.col("full")), F.when(F.lower("full").contains(query.strip().lower()), 0).otherwise(1)).when(all_of(F.col("three")), 2)
+    return cut.withColumn("three", three).withColumn("rank", rank).filter("rank is not null").select(F.lit(0).alias("query_id"), "id", "line_no", "rank")
 
 
 def _all(text: Column, patterns: list[str]) -> Column:

@@ -39,7 +39,8 @@ def find(docs: DataFrame, query: str) -> DataFrame:
     Hits meet their lines, never whole texts.  For many queries over the same documents see `positional.search`.
     """
     cut = stored(positional.lines(_holding(docs, query)), "lines")
-    return positional.excerpts(positional.matching(cut, query), cut).drop("query_id")
+    asked = docs.sparkSession.createDataFrame([(0, query.strip().lower(), query_patterns(query))], "query_id int, phrase string, patterns array<string>")
+    return positional.excerpts(positional.matching(cut, query), cut, asked).drop("query_id")
 
 
 def _holding(docs: DataFrame, query: str) -> DataFrame:

@@ -32,13 +32,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, by: list[str] | None = None, codec: str | None = None) -> DataFrame:
     """A table that several parts of a plan read, written once below spark.checkpoint.dir and read again.
 
-    by: columns whose values become folders.
+    by: columns whose values become folders.  codec: of its Parquet files, else the session's.
     """
     path = scratch(df.sparkSession, name)
-    df.write.partitionBy(*by or []).parquet(path)
+    df.write.partitionBy(*by or []).parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
