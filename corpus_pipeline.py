@@ -59,7 +59,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = pack_histogram.pieces(docs, tokenizer("word_bpe_49k.json"), "word", 1, slots=pack_histogram.LESS_MEMO)
-    cut = stored(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
+    cut = stored(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces", texts=True)
     return pack_histogram.pack(cut, ["doc_id", "start", "ids_crc32"])
 
 

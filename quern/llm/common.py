@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,16 +29,33 @@ def scratch(spark: SparkSession, name: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch of whole texts: the JVM and the worker each hold a batch, which of 10,000 texts is tens of MB a task.
+TEXT_ROWS = 1000
+
+
+@contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs meanwhile gives Python at most TEXT_ROWS rows at once."""
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, str(min(int(before), TEXT_ROWS) if int(before) > 0 else TEXT_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
+
+def stored(df: DataFrame, name: str, texts: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it again: lineage ends there and lost executors cost nothing.
 
-    The shuffle files of the write are removed when it is done.
+    The shuffle files of the write are removed when it is done.  texts: Python takes whole texts for it, in small batches.
     """
     spark = df.sparkSession
     path, before = scratch(spark, name), spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        with text_batches(spark) if texts else nullcontext():
+            df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import free_name, require
+from quern.llm.common import free_name, require, text_batches
 
 DIMS = 1 << 14
 CLUSTERS = 4
@@ -168,7 +168,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Mode
         bins = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(bins, pa.int32()), pa.array(total[bins])], ["bin", "n"])
 
-    found = rows.select("text").mapInArrow(frequencies, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
+    with text_batches(docs.sparkSession):
+        found = rows.select("text").mapInArrow(frequencies, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(DIMS + 1)
     df[found.bin.to_numpy(int)] = found.n.to_numpy(float)
     idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1).astype(np.float32)
@@ -192,7 +193,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Mode
                 arrays = [part.column("doc_id"), part.column("lang"), pa.array(at_bin, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.float32()))]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "lang", "bins", "counts"])
 
-    got = picked.mapInArrow(vectors, "doc_id long, lang string, bins array<int>, counts array<float>").toPandas()
+    with text_batches(docs.sparkSession):
+        got = picked.mapInArrow(vectors, "doc_id long, lang string, bins array<int>, counts array<float>").toPandas()
     got = got[got.bins.map(len) > 0].sort_values(["lang", "doc_id"], kind="stable")
     langs = sorted(got.lang.unique())
     if not langs:

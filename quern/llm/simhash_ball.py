@@ -494,7 +494,7 @@ def _exact_roots(loose: DataFrame, docs: DataFrame, words: int, similarity: floa
 
     sets = texts.mapInArrow(once, "digest string, set binary").groupBy("digest").agg(F.any_value("set").alias("set"))
     rows = many.join(sets, "digest").select(F.col("root").alias("key"), F.col("fp").alias("root"), "sig", "set")
-    rows = stored(rows, "simhash-sets")
+    rows = stored(rows, "simhash-sets", texts=True)
     return components(resolved(rows, _by_shingles(wide, most, similarity)))
 
 
@@ -523,7 +523,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
                 own = [signature(t, words, wide) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(own, pa.binary()), part.column("digest")], ["doc_id", "sig", "digest"])
 
-    prints = stored(rows.withColumn("digest", text_digest()).mapInArrow(sign, "doc_id long, sig binary, digest string"), "simhash-wide")
+    prints = stored(rows.withColumn("digest", text_digest()).mapInArrow(sign, "doc_id long, sig binary, digest string"), "simhash-wide", texts=True)
     texts = stored(prints.groupBy("digest").agg(F.min("doc_id").alias("least"), F.any_value("sig").alias("sig")), "simhash-texts")
     for seed in range(100):  # until no two texts share a number; the first try but for huge corpora
         nodes = stored(texts.withColumn("fp", F.xxhash64(F.lit(seed), "digest")), "simhash-nodes")

@@ -1,5 +1,6 @@
 import bisect
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,6 +29,17 @@ def test_stored_keeps_schema_and_setting(spark):
     assert df.count() == 5 and df.columns == ["id", "s"] and spark.conf.get(c.CLEANUP, "false") == before
 
 
+def test_texts_come_in_small_batches(spark):
+    def rows(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    before = spark.conf.get(c.BATCH_ROWS)
+    df = spark.range(0, 2500, 1, 1).mapInArrow(rows, "n long")
+    assert [r["n"] for r in c.stored(df, "test", texts=True).collect()] == [1000, 1000, 500]
+    assert [r["n"] for r in c.stored(df, "test").collect()] == [2500] and spark.conf.get(c.BATCH_ROWS) == before
+
+
 def test_require_takes_exact_names(spark):
     df = spark.createDataFrame([(1, 2)], "`a.b` int, c int")
     assert c.require(df, "a.b").first()[0] == 1

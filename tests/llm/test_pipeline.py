@@ -1,4 +1,5 @@
 import corpus_pipeline as c
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quern.llm import queries as q
@@ -33,6 +34,16 @@ def test_odd_documents_and_no_documents(spark, tables, odd, no_docs):
     assert docs.count() == 0
 
 
+def test_packing_sends_texts_in_small_batches(spark, monkeypatch):
+    def rows(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"doc_id": [1], "start": [0], "length": [batch.num_rows], "doc_tokens": [1], "ids": [b""]})
+
+    schema = "doc_id long, start long, length long, doc_tokens long, ids binary"
+    monkeypatch.setattr(c.pack_histogram, "pieces", lambda docs, *a, **b: docs.mapInArrow(rows, schema))
+    assert sorted(r["length"] for r in c.packing(spark, spark.range(0, 2500, 1, 1), "").collect()) == [500, 1000, 1000]
+
+
 def test_every_operator_is_registered():
     names = q.queries()
     assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 14)}
