@@ -88,6 +88,12 @@ def test_only_folders_of_the_terms_are_read(spark, docs):
     assert "PartitionFilters: [folder" in plan
 
 
+def test_the_index_has_a_row_for_each_term_of_a_document(spark):
+    runs, _ = p.index(spark.createDataFrame([(1, "a b a\nA 1,0 a 1")], "id long, text string"))
+    got = {r["term"]: (r["line_no"], r["place"], r["gap"]) for r in runs.collect()}
+    assert runs.count() == 4 and got == {"a": ([1, 2], [], ""), "b": ([1], [], ""), "1": ([2, 2], [1, 4], "  "), "0": ([2], [2], ",")}
+
+
 def test_empty_index(spark, docs):
     runs, cut = p.index(docs.limit(0))
     assert p.search(runs, cut, spark.createDataFrame([(1, "land")], "query_id int, query string")).count() == 0
