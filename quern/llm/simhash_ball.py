@@ -204,7 +204,8 @@ BAND_BITS = 20
 #: Words at least; the similarity is estimated from all bits, with a standard error of 0.03 at 512 bits.
 LEAST_WORDS = 8
 #: Up to one more text than this that share a variant are compared pair by pair on CHECKED bits, then on whole signatures.
-#: More (chance holders are fewer, by the choice of bits) are a crowd: its signatures are joined by `resolved`.
+#: Of more (chance holders are fewer, by the choice of bits), and where pairs are more than the texts in them, all texts that any
+#: pair holds are a crowd: its signatures are joined by `resolved`.  So no variant gives more rows than it has texts.
 NEIGHBOURS = 48
 #: Rows of a group that one task gathers.
 LIMIT = 4096
@@ -400,34 +401,53 @@ def _by_signature(wide: int, most: int) -> Judge:
     return judge
 
 
-#: Bits of the first word of a signature by which pairs are told apart where they meet; the bits below hold the flip.
-CHECKED = 56
+#: Bits of the first and the last word of a signature by which pairs are told apart where they meet; the first word's bits below FLIP hold the flip.
+CHECKED = 120
+FLIP = 8
 
 
-def _small_meetings(key: np.ndarray, root: np.ndarray, tag: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of whole keys sorted by key, node: all pairs of rows (a, b) of different roots within `near` bits, and the rows of crowds.
+def _meetings(key: np.ndarray, root: np.ndarray, tag: np.ndarray, last: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of whole keys sorted by key, node: pairs of rows (a, b) of different roots within `near` bits, and the rows of crowds, to be compared all with all.
 
     The low bits of a tag, the flip, say which bit of its band a row has changed (0: none).  Two values of a band meet as balls in two variants;
-    so that each pair counts once, the earlier row must have the smaller flip.  (Equal values met before.)
+    so that each pair counts once, the earlier row must have the smaller flip.  (Equal values met before.)  Each such pair is told or within a crowd.
     """
     start = _starts(key)
     size = np.diff(np.append(start, len(key)))
-    mixed = np.repeat(np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start), size)
+    mixed = np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start)
     place = np.arange(len(key)) - np.repeat(start, size)
-    crowd = np.repeat(size > NEIGHBOURS + 1, size)
-    rows = np.flatnonzero(mixed & ~crowd)
-    flip, word = tag & (1 << 64 - CHECKED) - 1, tag.view(np.uint64) >> np.uint64(64 - CHECKED)
-    a, b = [], []
+    flip, word = tag & (1 << FLIP) - 1, tag.view(np.uint64) >> np.uint64(FLIP)
+    last = last.view(np.uint64)
+    apart = lambda x, y: np.bitwise_count(word[x] ^ word[y]) + np.bitwise_count(last[x] ^ last[y])
+
+    rows = np.flatnonzero(np.repeat(mixed & (size <= NEIGHBOURS + 1), size))
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for s in range(1, NEIGHBOURS + 1):
         rows = rows[place[rows] >= s]
         if not len(rows):
             break
         others = rows - s
-        hit = (root[rows] != root[others]) & (flip[others] < flip[rows]) & (np.bitwise_count(word[rows] ^ word[others]) <= near)
+        hit = (root[rows] != root[others]) & (flip[others] < flip[rows]) & (apart(rows, others) <= near)
         a.append(others[hit])
         b.append(rows[hit])
-    none = [np.zeros(0, np.int64)]
-    return np.concatenate(a or none), np.concatenate(b or none), np.flatnonzero(mixed & crowd)
+    a, b = np.concatenate(a), np.concatenate(b)
+    group = np.repeat(np.arange(len(start)), size)
+    held = np.unique(np.concatenate((a, b)))
+    many = np.bincount(group[a], minlength=len(start)) > np.bincount(group[held], minlength=len(start))
+    crowd = np.zeros(len(key), bool)
+    crowd[held[many[group[held]]]] = True
+    a, b = (x[~many[group[a]]] for x in (a, b))
+
+    crowd |= np.repeat(mixed & (size > LIMIT), size)
+    for g in np.flatnonzero(mixed & (size > NEIGHBOURS + 1) & (size <= LIMIT)).tolist():
+        whole = np.arange(start[g], start[g] + size[g])
+        _, kind, n = np.unique(root[whole], return_inverse=True, return_counts=True)
+        for row in whole[kind != n.argmax()].tolist():  # of two roots one is not the most frequent
+            hit = (root[whole] != root[row]) & np.where(whole > row, flip[whole] > flip[row], flip[whole] < flip[row])
+            hit = whole[hit & (apart(whole, row) <= near)]
+            if len(hit):
+                crowd[hit] = crowd[row] = True
+    return a, b, np.flatnonzero(crowd)
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -578,7 +598,7 @@ def _band_rows(nodes: DataFrame, bits: int, bands: int) -> DataFrame:
 
 def _ball_meetings(nodes: DataFrame, bits: int, bands: int, near: int) -> DataFrame:
     """(key, a, b): pairs of nodes (fp, sig, root) to verify that share a variant, and each node of a crowd, b null, with its key."""
-    names = ["key", "fp", "root", "tag"]
+    names = ["key", "fp", "root", "tag", "last"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -586,20 +606,21 @@ def _ball_meetings(nodes: DataFrame, bits: int, bands: int, near: int) -> DataFr
                 part = batch.slice(at, 512)
                 sig = part.column("sig").to_pylist()
                 keys = _band_keys(sig, bits, bands)
-                word = np.frombuffer(b"".join(x[:8] for x in sig), ">u8").astype(np.uint64) & ~np.uint64((1 << 64 - CHECKED) - 1)
+                word = np.frombuffer(b"".join(x[:8] for x in sig), ">u8").astype(np.uint64) & ~np.uint64((1 << FLIP) - 1)
+                last = np.frombuffer(b"".join(x[-8:] for x in sig), np.int64)
                 tag = (word[:, None] | (np.arange(keys.shape[1]) % (bits + 1)).astype(np.uint64)).ravel().view(np.int64)
-                fp, root = (np.repeat(part.column(c).to_numpy(), keys.shape[1]) for c in ("fp", "root"))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), fp, root, tag)], names)
+                fp, root, last = (np.repeat(x, keys.shape[1]) for x in (part.column("fp").to_numpy(), part.column("root").to_numpy(), last))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), fp, root, tag, last)], names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_keys(batches, "key"):
-            key, fp, root, tag = (table.column(c).to_numpy() for c in names)
-            a, b, crowd = _small_meetings(key, root, tag, near)
+            key, fp, root, tag, last = (table.column(c).to_numpy() for c in names)
+            a, b, crowd = _meetings(key, root, tag, last, near)
             pairs = np.unique(np.stack((fp[a], fp[b]), axis=1), axis=0)
             other = pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(crowd), pa.int64())])
             keys = np.concatenate((np.zeros(len(pairs), np.int64), key[crowd]))
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate((pairs[:, 0], fp[crowd]))), other], ["key", "a", "b"])
 
-    dealt = nodes.select("fp", "sig", "root").repartition(partitions(nodes.sparkSession)).mapInArrow(emit, "key long, fp long, root long, tag long")
+    dealt = nodes.select("fp", "sig", "root").repartition(partitions(nodes.sparkSession)).mapInArrow(emit, "key long, fp long, root long, tag long, last long")
     dealt = dealt.repartition(partitions(nodes.sparkSession), "key").sortWithinPartitions("key", "fp")
     return dealt.mapInArrow(meet, "key long, a long, b long")

@@ -182,6 +182,49 @@ def test_lone_pairs_at_the_similarity_are_found_and_others_are_not(rows):
     assert sum(linked) >= 0.96 * sum(similar)
 
 
+def test_meetings_of_unlike_texts_are_few(rows, monkeypatch):
+    """Texts that share a passage, a similarity of about 0.35, meet in many bands: pairs of them would grow with the square of their number."""
+    rng, met, stored = random.Random(3), [], s.stored
+    passage = [f"w{rng.randrange(10**6)}" for _ in range(104)]
+    texts = [" ".join(passage + [f"x{rng.randrange(10**9)}" for _ in range(96)]) for _ in range(600)]
+
+    def counted(df, name, *more, **named):
+        out = stored(df, name, *more, **named)
+        met.extend([out.count()] if name == "simhash-meetings" else [])
+        return out
+
+    monkeypatch.setattr(s, "stored", counted)
+    got = {r["doc_id"]: r["component_id"] for r in s.similar_documents(rows("doc_id long, text string", *enumerate(texts))).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_similar(texts)
+    assert met[0] <= 3 * len(texts)
+
+
+def test_meetings_hold_all_near_pairs(monkeypatch):
+    """Each pair of different roots that is near and in order is told or within a crowd, and a key gives no more than its rows."""
+    monkeypatch.setattr(s, "LIMIT", 200)
+    rng = np.random.default_rng(5)
+    for share in (0.02, 0.1, 0.2, 0.3):
+        key = np.repeat(np.arange(12), (1, 2, 3, 9, 30, 49, 50, 51, 120, 200, 201, 260))
+        n = len(key)
+        root = np.where(rng.random(n) < 0.4, 7, rng.integers(0, 60, n))
+        root[key == 4] = 5
+        flip = rng.integers(0, 21, n)
+        base = rng.integers(0, 2, (12, 120), np.uint8)[key]
+        bits = base ^ (rng.random((n, 120)) < share)
+        word = np.packbits(np.hstack((bits[:, :56], np.zeros((n, 8), bits.dtype))), axis=1).view(">u8").ravel().astype(np.uint64) | flip.astype(np.uint64)
+        last = np.packbits(bits[:, 56:], axis=1).view(">u8").ravel().astype(np.uint64)
+        a, b, crowd = s._meetings(key, root, word.view(np.int64), last.view(np.int64), 33)
+        told, crowds = set(zip(a.tolist(), b.tolist())), set(crowd.tolist())
+        want = {
+            (i, j)
+            for i in range(n)
+            for j in range(i + 1, n)
+            if key[i] == key[j] and root[i] != root[j] and flip[i] < flip[j] and (bits[i] != bits[j]).sum() <= 33
+        }
+        assert told <= want and all(p in told or (p[0] in crowds and p[1] in crowds) for p in want)
+        assert (np.bincount(key[a], minlength=12) + np.bincount(key[crowd], minlength=12) <= np.bincount(key)).all()
+
+
 def test_large_groups_are_joined_in_parts(rows, monkeypatch):
     """Links within parts, and those that only a pivot finds, equal all pairs: chains over numbers that differ by at most 2."""
     rng = random.Random(9)
