@@ -9,6 +9,8 @@ as many words, then the document's word at its end is looked up by number: joins
 4. article: of the article that the citation names, the first line of over 35 characters that is no heading and stands once in the document.
 
 What has no rung stays without a passage: no rule takes any line that happens to fit.
+
+Rungs 1 to 3 can also be told character by character (whole=False): quotes then begin and end anywhere, also inside words or outside of them.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import squeeze, strip
-from quern.operators import chunks, offsets
+from quern.operators import chunks, offsets, substrings
 from quern.tables import BROADCAST_ROWS, few, spread, stored
 
 ANCHOR, MORE, LINE, CONTEXT, LEAST = 4, 80, 35, 12_000, 50
@@ -116,25 +118,33 @@ def slices(cut: DataFrame, places: DataFrame) -> DataFrame:
     return met.groupBy("key", "id", "a", "b").agg(F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["s"]), "").alias("slice"))
 
 
-def aligned(citations: DataFrame, docs: DataFrame) -> DataFrame:
+def aligned(citations: DataFrame, docs: DataFrame, whole: bool = True) -> DataFrame:
     """(citation_id, id, rung, start, passage) of citations (citation_id, id, article, quote) in documents (id, text).
 
     A citation with a null id is looked for in all documents and has a row for each that has it by rungs 1 to 3; one with an id has one row, with
     a null rung where nothing was found.  Ids of citations and of documents are unique; null texts and quotes are empty.  A passage that
     many documents have gives as many rows: they are the result.
+
+    whole: quotes and their first words begin and end with whole words of the document, and white space at a quote's ends is left out; else
+    each character of a quote counts, and places that hold the quote once are counted without overlaps.
     """
     key = ["citation_id", "id"]
-    quotes = stored(_quotes(citations), "quotes")
-    hits = stored(_places(quotes, docs), "places")
-    cut = stored(blocks(docs.join(hits.select("id").distinct(), "id", "left_semi")), "blocks")
-    found = stored(_verified(hits, quotes, docs, cut), "whole")
-    found = found.unionByName(stored(_prefixed(hits.join(found, key, "left_anti"), quotes, cut), "prefixes"))
+    found = _by_words(citations, docs) if whole else substrings.occurrences(citations, docs, MORE)
     asked = citations.filter("id is not null").select(*key, "article")
     found = found.unionByName(stored(_by_article(asked.join(found, key, "left_anti"), docs), "article-lines"))
     none = asked.select(*key).join(found, key, "left_anti")
     return found.unionByName(none, allowMissingColumns=True)
 
 
+def _by_words(citations: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rungs 1 to 3 by whole words."""
+    quotes = stored(_quotes(citations), "quotes")
+    hits = stored(_places(quotes, docs), "places")
+    cut = stored(blocks(docs.join(hits.select("id").distinct(), "id", "left_semi")), "blocks")
+    found = stored(_verified(hits, quotes, docs, cut), "whole")
+    return found.unionByName(stored(_prefixed(hits.join(found, ["citation_id", "id"], "left_anti"), quotes, cut), "prefixes"))
+
+
 def _places(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     """(citation_id, id, no, start): where a quote's first words, ANCHOR at most, stand in documents."""
     asked = quotes.select("citation_id", "wanted", "lead", F.slice("words", F.lit(1), F.lit(ANCHOR)).alias("head"))
